@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, quality, secrets, wavelet
+from . import decontaminate, likelihood, mixing, quality, secrets, sharding, wavelet
 from .common import table
 
 
@@ -21,6 +22,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digest(found)
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = sharding.compacted(table(spark, sf_dir, "documents"))
+    return stored.select("doc_id", "lang", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"))
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.span_digest(secrets.find_secrets(table(spark, sf_dir, "documents")), secrets.BASE_KINDS)
 
@@ -29,17 +35,31 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.encode_and_read(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, manifest = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.taken_by_document(documents, manifest).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return likelihood.score(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_sharding": op2_sharding,
     "op5_secret_scans": op5_secret_scans,
     "op6_token_ids": op6_token_ids,
+    "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_sharding": "SELECT doc_id, lang, source, CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS text_md5 FROM documents",
+}
