@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, likelihood, mixing, quality, secrets, sharding, wavelet
+from . import decontaminate, jaccard, likelihood, mixing, quality, secrets, sharding, wavelet
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("doc_id", "lang", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.span_digest(secrets.find_secrets(table(spark, sf_dir, "documents")), secrets.BASE_KINDS)
 
@@ -53,6 +57,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_secret_scans": op5_secret_scans,
     "op6_token_ids": op6_token_ids,
     "op8_mixing": op8_mixing,
