@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, likelihood, mixing, quality, secrets, sharding, wavelet
+from . import decontaminate, jaccard, likelihood, mixing, quality, repeats, secrets, sharding, wavelet
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.encode_and_read(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_digest(repeats.repeated_spans(table(spark, sf_dir, "documents")))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, manifest = mixing.mix(table(spark, sf_dir, "documents"))
     return mixing.taken_by_document(documents, manifest).select("doc_id", "size", "source_size", "target", "taken")
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_secret_scans": op5_secret_scans,
     "op6_token_ids": op6_token_ids,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_lm_scoring": op10_lm_scoring,
