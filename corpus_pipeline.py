@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import decontaminate, quality
+from ledgerloom.llm import decontaminate, jaccard, mixing, quality, sharding
 from ledgerloom.llm.common import scratch, table
 
 
@@ -13,12 +13,33 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.keep_good(docs)
 
 
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: one document of each group of linked ones stays, that of the smallest id."""
+    return jaccard.keep_one(docs)
+
+
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: contaminated documents go."""
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("quality", good_documents), ("decontaminate", without_benchmark)]
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing sources to target weights: each document comes as often as the mix takes it, to the nearest whole number."""
+    return mixing.apply_mix(docs)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sharding: the rows go into a store in small arrivals, which is compacted; what its last version holds."""
+    return sharding.compacted(docs)
+
+
+STAGES = [
+    ("quality", good_documents),
+    ("near_copies", without_near_copies),
+    ("decontaminate", without_benchmark),
+    ("mix", mixed),
+    ("shard", sharded),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, likelihood, mixing, quality, repeats, secrets, sharding, wavelet
+from . import decontaminate, jaccard, likelihood, mixing, pii, quality, repeats, secrets, sharding, wavelet
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.span_digest(secrets.find_secrets(table(spark, sf_dir, "documents")), secrets.BASE_KINDS)
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_pii": op4_pii,
     "op5_secret_scans": op5_secret_scans,
     "op6_token_ids": op6_token_ids,
     "op7_suffix_dedup": op7_suffix_dedup,
