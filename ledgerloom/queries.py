@@ -1,4 +1,911 @@
-"""The registered ledger queries and their SQL."""
+"""The registered ledger queries, each with the SQL that it is checked with.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Every query runs over whole tables. SQL starts with the CTEs of plans.projection; a query without SQL is
+covered by tests against literal fixtures or a plain model."""
+
+from __future__ import annotations
+
+import datetime as dt
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import dates as fd
+from .functions import money as fm
+from .functions import text as ft
+from .operators import analytics, categorize, checks, identity, posting, statements, transfers
+from .plans import projection
+from .plans.projection import Ledger
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+START, END = dt.date(1992, 1, 1), dt.date(1998, 12, 31)
+RANGE = f"BETWEEN DATE '{START}' AND DATE '{END}'"
+
+
+def query(sql: str | None = None, name: str | None = None, ctes: bool = True):
+    """Register a function of a Ledger as a query."""
+    def register(f: Callable[[Ledger], DataFrame]):
+        key = name or f.__name__
+        QUERIES[key] = lambda spark, sf_dir: f(Ledger(spark, sf_dir))
+        if sql:
+            ORACLES[key] = (projection.SQL if ctes else "") + sql
+        return f
+
+    return register
+
+
+# Analytics -----------------------------------------------------------------------------------------
+
+_NET = f"""
+, moved AS (SELECT greatest(e.entry_date, DATE '{START}') d, sum(l.amount_base) s FROM journal_line l JOIN journal_entry e ON e.id = l.journal_entry_id JOIN account a ON a.id = l.account_id
+  WHERE a.account_nature IN ('asset', 'liability') AND e.entry_date <= DATE '{END}' GROUP BY 1),
+days AS (SELECT CAST(x AS DATE) d FROM generate_series(TIMESTAMP '{START}', TIMESTAMP '{END}', INTERVAL 1 DAY) t(x))
+SELECT days.d AS date, CAST(round(sum(coalesce(s, 0)) OVER (ORDER BY days.d), 2) * 100 AS BIGINT) AS amount FROM days LEFT JOIN moved ON moved.d = days.d
+"""
+
+
+@query(_NET)
+def net_worth_daily(led: Ledger) -> DataFrame:
+    return analytics.net_worth_daily(led.lines, led.entries, led.accounts, START, END)
+
+
+_LEAF = f"""
+, spent AS (SELECT l.category_id, sum(l.amount_base) total FROM journal_line l JOIN journal_entry e ON e.id = l.journal_entry_id JOIN account a ON a.id = l.account_id
+  WHERE NOT e.is_transfer AND e.entry_date {RANGE} AND a.account_nature <> 'equity' AND l.category_id IS NOT NULL GROUP BY 1),
+leaf AS (SELECT category_id, c.name, c.kind, CAST(round(total, 2) * 100 AS BIGINT) AS amount FROM spent JOIN category c ON c.id = category_id)
+"""
+
+
+def _spend(led: Ledger, rollup: bool = False) -> DataFrame:
+    return analytics.spend_by_category(led.lines, led.entries, led.accounts, led.categories, START, END, rollup)
+
+
+@query(_LEAF + "SELECT * FROM leaf")
+def spend_leaf(led: Ledger) -> DataFrame:
+    return _spend(led)
+
+
+_WALK = """
+, walk AS (SELECT id, [id] path, parent_id nxt FROM category UNION ALL
+  SELECT w.id, list_append(w.path, c.id), c.parent_id FROM walk w JOIN category c ON c.id = w.nxt WHERE NOT list_contains(w.path, c.id))
+"""
+
+
+@query(_LEAF + _WALK + """, root AS (SELECT id, arg_max(path[-1], len(path)) root_id FROM walk GROUP BY id)
+SELECT root_id AS category_id, c.name, c.kind, CAST(round(sum(total), 2) * 100 AS BIGINT) AS amount FROM spent JOIN root ON root.id = spent.category_id JOIN category c ON c.id = root_id GROUP BY ALL""")
+def spend_rollup(led: Ledger) -> DataFrame:
+    return _spend(led, rollup=True)
+
+
+def _flow_sql(by: str) -> str:
+    label = {"day": "strftime(entry_date, '%Y-%m-%d')", "week": "strftime(date_trunc('week', entry_date), '%Y-%m-%d')", "month": "strftime(entry_date, '%Y-%m')"}[by]
+    return f"""
+, per AS (SELECT e.id, e.entry_date, sum(CASE WHEN a.account_nature = 'asset' THEN l.amount_base ELSE 0 END) moved, bool_and(a.account_nature = 'asset') internal
+  FROM journal_line l JOIN journal_entry e ON e.id = l.journal_entry_id JOIN account a ON a.id = l.account_id WHERE e.entry_date {RANGE} GROUP BY 1, 2),
+flow AS (SELECT {label} AS period, CAST(round(sum(CASE WHEN moved > 0 THEN moved ELSE 0 END), 2) * 100 AS BIGINT) AS income,
+  CAST(round(-sum(CASE WHEN moved < 0 THEN moved ELSE 0 END), 2) * 100 AS BIGINT) AS expense, CAST(round(sum(moved), 2) * 100 AS BIGINT) AS net FROM per WHERE NOT internal AND moved <> 0 GROUP BY 1)
+"""
+
+
+def _flow(led: Ledger, by: str) -> DataFrame:
+    return analytics.cashflow(led.lines, led.entries, led.accounts, START, END, by)
+
+
+for _by in ("day", "week", "month"):
+    query(_flow_sql(_by) + "SELECT * FROM flow", f"cashflow_{_by}")(lambda led, by=_by: _flow(led, by))
+
+
+@query(_flow_sql("month") + "SELECT period, expense, round((expense - lag(expense) OVER (ORDER BY period)) * 100.0 / nullif(lag(expense) OVER (ORDER BY period), 0), 4) AS change_percent FROM flow")
+def period_change(led: Ledger) -> DataFrame:
+    return analytics.period_change(_flow(led, "month"))
+
+
+@query("SELECT strftime(CAST(x AS DATE), '%Y-%m') AS period FROM generate_series(TIMESTAMP '1998-07-01', TIMESTAMP '1998-12-01', INTERVAL 1 MONTH) t(x) WHERE strftime(CAST(x AS DATE), '%Y-%m') NOT IN (SELECT strftime(o_orderdate, '%Y-%m') FROM orders)", ctes=False)
+def month_gaps(led: Ledger) -> DataFrame:
+    return analytics.month_gaps(led.entries.select(F.date_format("entry_date", "yyyy-MM").alias("period")).distinct(), END)
+
+
+@query(_LEAF + "SELECT category_id, name, amount FROM leaf WHERE kind = 'expense' AND amount < 0 ORDER BY amount, category_id LIMIT 1")
+def top_expense(led: Ledger) -> DataFrame:
+    return analytics.top_expense(_spend(led))
+
+
+@query(_LEAF + "SELECT category_id, round(greatest(2.0::DOUBLE, abs(amount) * 100.0::DOUBLE / greatest(max(abs(amount)) OVER (), 1)), 6) AS share FROM leaf WHERE kind = 'expense' AND amount < 0")
+def share_of_peak(led: Ledger) -> DataFrame:
+    return analytics.share_of_peak(_spend(led))
+
+
+@query(_WALK + "SELECT c.id, CAST(count(w.id) AS BIGINT) AS n_descendants FROM category c LEFT JOIN (SELECT id, unnest(path[2:]) AS above FROM (SELECT id, arg_max(path, len(path)) path FROM walk GROUP BY id)) w ON w.above = c.id GROUP BY c.id")
+def descendant_count(led: Ledger) -> DataFrame:
+    return analytics.descendants(led.categories)
+
+
+@query("SELECT id, CASE WHEN parent_id IS NULL THEN 0 ELSE 1 END AS depth, CAST(NULL AS VARCHAR) AS reason FROM category")
+def category_forest(led: Ledger) -> DataFrame:
+    return analytics.category_forest(led.categories).withColumn("reason", F.col("reason").cast("string"))
+
+
+_BUDGET = ", b AS (SELECT category_id, -amount AS spent, CAST(1000000 + 100000 * (category_id % 7) AS BIGINT) AS lim FROM leaf)"
+
+
+@query(_LEAF + _BUDGET + "SELECT category_id, lim - spent AS remaining, spent > lim AS is_over, CAST(round_even(spent * 100.0::DOUBLE / lim, 0) AS BIGINT) AS used_percent FROM b")
+def budget_check(led: Ledger) -> DataFrame:
+    spend = _spend(led).select("category_id", (-F.col("amount")).alias("spent"), (1000000 + 100000 * (F.col("category_id") % 7)).alias("lim"))
+    remaining, over, used = analytics.budget_check(F.col("spent"), F.col("lim"))
+    return spend.select("category_id", remaining.alias("remaining"), over.alias("is_over"), used.alias("used_percent"))
+
+
+_AXIS = """
+, m AS (SELECT strftime(entry_date, '%Y-%m') AS period, CAST(min(o_totalprice) AS DOUBLE) lo, CAST(max(o_totalprice) AS DOUBLE) hi FROM journal_entry JOIN orders ON o_orderkey = id GROUP BY 1),
+w AS (SELECT *, (lo + hi) / 2 mid, greatest(hi - lo, abs((lo + hi) / 2) * 0.12::DOUBLE, 1.0) wanted FROM m), p AS (SELECT *, pow(10.0, floor(log10(wanted / 5))) pw FROM w),
+s AS (SELECT *, CASE WHEN pw * 5 >= wanted THEN pw WHEN 2 * pw * 5 >= wanted THEN 2 * pw WHEN 2.5 * pw * 5 >= wanted THEN 2.5 * pw WHEN 5 * pw * 5 >= wanted THEN 5 * pw ELSE 10 * pw END step FROM p)
+SELECT period, round(floor((mid - wanted / 2) / step) * step, 4) AS low, round(ceil((mid + wanted / 2) / step) * step, 4) AS high, round(step, 4) AS step FROM s
+"""
+
+
+@query(_AXIS)
+def axis_domain(led: Ledger) -> DataFrame:
+    by_month = led.table("orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("period")).agg(F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"))
+    low, high, step = fm.axis_domain(F.col("lo"), F.col("hi"))
+    return by_month.select("period", F.round(low.cast("double"), 4).alias("low"), F.round(high.cast("double"), 4).alias("high"), F.round(step, 4).alias("step"))
+
+
+# Lists and lookups ---------------------------------------------------------------------------------
+
+
+@query("SELECT account_nature, count(*) AS n, count(*) FILTER (is_active) AS n_active FROM account GROUP BY 1")
+def accounts_by_nature(led: Ledger) -> DataFrame:
+    return led.accounts.groupBy("account_nature").agg(F.count("*").alias("n"), F.count_if("is_active").alias("n_active"))
+
+
+@query("SELECT id, name FROM account WHERE is_active AND account_nature IN ('asset', 'liability')")
+def account_list_active(led: Ledger) -> DataFrame:
+    return led.accounts.where(F.col("is_active") & F.col("account_nature").isin("asset", "liability")).select("id", "name").orderBy("id")
+
+
+@query("SELECT id FROM account WHERE system_role IS NULL OR system_role <> 'system_expense'")
+def null_safe_system_role(led: Ledger) -> DataFrame:
+    return led.accounts.where(~F.col("system_role").eqNullSafe(F.lit("system_expense"))).select("id")
+
+
+@query("SELECT id FROM account WHERE is_active AND account_nature = 'equity' AND system_role = 'system_expense'")
+def contra_account(led: Ledger) -> DataFrame:
+    return posting.contra_account(led.accounts)
+
+
+@query("SELECT x.category_id, coalesce(c.name, 'Category ' || x.category_id) AS name FROM (SELECT DISTINCT CAST(o_orderkey % 140 AS BIGINT) category_id FROM orders) x LEFT JOIN category c ON c.id = x.category_id")
+def category_labels(led: Ledger) -> DataFrame:
+    used = led.table("orders").select((F.col("o_orderkey") % 140).alias("category_id")).distinct()
+    named = led.categories.select(F.col("id").alias("category_id"), "name")
+    return used.join(named, "category_id", "left").select("category_id", F.coalesce("name", F.concat(F.lit("Category "), F.col("category_id").cast("string"))).alias("name"))
+
+
+@query("SELECT id, name, parent_id IS NULL AS is_system FROM category")
+def category_order(led: Ledger) -> DataFrame:
+    return led.categories.select("id", "name", F.col("parent_id").isNull().alias("is_system")).orderBy("is_system", F.lower("name"), "id")
+
+
+@query("SELECT batch_id, count(*) AS n FROM source_record GROUP BY 1")
+def batches_newest_first(led: Ledger) -> DataFrame:
+    return led.records.groupBy("batch_id").agg(F.count("*").alias("n")).orderBy(F.desc("batch_id"))
+
+
+@query(f"SELECT r.id, r.raw_description, l.amount FROM source_record r JOIN journal_entry e ON e.id = r.id JOIN journal_line l ON l.journal_entry_id = e.id AND l.sort_order = 0 WHERE l.category_id IS NULL AND l.amount_base < 0 AND NOT e.is_transfer AND e.entry_date {RANGE}")
+def uncategorized_queue(led: Ledger) -> DataFrame:
+    waiting = led.lines.where((F.col("sort_order") == 0) & F.col("category_id").isNull() & (F.col("amount_base") < 0)).select(F.col("journal_entry_id").alias("id"), "amount")
+    plain = led.entries.where(~F.col("is_transfer") & F.col("entry_date").between(F.lit(START), F.lit(END))).select("id")
+    return led.records.join(waiting, "id").join(plain, "id").orderBy("raw_date", "id").select("id", "raw_description", "amount")
+
+
+@query("SELECT r.id, r.raw_date, r.raw_amount, l.id AS line_id, l.amount AS line_amount FROM source_record r LEFT JOIN journal_line l ON l.journal_entry_id = r.id AND l.account_id = r.account_id")
+def transactions_list(led: Ledger) -> DataFrame:
+    own = led.lines.select(F.col("journal_entry_id").alias("id"), "account_id", F.col("id").alias("line_id"), F.col("amount").alias("line_amount"))
+    return led.records.join(own, ["id", "account_id"], "left").select("id", "raw_date", "raw_amount", "line_id", "line_amount").orderBy("raw_date", "id")
+
+
+@query("SELECT r.id, arg_min(l.account_id, l.sort_order) AS account_id FROM source_record r JOIN journal_line l ON l.journal_entry_id = r.id GROUP BY 1")
+def funding_line_first(led: Ledger) -> DataFrame:
+    first = led.lines.groupBy(F.col("journal_entry_id").alias("id")).agg(F.min_by("account_id", "sort_order").alias("account_id"))
+    return led.records.select("id").join(first, "id")
+
+
+@query("SELECT l.id FROM journal_line l WHERE l.journal_entry_id IN (SELECT id FROM source_record WHERE batch_id = 1995)")
+def semi_batch_lines(led: Ledger) -> DataFrame:
+    batch = led.records.where("batch_id = 1995").select(F.col("id").alias("journal_entry_id"))
+    return led.lines.join(batch, "journal_entry_id", "left_semi").select("id")
+
+
+@query("SELECT l.id FROM journal_line l WHERE l.amount < 0 AND l.journal_entry_id IN (SELECT x.journal_entry_id FROM journal_line x JOIN account a ON a.id = x.account_id WHERE a.account_nature = 'equity')")
+def semi_equity_entries(led: Ledger) -> DataFrame:
+    equity = led.accounts.where("account_nature = 'equity'").select(F.col("id").alias("account_id"))
+    with_equity = led.lines.join(equity, "account_id", "left_semi").select("journal_entry_id").distinct()
+    return led.lines.where("amount < 0").join(with_equity, "journal_entry_id", "left_semi").select("id")
+
+
+@query("SELECT id FROM journal_entry WHERE id NOT IN (SELECT l_orderkey FROM lineitem)")
+def orphan_entries(led: Ledger) -> DataFrame:
+    return led.entries.join(led.table("lineitem").select(F.col("l_orderkey").alias("id")), "id", "left_anti").select("id")
+
+
+@query("SELECT journal_entry_id, count(*) AS n_legs FROM journal_line GROUP BY 1")
+def leg_counts(led: Ledger) -> DataFrame:
+    return led.lines.groupBy("journal_entry_id").agg(F.count("*").alias("n_legs"))
+
+
+@query("""SELECT id AS account_id, id AS card_id, payment_from_account_id AS paying_id FROM account WHERE payment_from_account_id IS NOT NULL
+UNION ALL SELECT payment_from_account_id, min(id), payment_from_account_id FROM account WHERE payment_from_account_id IS NOT NULL GROUP BY payment_from_account_id HAVING count(*) = 1""")
+def card_payment_roles(led: Ledger) -> DataFrame:
+    return posting.card_payment_roles(led.accounts)
+
+
+# Identity ------------------------------------------------------------------------------------------
+
+# The marker pattern of functions.text, as the other engine writes it.
+_MARK = ft.MARKER_PATTERN.replace("'", "''")
+_NORM = f"lower(trim(regexp_replace(regexp_replace({{0}}, '{_MARK}', '', 'gi'), '\\s+', ' ', 'g')))"
+_RANKED = f""", ranked AS (SELECT *, {_NORM.format('raw_description')} AS norm, row_number() OVER (PARTITION BY account_id, {_NORM.format('raw_description')}, raw_amount, currency, raw_date ORDER BY line_number, id) AS occurrence_index FROM source_record),
+printed AS (SELECT *, sha256(norm || '|' || raw_amount || '|' || currency || '|' || strftime(raw_date, '%Y-%m-%d') || '|' || account_id || '|' || occurrence_index) AS fingerprint FROM ranked)
+"""
+
+
+def _printed(led: Ledger) -> DataFrame:
+    return identity.with_fingerprint(identity.occurrence_index(led.records))
+
+
+@query(_RANKED + "SELECT id, occurrence_index FROM ranked")
+def occurrence_index(led: Ledger) -> DataFrame:
+    return identity.occurrence_index(led.records).select("id", F.col("occurrence_index").cast("long").alias("occurrence_index"))
+
+
+@query(_RANKED + "SELECT account_id, norm, raw_amount, raw_date, max(occurrence_index) = count(*) AS consistent FROM ranked GROUP BY 1, 2, 3, 4")
+def occurrence_consistency(led: Ledger) -> DataFrame:
+    ranked = identity.occurrence_index(led.records).withColumn("norm", ft.normalised(F.col("raw_description")))
+    return ranked.groupBy("account_id", "norm", "raw_amount", "raw_date").agg((F.max("occurrence_index") == F.count("*")).alias("consistent"))
+
+
+@query(_RANKED + "SELECT id, fingerprint FROM printed")
+def fingerprint(led: Ledger) -> DataFrame:
+    return _printed(led).select("id", "fingerprint")
+
+
+@query(_RANKED + "SELECT fingerprint, count(*) AS n FROM printed GROUP BY 1 HAVING count(*) > 1")
+def fingerprint_duplicates(led: Ledger) -> DataFrame:
+    return checks.duplicates(_printed(led), "fingerprint")
+
+
+@query(_RANKED + "SELECT id, hex(unhex(fingerprint)) AS digest FROM printed")
+def fingerprint_hex(led: Ledger) -> DataFrame:
+    return _printed(led).select("id", F.hex(F.unhex("fingerprint")).alias("digest"))
+
+
+@query(f"SELECT id, {_NORM.format('raw_description')} AS norm FROM source_record")
+def normalize_description(led: Ledger) -> DataFrame:
+    return led.records.select("id", ft.normalised(F.col("raw_description")).alias("norm"))
+
+
+@query(f"SELECT doc_id, md5(regexp_replace(text, '{_MARK}', '', 'gi')) AS digest FROM documents", ctes=False)
+def marker_strip(led: Ledger) -> DataFrame:
+    return led.table("documents").select("doc_id", F.md5(ft.without_markers(F.col("text"))).alias("digest"))
+
+
+@query("SELECT id, lower(trim(regexp_replace(raw_description, '\\s+', ' ', 'g'))) AS norm FROM source_record")
+def default_normalize(led: Ledger) -> DataFrame:
+    return led.records.select("id", ft.plainly_normalised(F.col("raw_description")).alias("norm"))
+
+
+_DOCS = "(SELECT doc_id id, sha256(text) AS fingerprint, doc_id % 3 = 0 AS stored FROM documents)"
+
+
+def _documents(led: Ledger) -> DataFrame:
+    return led.table("documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("fingerprint"), (F.col("doc_id") % 3 == 0).alias("stored"))
+
+
+@query(f"SELECT id FROM {_DOCS} WHERE NOT stored AND fingerprint IN (SELECT fingerprint FROM {_DOCS} WHERE stored)", ctes=False)
+def tier3_lookup(led: Ledger) -> DataFrame:
+    docs = _documents(led)
+    return identity.known_by_fingerprint(docs.where("not stored"), docs.where("stored")).select("id")
+
+
+@query(f"""SELECT count(*) FILTER (s.fingerprint IS NULL) AS only_parsed, count(*) FILTER (p.fingerprint IS NULL) AS only_stored, CAST(coalesce(sum(p.n - 1), 0) AS BIGINT) AS duplicates
+FROM (SELECT fingerprint, count(*) n FROM {_DOCS} WHERE NOT stored GROUP BY 1) p FULL JOIN (SELECT DISTINCT fingerprint FROM {_DOCS} WHERE stored) s ON s.fingerprint = p.fingerprint""", ctes=False)
+def fingerprint_set_diff(led: Ledger) -> DataFrame:
+    docs = _documents(led)
+    return identity.set_difference(docs.where("not stored"), docs.where("stored"))
+
+
+_SIDES = """
+, side AS (SELECT event_id id, user_id account_id, CAST(round(CAST(value AS DECIMAL(18,4))) AS BIGINT) amount_minor, CAST(ts AS DATE) booked_date, 'EUR' currency, event_type || ' ' || (event_id % 5) description,
+  CASE WHEN event_id % 4 = 0 THEN 'txn' || (event_id % 400) ELSE '' END provider_txn_id, user_id % 7 AS merchant_alias_id, event_id % 3 = 0 AS pending, event_id % 2 = 0 AS is_new FROM events WHERE value IS NOT NULL),
+n AS (SELECT * FROM side WHERE is_new), s AS (SELECT * FROM side WHERE NOT is_new OR id % 8 = 0),
+cand AS (SELECT n.id new_id, s.id stored_id FROM n JOIN s ON n.account_id = s.account_id AND abs(n.amount_minor - s.amount_minor) <= 1 AND s.booked_date BETWEEN n.booked_date - 1 AND n.booked_date + 3)
+"""
+
+
+def _sides(led: Ledger) -> tuple[DataFrame, DataFrame]:
+    side = led.table("events").where("value is not null").select(
+        F.col("event_id").alias("id"), F.col("user_id").alias("account_id"), F.round(F.col("value").cast("decimal(18,4)"), 0).cast("long").alias("amount_minor"), F.col("ts").cast("date").alias("booked_date"), F.lit("EUR").alias("currency"),
+        F.concat_ws(" ", "event_type", (F.col("event_id") % 5).cast("string")).alias("description"),
+        F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("txn"), (F.col("event_id") % 400).cast("string"))).otherwise(F.lit("")).alias("provider_txn_id"),
+        (F.col("user_id") % 7).alias("merchant_alias_id"), (F.col("event_id") % 3 == 0).alias("pending"),
+    )
+    return side.where("id % 2 = 0"), side.where("id % 2 <> 0 or id % 8 = 0")
+
+
+@query(_SIDES + "SELECT n.id FROM n WHERE provider_txn_id <> '' AND EXISTS (SELECT 1 FROM s WHERE s.account_id = n.account_id AND s.provider_txn_id = n.provider_txn_id)")
+def tier1_known(led: Ledger) -> DataFrame:
+    return identity.known_by_provider_id(*_sides(led)).select("id")
+
+
+@query(_SIDES + "SELECT new_id, stored_id FROM cand")
+def tier2_candidates(led: Ledger) -> DataFrame:
+    return identity.tier2_candidates(*_sides(led))
+
+
+def _grams_sql(x: str) -> str:
+    return f"list_distinct([substring({x}, i, 3) FOR i IN range(1, length({x}) - 1)])"
+
+
+def _dice_sql(a: str, b: str) -> str:
+    ga, gb = _grams_sql(a), _grams_sql(b)
+    return f"CASE WHEN {a} = {b} THEN 1.0::DOUBLE WHEN length({a}) < 3 OR length({b}) < 3 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect({ga}, {gb})) / (len({ga}) + len({gb})) END"
+
+
+@query(_SIDES + f"""
+, sc AS (SELECT new_id, stored_id, CAST(greatest(1.00 - CASE WHEN n.amount_minor <> s.amount_minor THEN 0.30 ELSE 0 END - CASE WHEN n.booked_date <> s.booked_date THEN 0.20 ELSE 0 END
+  - CASE WHEN {_dice_sql('n.description', 's.description')} <= 0.8 THEN 0.20 ELSE 0 END - CASE WHEN n.merchant_alias_id = s.merchant_alias_id THEN 0 ELSE 0.10 END - CASE WHEN s.pending THEN 0 ELSE 0.10 END
+  - CASE WHEN count(*) OVER (PARTITION BY new_id) > 1 THEN 0.10 ELSE 0 END, 0) AS DECIMAL(3,2)) score FROM cand JOIN n ON n.id = new_id JOIN s ON s.id = stored_id),
+best AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY score DESC, stored_id) rn FROM sc)
+SELECT new_id, stored_id, score, CASE WHEN score >= 0.85 THEN 'link' WHEN score >= 0.50 THEN 'review' ELSE 'none' END AS decision FROM best WHERE rn = 1""")
+def tier2_decisions(led: Ledger) -> DataFrame:
+    return identity.tier2_decisions(*_sides(led))
+
+
+# Text similarity and categories --------------------------------------------------------------------
+
+_NAMES = "(SELECT DISTINCT lower(p_name) AS name FROM part)"
+
+
+def _names(led: Ledger) -> DataFrame:
+    return led.table("part").select(F.lower("p_name").alias("name")).distinct()
+
+
+@query(f"SELECT a.name AS a, b.name AS b, round({_dice_sql('a.name', 'b.name')}, 9) AS dice FROM {_NAMES} a JOIN {_NAMES} b ON split_part(a.name, ' ', 1) = split_part(b.name, ' ', 1)", ctes=False)
+def dice_similarity(led: Ledger) -> DataFrame:
+    first = lambda c: F.split_part(c, F.lit(" "), F.lit(1))
+    a, b = _names(led).withColumnRenamed("name", "a"), _names(led).withColumnRenamed("name", "b")
+    return a.join(b, first(F.col("a")) == first(F.col("b"))).select("a", "b", F.round(ft.dice(F.col("a"), F.col("b")), 9).alias("dice"))
+
+
+_MERCHANTS = f"(SELECT name, 100 + row_number() OVER (ORDER BY name) % 25 AS category_id FROM (SELECT DISTINCT lower(p_name) AS name FROM part))"
+
+
+def _merchants(led: Ledger) -> DataFrame:
+    return _names(led).withColumn("category_id", (100 + F.row_number().over(Window.orderBy("name")) % 25).cast("long"))
+
+
+def _words_sql(m: str, d: str) -> str:
+    n = f"len(string_split({m}, ' '))"
+    windows = f"[array_to_string(string_split({d}, ' ')[i:i + {n} - 1], ' ') FOR i IN range(1, greatest(len(string_split({d}, ' ')) - {n} + 1, 1) + 1)]"
+    return f"list_max([{_dice_sql('w', m)} FOR w IN {windows}])"
+
+
+_DESCRIPTIONS = f"(SELECT DISTINCT {_NORM.format('raw_description')} || ' shop' AS description FROM source_record)"
+
+
+def _descriptions(led: Ledger) -> DataFrame:
+    return led.records.select(F.concat(ft.normalised(F.col("raw_description")), F.lit(" shop")).alias("description")).distinct()
+
+
+@query(f", d AS (SELECT * FROM {_DESCRIPTIONS}), m AS (SELECT * FROM {_MERCHANTS}) SELECT d.description, m.name, round({_words_sql('m.name', 'd.description')}, 9) AS similarity FROM d JOIN m ON split_part(m.name, ' ', 1) = split_part(d.description, ' ', 1)")
+def word_similarity(led: Ledger) -> DataFrame:
+    first = lambda c: F.split_part(F.col(c), F.lit(" "), F.lit(1))
+    pairs = _descriptions(led).join(_merchants(led), first("description") == first("name"))
+    return pairs.select("description", "name", F.round(ft.word_similarity(F.col("name"), F.col("description")), 9).alias("similarity"))
+
+
+@query(f""", d AS (SELECT * FROM {_DESCRIPTIONS}), m AS (SELECT * FROM {_MERCHANTS}), sc AS (SELECT d.description, m.name, {_words_sql('m.name', 'd.description')} score FROM d CROSS JOIN m),
+best AS (SELECT *, row_number() OVER (PARTITION BY description ORDER BY score DESC, name) rn FROM sc WHERE score >= 0.6) SELECT description, name, round(score, 9) AS score FROM best WHERE rn = 1""")
+def best_fuzzy_merchant(led: Ledger) -> DataFrame:
+    return categorize.best_merchant(_descriptions(led), _merchants(led)).withColumn("score", F.round("score", 9))
+
+
+_STEM = "array_to_string(string_split(regexp_replace(lower(trim(regexp_replace({0}, '\\s+', ' ', 'g'))), '(\\s+[.,\\-/]*\\d+[.,\\-/]*)+$', ''), ' ')[1:4], ' ')"
+
+
+@query(f"SELECT id, {_STEM.format('raw_description')} AS stem FROM source_record")
+def payee_stem(led: Ledger) -> DataFrame:
+    return led.records.select("id", ft.payee_stem(F.col("raw_description")).alias("stem"))
+
+
+@query(f"SELECT CAST(500 AS INTEGER) AS priority, {_STEM.format('raw_description')} AS description_pattern, arg_max(100 + id % 25, id) AS category_id, TRUE AS is_learned FROM source_record GROUP BY 2 UNION ALL SELECT 100, 'almond', 101, FALSE")
+def learned_rules(led: Ledger) -> DataFrame:
+    corrections = led.records.select(F.col("raw_description").alias("description"), (100 + F.col("id") % 25).cast("long").alias("category_id"), "id")
+    return categorize.learn(categorize.hand_rules(led.spark, [("almond", 101)]), corrections)
+
+
+_RULES = [(100, "antique", 101), (100, " blue ", 102), (500, "almond", 103), (100, "", 104), (90, "antique a", 105)]
+_ALIASES = [("azure", 106, "0.95"), ("beige", 107, "0.50"), ("bisque", None, "0.90")]
+
+
+def _categorised(led: Ledger) -> DataFrame:
+    rules = led.spark.createDataFrame(_RULES, "priority int, description_pattern string, category_id long")
+    aliases = led.spark.createDataFrame(_ALIASES, "raw_string string, category_id long, confidence string")
+    rows = led.records.select("id", ft.normalised(F.col("raw_description")).alias("description"))
+    # Descriptions repeat: each distinct one is categorised once.
+    found = categorize.categorize(rows.select("description").distinct(), rules, aliases, _merchants(led).where("category_id % 2 = 0"))
+    return rows.join(found, "description")
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+
+_CATEGORISED = f"""
+, d AS (SELECT DISTINCT {_NORM.format('raw_description')} AS description FROM source_record), m AS (SELECT * FROM {_MERCHANTS} WHERE category_id % 2 = 0),
+r AS (SELECT priority, lower(trim(p)) p, c FROM (VALUES {_values(_RULES)}) t(priority, p, c) WHERE trim(p) <> ''), al AS (SELECT * FROM (VALUES {_values(_ALIASES)}) t(raw_string, c, conf) WHERE c IS NOT NULL),
+l1 AS (SELECT description, arg_min(c, (priority, p)) c FROM d JOIN r ON contains(description, p) GROUP BY 1), l2 AS (SELECT description, arg_min(c, raw_string) c, arg_min(conf, raw_string) conf FROM d JOIN al ON contains(description, raw_string) GROUP BY 1),
+l3 AS (SELECT description, arg_min(category_id, name) c FROM d JOIN m ON contains(description, name) GROUP BY 1),
+l4 AS (SELECT description, arg_min(category_id, (-score, name)) c FROM (SELECT description, name, category_id, {_words_sql('name', 'description')} score FROM d CROSS JOIN m) WHERE score >= 0.6 GROUP BY 1),
+cat AS (SELECT d.description, CAST(CASE WHEN l1.c IS NOT NULL THEN l1.c WHEN l2.c IS NOT NULL THEN l2.c WHEN l3.c IS NOT NULL THEN l3.c ELSE l4.c END AS BIGINT) category_id,
+  CAST(CASE WHEN l1.c IS NOT NULL THEN 1.00 WHEN l2.c IS NOT NULL THEN CAST(l2.conf AS DECIMAL(3,2)) WHEN l3.c IS NOT NULL THEN 0.90 WHEN l4.c IS NOT NULL THEN 0.60 ELSE 0 END AS DECIMAL(3,2)) confidence,
+  CASE WHEN l1.c IS NOT NULL THEN 1 WHEN l2.c IS NOT NULL THEN 2 WHEN l3.c IS NOT NULL THEN 3 WHEN l4.c IS NOT NULL THEN 4 ELSE 7 END layer
+  FROM d LEFT JOIN l1 USING (description) LEFT JOIN l2 USING (description) LEFT JOIN l3 USING (description) LEFT JOIN l4 USING (description)),
+categorised AS (SELECT s.id, cat.* FROM (SELECT id, {_NORM.format('raw_description')} AS description FROM source_record) s JOIN cat USING (description))
+"""
+
+
+@query(_CATEGORISED + "SELECT id, category_id, confidence, layer FROM categorised", "categorize")
+def categorize_all(led: Ledger) -> DataFrame:
+    return _categorised(led).select("id", "category_id", "confidence", "layer")
+
+
+@query(_CATEGORISED + "SELECT id, CASE WHEN confidence >= 0.90 THEN category_id END AS applied_category_id FROM categorised")
+def categorize_auto(led: Ledger) -> DataFrame:
+    return categorize.applied(_categorised(led)).select("id", "applied_category_id")
+
+
+@query(_CATEGORISED + "SELECT layer, count(*) AS n FROM categorised GROUP BY 1")
+def categorize_layer_histogram(led: Ledger) -> DataFrame:
+    return _categorised(led).groupBy("layer").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT section, count(*) AS n FROM (SELECT CASE WHEN x.category_id IS NULL THEN '1 unfiled' WHEN c.id IS NULL THEN '2 unread' ELSE '0 ' || c.kind END AS section
+FROM (SELECT name, CASE WHEN length(name) % 3 <> 0 THEN CAST(90 + length(name) * 3 % 40 AS BIGINT) END category_id FROM (SELECT DISTINCT lower(p_name) AS name FROM part)) x LEFT JOIN category c ON c.id = x.category_id) GROUP BY 1""")
+def merchant_groups(led: Ledger) -> DataFrame:
+    n = F.length("name")
+    filed = _names(led).withColumn("category_id", F.when(n % 3 != 0, (90 + n * 3 % 40).cast("long")))
+    joined = filed.join(led.categories.select(F.col("id").alias("category_id"), "kind"), "category_id", "left")
+    section = F.when(F.col("category_id").isNull(), F.lit("1 unfiled")).when(F.col("kind").isNull(), F.lit("2 unread")).otherwise(F.concat(F.lit("0 "), "kind"))
+    return joined.groupBy(section.alias("section")).agg(F.count("*").alias("n")).orderBy("section")
+
+
+# Posting -------------------------------------------------------------------------------------------
+
+_RATES = "(SELECT DISTINCT raw_date AS date, CASE CAST(month(raw_date) AS INT) % 3 WHEN 0 THEN CAST(0.5 AS DECIMAL(20,10)) WHEN 1 THEN CAST(0.8 AS DECIMAL(20,10)) ELSE CAST(1.25 AS DECIMAL(20,10)) END AS rate FROM source_record)"
+
+
+def _foreign(led: Ledger) -> DataFrame:
+    rates = led.records.select(F.col("raw_date").alias("date")).distinct().withColumn("quote", F.lit("USD")).withColumn("base", F.lit("EUR"))
+    value = F.when(F.month("date") % 3 == 0, F.expr("0.5BD")).when(F.month("date") % 3 == 1, F.expr("0.8BD")).otherwise(F.expr("1.25BD"))
+    rows = led.records.withColumn("currency", F.when(F.col("id") % 4 == 0, F.lit("USD")).otherwise(F.lit("EUR")))
+    return posting.with_rate(rows, rates.withColumn("rate", value.cast("decimal(20,10)")))
+
+
+def _legs(led: Ledger) -> DataFrame:
+    return posting.posting_legs(_foreign(led), F.lit(projection.EXPENSE_ACCOUNT))
+
+
+_LEGS = f"""
+, x AS (SELECT r.id, r.account_id, r.raw_amount, CASE WHEN r.id % 4 = 0 THEN 'USD' ELSE 'EUR' END cur, q.rate FROM source_record r JOIN {_RATES} q ON q.date = r.raw_date),
+y AS (SELECT *, CAST(CASE WHEN cur = 'EUR' THEN raw_amount * CAST(0.01 AS DECIMAL(3,2)) WHEN rate = 0.5 THEN raw_amount * CAST(0.02 AS DECIMAL(3,2)) WHEN rate = 0.8 THEN raw_amount * CAST(0.0125 AS DECIMAL(5,4)) ELSE raw_amount * CAST(0.008 AS DECIMAL(5,4)) END AS DECIMAL(18,4)) base FROM x),
+legs AS (SELECT id entry_id, 0 sort_order, account_id, raw_amount amount, cur currency, base amount_base, CAST(CASE WHEN cur = 'EUR' THEN 1 ELSE rate END AS DECIMAL(20,10)) rate FROM y
+UNION ALL SELECT id, 1, {projection.EXPENSE_ACCOUNT}, CAST(round(-base, 2) * 100 AS BIGINT), 'EUR', -base, CAST(1 AS DECIMAL(20,10)) FROM y)
+"""
+
+
+@query(_LEGS + "SELECT entry_id, sort_order, account_id, amount, amount_base FROM legs WHERE currency = 'EUR' AND entry_id % 4 <> 0")
+def posting_legs(led: Ledger) -> DataFrame:
+    return _legs(led).where("entry_id % 4 <> 0").select("entry_id", "sort_order", "account_id", "amount", "amount_base")
+
+
+@query(_LEGS + "SELECT entry_id, sort_order, account_id, amount, currency, amount_base, rate FROM legs WHERE entry_id % 4 = 0")
+def fx_legs(led: Ledger) -> DataFrame:
+    return _legs(led).where("entry_id % 4 = 0").select("entry_id", "sort_order", "account_id", "amount", "currency", "amount_base", "rate")
+
+
+_OFF = "CAST(CASE WHEN sort_order = 0 THEN 0.0001 * (entry_id % 90) ELSE 0 END AS DECIMAL(18,4))"
+
+
+@query(_LEGS + f""", o AS (SELECT entry_id, sort_order, CAST(amount_base + {_OFF} AS DECIMAL(18,4)) b FROM legs), rk AS (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY abs(b) DESC, sort_order) rn, sum(b) OVER (PARTITION BY entry_id) s FROM o),
+nw AS (SELECT *, CAST(CASE WHEN rn = 1 THEN b - s ELSE b END AS DECIMAL(18,4)) nb FROM rk) SELECT entry_id, sort_order, nb AS amount_base, max(CASE WHEN abs(nb - b) > 0.005 THEN 1 ELSE 0 END) OVER (PARTITION BY entry_id) = 1 AS refused FROM nw""")
+def residual_absorb(led: Ledger) -> DataFrame:
+    off = F.when(F.col("sort_order") == 0, F.expr("0.0001BD") * (F.col("entry_id") % 90)).otherwise(F.expr("0BD"))
+    legs = _legs(led).select("entry_id", "sort_order", (F.col("amount_base") + off).cast("decimal(18,4)").alias("amount_base"))
+    return posting.absorb_residual(legs).select("entry_id", "sort_order", "amount_base", "refused")
+
+
+@query("""SELECT e.id AS entry_id, coalesce(n, 0) AS n_lines, CAST(coalesce(s, 0) AS DECIMAL(28,4)) AS total FROM journal_entry e LEFT JOIN
+(SELECT journal_entry_id, count(*) n, sum(amount_base) s FROM journal_line WHERE id % 17 <> 0 GROUP BY 1) x ON x.journal_entry_id = e.id WHERE coalesce(n, 0) < 2 OR abs(coalesce(s, 0)) > 0.005""")
+def entry_balance_violations(led: Ledger) -> DataFrame:
+    # Every seventeenth line is taken away, so that there is something to find.
+    return posting.balance_violations(led.entries, led.lines.where("id % 17 <> 0"))
+
+
+_CARDS = """
+, c AS (SELECT event_id id, user_id % 5 paying_id, CAST(round(CAST(value AS DECIMAL(18,4))) AS BIGINT) amount, CAST(ts AS DATE) d FROM events WHERE value IS NOT NULL AND event_id % 2 = 0),
+p AS (SELECT event_id id, user_id % 5 account_id, -CAST(round(CAST(value AS DECIMAL(18,4))) AS BIGINT) amount, CAST(ts AS DATE) d FROM events WHERE value IS NOT NULL AND event_id % 2 = 1)
+"""
+
+
+@query(_CARDS + "SELECT c.id AS card_line, p.id AS paying_line FROM c JOIN p ON p.account_id = c.paying_id AND p.amount = -c.amount AND p.d BETWEEN c.d AND c.d + 3")
+def card_payment_candidates(led: Ledger) -> DataFrame:
+    side = led.table("events").where("value is not null").select(F.col("event_id").alias("id"), (F.col("user_id") % 5).alias("account_id"), F.round(F.col("value").cast("decimal(18,4)"), 0).cast("long").alias("amount"), F.col("ts").cast("date").alias("date"))
+    return posting.card_payment_candidates(side.where("id % 2 = 0").withColumnRenamed("account_id", "paying_id"), side.where("id % 2 = 1").withColumn("amount", -F.col("amount")))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 9 = 0 THEN 'not a payment' END AS reason, CASE WHEN o_orderkey % 9 <> 0 THEN k END AS sort_order, CASE WHEN o_orderkey % 9 <> 0 THEN CASE k WHEN 0 THEN 1000000 + o_orderkey % 100 ELSE o_custkey END END AS account_id,
+CASE WHEN o_orderkey % 9 <> 0 THEN CASE k WHEN 0 THEN 1 ELSE -1 END * (o_orderkey % 9) * 100 END AS amount FROM orders CROSS JOIN (VALUES (0), (1)) t(k) WHERE o_orderkey % 9 <> 0 OR k = 0""", ctes=False)
+def card_payment_legs(led: Ledger) -> DataFrame:
+    amount = (F.col("o_orderkey") % 9) * 100
+    payments = led.table("orders").select(F.col("o_orderkey").alias("id"), (1000000 + F.col("o_orderkey") % 100).alias("card_id"), F.col("o_custkey").alias("paying_id"), amount.alias("amount"), fm.base_from_minor(amount).alias("amount_base"), F.lit(1).alias("rate"))
+    return posting.card_payment_legs(payments).select("id", "reason", "sort_order", "account_id", "amount")
+
+
+_BATCH = """SELECT batch_id, count(*) AS record_count, count(*) FILTER (o = 'created') AS created, count(*) FILTER (o = 'duplicated') AS duplicated, count(*) FILTER (o = 'failed') AS failed,
+CASE WHEN count(*) FILTER (o IN ('created', 'duplicated')) = count(*) THEN 'completed' ELSE 'partial' END AS status FROM (SELECT batch_id, CASE WHEN batch_id % 2 = 0 AND id % 50 = 0 THEN 'failed' WHEN id % 5 = 0 THEN 'duplicated' ELSE 'created' END o FROM source_record) GROUP BY 1"""
+
+
+@query(_BATCH)
+def batch_status(led: Ledger) -> DataFrame:
+    outcome = F.when((F.col("batch_id") % 2 == 0) & (F.col("id") % 50 == 0), F.lit("failed")).when(F.col("id") % 5 == 0, F.lit("duplicated")).otherwise(F.lit("created"))
+    return statements.batch_status(led.records.select("batch_id", outcome.alias("outcome")))
+
+
+# Transfers -----------------------------------------------------------------------------------------
+
+_PAIRS = """
+, pair AS (SELECT o.journal_line_id out_id, i.journal_line_id in_id, o.currency = i.currency AND o.amount + i.amount = 0 AS exact, o.booked_date = i.booked_date AS same_day
+  FROM leg o JOIN leg i ON o.amount < 0 AND i.amount > 0 AND o.account_id <> i.account_id AND i.booked_date BETWEEN o.booked_date - 1 AND o.booked_date + 3
+  AND abs(o.amount + i.amount) <= CASE WHEN o.currency = i.currency THEN 1 ELSE 50 END),
+scored AS (SELECT out_id, in_id, CASE WHEN exact THEN 'auto_amount_date' ELSE 'auto_card_payment' END AS method, CAST(CASE WHEN exact AND same_day THEN 0.95 ELSE 0.85 END AS DECIMAL(3,2)) AS confidence FROM pair),
+outcome AS (SELECT out_id, count(*) AS n_candidates, CASE WHEN count(*) > 1 THEN 'multi_candidate' WHEN max(confidence) >= 0.90 THEN 'match' ELSE 'low_confidence' END AS outcome, list_sort(list(in_id)) candidates FROM scored GROUP BY 1)
+"""
+
+
+@query(_PAIRS + "SELECT out_id, in_id FROM pair")
+def transfer_candidates(led: Ledger) -> DataFrame:
+    return transfers.candidates(led.legs).select("out_id", "in_id")
+
+
+@query(_PAIRS + "SELECT * FROM scored")
+def transfer_scored(led: Ledger) -> DataFrame:
+    return transfers.scored(transfers.candidates(led.legs)).select("out_id", "in_id", "method", "confidence")
+
+
+@query(_PAIRS + "SELECT out_id, n_candidates, outcome FROM outcome")
+def transfer_outcomes_one_shot(led: Ledger) -> DataFrame:
+    return transfers.outcomes(transfers.candidates(led.legs))
+
+
+@query()
+def transfer_links_greedy(led: Ledger) -> DataFrame:
+    return transfers.greedy_links(led.legs)
+
+
+@query(_PAIRS + "SELECT count(*) FILTER (outcome = 'multi_candidate') AS multi_candidate, count(*) FILTER (outcome = 'low_confidence') AS low_confidence, count(*) FILTER (outcome <> 'match') AS total FROM outcome")
+def review_stats(led: Ledger) -> DataFrame:
+    return transfers.review_stats(transfers.reviews(transfers.candidates(led.legs)))
+
+
+@query(_PAIRS + "SELECT o.out_id, CAST(list_position(candidates, s.in_id) - 1 AS INTEGER) AS position, s.in_id, s.confidence FROM outcome o JOIN scored s ON s.out_id = o.out_id WHERE outcome <> 'match'")
+def review_items(led: Ledger) -> DataFrame:
+    return transfers.review_items(transfers.reviews(transfers.candidates(led.legs)), led.legs)
+
+
+_SKIP = "(SELECT out_id, in_id FROM pair WHERE out_id % 3 = 0)"
+
+
+@query(_PAIRS + f"SELECT p.out_id, p.in_id FROM pair p WHERE NOT EXISTS (SELECT 1 FROM {_SKIP} k WHERE k.out_id = p.out_id AND k.in_id = p.in_id)")
+def anti_skip(led: Ledger) -> DataFrame:
+    pairs = transfers.candidates(led.legs).select("out_id", "in_id")
+    return pairs.join(pairs.where("out_id % 3 = 0"), ["out_id", "in_id"], "left_anti")
+
+
+@query(_PAIRS + "SELECT out_id, in_id FROM (SELECT out_id, unnest(candidates) in_id FROM outcome WHERE outcome <> 'match') WHERE in_id % 3 <> 0")
+def skip_pairs(led: Ledger) -> DataFrame:
+    pairs = transfers.candidates(led.legs)
+    return transfers.new_skips(transfers.reviews(pairs), pairs.where("in_id % 3 = 0").select("out_id", "in_id"))
+
+
+# Statements ----------------------------------------------------------------------------------------
+
+_MONTHLY = """
+, r AS (SELECT o_custkey % 50 AS account_id, o_orderkey AS line_number, CAST(o_orderdate AS DATE) d, (CASE WHEN o_orderstatus = 'P' THEN 1 ELSE -1 END) * CAST(round(CAST(o_totalprice AS DECIMAL(18,4)) * 100) AS BIGINT) amount FROM orders),
+mo AS (SELECT account_id, strftime(d, '%Y-%m') AS period, CAST(sum(amount) AS BIGINT) moved, CAST(sum(CASE WHEN amount < 0 THEN -amount ELSE 0 END) AS BIGINT) debits, CAST(sum(CASE WHEN amount > 0 THEN amount ELSE 0 END) AS BIGINT) credits FROM r GROUP BY 1, 2),
+st AS (SELECT *, CAST(sum(moved) OVER (PARTITION BY account_id ORDER BY period) AS BIGINT) closing FROM mo)
+"""
+
+
+def _statement_rows(led: Ledger) -> DataFrame:
+    sign = F.when(F.col("o_orderstatus") == "P", F.lit(1)).otherwise(F.lit(-1))
+    return led.table("orders").select((F.col("o_custkey") % 50).alias("account_id"), F.col("o_orderkey").alias("line_number"), F.col("o_orderdate").cast("date").alias("date"), (sign * fm.minor_from_number(F.col("o_totalprice"))).cast("long").alias("amount"))
+
+
+@query(_MONTHLY + "SELECT account_id, period, CAST(CASE WHEN account_id % 2 = 1 THEN -2 * moved ELSE 0 END AS BIGINT) AS gap, debits, credits FROM st")
+def statement_identity(led: Ledger) -> DataFrame:
+    # Odd accounts are taken for liabilities, whose identity the same figures break by twice the movement.
+    rows = _statement_rows(led)
+    nature = F.when(F.col("account_id") % 2 == 1, F.lit("liability")).otherwise(F.lit("asset"))
+    return statements.identity_gaps(statements.monthly(rows).withColumn("nature", nature), rows.withColumn("period", F.date_format("date", "yyyy-MM")))
+
+
+@query(_MONTHLY + "SELECT account_id, period, closing, CAST(nxt AS BIGINT) AS next_opening FROM (SELECT *, lead(closing - moved + CASE WHEN moved % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY account_id ORDER BY period) nxt FROM st) WHERE nxt <> closing")
+def balance_chain(led: Ledger) -> DataFrame:
+    st = statements.monthly(_statement_rows(led))
+    moved = F.col("closing") - F.col("opening")
+    return statements.chain_breaks(st.withColumn("opening", F.col("opening") + F.when(moved % 3 == 0, F.lit(1)).otherwise(F.lit(0))))
+
+
+@query(_MONTHLY + "SELECT account_id, line_number, CAST(sum(amount) OVER (PARTITION BY account_id ORDER BY line_number) AS BIGINT) AS balance FROM r")
+def running_balance(led: Ledger) -> DataFrame:
+    return statements.running_balance(_statement_rows(led)).select("account_id", "line_number", "balance")
+
+
+# Scalars -------------------------------------------------------------------------------------------
+
+
+@query("SELECT l_orderkey AS k, l_linenumber AS n, CAST(round(CAST(l_extendedprice AS DECIMAL(18,4)) * 100) AS BIGINT) AS minor FROM lineitem", ctes=False)
+def parse_dutch_amount(led: Ledger) -> DataFrame:
+    text = F.translate(F.format_number(F.col("l_extendedprice").cast("decimal(18,2)"), 2), ",.", ".,")
+    return led.table("lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), ft.dutch_minor(text).alias("minor"))
+
+
+@query("SELECT l_orderkey AS k, l_linenumber AS n, CAST(round(CAST(l_extendedprice AS DECIMAL(18,4)) * 100) AS BIGINT) AS minor FROM lineitem", ctes=False)
+def parse_english_amount(led: Ledger) -> DataFrame:
+    text = F.concat(F.lit("€"), F.format_number(F.col("l_extendedprice").cast("decimal(18,2)"), 2))
+    return led.table("lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), ft.english_minor(text).alias("minor"))
+
+
+@query("SELECT l_orderkey AS k, l_linenumber AS n, CAST(l_extendedprice AS DECIMAL(18,2)) AS value FROM lineitem", ctes=False)
+def european_number(led: Ledger) -> DataFrame:
+    english = F.format_number(F.col("l_extendedprice").cast("decimal(18,2)"), 2)
+    text = F.when(F.col("l_linenumber") % 2 == 0, english).otherwise(F.translate(english, ",.", ".,"))
+    return led.table("lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), ft.european_number(text).cast("decimal(18,2)").alias("value"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 6 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS date FROM orders", ctes=False)
+def parse_dates(led: Ledger) -> DataFrame:
+    d = F.col("o_orderdate")
+    forms = ("yyyy-MM-dd", "dd/MM/yyyy", "d-M-yyyy", "dd.MM.yyyy", "d MMM yyyy", "yyyyMMdd")
+    text = F.element_at(F.array(*[F.date_format(d, f) for f in forms], F.lit("no date")), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    return led.table("orders").select(F.col("o_orderkey").alias("id"), fd.parse_date(text).alias("date"))
+
+
+@query("SELECT o_orderkey AS id, CAST(CASE WHEN o_orderkey % 100 > 80 THEN 1900 ELSE 2000 END + o_orderkey % 100 AS BIGINT) AS year FROM orders", ctes=False)
+def year_pivot(led: Ledger) -> DataFrame:
+    return led.table("orders").select(F.col("o_orderkey").alias("id"), fd.pivot_year(F.col("o_orderkey") % 100).cast("long").alias("year"))
+
+
+@query("SELECT o_orderkey AS id, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders", ctes=False)
+def year_inference(led: Ledger) -> DataFrame:
+    # Periods of a month up to the fifteenth; those ending in January start in the year before.
+    d = F.col("o_orderdate").cast("date")
+    end = F.when(F.month(d) == 12, F.add_months(F.trunc(d, "month"), 1)).otherwise(F.last_day(d))
+    return led.table("orders").select(F.col("o_orderkey").alias("id"), fd.infer_year(F.month(d), F.add_months(end, -1), end).alias("year"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS date FROM orders", ctes=False)
+def posting_date_lift(led: Ledger) -> DataFrame:
+    iso = F.date_format("o_orderdate", "yyyy-MM-dd")
+    first = F.when(F.col("o_orderkey") % 3 == 0, iso).otherwise(F.lit("n/a"))
+    second = F.when(F.col("o_orderkey") % 3 == 1, iso).otherwise(F.lit(""))
+    return led.table("orders").select(F.col("o_orderkey").alias("id"), F.coalesce(fd.parse_date(first), fd.parse_date(second)).alias("date"))
+
+
+@query("SELECT o_orderkey AS id, CAST(date_trunc('month', o_orderdate) - INTERVAL 5 MONTH AS DATE) AS first_day FROM orders", ctes=False)
+def month_window(led: Ledger) -> DataFrame:
+    return led.table("orders").select(F.col("o_orderkey").alias("id"), F.trunc(F.add_months(F.col("o_orderdate").cast("date"), -5), "month").alias("first_day"))
+
+
+@query("SELECT doc_id, md5(text || ' ****') AS digest FROM documents", ctes=False)
+def redact_cards(led: Ledger) -> DataFrame:
+    card = F.concat(F.lit(" 123456******"), F.lpad((F.col("doc_id") % 10000).cast("string"), 4, "0"))
+    return led.table("documents").select("doc_id", F.md5(ft.redact_cards(F.concat("text", card))).alias("digest"))
+
+
+@query("SELECT doc_id, md5(text || ' ...00' || right('0' || (doc_id % 100), 2)) AS digest FROM documents", ctes=False)
+def redact_ibans(led: Ledger) -> DataFrame:
+    iban = F.concat(F.lit(" NL79 RABO 0000 0000 "), F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0"))
+    return led.table("documents").select("doc_id", F.md5(ft.redact_ibans(F.concat("text", iban))).alias("digest"))
+
+
+@query("SELECT doc_id, CAST(2 AS INTEGER) AS n, 'NL79RABO0000000000' AS first FROM documents", ctes=False)
+def distinct_ibans(led: Ledger) -> DataFrame:
+    found = ft.distinct_ibans(F.concat(F.lit("NL79RABO0000000000 NL20INGB0001234567 NL79RABO0000000000. "), F.col("lang")))
+    return led.table("documents").select("doc_id", F.size(found).alias("n"), F.get(found, F.lit(0)).alias("first"))
+
+
+@query("SELECT 'ac' AS code, 'acceptgiro' AS meaning UNION ALL SELECT 'ba', 'betaalautomaat' UNION ALL SELECT 'tb', 'eigen rekening'", ctes=False)
+def legend_parse(led: Ledger) -> DataFrame:
+    lines = led.spark.createDataFrame([("ac = acceptgiro  ba = betaalautomaat  tb = eigen rekening  ac = other",), ("no legend",), ("xx = one only",)], "line string")
+    return lines.select(F.explode(ft.legend(F.col("line"))).alias("code", "meaning"))
+
+
+@query("SELECT id, CASE WHEN id % 4 <> 0 THEN 'R' || id END AS reference FROM source_record")
+def reference_clean(led: Ledger) -> DataFrame:
+    return led.records.select("id", ft.clean_reference(F.when(F.col("id") % 4 == 0, F.lit("   ")).otherwise(F.concat(F.lit(" R"), F.col("id").cast("string"), F.lit(" ")))).alias("reference"))
+
+
+@query("SELECT id, CASE id % 3 WHEN 0 THEN 'EUR' WHEN 1 THEN 'USD' END AS code FROM source_record")
+def currency_clean(led: Ledger) -> DataFrame:
+    text = F.element_at(F.array(F.lit(" eur "), F.lit("usd"), F.lit("E1R")), (F.col("id") % 3 + 1).cast("int"))
+    return led.records.select("id", ft.clean_currency(text).alias("code"))
+
+
+@query("SELECT id, raw_description IN ('HARTELIJK BEDANKT VOOR UW BETALING') AS flag FROM (SELECT id, CASE WHEN id % 10 = 0 THEN 'HARTELIJK BEDANKT VOOR UW BETALING' ELSE raw_description END raw_description FROM source_record)")
+def card_payment_flag(led: Ledger) -> DataFrame:
+    text = F.when(F.col("id") % 10 == 0, F.lit("Hartelijk  bedankt voor uw betaling")).otherwise(F.col("raw_description"))
+    return led.records.select("id", ft.is_card_payment(text).alias("flag"))
+
+
+@query("SELECT id, CASE WHEN amount < 0 THEN '−' ELSE '' END || '€' || format('{:,}', abs(amount) // 100) || '.' || right('0' || (abs(amount) % 100), 2) AS shown FROM journal_line")
+def money_display(led: Ledger) -> DataFrame:
+    return led.lines.select("id", fm.display(F.col("amount"), 2, "€").alias("shown"))
+
+
+@query("SELECT id, amount AS minor FROM journal_line")
+def parse_signed_amount(led: Ledger) -> DataFrame:
+    text = F.replace(fm.from_minor(F.col("amount"), 2).cast("string"), F.lit("."), F.lit(","))
+    return led.lines.select("id", fm.parse_signed(text).alias("minor"))
+
+
+@query("SELECT id, CAST(amount * 3 AS BIGINT) AS tripled, abs(amount) AS size, -amount AS negated FROM journal_line")
+def money_arithmetic(led: Ledger) -> DataFrame:
+    a = F.col("amount")
+    return led.lines.select("id", (a + a + a).alias("tripled"), F.abs(a).alias("size"), (-a).alias("negated"))
+
+
+@query("SELECT id, CAST(amount AS DECIMAL(18,0)) AS d0, CAST(amount * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(20,2)) AS d2 FROM journal_line")
+def minor_to_decimal(led: Ledger) -> DataFrame:
+    return led.lines.select("id", fm.from_minor(F.col("amount"), 0).alias("d0"), fm.from_minor(F.col("amount"), 2).cast("decimal(20,2)").alias("d2"))
+
+
+@query("SELECT id, -abs(amount) AS amount FROM journal_line")
+def sign_convention(led: Ledger) -> DataFrame:
+    return led.lines.select("id", fm.debit_from_positive(F.col("amount")).alias("amount"))
+
+
+@query("SELECT id, CASE WHEN id % 120 < 45 THEN 'out' WHEN id % 120 < 75 THEN 'in' ELSE 'close' END AS side FROM journal_line")
+def column_classify(led: Ledger) -> DataFrame:
+    from .sources.layout import classified
+
+    return led.lines.select("id", classified(F.col("id") % 120, F.lit(30), F.lit(60), F.lit(90)).alias("side"))
+
+
+# JSON ----------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k FROM events", ctes=False)
+def raw_scalars(led: Ledger) -> DataFrame:
+    return led.table("events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("SELECT event_id, event_id % 3 = 0 AS flag FROM events", ctes=False)
+def json_flag(led: Ledger) -> DataFrame:
+    raw = F.to_json(F.struct((F.col("event_id") % 3 == 0).alias("is_card_payment")))
+    return led.table("events").select("event_id", (F.get_json_object(raw, "$.is_card_payment") == "true").alias("flag"))
+
+
+@query("SELECT event_id AS line_number, CAST(ts AS DATE) AS booked_date, -CAST(trunc(CAST(value AS DECIMAL(18,4)) * 100) AS BIGINT) AS amount_minor, event_id % 4 = 1 AS pending, 'shop ' || event_type AS description FROM events WHERE value IS NOT NULL AND event_id % 4 IN (0, 1)", ctes=False)
+def ais_json_parse(led: Ledger) -> DataFrame:
+    from .sources.ais import parse_payload
+
+    status = F.element_at(F.array(F.lit("BOOK"), F.lit("PDNG"), F.lit("INFO"), F.lit("OTHER")), (F.col("event_id") % 4 + 1).cast("int"))
+    amount = F.concat(F.lit("-"), F.col("value").cast("decimal(18,4)").cast("string"))
+    payload = F.to_json(F.struct(status.alias("status"), F.date_format("ts", "yyyy-MM-dd").alias("bookingDate"), F.struct(amount.alias("amount"), F.lit("EUR").alias("currency")).alias("transactionAmount"), F.struct(F.concat(F.lit("shop "), "event_type").alias("name")).alias("creditor")))
+    rows = led.table("events").where("value is not null").select(F.lit(1).cast("long").alias("account_id"), F.col("event_id").cast("int").alias("line_number"), payload.alias("payload"))
+    return parse_payload(rows).where("error is null").select(F.col("line_number").cast("long").alias("line_number"), "booked_date", "amount_minor", "pending", "description")
+
+
+@query("SELECT 'current' AS section, 1 AS account_id UNION ALL SELECT 'savings', 2", ctes=False)
+def section_map_parse(led: Ledger) -> DataFrame:
+    from .sources.layout import section_map
+
+    return section_map(led.spark.createDataFrame([('{"Current": 1, "savings": 2}',)], "sections string"), ("current", "savings", "pockets")).where("error is null").select("section", "account_id")
+
+
+@query("SELECT id, CASE WHEN id % 2 = 0 THEN 'given' ELSE raw_description END AS description, CAST(raw_amount AS VARCHAR) AS amount_minor FROM source_record")
+def raw_data_defaults(led: Ledger) -> DataFrame:
+    from .sources.manual import with_defaults
+
+    raw = F.when(F.col("id") % 2 == 0, F.create_map(F.lit("description"), F.lit("given"))).otherwise(F.create_map(F.lit("page"), F.lit("1")))
+    merged = with_defaults(raw, F.col("raw_description"), F.col("raw_amount"), F.col("currency"))
+    return led.records.select("id", merged["description"].alias("description"), merged["amount_minor"].alias("amount_minor"))
+
+
+@query()
+def statement_text_parse(led: Ledger) -> DataFrame:
+    """Card statements made of order rows, one file per account, read back from their layout text."""
+    from .sources.layout import card_statement
+
+    day = F.date_format("o_orderdate", "dd.MM.yy")
+    amount = F.translate(F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2), ",.", ".,")
+    lines = led.table("orders").select((F.col("o_custkey") % 50).cast("string").alias("file"), F.col("o_orderkey").cast("int").alias("line_no"), F.concat(day, F.lit("  "), day, F.lit("  SHOP "), F.col("o_orderkey").cast("string"), F.lit("     "), amount).alias("text"))
+    return card_statement(lines)
+
+
+# Integrity -----------------------------------------------------------------------------------------
+
+
+@query("SELECT id, CAST(id % 23 AS INTEGER) AS decimals FROM journal_line WHERE id % 23 > 18")
+def quality_currency_decimals(led: Ledger) -> DataFrame:
+    return checks.bad_decimals(led.lines.select("id", (F.col("id") % 23).cast("int").alias("decimals")))
+
+
+@query("SELECT id, CAST(id % 5 - 1 AS DECIMAL(20,10)) AS rate FROM journal_line WHERE id % 5 - 1 <= 0")
+def quality_positive_rate(led: Ledger) -> DataFrame:
+    return checks.bad_rates(led.lines.select("id", (F.col("id") % 5 - 1).cast("decimal(20,10)").alias("rate")))
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1", ctes=False)
+def quality_unique_lines(led: Ledger) -> DataFrame:
+    return checks.duplicates(led.table("lineitem"), "l_orderkey", "l_linenumber")
+
+
+@query(_SIDES + "SELECT account_id, provider_txn_id, count(*) AS n FROM side WHERE provider_txn_id <> '' GROUP BY 1, 2 HAVING count(*) > 1")
+def quality_provider_ids(led: Ledger) -> DataFrame:
+    a, b = _sides(led)
+    return checks.duplicates(a.union(b.where("id % 2 <> 0")), "account_id", "provider_txn_id", where="provider_txn_id <> ''")
+
+
+@query("SELECT parent_id, n_kind, count(*) AS n FROM (SELECT parent_id, length(name) n_kind FROM category WHERE parent_id IS NOT NULL) GROUP BY 1, 2 HAVING count(*) > 1")
+def quality_null_distinct(led: Ledger) -> DataFrame:
+    return checks.duplicates(led.categories.select("parent_id", F.length("name").alias("n_kind")), "parent_id", "n_kind", nulls_equal=False)
+
+
+@query("SELECT account_id, merchant, count(*) AS n FROM (SELECT account_id, CASE WHEN id % 2 = 0 THEN id % 5 END merchant FROM source_record) GROUP BY 1, 2 HAVING count(*) > 1")
+def quality_null_equal(led: Ledger) -> DataFrame:
+    return checks.duplicates(led.records.select("account_id", F.when(F.col("id") % 2 == 0, F.col("id") % 5).alias("merchant")), "account_id", "merchant")
+
+
+@query("SELECT id, CASE WHEN id % 10 = 0 THEN 'deleted' ELSE 'altered' END AS change FROM source_record WHERE id % 10 IN (0, 1)")
+def quality_raw_immutable(led: Ledger) -> DataFrame:
+    old = led.records.select("id", "raw_description", F.lit("{}").alias("raw_data"))
+    new = old.where("id % 10 <> 0").withColumn("raw_data", F.when(F.col("id") % 10 == 1, F.lit("{1}")).otherwise(F.col("raw_data")))
+    return checks.changed_raw(old, new)
+
+
+@query("SELECT id FROM journal_line WHERE id % 6 = 0 OR id % 6 = 3")
+def quality_synthesised_pair(led: Ledger) -> DataFrame:
+    flagged = led.lines.select("id", (F.col("id") % 2 == 0).alias("is_synthesized"), F.when(F.col("id") % 6 == 0, F.lit(None)).when((F.col("id") % 2 == 0) | (F.col("id") % 6 == 3), F.lit("card payment")).cast("string").alias("synthesized_reason"))
+    return checks.half_synthesised(flagged).select("id")
+
+
+@query(_PAIRS + "SELECT out_id, count(*) AS n FROM pair GROUP BY 1 HAVING count(*) > 1")
+def quality_one_pending_review(led: Ledger) -> DataFrame:
+    pending = transfers.candidates(led.legs).select("out_id", F.lit("pending").alias("status"))
+    return checks.duplicates(pending, "out_id", where="status = 'pending'")
+
+
+@query("SELECT system_role, count(*) AS n FROM account WHERE system_role IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def quality_single_role(led: Ledger) -> DataFrame:
+    return checks.duplicates(led.accounts, "system_role", where="system_role is not null")
+
+
+@query("SELECT id FROM account WHERE payment_from_account_id = id")
+def quality_no_self_pay(led: Ledger) -> DataFrame:
+    return checks.self_paying(led.accounts).select("id")
+
+
+@query(_PAIRS + "SELECT out_id, in_id FROM pair WHERE out_id = in_id")
+def quality_distinct_pair(led: Ledger) -> DataFrame:
+    return checks.self_matched(transfers.candidates(led.legs)).select("out_id", "in_id")
+
+
+@query("SELECT 'account_type' AS what, id, 'barter' AS value FROM account WHERE id % 13 = 0")
+def vocabulary_violations(led: Ledger) -> DataFrame:
+    accounts = led.accounts.withColumn("account_type", F.when(F.col("id") % 13 == 0, F.lit("barter")).otherwise(F.col("account_type")))
+    return checks.outside_vocabulary(accounts, led.categories)
