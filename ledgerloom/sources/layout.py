@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from ..functions.dates import infer_year, month_name_date, parse_date, pivot_year
 from ..functions.text import dutch_minor, english_minor
 
-_UP_TO_HERE = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+def _up_to_here():
+    return Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+
 
 CARD_ROW = r"^\s*(\d{2}\.\d{2}\.\d{2})\s+(\d{2}\.\d{2}\.\d{2})\s+(.*?)\s+(\d{1,3}(?:\.\d{3})*,\d{2})\s*$"
 CARD_END = r"(?i)^\s*(new balance|total)\b"
@@ -34,7 +36,7 @@ def card_statement(lines: DataFrame) -> DataFrame:
     and the closing balance ends the list."""
     part = lambda k: F.regexp_extract("text", CARD_ROW, k)
     is_start, is_end = F.col("text").rlike(CARD_ROW), F.col("text").rlike(CARD_END)
-    marked = lines.withColumn("start", is_start).withColumn("row", F.sum(F.col("start").cast("int")).over(_UP_TO_HERE)).withColumn("ended", F.max(is_end.cast("int")).over(Window.partitionBy("file", "row").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)))
+    marked = lines.withColumn("start", is_start).withColumn("row", F.sum(F.col("start").cast("int")).over(_up_to_here())).withColumn("ended", F.max(is_end.cast("int")).over(Window.partitionBy("file", "row").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)))
     inside = marked.where((F.col("row") > 0) & (F.col("ended") == 0) & (F.trim("text") != ""))
     credit = F.trim("text") == "CR"
     more = F.when(~F.col("start") & ~credit, F.trim("text"))
@@ -58,7 +60,7 @@ def checking_statement(lines: DataFrame, start: Column, end: Column) -> DataFram
     heading = F.col("text").rlike(r"Debit amount.*Credit amount")
     middle = (F.instr("text", "Debit amount") + F.length(F.lit("Debit amount")) + F.instr("text", "Credit amount") + F.length(F.lit("Credit amount"))) / 2
     part = lambda k: F.regexp_extract("text", CHECKING_ROW, k)
-    marked = lines.withColumn("middle", F.last(F.when(heading, middle), ignorenulls=True).over(_UP_TO_HERE)).withColumn("start", F.col("text").rlike(CHECKING_ROW)).withColumn("row", F.sum(F.col("start").cast("int")).over(_UP_TO_HERE))
+    marked = lines.withColumn("middle", F.last(F.when(heading, middle), ignorenulls=True).over(_up_to_here())).withColumn("start", F.col("text").rlike(CHECKING_ROW)).withColumn("row", F.sum(F.col("start").cast("int")).over(_up_to_here()))
     inside = marked.where((F.col("row") > 0) & ~heading & (F.trim("text") != ""))
     ends = F.length(F.rtrim("text"))
     more = F.when(~F.col("start"), F.trim("text"))
@@ -83,7 +85,7 @@ def without_furniture(lines: DataFrame) -> DataFrame:
     """Lines outside footers: a footer goes from its first marker through the page number."""
     starts, ends = F.col("text").rlike(FOOTER_START), F.col("text").rlike(FOOTER_END)
     event = F.when(starts & ~ends, F.lit("in")).when(ends, F.lit("out"))
-    state = F.last(event, ignorenulls=True).over(_UP_TO_HERE)
+    state = F.last(event, ignorenulls=True).over(_up_to_here())
     return lines.withColumn("_state", state).where(~ends & (F.coalesce("_state", F.lit("out")) == "out")).drop("_state")
 
 
@@ -96,8 +98,8 @@ def sectioned_statement(lines: DataFrame) -> DataFrame:
     heading = F.col("text").rlike(r"Money out\s+Money in\s+Balance")
     kept = without_furniture(lines)
     for name, label in (("out_at", "Money out"), ("in_at", "Money in"), ("close_at", "Balance")):
-        kept = kept.withColumn(name, F.last(F.when(heading, F.instr("text", label)), ignorenulls=True).over(_UP_TO_HERE))
-    kept = kept.withColumn("section", F.last(F.when(section != "", F.lower(section)), ignorenulls=True).over(_UP_TO_HERE)).where(F.col("text").rlike(SECTION_ROW))
+        kept = kept.withColumn(name, F.last(F.when(heading, F.instr("text", label)), ignorenulls=True).over(_up_to_here()))
+    kept = kept.withColumn("section", F.last(F.when(section != "", F.lower(section)), ignorenulls=True).over(_up_to_here())).where(F.col("text").rlike(SECTION_ROW))
     amounts = F.regexp_extract_all("text", F.lit(r"(€[0-9,]+\.\d{2})"), F.lit(1))
     first, last = F.get(amounts, F.lit(0)), F.element_at(amounts, -1)
     side = classified(F.instr("text", "€"), F.col("out_at"), F.col("in_at"), F.col("close_at"))
