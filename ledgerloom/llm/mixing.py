@@ -130,7 +130,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, block_
         "*", F.explode(F.sequence(F.floor(F.col("begin") / block_words).cast("long"), F.floor((F.col("begin") + F.col("size") - 1) / block_words).cast("long"))).alias("p_block")
     )
     slots = _slots(targets, block_words, seed)
-    joined = pieces.join(slots, pieces["source"].eqNullSafe(slots["s_source"]) & (pieces["p_block"] == slots["block"]))
+    # The planner can't see how many slots a source gets: never broadcast them.
+    joined = pieces.join(slots.hint("merge"), pieces["source"].eqNullSafe(slots["s_source"]) & (pieces["p_block"] == slots["block"]))
     # A slot takes the first `take` words of its block.
     start = F.greatest(F.col("begin"), F.col("block") * block_words)
     end = F.least(F.col("begin") + F.col("size"), F.col("block") * block_words + F.col("take"))
