@@ -7,6 +7,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The six ASCII characters between words ([\x20\x09-\x0D]); bytes.split() splits on the same ones.
 WHITESPACE = " \t\n\x0b\x0c\r"
@@ -58,3 +59,19 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 def arrow_batches(batches):
     """Batches of a mapInArrow call that have rows."""
     return (b for b in batches if b.num_rows)
+
+
+def most_frequent(df: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows of df with the highest counts, `most` at most: all from some count on, so that nothing is sorted.
+
+    A histogram of counts (single ones up to 1024, then 64 steps to the doubling) decides from which."""
+    c = F.col(count)
+    bucket = F.when(c <= 1024, c.cast("int")).otherwise((F.log2(c) * 64).cast("int") + 1024)
+    rows = df.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).collect()  # a few thousand at most
+    total, least = 0, None
+    for r in sorted(rows, key=lambda r: -r["bucket"]):
+        total += r["n"]
+        if total > most:
+            break
+        least = r["bucket"]
+    return df.where(bucket >= least) if least is not None else df.limit(0)

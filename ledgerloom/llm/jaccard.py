@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, materialise, utf8
+from .common import arrow_batches, materialise, most_frequent, utf8
 from .components import components
 
 NGRAM = 5
@@ -90,11 +90,12 @@ def prefix_length(n: int) -> int:
 
 
 def _frame(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
 
 def _measured(frame: DataFrame) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """doc_id, node, n by document; and the most frequent shingles with their counts."""
+    """doc_id, text_hash, node, n by document; and the most frequent shingles with their counts."""
     def measure(batches):
         known, held, n_held = _Words(), [], 0
 
@@ -102,7 +103,7 @@ def _measured(frame: DataFrame) -> tuple[DataFrame, list[tuple[int, int]]]:
             values, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
             values, counts = values[counts > 1].view(np.int64), counts[counts > 1]
             empty = pa.nulls(len(values), pa.int64())
-            return pa.RecordBatch.from_arrays([empty, empty, empty, pa.array(values), pa.array(counts)], ["doc_id", "node", "n", "shingle", "count"])
+            return pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.array(values), pa.array(counts)], ["doc_id", "text_hash", "node", "n", "shingle", "count"])
 
         for batch in arrow_batches(batches):
             nodes, sizes = [], []
@@ -116,13 +117,13 @@ def _measured(frame: DataFrame) -> tuple[DataFrame, list[tuple[int, int]]]:
                     yield repeated()
                     held, n_held = [], 0
             empty = pa.nulls(len(nodes), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), empty, empty], ["doc_id", "node", "n", "shingle", "count"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), empty, empty], ["doc_id", "text_hash", "node", "n", "shingle", "count"])
         yield repeated()
 
-    rows = materialise(frame.mapInArrow(measure, "doc_id long, node long, n long, shingle long, count long"), "jaccard-nodes")
+    rows = materialise(frame.mapInArrow(measure, "doc_id long, text_hash long, node long, n long, shingle long, count long"), "jaccard-nodes")
     counts = rows.where("shingle is not null").groupBy("shingle").agg(F.sum("count").alias("count"))
-    frequent = counts.orderBy(F.desc("count"), "shingle").limit(FREQUENT).collect()
-    return rows.where("shingle is null").select("doc_id", "node", "n"), [(r["shingle"], r["count"]) for r in frequent]
+    frequent = most_frequent(counts, "count", FREQUENT).collect()
+    return rows.where("shingle is null").select("doc_id", "text_hash", "node", "n"), [(r["shingle"], r["count"]) for r in frequent]
 
 
 def _prefixes(frame: DataFrame, frequent: list[tuple[int, int]]) -> DataFrame:
@@ -234,34 +235,34 @@ def _neighbours(rows: DataFrame, low: int, high: int) -> DataFrame:
     return sorted_rows.mapInArrow(pair, "a long, b long, token long, node long, size int, pos int")
 
 
-def _bitmap(nodes: DataFrame) -> np.ndarray:
-    """Bits of a fixed number that are set for the nodes; a few MB, whatever the number of nodes."""
-    bit = F.pmod(F.col("node"), F.lit(1 << BITMAP_BITS))
-    rows = nodes.select((bit / 32768).cast("long").alias("at"), (bit % 32768).alias("bit")).groupBy("at").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """Bits of a fixed number that are set for the keys (one long column); 2 MB, whatever the number of keys."""
+    bit = F.pmod(F.col(keys.columns[0]), F.lit(1 << BITMAP_BITS))
+    rows = keys.select(F.floor(bit / 32768).alias("at"), (bit % 32768).alias("bit")).groupBy("at").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
     out = np.zeros(1 << (BITMAP_BITS - 3), dtype=np.uint8)
     for r in rows:
         out[r["at"] * 4096 : (r["at"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
     return out
 
 
-def _sets(frame: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, members (40 bits of each shingle, sorted) for the nodes, and few others."""
-    shared = frame.sparkSession.sparkContext.broadcast(_bitmap(nodes))
+def _sets(frame: DataFrame, text_hashes: DataFrame) -> DataFrame:
+    """node, members (40 bits of each shingle, sorted) of the documents with these text hashes, and few others."""
+    shared = frame.sparkSession.sparkContext.broadcast(_bitmap(text_hashes))
 
     def emit(batches):
         bits, known, seen = shared.value, _Words(), set()
         for batch in arrow_batches(batches):
+            bit = batch.column(2).to_numpy() & ((1 << BITMAP_BITS) - 1)
+            batch = batch.filter(pa.array((bits[bit >> 3] >> (bit & 7) & 1).astype(bool)))
             found, sets = [], []
             for text in utf8(batch.column(1)):
                 members = shingles(text, known)
                 if not len(members) or (node := node_of(members)) in seen:
                     continue
-                bit = node % (1 << BITMAP_BITS)
-                if bits[bit >> 3] >> (bit & 7) & 1:
-                    seen.add(node)
-                    found.append(node)
-                    short = (members >> np.uint64(24)).astype("<u8")
-                    sets.append(np.ascontiguousarray(short.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes())
+                seen.add(node)
+                found.append(node)
+                short = (members >> np.uint64(24)).astype("<u8")
+                sets.append(np.ascontiguousarray(short.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes())
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(sets, pa.binary())], ["node", "members"])
 
@@ -288,9 +289,10 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return len(np.intersect1d(a, b, assume_unique=True)) >= need
 
 
-def _verified(frame: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, as edges u, v."""
-    sets = _sets(frame, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))))
+def _verified(frame: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, as edges u, v. texts: node, text_hash of one document for each node."""
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = _sets(frame, needed.join(texts, "node").select("text_hash"))
     with_b = pairs.join(sets, pairs["b"] == sets["node"]).select("a", "b", F.col("members").alias("of_b"))
     both = with_b.join(sets, with_b["a"] == sets["node"]).select("a", "b", "of_b", F.col("members").alias("of_a"))
 
@@ -302,32 +304,67 @@ def _verified(frame: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.mapInArrow(verify, "u long, v long")
 
 
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """Of the pairs (a, b, shared) those that one side or the other shares the most prefix shingles with."""
+    sides = pairs.select("a", "b", "shared", F.col("a").alias("node")).union(pairs.select("a", "b", "shared", F.col("b").alias("node")))
+    best = sides.groupBy("node").agg(F.max(F.struct("shared", "a", "b")).alias("m"))
+    return best.select("m.a", "m.b").distinct()
+
+
+def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The pairs (a, b) that labels don't have in one component."""
+    if labels is None:
+        return pairs
+    la, lb = (labels.select(F.col("node").alias(f"_{x}"), F.col("label").alias(f"_l{x}")) for x in "ab")
+    joined = pairs.join(la, pairs["a"] == F.col("_a"), "left").join(lb, pairs["b"] == F.col("_b"), "left")
+    return joined.where(F.coalesce("_la", "a") != F.coalesce("_lb", "b")).select("a", "b")
+
+
 def jaccard_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, node, n_shingles and component_id (the smallest doc_id reachable by links) by document."""
+    """doc_id, node, n_shingles and component_id (the smallest doc_id reachable by links) by document.
+
+    The first round verifies each node's likeliest pairs; the others wait for the next one, where most are in one
+    component already. Each later round takes all pairs that are still apart."""
     frame = _frame(docs)
     nodes, frequent = _measured(frame)
+    texts = nodes.where("node is not null").groupBy("node").agg(F.min("text_hash").alias("text_hash"))
     rows = _prefixes(frame, frequent).withColumn("label", F.col("node"))
-    labels, links, low, high = None, None, 1, 1
+    labels, links, waiting, low, high = None, None, None, 1, 1
     while True:
-        out = materialise(_neighbours(rows, low, high), "jaccard-candidates")
-        pairs = materialise(out.where("a is not null").select("a", "b").distinct(), "jaccard-pairs")
-        if not pairs.isEmpty():
-            new = materialise(_verified(frame, pairs), "jaccard-links")
+        out = None
+        if rows is not None:
+            out = materialise(_neighbours(rows, low, high), "jaccard-candidates")
+            pairs = out.where("a is not null").groupBy("a", "b").agg(F.count("*").alias("shared"))
+        if waiting is None:
+            pairs = materialise(pairs, "jaccard-pairs")
+            chosen = materialise(_likeliest(pairs), "jaccard-chosen")
+            waiting = materialise(pairs.select("a", "b").join(chosen, ["a", "b"], "left_anti"), "jaccard-waiting")
+        else:
+            apart = _apart(waiting, labels)
+            chosen = materialise(apart if out is None else apart.union(pairs.select("a", "b")).distinct(), "jaccard-chosen")
+            waiting = waiting.limit(0)
+        if not chosen.isEmpty():
+            new = materialise(_verified(frame, chosen, texts), "jaccard-links")
             links = new if links is None else links.union(new)
             labels = materialise(components(links), "jaccard-labels")
-        open_rows = out.where("a is null").select("token", "node", "size", "pos")
-        if labels is not None:
-            known = labels.select(F.col("node").alias("_n"), F.col("label").alias("_label"))
-            open_rows = open_rows.join(known, open_rows["node"] == F.col("_n"), "left").select("token", "node", "size", "pos", F.coalesce("_label", "node").alias("label"))
-        else:
-            open_rows = open_rows.withColumn("label", F.col("node"))
-        open_rows = materialise(open_rows, "jaccard-open")
-        mixed = open_rows.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("token")
-        rows = materialise(open_rows.join(mixed, "token", "left_semi"), "jaccard-mixed")
-        if rows.isEmpty():
-            break
-        low, high = high + 1, high * STEP
-    return _with_components(nodes, labels)
+        if out is not None:
+            rows = _undecided(out.where("a is null").select("token", "node", "size", "pos"), labels)
+            low, high = high + 1, high * STEP
+        if rows is None and _apart(waiting, labels).isEmpty():
+            return _with_components(nodes, labels)
+
+
+def _undecided(rows: DataFrame, labels: DataFrame | None) -> DataFrame | None:
+    """rows with their labels, of the tokens that have more than one; None if there are none."""
+    if labels is None:
+        rows = rows.withColumn("label", F.col("node"))
+    else:
+        known = labels.select(F.col("node").alias("_n"), F.col("label").alias("_label"))
+        rows = rows.join(known, rows["node"] == F.col("_n"), "left").select("token", "node", "size", "pos", F.coalesce("_label", "node").alias("label"))
+    rows = materialise(rows, "jaccard-open")
+    several = rows.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("token")
+    mixed = materialise(rows.join(several, "token", "left_semi"), "jaccard-mixed")
+    return None if mixed.isEmpty() else mixed
 
 
 def _with_components(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
