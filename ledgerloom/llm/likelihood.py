@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, materialise, utf8
+from .common import arrow_batches, materialise, most_frequent, utf8
 
 FREQUENT_WORDS = 150_000
 #: Distinct words that a task holds before it hands their counts on.
@@ -171,7 +171,7 @@ def score(docs: DataFrame, model_path: str, frequent_words: int = FREQUENT_WORDS
     scored = materialise(_score_words(counted, model), "lm-words")
 
     denominator = math.log10(train + distinct + 1)
-    top = scored.orderBy(F.desc("c"), "word").limit(frequent_words).collect()
+    top = most_frequent(scored, "c", frequent_words).collect()
     frequent = {bytes(r["word"]): (math.log10(r["c"] + 1) - denominator, r["lp"], int(r["c"] > 0)) for r in top}
     rows = _by_document(frame, frequent)
     # A word that repeats within equal rows (same id, same text) counts once for them; the row count is `copies`.
