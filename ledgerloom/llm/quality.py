@@ -169,7 +169,11 @@ def _measure(df: DataFrame, by_language: dict) -> DataFrame:
     })
     df = df.withColumn("_base_failed", (F.col("_n_words") < MIN_WORDS) | (100 * F.col("_n_repeat") > 50 * F.col("_n_words")))
     near = (F.col("_class_distance") <= MAX_CLASS_DISTANCE) & (F.col("_word_distance") <= MAX_WORD_DISTANCE)
-    return df.withColumn("_kept", ~F.col("_base_failed") & ((F.col("_word_chars") < MIN_CHARS) | near))
+    df = df.withColumn("_kept", ~F.col("_base_failed") & ((F.col("_word_chars") < MIN_CHARS) | near))
+    # A filter on a verdict would be pushed below all these projections, and each measure written out again wherever it
+    # is used. A column that the planner can't move keeps filters above it.
+    df = df.withColumn("_barrier", F.monotonically_increasing_id() >= 0)
+    return df.withColumns({c: F.col(c) & F.col("_barrier") for c in ("_base_failed", "_kept")})
 
 
 def quality_report(docs: DataFrame, by_language: dict | None = None) -> DataFrame:
