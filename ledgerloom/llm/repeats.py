@@ -78,14 +78,16 @@ def _window_minimum(values: np.ndarray, width: int) -> np.ndarray:
 class _Entries:
     """Distinct ranks of a batch with the first and last of its documents that have each, in the order they are sent."""
 
-    def __init__(self, keys: np.ndarray, docs: np.ndarray, n_parts: int) -> None:
+    def __init__(self, keys: np.ndarray, docs: np.ndarray, n_parts: int, deal_by_low_bits: bool = False) -> None:
         order = np.lexsort((docs, keys))
         keys, docs = keys[order], docs[order]
         new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, dtype=np.int64)
         self.keys = keys[new]
         self.first = docs[new]
         self.last = docs[np.concatenate((new[1:], [len(keys)])) - 1] if len(new) else docs[:0]
-        self.part = ((self.keys >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int32)
+        # The smallest ranks of windows are small numbers; their low bits are as good as random.
+        bits = self.keys & np.uint64(0xFFFFFFFF) if deal_by_low_bits else self.keys >> np.uint64(32)
+        self.part = (bits * np.uint64(n_parts) >> np.uint64(32)).astype(np.int32)
         # By partition, then by document: documents compress well then.
         self.sent = np.lexsort((self.first, self.part))
         self.smaller = self.larger = None
@@ -143,7 +145,7 @@ class _Batch:
         value, doc = self.smallest[self.valid], self.doc[self.valid]
         # Neighbouring windows mostly share their smallest position.
         new = np.concatenate(([True], (value[1:] != value[:-1]) | (doc[1:] != doc[:-1]))) if len(value) else np.empty(0, bool)
-        self.entries = _Entries(value[new], doc[new], self.n_parts)
+        self.entries = _Entries(value[new], doc[new], self.n_parts, deal_by_low_bits=True)
         return self.entries
 
     def after_1(self, flags) -> None:
