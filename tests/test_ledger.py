@@ -281,3 +281,11 @@ def test_table_updates(spark):
     changed = importing.patched(base, spark.createDataFrame([(2, None, 7)], "id long, name string, category_id long"))
     assert {tuple(r) for r in changed.collect()} == {(1, "a", 5), (2, "b", 7)}
     assert importing.without(changed, changed.where("id = 1")).count() == 1
+
+
+def test_transfer_components_in_parts(spark, monkeypatch):
+    edges = spark.createDataFrame([(f"o{i:02}", f"o{i + 1:02}") for i in range(20) if i != 9], "a string, b string")
+    want = {f"o{i:02}": "o00" if i < 10 else "o10" for i in range(21)}
+    for most in (200_000, 6):
+        monkeypatch.setattr(transfers, "EDGES_PER_TASK", most)
+        assert {r.node: r.label for r in transfers._components(edges).collect()} == want
