@@ -19,6 +19,7 @@ ids are ordered by their tokens; an empty table writes no payload; other columns
 from __future__ import annotations
 
 import itertools
+import os
 import struct
 import zlib
 
@@ -34,7 +35,7 @@ END_TOKEN = 1
 SHARD_CHARS = 32 << 20
 PAYLOAD_TOKENS = 2 << 20
 #: Words whose tokens a worker remembers at most.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 1_000_000
 
 _MAGIC, _BLOCK = b"WVM1", 512
 _HEAD = struct.Struct("<4sIIQ")
@@ -165,28 +166,75 @@ def unpack_payload(payload: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatri
     return ids, lengths, WaveletMatrix.from_bytes(data[8 + 16 * n :])
 
 
-def _encoder(path: str):
-    """bytes -> token ids as little-endian 16-bit numbers; the text goes to the library word by word.
-
-    The library's tokens never span ASCII white space, so words are encoded by themselves and remembered."""
-    from tokenizers import Tokenizer
-
-    tokenizer, known = Tokenizer.from_file(path), {}
-    if tokenizer.get_vocab_size() > 1 << 16:
-        raise ValueError("ids of this vocabulary need more than 16 bits")
-
-    def encode(texts: list[bytes]) -> list[bytes]:
-        if len(known) > CACHED_WORDS:
-            known.clear()
+#: The encoder of this worker, by path: loading a vocabulary takes longer than many a task.
+_encoders: dict[str, _Encoder] = {}
+
+
+class _Encoder:
+    """Texts -> token ids as little-endian 16-bit numbers; the text goes to the library word by word.
+
+    The library's tokens never span ASCII white space, so words are encoded by themselves and remembered. New
+    words go in at once, a special token between them, at which the ids are cut again."""
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids of this vocabulary need more than 16 bits")
+        special = sorted((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip))
+        self.mark = special[0] if special else None
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u2")
+
+    def _parts(self, word: bytes) -> tuple[bytes, bytes]:
+        """A word as what its tokens depend on: without case, and closing marks apart from the letters before them.
+
+        The vocabulary has no case, and the library cuts between letters and other signs."""
+        if b"<|" in word:
+            return word, b""
+        stem = word.rstrip(b".,;:!?")
+        if stem and stem != word and not (stem[-1:].isalpha() if stem[-1] < 0x80 else stem.decode()[-1].isalpha()):
+            stem = word
+        stem = stem or word
+        return (stem.lower() if stem.isascii() else stem), word[len(stem) :]
+
+    def _learn(self, words: list[bytes]) -> None:
+        parts = [self._parts(w) for w in words]
+        new = [p for p in set(itertools.chain.from_iterable(parts)) if p and p not in self.known]
+        mark = self.mark
+        together = [w for w in new if mark and mark[1].encode() not in w]
+        for at in range(0, len(together), 5000):
+            part = together[at : at + 5000]
+            ids = self._ids(mark[1] + mark[1].join(w.decode() for w in part))
+            cuts = [*np.flatnonzero(ids == mark[0]).tolist(), len(ids)]
+            data = ids.tobytes()
+            for word, a, b in zip(part, cuts[:-1], cuts[1:], strict=True):
+                self.known[word] = data[2 * a + 2 : 2 * b]
+        for word in new:
+            if word not in self.known:
+                self.known[word] = self._ids(word.decode()).tobytes()
+        known = self.known
+        for word, (stem, tail) in zip(words, parts, strict=True):
+            if word not in known:
+                known[word] = known[stem] + known[tail] if tail else known[stem]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        new = list(set(itertools.chain.from_iterable(split)).difference(known))
-        for at in range(0, len(new), 20_000):
-            words = new[at : at + 20_000]
-            for word, e in zip(words, tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
-                known[word] = np.array(e.ids, dtype="<u2").tobytes()
+        words = set(itertools.chain.from_iterable(split))
+        if len(self.known) > CACHED_WORDS:
+            self.known = {w: self.known[w] for w in words if w in self.known}
+        self._learn(list(words.difference(self.known)))
+        known = self.known
         return [b"".join([known[w] for w in words]) for words in split]
 
-    return encode
+
+def _encoder(path: str) -> _Encoder:
+    if path not in _encoders:
+        _encoders[path] = _Encoder(path)
+    return _encoders[path]
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, path: str, shard_chars: int = SHARD_CHARS, payload_tokens: int = PAYLOAD_TOKENS) -> None:
@@ -204,7 +252,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, shard_chars: i
         for batch in arrow_batches(batches):
             for small in (batch.slice(at, 1000) for at in range(0, batch.num_rows, 1000)):
                 ids = small.column(0).fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
-                tokens = [x + end for x in encoder(utf8(small.column(1)))]
+                tokens = [x + end for x in encoder.encode(utf8(small.column(1)))]
                 shard = np.searchsorted(bounds, ids, side="right").astype(np.int32)
                 yield pa.RecordBatch.from_arrays([small.column(0), pa.array(shard), pa.array(tokens, pa.binary())], ["doc_id", "shard", "tokens"])
 
