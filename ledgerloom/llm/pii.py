@@ -264,7 +264,8 @@ def _loss_gradient(p: dict, rows: np.ndarray, gold: np.ndarray) -> tuple[float,
 def trained(n_texts: int = TRAIN_TEXTS, steps: int = TRAIN_STEPS, seed: int = SEED) -> dict[str, np.ndarray]:
     """Parameters after Adam over windows of the labelled texts; the same for the same arguments."""
     rng = np.random.default_rng(seed)
-    texts = [(codes(t), tags(len(t), s)) for t, s in labelled_texts(n_texts, seed)]
+    # Windows run over the ends of texts, filled up with line ends as in scan_texts.
+    texts = [(codes(t + "\n" * (WINDOW // 2)), tags(len(t) + WINDOW // 2, s)) for t, s in labelled_texts(n_texts, seed)]
     texts = [(c, g) for c, g in texts if len(c) > WINDOW]
     p = _initial(seed)
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
