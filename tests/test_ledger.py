@@ -1,6 +1,7 @@
 """The ledger operators against literal fixtures."""
 
 import datetime as dt
+import random
 from decimal import Decimal
 
 import pytest
@@ -179,6 +180,31 @@ def test_greedy_links_consume(spark):
     assert got == {1: ("match", [10]), 2: ("match", [11])}
 
 
+def test_greedy_links_in_rounds(spark, monkeypatch):
+    # One component of some thousand pairs: no task may be given more than a hundred of them.
+    rng = random.Random(3)
+    rows = [(i, rng.randint(1, 4), D(2026, 3, 1 + rng.randint(0, 19)), rng.choice((-1, 1)) * (5000 + 3 * rng.randint(0, 40)), rng.choice(("EUR", "EUR", "EUR", "USD"))) for i in range(500)]
+    # A chain: each leg has one candidate once the leg before it has taken the other.
+    rows += [(900 + k, 10 + k, D(2026, 5, 1), -9000 - k, "EUR") for k in range(8)] + [(1000 + k, 9 + k, D(2026, 5, 1), 9000 + k, "EUR") for k in range(8)]
+    legs = _legs(spark, rows)
+    pairs = transfers.scored(transfers.candidates(legs)).select("out_id", "in_id", "auto").collect()
+    used, want = set(), {}
+    for out_id in sorted({p.out_id for p in pairs}):
+        free = sorted((p.in_id, p.auto) for p in pairs if p.out_id == out_id and p.in_id not in used)
+        if len(free) == 1 and free[0][1]:
+            used.add(free[0][0])
+        if free:
+            want[out_id] = ("match" if free[0][0] in used else "low_confidence" if len(free) == 1 else "multi_candidate", [i for i, _ in free])
+    assert len(pairs) > 2000 and len(used) > 8
+    replayed, replay = spark.sparkContext.accumulator(0), transfers._replay
+    monkeypatch.setattr(transfers, "_replay", lambda pdf: (replayed.add(len(pdf)), replay(pdf))[1])
+    for most in (0, 100):
+        monkeypatch.setattr(transfers, "REPLAYED_PAIRS", most, raising=False)
+        before = replayed.value
+        assert {r.out_id: (r.outcome, r.in_ids) for r in transfers.greedy_links(legs).collect()} == want
+        assert replayed.value - before <= most
+
+
 def test_reviews(spark):
     d = D(2026, 3, 15)
     legs = _legs(spark, [(1, 1, d, -5000, "EUR"), (2, 2, d, 5000, "EUR"), (3, 3, d, 5001, "EUR")])
