@@ -1,11 +1,15 @@
 """Quality rules: repetition counts and distribution divergence from language references.
 
-Everything is DataFrame expressions; no Python runs on the rows, and nothing is shuffled.
+Everything is DataFrame expressions; no Python runs on the rows, and only sums by language are shuffled.
 
 A document has two histograms: of character classes and of common words. Each is compared with a
 reference of the document's `lang` by Jensen-Shannon distance (base 2, so between 0 and 1). The
-references are a parameter: by default the fixed tables below, or what `references()` sums up over a
-corpus, a row for each listed language. A language without a reference has its words not judged and
+references are a parameter, such as what `references()` sums up over a corpus, a row for each listed
+language. By default those of characters, and of the words as they are written (`word_distance`), are
+the fixed tables below, and those of the words without case and punctuation are summed up over the
+documents themselves. The verdict takes the latter: the distance must stay below a share of that of a
+text without any common word, a larger share the fewer common words a text of its length would have, so
+that chance doesn't reject short clean texts. A language without a reference has its words not judged and
 its characters compared with the reference of `REST`. Texts under `MIN_CHARS` word characters are too
 short for a histogram and are judged by the base rules alone.
 
@@ -16,6 +20,8 @@ empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +29,12 @@ from .common import WHITESPACE
 
 MIN_WORDS = 50
 MIN_CHARS = 200
-#: Largest Jensen-Shannon distances of a kept document.
+#: Largest Jensen-Shannon distance of classes of a kept document.
 MAX_CLASS_DISTANCE = 0.2
-MAX_WORD_DISTANCE = 0.45
+#: Largest distance of common words, as a share of that of a text without any; WORD_SLACK over the number of common words
+#: to expect is added.
+MAX_WORD_SHARE = 0.65
+WORD_SLACK = 2.3
 
 CLASSES = ("letter", "digit", "space", "punctuation", "other")
 REST = "*"
@@ -48,12 +57,12 @@ WORD_SHARES = {
 VOCABULARY = sorted({w for words in WORD_SHARES.values() for w in words})
 
 
-def default_references() -> dict[str, tuple[list[float], list[float] | None]]:
-    """By language the shares of character classes and of common words, the rest of the words last."""
+def default_references() -> dict[str, tuple[list[float], list[float] | None, list[float] | None]]:
+    """By language the shares of character classes and of common words, the rest of the words last; none of folded words."""
     out: dict = {}
     for lang, classes in CLASS_SHARES.items():
         words = WORD_SHARES.get(lang)
-        out[lang] = list(classes), words and [*(words.get(w, 0.0) for w in VOCABULARY), 1 - sum(words.values())]
+        out[lang] = list(classes), words and [*(words.get(w, 0.0) for w in VOCABULARY), 1 - sum(words.values())], None
     return out
 
 
@@ -69,12 +78,24 @@ def _with_words(docs: DataFrame) -> DataFrame:
     )
 
 
+def _common_counts(joined: str, n_words: Column) -> Column:
+    """Counts of the common words in a column that _filtered() made, and of all other words."""
+    counts = F.array(*[((F.length(joined) - F.length(F.replace(joined, F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("double") for w in VOCABULARY])
+    common = F.regexp_count(joined, F.lit(r"\p{L}+"))
+    return F.concat(counts, F.array((n_words - common).cast("double")))
+
+
 def _histograms(df: DataFrame) -> DataFrame:
-    """Appends _classes and _common, arrays of counts; needs _text and _words."""
+    """Appends _classes, _common and _folded_common, arrays of counts; needs _text and _words."""
+    plain = F.btrim(F.regexp_replace(F.lower("_trimmed"), r"[^\p{L}\x20\x09-\x0D]+", ""), F.lit(WHITESPACE))
+    df = df.withColumn("_plain", plain).withColumn(
+        "_folded", F.when(F.col("_plain") == "", F.array().cast("array<string>")).otherwise(F.split("_plain", r"[\x20\x09-\x0D]+"))
+    )
     df = df.withColumns({
         "_length": F.coalesce(F.length("_text"), F.lit(0)),
         "_no_letter": F.regexp_replace(F.coalesce("_text", F.lit("")), r"\p{L}+", ""),
         "_joined": _filtered(F.col("_words")),
+        "_folded_joined": _filtered(F.col("_folded")),
     })
     df = df.withColumns({
         "_space": F.length("_no_letter") - F.length(F.translate("_no_letter", WHITESPACE, "")),
@@ -87,24 +108,34 @@ def _histograms(df: DataFrame) -> DataFrame:
         letters, F.col("_digits"), space, F.col("_punctuation"),
         F.length("_no_letter") - F.col("_digits") - F.col("_punctuation") - space,
     ]
-    common = [(F.length("_joined") - F.length(F.replace("_joined", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2) for w in VOCABULARY]
-    return df.withColumn("_classes", F.array(*[c.cast("double") for c in classes])).withColumn("_counts", F.array(*[c.cast("double") for c in common])).withColumn(
-        "_common",
-        F.concat("_counts", F.array(F.size("_words").cast("double") - F.aggregate("_counts", F.lit(0.0), lambda a, x: a + x))),
-    )
+    return df.withColumns({
+        "_classes": F.array(*[c.cast("double") for c in classes]),
+        "_common": _common_counts("_joined", F.size("_words")),
+        "_folded_common": _common_counts("_folded_joined", F.size("_folded")),
+    })
 
 
 def _language(column: str = "_lang") -> Column:
     return F.when(F.col(column).isin(list(WORD_SHARES)), F.col(column)).otherwise(F.lit(REST))
 
 
-def references(docs: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
-    """References from a corpus: for each listed language, and the rest, sums over all documents."""
+def _summed(docs: DataFrame, histograms: dict[str, int]) -> dict[str, tuple[list[float], ...]]:
+    """By listed language, and for the rest, sums of histograms (column: length) over all documents."""
     df = _histograms(_with_words(docs.select(F.col("text").cast("string").alias("_text"), F.col("lang").cast("string").alias("_lang"))))
-    sums = [F.sum(F.col("_classes")[i]).alias(f"c{i}") for i in range(len(CLASSES))]
-    sums += [F.sum(F.col("_common")[i]).alias(f"w{i}") for i in range(len(VOCABULARY) + 1)]
+    sums = [F.sum(F.col(c)[i]).alias(f"{c}{i}") for c, n in histograms.items() for i in range(n)]
     rows = df.groupBy(_language().alias("lang")).agg(*sums).collect()  # at most one for each listed language, and the rest
-    return {r["lang"]: ([r[f"c{i}"] for i in range(len(CLASSES))], [r[f"w{i}"] for i in range(len(VOCABULARY) + 1)]) for r in rows}
+    return {r["lang"]: tuple([r[f"{c}{i}"] for i in range(n)] for c, n in histograms.items()) for r in rows}
+
+
+def references(docs: DataFrame) -> dict[str, tuple[list[float], list[float], list[float]]]:
+    """References from a corpus: of character classes, common words, and common words without case and punctuation."""
+    return _summed(docs, {"_classes": len(CLASSES), "_common": len(VOCABULARY) + 1, "_folded_common": len(VOCABULARY) + 1})
+
+
+def _references_for(docs: DataFrame) -> dict[str, tuple]:
+    """The default: fixed tables, and for the listed languages the documents' own common words."""
+    own = _summed(docs, {"_folded_common": len(VOCABULARY) + 1})
+    return {lang: (*reference[:2], own.get(lang, (None,))[0] if lang != REST else None) for lang, reference in default_references().items()}
 
 
 def _distance(counts: Column, reference: Column) -> Column:
@@ -126,12 +157,25 @@ def _reference_column(by_language: dict, which: int) -> Column:
         total = sum(counts) or 1.0
         return F.array(*[F.lit(float(x) / total) for x in counts])
 
-    column = literal(by_language[REST][which]) if by_language.get(REST, (None, None))[which] else F.lit(None).cast("array<double>")
+    column = literal(by_language[REST][which]) if by_language.get(REST, (None,) * 3)[which] else F.lit(None).cast("array<double>")
     for lang in sorted(x for x, reference in by_language.items() if x != REST and reference[which]):
         column = F.when(_language() == lang, literal(by_language[lang][which])).otherwise(column)
     return column
 
 
+def _most_word_distance(n_words: Column, by_language: dict) -> Column:
+    """The largest distance of common words that a text of n_words may have; null where its language has no reference."""
+    out = F.lit(None).cast("double")
+    for lang, reference in sorted(by_language.items()):
+        if counts := reference[2]:
+            share = 1 - counts[-1] / (sum(counts) or 1.0)
+            # Divergence from the reference of a text without common words.
+            divergence = (share + (1 - share) * math.log2((1 - share) / (1 - share / 2)) - math.log2(1 - share / 2)) / 2 if share < 1 else 1.0
+            limit = math.sqrt(max(divergence, 0.0)) * (F.lit(MAX_WORD_SHARE) + F.try_divide(F.lit(WORD_SLACK), n_words * F.lit(share)))
+            out = F.when(_language() == lang, limit).otherwise(out)
+    return out
+
+
 def _repeats(df: DataFrame) -> DataFrame:
     """Appends n_repeat_words: words in windows of three words that the text has twice or more.
 
@@ -166,9 +210,11 @@ def _measure(df: DataFrame, by_language: dict) -> DataFrame:
         "_n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "_class_distance": F.coalesce(_distance(F.col("_classes"), _reference_column(by_language, 0)), F.lit(0.0)),
         "_word_distance": F.coalesce(_distance(F.col("_common"), _reference_column(by_language, 1)), F.lit(0.0)),
+        "_folded_distance": _distance(F.col("_folded_common"), _reference_column(by_language, 2)),
+        "_most_distance": _most_word_distance(F.size("_folded"), by_language),
     })
     df = df.withColumn("_base_failed", (F.col("_n_words") < MIN_WORDS) | (100 * F.col("_n_repeat") > 50 * F.col("_n_words")))
-    near = (F.col("_class_distance") <= MAX_CLASS_DISTANCE) & (F.col("_word_distance") <= MAX_WORD_DISTANCE)
+    near = (F.col("_class_distance") <= MAX_CLASS_DISTANCE) & F.coalesce(F.col("_folded_distance") <= F.col("_most_distance"), F.lit(True))
     df = df.withColumn("_kept", ~F.col("_base_failed") & ((F.col("_word_chars") < MIN_CHARS) | near))
     # A filter on a verdict would be pushed below all these projections, and each measure written out again wherever it
     # is used. A column that the planner can't move keeps filters above it.
@@ -178,7 +224,7 @@ def _measure(df: DataFrame, by_language: dict) -> DataFrame:
 
 def quality_report(docs: DataFrame, by_language: dict | None = None) -> DataFrame:
     """One row per document: the base counts, both distances, base_failed and kept."""
-    by_language = by_language or default_references()
+    by_language = by_language or _references_for(docs)
     df = docs.select(F.col("doc_id").cast("long").alias("_doc_id"), F.col("text").cast("string").alias("_text"), F.col("lang").cast("string").alias("_lang"))
     names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "class_distance", "word_distance", "base_failed", "kept")
     return _measure(df, by_language).select(*[F.col(f"_{x}").alias(x) for x in names], F.col("_n_repeat").alias("n_repeat_words"))
@@ -186,6 +232,6 @@ def quality_report(docs: DataFrame, by_language: dict | None = None) -> DataFram
 
 def keep_good(docs: DataFrame, by_language: dict | None = None) -> DataFrame:
     """The rows of docs that the rules keep, with docs' own columns."""
-    by_language = by_language or default_references()
+    by_language = by_language or _references_for(docs)
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").cast("string").alias("_text"), F.col("lang").cast("string").alias("_lang"))
     return _measure(df, by_language).where("_kept").select("_row.*")

@@ -315,6 +315,24 @@ def test_divergence_separates(spark):
     assert same.class_distance < 1e-6 and same.word_distance < 1e-6
 
 
+def test_common_words_reject(spark):
+    rng = random.Random(8)
+    letters = lambda: "".join(rng.choices("bcfghjkmnpqrtvwxz", k=rng.randint(3, 9)))
+    rare = {lang: [letters() for _ in range(2000)] for lang in quality.WORD_SHARES}
+
+    def prose(lang, n):
+        common = rng.choices(list(quality.WORD_SHARES[lang]), [*quality.WORD_SHARES[lang].values()], k=n)
+        words = [c if rng.random() < 0.25 else rng.choice(rare[lang]) for c in common]
+        return " ".join(w.capitalize() + "," if i % 9 == 0 else w for i, w in enumerate(words))
+
+    good = [(i, prose(lang, n), lang) for i, (lang, n) in enumerate((lang, n) for lang in quality.WORD_SHARES for n in (50, 80, 150, 400, 900) for _ in range(10))]
+    bad = [(1000, " ".join(letters() for _ in range(300)), "en"), (1001, prose("en", 300), "de"), (1002, prose("de", 300), "fr"), (1003, prose("es", 900), "fr")]
+    rows = [*good, *bad, (2000, prose("en", 400).upper(), "en")]
+    kept = {r.doc_id for r in quality.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert kept & {r[0] for r in bad} == set()
+    assert kept == {r[0] for r in good} | {2000}
+
+
 # 10
 
 
