@@ -154,13 +154,22 @@ def taken_by_document(documents: DataFrame, manifest: DataFrame) -> DataFrame:
     return documents.join(right, condition, "left").select(*documents.columns, F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """docs' rows with each document repeated as often as the mix takes it, to the nearest whole number; columns stay."""
-    documents, manifest = mix(docs, **options)
+def apply_mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED, drawn: bool = False, **options) -> DataFrame:
+    """docs' rows with each document repeated as often as the mix takes it, in whole copies; columns stay.
+
+    By default a share is rounded to the nearest whole number. A document in one or two blocks then follows the draw
+    of its larger piece, but over more blocks the share nears the source's ratio whatever is drawn, so long documents
+    of a source all go or all stay. With `drawn` a draw of the document's own decides over the fraction of those, and
+    a source meets its target on average at any length."""
+    documents, manifest = mix(docs, block_words=block_words, seed=seed, **options)
     taken = taken_by_document(documents, manifest)
     # Rows of equal id, source and text can't be told apart: each gets their mean.
     times = F.avg(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(0.0)))
-    copies = taken.groupBy("doc_id", "row_hash", "source").agg(F.floor(times + 0.5).cast("int").alias("_copies")).where("_copies > 0")
+    n_blocks = F.floor((F.col("begin") + F.col("size") - 1) / block_words) - F.floor(F.col("begin") / block_words) + 1
+    shares = taken.groupBy("doc_id", "row_hash", "source").agg(times.alias("times"), ((F.max(n_blocks) <= 2) & (F.count("*") == 1)).alias("near"))
+    draw = F.pmod(F.xxhash64("doc_id", "row_hash", "source", F.lit(seed + 3)), F.lit(1 << 30)) / float(1 << 30)
+    copies = shares.select("doc_id", "row_hash", "source", F.floor(F.col("times") + F.when(F.col("near") | F.lit(not drawn), 0.5).otherwise(draw)).cast("int").alias("_copies"))
+    copies = copies.where("_copies > 0")
     row = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_d"),
         F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_h"), F.col("source").cast("string").alias("_s"),

@@ -272,6 +272,15 @@ def test_mixing(spark, docs, rows, empty):
     assert mixing.taken_by_document(*mixing.mix(empty)).isEmpty()
 
 
+def test_long_documents_meet_the_target(spark):
+    # Documents of 20 blocks in sources of which 0.375 and 0.75 are taken.
+    rows = [(i, " ".join(f"w{i}" for _ in range(160)), ("a", "b", "c")[i % 3]) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size = {r.source: r["count"] for r in mixing.apply_mix(docs, block_words=8, drawn=True).groupBy("source").count().collect()}
+    for source, target in (("a", 375), ("b", 150), ("c", 75)):
+        assert abs(size.get(source, 0) - target) < 40
+
+
 def test_permutation_is_one(spark):
     for n in (1, 2, 7, 100):
         df = spark.range(n).select("id", mixing._permuted(F.col("id"), F.lit(n), F.lit(3), 1).alias("p"))
