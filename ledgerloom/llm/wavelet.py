@@ -6,7 +6,7 @@ plane answers rank and select, and the planes together answer token access, coun
 the k-th occurrence, all from the one compressed payload. A payload also has the documents' ids and
 where each begins.
 
-Shards are ranges of doc_id whose bounds are quantiles of the ids, so that text is encoded once, only
+Shards are ranges of doc_id whose bounds are quantiles of the ids, by regions where there are many, so that text is encoded once, only
 token ids are shuffled, and a shard is written by one task from a sorted stream, in payloads of about
 `payload_tokens` tokens. A payload is a row of a Parquet file: Spark commits the files, any executor can
 read them, and a rerun writes to another folder. A document is never split, so a payload is as large as
@@ -29,11 +29,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, scratch, utf8
+from .common import WHITESPACE, arrow_batches, scratch, utf8
 
 END_TOKEN = 1
 SHARD_CHARS = 32 << 20
 PAYLOAD_TOKENS = 2 << 20
+#: Ranges of doc_id that one sketch cuts the table into at most.
+REGIONS = 512
 #: Words whose tokens a worker remembers at most.
 CACHED_WORDS = 1_000_000
 
@@ -169,66 +171,93 @@ def unpack_payload(payload: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatri
 #: The encoder of this worker, by path: loading a vocabulary takes longer than many a task.
 _encoders: dict[str, _Encoder] = {}
 
+#: Signs that often close a word, and a control character to put between words.
+_CLOSING, _MARK = ".,;:!?", "\x01"
+
 
 class _Encoder:
-    """Texts -> token ids as little-endian 16-bit numbers; the text goes to the library word by word.
+    """Texts -> token ids as little-endian numbers, the ids that the library gives for the whole text.
 
-    The library's tokens never span ASCII white space, so words are encoded by themselves and remembered. New
-    words go in at once, a special token between them, at which the ids are cut again."""
+    Where the vocabulary's own normaliser and pre-tokeniser keep words apart at ASCII white space, words are
+    encoded by themselves and remembered, many new ones to a call with a mark between them. Case goes first
+    where the normaliser drops it, and closing signs are cut off behind letters that the pre-tokeniser cuts
+    them from. Each of these is tried on the vocabulary; what it doesn't allow is left to the library, as is
+    each text with a special token in it."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        if self.tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("ids of this vocabulary need more than 16 bits")
-        special = sorted((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip))
-        self.mark = special[0] if special else None
+        ids = self.tokenizer.get_vocab(with_added_tokens=True).values()
+        self.width = "<u2" if max(ids, default=0) < 1 << 16 else "<u4"
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content.encode() for t in added]
+        pieces = self._pieces
+        spaces = [*WHITESPACE, "  ", "\r\n"]
+        self.apart = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added) and all(
+            pieces(f"{w}{a}{w}{b}{w}") == pieces(a) + pieces(b) for w in spaces for a in ("a", "!", "7", "\u00e9") for b in ("b", "'s", "\u0301", "\u00df")
+        )
+        plain = "".join(map(chr, range(33, 127)))
+        self.folds = self.apart and pieces(plain) == pieces(plain.lower()) and all(pieces(c) == pieces(c.lower()) for c in plain)
+        letters = [chr(c) for c in (*range(65, 91), *range(97, 123), *range(0xC0, 0x180)) if chr(c).isalpha()]
+        tails = [*_CLOSING, *(x + y for x in _CLOSING for y in _CLOSING)]
+        self.closing = _CLOSING.encode() if self.apart else b""
+        #: Letters, by their last byte or two, behind which closing signs are tokens of their own.
+        self.letters = {c.encode()[-2:] for c in letters if all(pieces(f"a{c}{t}") == pieces(f"a{c}") + pieces(t) for t in tails)} if self.apart else set()
+        mark = self._ids(_MARK)
+        self.mark = int(mark[0]) if self.apart and len(mark) == 1 and pieces(f"a {_MARK} b") == [*pieces("a"), *pieces(_MARK), *pieces("b")] else None
+
+    def _pieces(self, text: str) -> list[str]:
+        """What the vocabulary's merges work on."""
+        normaliser, cutter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        text = normaliser.normalize_str(text) if normaliser else text
+        return [p for p, _ in cutter.pre_tokenize_str(text)] if cutter else [text]
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u2")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.width)
 
     def _parts(self, word: bytes) -> tuple[bytes, bytes]:
-        """A word as what its tokens depend on: without case, and closing marks apart from the letters before them.
-
-        The vocabulary has no case, and the library cuts between letters and other signs."""
-        if b"<|" in word:
-            return word, b""
-        stem = word.rstrip(b".,;:!?")
-        if stem and stem != word and not (stem[-1:].isalpha() if stem[-1] < 0x80 else stem.decode()[-1].isalpha()):
+        """A word as what its tokens depend on: without case, and closing signs apart from the letter before them."""
+        stem = word.rstrip(self.closing)
+        if stem != word and not (stem[-1:] in self.letters or stem[-2:] in self.letters):
             stem = word
-        stem = stem or word
-        return (stem.lower() if stem.isascii() else stem), word[len(stem) :]
+        return (stem.lower() if self.folds and stem.isascii() else stem), word[len(stem) :]
 
     def _learn(self, words: list[bytes]) -> None:
+        known, size = self.known, np.dtype(self.width).itemsize
         parts = [self._parts(w) for w in words]
-        new = [p for p in set(itertools.chain.from_iterable(parts)) if p and p not in self.known]
-        mark = self.mark
-        together = [w for w in new if mark and mark[1].encode() not in w]
-        for at in range(0, len(together), 5000):
-            part = together[at : at + 5000]
-            ids = self._ids(mark[1] + mark[1].join(w.decode() for w in part))
-            cuts = [*np.flatnonzero(ids == mark[0]).tolist(), len(ids)]
+        new = [p for p in set(itertools.chain.from_iterable(parts)) if p and p not in known]
+        together = [w for w in new if _MARK.encode() not in w] if self.mark is not None else []
+        for at in range(0, len(together), 500):
+            part = together[at : at + 500]
+            between = f" {_MARK} "
+            ids = self._ids(between + between.join([w.decode() for w in part]))
+            cuts = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
             data = ids.tobytes()
             for word, a, b in zip(part, cuts[:-1], cuts[1:], strict=True):
-                self.known[word] = data[2 * a + 2 : 2 * b]
+                known[word] = data[size * (a + 1) : size * b]
         for word in new:
-            if word not in self.known:
-                self.known[word] = self._ids(word.decode()).tobytes()
-        known = self.known
+            if word not in known:
+                known[word] = self._ids(word.decode()).tobytes()
         for word, (stem, tail) in zip(words, parts, strict=True):
             if word not in known:
                 known[word] = known[stem] + known[tail] if tail else known[stem]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        words = set(itertools.chain.from_iterable(split))
+        split: list[list[bytes] | None] = []
+        for text in texts:
+            low = text.lower()
+            if not self.apart or any(a in low or a in text for a in self.added):
+                split.append(None)
+            else:
+                split.append((low if self.folds and text.isascii() else text).split())
+        words = set(itertools.chain.from_iterable(s for s in split if s))
         if len(self.known) > CACHED_WORDS:
             self.known = {w: self.known[w] for w in words if w in self.known}
         self._learn(list(words.difference(self.known)))
         known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
+        return [self._ids(t.decode()).tobytes() if s is None else b"".join([known[w] for w in s]) for t, s in zip(texts, split, strict=True)]
 
 
 def _encoder(path: str) -> _Encoder:
@@ -237,18 +266,42 @@ def _encoder(path: str) -> _Encoder:
     return _encoders[path]
 
 
+def _bounds(ids: DataFrame, n_shards: int, regions: int = REGIONS) -> np.ndarray:
+    """The least doc_id of each shard but the first, shards having like numbers of rows.
+
+    Sketches stay small at any number of shards: one of the whole cuts it into regions, and each region is cut
+    by a sketch of its own. What comes to the driver is a number per shard."""
+    def quantiles(n: int) -> list[float]:
+        return [i / n for i in range(1, n)]
+
+    ids = ids.where("doc_id is not null")
+    n_regions = min(n_shards, regions)
+    coarse = np.array(sorted({int(b) for b in ids.approxQuantile("doc_id", quantiles(n_regions), 0.01 / n_regions)} if n_regions > 1 else ()), dtype=np.int64)
+    per_region = -(-n_shards // n_regions)
+    if per_region == 1:
+        return coarse
+
+    def deal(batches):
+        for batch in arrow_batches(batches):
+            region = np.searchsorted(coarse, batch.column(0).to_numpy(), side="right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(region)], ["doc_id", "region"])
+
+    dealt = ids.mapInArrow(deal, "doc_id long, region int")
+    fine = dealt.groupBy("region").agg(F.percentile_approx("doc_id", quantiles(per_region), 100 * per_region).alias("bounds")).collect()
+    return np.unique(np.concatenate([coarse, *(np.array(r["bounds"], dtype=np.int64) for r in fine)]))
+
+
 def write_shards(docs: DataFrame, tokenizer_path: str, path: str, shard_chars: int = SHARD_CHARS, payload_tokens: int = PAYLOAD_TOKENS) -> None:
     """Encode docs and write their shards under path, in ascending order of doc_id."""
     frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chars = frame.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n_shards = max(1, -(-chars // shard_chars))
-    # Bounds by rows; their rank error is a hundredth of a shard.
-    bounds = sorted(set(frame.approxQuantile("doc_id", [i / n_shards for i in range(1, n_shards)], 0.01 / n_shards))) if n_shards > 1 else []
-    bounds = np.array([int(b) for b in bounds], dtype=np.int64)
+    bounds = _bounds(frame.select("doc_id"), max(1, -(-chars // shard_chars)))
+    width = _encoder(tokenizer_path).width
+    token_bytes = np.dtype(width).itemsize
 
     def encode(batches):
         encoder = _encoder(tokenizer_path)
-        end = np.array([END_TOKEN], dtype="<u2").tobytes()
+        end = np.array([END_TOKEN], dtype=width).tobytes()
         for batch in arrow_batches(batches):
             for small in (batch.slice(at, 1000) for at in range(0, batch.num_rows, 1000)):
                 ids = small.column(0).fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
@@ -260,14 +313,14 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, shard_chars: i
         for shard, group in itertools.groupby(_rows(batches), key=lambda r: r[0]):
             ids, lengths, parts, size, part = [], [], [], 0, 0
             for _, doc_id, tokens in group:
-                if size and size + len(tokens) // 2 > payload_tokens:
-                    yield _payload(shard, part, ids, lengths, parts)
+                if size and size + len(tokens) // token_bytes > payload_tokens:
+                    yield _payload(shard, part, ids, lengths, parts, width)
                     ids, lengths, parts, size, part = [], [], [], 0, part + 1
                 ids.append(_NULL_ID if doc_id is None else doc_id)
-                lengths.append(len(tokens) // 2)
+                lengths.append(len(tokens) // token_bytes)
                 parts.append(tokens)
-                size += len(tokens) // 2
-            yield _payload(shard, part, ids, lengths, parts)
+                size += len(tokens) // token_bytes
+            yield _payload(shard, part, ids, lengths, parts, width)
 
     encoded = frame.mapInArrow(encode, "doc_id long, shard int, tokens binary")
     dealt = encoded.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "tokens")
@@ -279,8 +332,8 @@ def _rows(batches):
         yield from zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)
 
 
-def _payload(shard, part, ids, lengths, parts) -> pa.RecordBatch:
-    tokens = np.frombuffer(b"".join(parts), dtype="<u2").astype(np.uint32)
+def _payload(shard, part, ids, lengths, parts, width) -> pa.RecordBatch:
+    tokens = np.frombuffer(b"".join(parts), dtype=width).astype(np.uint32)
     row = {"shard": shard, "part": part, "n_docs": len(ids), "n_tokens": len(tokens), "payload": pack_payload(ids, lengths, tokens)}
     types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types, strict=True)], list(row))

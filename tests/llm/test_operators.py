@@ -210,6 +210,29 @@ def test_token_shards(spark, docs, rows, empty):
     assert wavelet.encode_and_read(empty, path).isEmpty()
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_like_the_library(name):
+    from tokenizers import Tokenizer
+
+    path, rng = queries.tokenizer_path(name), random.Random(6)
+    # Letters, closing signs, white space of all kinds, combining marks, letters that normal form C or lower case take
+    # apart or put together, special tokens.
+    signs = [*"abzAZ'st.,;:!? \t\n\x0b\r\x1c\x85\xa0\x01<|>09#-", *"İıſKéÉßẞŉǰΣσςàñṈ\u0303\u0301\u0307\u0308\u0338", *"\u0915\u0958\u095f\u093cק\u05b4\u05bc\ufb2a\ufb1d\ufb2e", *"Ω中日\u3000\u200b😀"]
+    signs += ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "T\u0308", "≠", "'S", "'ll", "İ,", "é!"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 14))) for _ in range(100_000)]
+    encoder, tokenizer = wavelet._Encoder(path), Tokenizer.from_file(path)
+    got = [x for at in range(0, len(texts), 1000) for x in encoder.encode([t.encode() for t in texts[at : at + 1000]])]
+    for text, ids, want in zip(texts, got, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(ids, encoder.width).tolist() == want.ids, text
+
+
+def test_shard_bounds_in_regions(spark):
+    ids = spark.createDataFrame([(i * i,) for i in range(2000)] + [(None,)] * 5, "doc_id long")
+    bounds = wavelet._bounds(ids, 20, regions=4)
+    assert len(bounds) == 19 and max(np.diff(np.sqrt([0, *bounds, 2000**2]))) < 130
+    assert len(wavelet._bounds(ids.limit(0), 20, regions=4)) == 0
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(0)
     for n, top in ((1, 2), (700, 3), (5000, 1000)):
