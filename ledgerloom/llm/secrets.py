@@ -2,19 +2,28 @@
 
 The rules' regexes are compiled together: a Thompson construction gives one non-deterministic automaton,
 subset construction makes it deterministic over classes of bytes that no rule tells apart, and partition
-refinement minimises it into one transition array. A batch of documents is scanned in a single pass over
-its bytes: the text is cut behind bytes that occur in no rule (the automaton is in its start state
-there), and the pieces advance in step, one array lookup per byte. Pieces in which any rule accepted are
-then matched exactly, by the rules' own patterns, for their spans.
+refinement minimises it into a transition array. Each state is tagged with the rules that it accepts. Two
+arrays come from one construction:
+
+* The backward one reads the rules' mirror images from the end of the text and may begin anywhere. Behind
+  each byte its state tells which rules have a match that starts there. It runs over every byte once, all
+  rules at once, many stretches of text in step: each stretch is first read from the start state, then again
+  from the state that the stretch behind it ends in, as far as the two readings differ. So a text without
+  any break is read as fast as any other.
+* The forward one begins at a start that the backward one found and gives that match's end, the last byte
+  at which its rule accepts. A rule's next match is the first start from there on.
+
+A match that is too short is dropped with all that it covers.
 
 Defined results: null or empty text has no spans; spans are code points with an exclusive end; each kind
-is leftmost and non-overlapping by itself, while kinds may overlap each other; repeated documents are
-scanned row by row; an empty table gives an empty result; other columns are ignored.
+is leftmost, longest and non-overlapping by itself, while kinds may overlap each other; repeated documents
+are scanned row by row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 from re import _constants as sre
 from re import _parser as sre_parser
@@ -31,29 +40,27 @@ BASE_KINDS = ("assign", "access", "hex")
 
 @dataclass(frozen=True)
 class Rule:
-    """`pattern` finds matches; those with `least` bytes or more in group `group` count. `scan` must occur in each that counts."""
+    """`pattern` finds matches. Those count that accept on `tail` bytes or more: of a pattern that ends in a repeated
+    class, its length. (Counted tails in patterns would multiply the states where they run side by side.)"""
 
     kind: str
     pattern: str
-    scan: str
-    group: int = 0
-    least: int = 1
+    tail: int = 1
 
 
 _KEYWORD = "(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
-_ASSIGN = _KEYWORD + "[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]"
 
 RULES = (
-    Rule("assign", _ASSIGN + "+)", _ASSIGN + "{6})", 1, 6),
-    Rule("access", "AKIA[A-Z0-9]+", "AKIA[A-Z0-9]{16}", 0, 20),
-    Rule("hex", "[0-9a-f]+", "[0-9a-f]{24}", 0, 24),
-    # Their counted tails are left to the exact match: counters that run side by side multiply the states.
-    Rule("github", "gh[opsur]_[A-Za-z0-9]{36,}", "gh[opsur]_[A-Za-z0-9]"),
-    Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", "xox[abprs]-[A-Za-z0-9-]"),
-    Rule("google", "AIza[0-9A-Za-z_-]{35}", "AIza[0-9A-Za-z_-]"),
-    Rule("stripe", "[rs]k_live_[0-9A-Za-z]{16,}", "[rs]k_live_[0-9A-Za-z]"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "eyJ[A-Za-z0-9_-]{2}"),
-    Rule("pem", "-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----", "-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----"),
+    Rule("assign", _KEYWORD + "[\"']?\\x20*[:=]\\x20*[\"']?[A-Za-z0-9+/_.=-]+", 6),
+    # Shorter runs of these two hold no longer match, so that leaving them out drops the same.
+    Rule("access", "AKIA[A-Z0-9]{16,}"),
+    Rule("hex", "[0-9a-f]{24,}"),
+    Rule("github", "gh[opsur]_[A-Za-z0-9]+", 36),
+    Rule("slack", "xox[abprs]-[A-Za-z0-9-]+", 10),
+    Rule("google", "AIza[0-9A-Za-z_-]+", 35),
+    Rule("stripe", "[rs]k_live_[0-9A-Za-z]+", 16),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 8),
+    Rule("pem", "-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----"),
 )
 
 
@@ -127,51 +134,71 @@ class _Nfa:
                     todo.append(x)
         return frozenset(seen)
 
+    def mirrored(self) -> _Nfa:
+        out = _Nfa()
+        for _ in self.edges:
+            out.state()
+        for s, (edges, empty) in enumerate(zip(self.edges, self.empty, strict=True)):
+            for members, t in edges:
+                out.edges[t].append((members, s))
+            for t in empty:
+                out.empty[t].append(s)
+        return out
+
 
 @dataclass(frozen=True)
 class Automaton:
-    """next_state[state + class_of[byte]] is the next state, premultiplied by n_classes; states from `accepting` on accept."""
+    """next_state[state + class_of[byte]] is the next state, both premultiplied by n_classes; states from `accepting` on
+    accept. accepts and alive (by state / n_classes): bits of the rules that it accepts, and that may still accept."""
 
     class_of: np.ndarray
-    dead: np.ndarray
     next_state: np.ndarray
+    accepts: np.ndarray
+    alive: np.ndarray
     accepting: int
     start: int
     n_classes: int
 
 
-def compile_rules(rules=RULES) -> Automaton:
-    nfa = _Nfa()
-    root = nfa.state()
-    final = {nfa.add(sre_parser.parse(r.scan), root) for r in rules}
+def compile_rules(rules=RULES) -> tuple[Automaton, Automaton]:
+    """The forward automaton of the rules, and the backward one."""
+    nfa, owner = _Nfa(), []
+    roots, finals = [], []
+    for k, rule in enumerate(rules):
+        roots.append(nfa.state())
+        finals.append(nfa.add(sre_parser.parse(rule.pattern), roots[-1]))
+        owner += [k] * (len(nfa.edges) - len(owner))
+    return _deterministic(nfa, owner, roots, finals, False), _deterministic(nfa.mirrored(), owner, finals, roots, True)
+
+
+def _deterministic(nfa: _Nfa, owner: list[int], begins: list[int], ends: list[int], anywhere: bool) -> Automaton:
+    """Subset construction from the states `begins`, which are in every set if a match may begin anywhere."""
     # Bytes that lie in the same sets of edges are one class; class 0 holds those of no edge.
     sets = sorted({members for edges in nfa.edges for members, _ in edges}, key=sorted)
-    signature = [tuple(b in s for s in sets) for b in range(256)]
     order = {tuple([False] * len(sets)): 0}
-    class_of = np.array([order.setdefault(x, len(order)) for x in signature], dtype=np.int32)
+    class_of = np.array([order.setdefault(tuple(b in s for s in sets), len(order)) for b in range(256)], dtype=np.uint8)
     n_classes, sample = len(order), {int(c): b for b, c in enumerate(class_of)}
-
-    start = nfa.closure([root])
+    start, end_rule = nfa.closure(begins), {s: k for k, s in enumerate(ends)}
     moves = [[nfa.closure([t for members, t in edges if sample.get(c, -1) in members]) for c in range(n_classes)] for edges in nfa.edges]
-    number, table, accepts, todo = {start: 0}, [], [], [start]
+    number, table, accepts, alive, todo = {start: 0}, [], [], [], [start]
     while todo:
-        states = todo.pop(0)
-        accepts.append(bool(states & final))
+        states = todo.pop()
         row = []
         for c in range(n_classes):
-            # Matching may begin anywhere: the start's states are in each set. One match is enough to flag a piece.
-            target = states if accepts[-1] else start.union(*[moves[s][c] for s in states])
+            target = frozenset().union(start if anywhere else (), *[moves[s][c] for s in states])
             if target not in number:
                 number[target] = len(number)
                 todo.append(target)
             row.append(number[target])
-        table.append(row)
-    return _minimised(np.array(table), np.array(accepts), class_of, n_classes)
+        bits = sum(1 << k for s, k in end_rule.items() if s in states)
+        table.append((number[states], row, bits, sum({1 << owner[s] for s in states})))
+    _, table, accepts, alive = (np.array(x, dtype=np.int64) for x in zip(*sorted(table), strict=True))
+    return _minimised(table, accepts, alive, class_of, n_classes)
 
 
-def _minimised(table: np.ndarray, accepts: np.ndarray, class_of: np.ndarray, n_classes: int) -> Automaton:
-    """States with the same acceptance and successors fall together; non-accepting ones get the low numbers."""
-    block, n = accepts.astype(np.int64), 0
+def _minimised(table: np.ndarray, accepts: np.ndarray, alive: np.ndarray, class_of: np.ndarray, n_classes: int) -> Automaton:
+    """States with the same rules and successors fall together; those that accept nothing get the low numbers."""
+    block, n = np.unique(np.stack((accepts, alive)), axis=1, return_inverse=True)[1].reshape(-1), 0
     while True:
         known: dict[bytes, int] = {}
         rows = np.column_stack((block, block[table])).astype(np.int32)
@@ -179,50 +206,102 @@ def _minimised(table: np.ndarray, accepts: np.ndarray, class_of: np.ndarray, n_c
         if len(known) == n:
             break
         n = len(known)
-    first = np.array([np.flatnonzero(block == b)[0] for b in range(n)])
-    order = np.argsort(accepts[first], kind="stable")
+    first = np.unique(block, return_index=True)[1]
+    order = np.argsort(accepts[first] > 0, kind="stable")
     rank = np.empty(n, dtype=np.int64)
     rank[order] = np.arange(n)
-    small = rank[block[table[first[order]]]]
-    accepting = int((~accepts[first]).sum()) * n_classes
-    return Automaton(class_of, class_of == 0, (small * n_classes).astype(np.int32).reshape(-1), accepting, int(rank[block[0]]) * n_classes, n_classes)
-
-
-#: Least bytes of a piece, and how many pieces advance together.
-PIECE, TOGETHER = 192, 8192
-
-
-def flagged_pieces(automaton: Automaton, data: np.ndarray) -> list[tuple[int, int]]:
-    """Start and end of the pieces of data (bytes) in which a rule accepts."""
-    if not len(data):
-        return []
-    dead = np.flatnonzero(automaton.dead[data])
-    cuts = dead[np.concatenate(([True], np.diff(dead // PIECE) > 0))] + 1 if len(dead) else dead
-    starts = np.concatenate(([0], cuts))
-    ends = np.concatenate((cuts, [len(data)]))
-    order = np.argsort(starts - ends, kind="stable")
-    starts, lengths, codes = starts[order], (ends - starts)[order], automaton.class_of[data]
-    found = []
-    for at in range(0, len(starts), TOGETHER):
-        begin, length = starts[at : at + TOGETHER], lengths[at : at + TOGETHER]
-        state = np.full(len(begin), automaton.start, dtype=np.int32)
-        highest = state.copy()
-        # How many pieces are longer than t, for each t.
-        active = len(begin) - np.searchsorted(length[::-1], np.arange(length[0]), side="right")
-        for t, m in enumerate(active.tolist()):
-            state = automaton.next_state[state[:m] + codes[begin[:m] + t]]
-            np.maximum(highest[:m], state, out=highest[:m])
-        hit = highest >= automaton.accepting
-        found += zip(begin[hit].tolist(), (begin[hit] + length[hit]).tolist(), strict=True)
-    return sorted(found)
-
-
-def _spans(rules, compiled, piece: bytes):
-    """Kind's index, start and end of the matches in a piece that count."""
-    for k, (rule, pattern) in enumerate(zip(rules, compiled, strict=True)):
-        for m in pattern.finditer(piece):
-            if len(m[rule.group]) >= rule.least:
-                yield k, *m.span()
+    at = first[order]
+    small = (rank[block[table[at]]] * n_classes).astype(np.int32).reshape(-1)
+    return Automaton(class_of, small, accepts[at], alive[at], int((accepts[at] == 0).sum()) * n_classes, int(rank[block[0]]) * n_classes, n_classes)
+
+
+#: Bytes that are read at once, the length of the stretches in which they are, and how many of those are too few for arrays.
+BLOCK, STRETCH, FEW = 1 << 20, 256, 16
+
+
+def _states(backward: Automaton, data: np.ndarray, state: int) -> np.ndarray:
+    """The states behind each byte of data when it is read from its end, from a state on."""
+    n = -(-len(data) // STRETCH)
+    pad = n * STRETCH - len(data)
+    codes = np.zeros(n * STRETCH, dtype=np.uint8)
+    codes[pad:] = backward.class_of[data]
+    codes = np.ascontiguousarray(codes.reshape(n, STRETCH).T)
+    out, at = np.empty((STRETCH, n), dtype=np.int32), np.full(n, backward.start, dtype=np.int32)
+    at[-1] = state
+    for t in reversed(range(STRETCH)):
+        at = backward.next_state[at + codes[t]]
+        out[t] = at
+    # Each stretch again from the state that the next one left, until both readings agree.
+    changed = np.arange(1, n)
+    while len(changed) > FEW:
+        active = changed - 1
+        at, known = out[0, changed], None
+        for t in reversed(range(STRETCH)):
+            at = backward.next_state[at + codes[t, active]]
+            known = at != out[t, active]
+            if not known.all():
+                active, at = active[known], at[known]
+                if not len(active):
+                    break
+            out[t, active] = at
+        changed = active[active > 0]
+    states = out.T.reshape(-1)
+    # A few that differ over many stretches: one after the other, byte by byte.
+    for i in sorted((changed * STRETCH - 1).tolist(), reverse=True):
+        state = int(states[i + 1])
+        while i >= 0 and (state := int(backward.next_state[state + int(codes[i % STRETCH, i // STRETCH])])) != states[i]:
+            states[i] = state
+            i -= 1
+    return states[pad:]
+
+
+def starts_of(backward: Automaton, data: np.ndarray, n_rules: int) -> list[list[int]]:
+    """For each rule the positions in data (bytes) at which a match of it starts."""
+    found: list[list[np.ndarray]] = [[] for _ in range(n_rules)]
+    state = backward.start
+    for end in range(len(data), 0, -BLOCK):
+        begin = max(0, end - BLOCK)
+        states = _states(backward, data[begin:end], state)
+        state = int(states[0])
+        hits = np.flatnonzero(states >= backward.accepting)
+        bits = backward.accepts[states[hits] // backward.n_classes]
+        for k in range(n_rules):
+            found[k].append(hits[(bits >> k & 1).astype(bool)] + begin)
+    return [np.concatenate(x[::-1]).tolist() if x else [] for x in found]
+
+
+class Scanner:
+    """The two automata of the rules, and what they find in a run of bytes."""
+
+    def __init__(self, rules, automata: tuple[Automaton, Automaton]) -> None:
+        self.rules, (forward, self.backward) = rules, automata
+        self.start, self.n_classes = forward.start, forward.n_classes
+        self.class_of, self.next_state, self.accepts, self.alive = (x.tolist() for x in (forward.class_of, forward.next_state, forward.accepts, forward.alive))
+
+    def _match(self, data: bytes, k: int, at: int) -> tuple[int, int]:
+        """From a start of rule k: the ends of its shortest and of its longest match."""
+        state, first, last = self.start, -1, -1
+        for at in range(at, len(data)):
+            state = self.next_state[state + self.class_of[data[at]]]
+            row = state // self.n_classes
+            if self.accepts[row] >> k & 1:
+                last = at + 1
+                first = first if first >= 0 else last
+            elif not self.alive[row] >> k & 1:
+                break
+        return first, last
+
+    def scan(self, data: bytes):
+        """Start, rule and end (bytes) of the matches that count, in order."""
+        out = []
+        for k, starts in enumerate(starts_of(self.backward, np.frombuffer(data, dtype=np.uint8), len(self.rules))):
+            i = 0
+            while i < len(starts):
+                first, last = self._match(data, k, starts[i])
+                if last - first + 1 >= self.rules[k].tail:
+                    out.append((starts[i], k, last))
+                i = bisect_left(starts, last, i + 1)
+        return sorted(out)
 
 
 def find_secrets(docs: DataFrame, rules=RULES) -> DataFrame:
@@ -231,26 +310,20 @@ def find_secrets(docs: DataFrame, rules=RULES) -> DataFrame:
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def scan(batches):
-        automaton, compiled = shared.value, [re.compile(r.pattern.encode()) for r in rules]
+        scanner = Scanner(rules, shared.value)
         for batch in arrow_batches(batches):
             texts = utf8(batch.column(1))
             # A zero byte, which is in no rule, ends each text.
-            joined = b"\0".join(texts) + b"\0"
             offsets = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
-            data = np.frombuffer(joined, dtype=np.uint8)
             found: list[list] = [[] for _ in texts]
-            for start, end in flagged_pieces(automaton, data):
-                # A piece may span several short texts.
-                first = int(np.searchsorted(offsets, start, side="right")) - 1
-                for i in range(first, int(np.searchsorted(offsets, end, side="left"))):
-                    a, b = max(start, int(offsets[i])), min(end, int(offsets[i + 1]) - 1)
-                    base = int(offsets[i])
-                    found[i] += [(a - base + s, k, a - base + e) for k, s, e in _spans(rules, compiled, joined[a:b])]
+            for s, k, e in scanner.scan(b"\0".join(texts) + b"\0"):
+                i = int(np.searchsorted(offsets, s, side="right")) - 1
+                found[i].append((s - int(offsets[i]), k, e - int(offsets[i])))
             out = []
             for text, spans in zip(texts, found, strict=True):
                 if spans:
                     points = np.concatenate(([0], np.cumsum((np.frombuffer(text, dtype=np.uint8) & 0xC0) != 0x80)))
-                    spans = [{"kind": rules[k].kind, "start": int(points[s]), "end": int(points[e])} for s, k, e in sorted(spans)]
+                    spans = [{"kind": rules[k].kind, "start": int(points[s]), "end": int(points[e])} for s, k, e in spans]
                 out.append(spans)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(span))], ["doc_id", "spans"])
 

@@ -184,14 +184,33 @@ def test_secrets(spark, docs, rows, empty):
     assert secrets.find_secrets(docs).count() == len(rows) and secrets.find_secrets(empty).isEmpty()
 
 
-def test_automaton_accepts_what_the_rules_match():
-    automaton = secrets.compile_rules()
+def secrets_by_search(text: bytes):
+    """All rules' matches that count, by the patterns; their tails are the last class, repeated."""
+    out = []
+    for k, rule in enumerate(secrets.RULES):
+        tail = re.search(r"(\[[^\]]*\])\+$", rule.pattern)
+        pattern = rule.pattern[: tail.start()] + f"({tail[1]}+)" if tail else f"({rule.pattern})"
+        out += [(m.start(), k, m.end()) for m in re.finditer(pattern.encode(), text) if len(m[1]) >= rule.tail]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("few", [0, 3])
+def test_automaton_finds_what_the_rules_match(monkeypatch, few):
+    monkeypatch.setattr(secrets, "FEW", few)
+    monkeypatch.setattr(secrets, "BLOCK", 90)
+    monkeypatch.setattr(secrets, "STRETCH", 16)
+    scanner = secrets.Scanner(secrets.RULES, secrets.compile_rules())
     rng = random.Random(2)
-    parts = ["token", "TOKEN", "=", ": ", "abcdef", "AKIA", "A1B2C3D4", "0123456789ab", " ", ",", "ghp_", "x" * 36, "-----BEGIN PRIVATE KEY-----", "eyJ", ".", '"', "api_key"]
-    for _ in range(1500):
-        text = "".join(rng.choices(parts, k=rng.randint(1, 12))).encode() + b"\0"
-        scan = any(re.search(r.scan.encode(), text) for r in secrets.RULES)
-        assert bool(secrets.flagged_pieces(automaton, np.frombuffer(text, np.uint8))) == scan, text
+    parts = ["token", "TOKEN", "=", ": ", "abcdef", "AKIA", "A1B2C3D4", "0123456789ab", " ", ",", "ghp_", "x" * 36, "-----BEGIN PRIVATE KEY-----", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "eyJ", "eyJhbGci", ".", '"', "api_key", "sk_live_", "xoxb-", "AIza", "\0", "é", " " * 40, "0a" * 30]
+    for _ in range(4000):
+        text = "".join(rng.choices(parts, k=rng.randint(0, 16))).encode()
+        assert scanner.scan(text) == secrets_by_search(text), text
+
+
+def test_long_words_are_read_in_stretches():
+    scanner = secrets.Scanner(secrets.RULES, secrets.compile_rules())
+    text = b"x" * 3_000_000 + b"token=" + b"y" * 2_000_000 + b" " + b"AKIA" + b"7" * 300_000 + b" token=" + b" " * 500_000 + b"abcdef"
+    assert scanner.scan(text) == secrets_by_search(text)
 
 
 # 6
