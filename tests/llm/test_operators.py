@@ -1,5 +1,6 @@
 """Each operator against brute force, on a fixture with nulls, empty and long texts, repeated rows and clashing columns."""
 
+import itertools
 import math
 import random
 import re
@@ -167,10 +168,59 @@ def test_base_spans_like_the_patterns():
 def test_model_on_held_out_texts():
     hits = wrong = missed = 0
     texts = pii.labelled_texts(150, seed=4242)
-    for (_, spans), found in zip(texts, pii.scan_texts(pii.trained(), [t for t, _ in texts]), strict=True):
+    tagger = pii.Tagger(pii.trained())
+    for (_, spans), found in zip(texts, pii.scan_texts(tagger, [t for t, _ in texts]), strict=True):
         gold, got = set(spans), {(s, k, e) for s, k, e, _ in found}
         hits, wrong, missed = hits + len(gold & got), wrong + len(got - gold), missed + len(gold - got)
     assert hits / (hits + wrong) > 0.95 and hits / (hits + missed) > 0.85
+    bare = "bob (at) site (dot) org"
+    assert pii.scan_texts(tagger, [bare]) == [[(0, 0, len(bare), "model")]]
+
+
+def test_windows_are_reconciled(monkeypatch):
+    """A span is found wherever windows cut it; windows are read in groups that documents don't end with."""
+    monkeypatch.setattr(pii, "TOGETHER", 7)
+    tagger, bare = pii.Tagger(pii.trained()), "anna.smith (at) site (dot) org"
+    texts = ["the report was sent to us in order " * 3 + "on" * (n // 2) + " " * (n % 2) + ", " + bare + " for the invoice of the office " * 4 for n in range(0, 170)]
+    found = sum([(x[s:e]) for s, _, e, f in spans if f == "model"] == [bare] for x, spans in zip(texts, pii.scan_texts(tagger, texts), strict=True))
+    assert found >= 0.95 * len(texts)
+    assert [list(pii.windows("")), [s for s, _ in pii.windows("a")]] == [[], [-pii.PAD]]
+    text = "".join(map(chr, range(33, 120))) * 9
+    covered = np.zeros(len(text), dtype=int)
+    for start, row in pii.windows(text):
+        assert (row[max(0, -start) : len(text) - start] == pii.codes(text[max(start, 0) : start + pii.WINDOW])).all()
+        covered[max(start, 0) : start + pii.WINDOW] += 1
+    assert covered.min() >= 1
+
+
+def test_cut_spans_are_put_together():
+    seen = [pii._Seen(10, 0, 128, False, True, 0), pii._Seen(80, 0, 208, True, True, 0), pii._Seen(160, 0, 230, True, False, 0), pii._Seen(300, 2, 319, False, False, 9), pii._Seen(305, 3, 319, True, False, 0), pii._Seen(302, 3, 315, False, False, 2)]
+    assert sorted(pii._reconciled(seen)) == [(10, 0, 230), (300, 2, 319)]
+
+
+def test_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(0)
+    p = {k: v + rng.normal(0, 0.1, v.shape) for k, v in pii._initial(1).items()}
+    rows, gold = rng.integers(0, pii.N_CHARS, (3, 7)), rng.integers(0, pii.N_TAGS, (3, 7))
+    _, gradient = pii._loss_gradient(p, rows, gold)
+    for k, v in p.items():
+        at = tuple(rng.integers(0, n) for n in v.shape) if k != "embed" else (int(rows[0, 2]), 1)
+        losses = []
+        for step in (1e-5, -1e-5):
+            q = {name: x.copy() for name, x in p.items()}
+            q[k][at] += step
+            losses.append(pii._loss_gradient(q, rows, gold)[0])
+        assert abs((losses[0] - losses[1]) / 2e-5 - gradient[k][at]) < 1e-6, k
+    assert np.allclose(pii.Tagger(p).scores(rows), pii.emissions(p, rows)[0], atol=1e-5)
+
+
+def test_viterbi_is_the_best_path():
+    rng = np.random.default_rng(3)
+    begin, move, scores = rng.normal(size=pii.N_TAGS), rng.normal(size=(pii.N_TAGS, pii.N_TAGS)), rng.normal(size=(4, 5, pii.N_TAGS))
+    got = pii.viterbi(begin.astype(np.float32), move.astype(np.float32), scores.astype(np.float32))
+    for r in range(5):
+        value = lambda path: begin[path[0]] + sum(scores[t, r, x] for t, x in enumerate(path)) + sum(move[a, b] for a, b in itertools.pairwise(path))  # noqa: B023, E731
+        assert tuple(got[r]) == max(itertools.product(range(pii.N_TAGS), repeat=4), key=value)
 
 
 # 5
