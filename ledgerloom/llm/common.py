@@ -2,32 +2,55 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The six ASCII characters between words ([\x20\x09-\x0D]); bytes.split() splits on the same ones.
 WHITESPACE = " \t\n\x0b\x0c\r"
 
 _own_folder: str | None = None
+_cleared: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, in local mode (tests) a folder of our own; on a cluster each machine would write to its own disk."""
     global _own_folder
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         _own_folder = _own_folder or tempfile.mkdtemp(prefix="ledgerloom-")
         folder = f"file://{_own_folder}"
     return folder.rstrip("/")
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path under the shared folder; each call gives another, so reruns never read older files."""
-    return f"{shared_folder(spark)}/ledgerloom/{what}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder; each call gives another, so reruns never read older files.
+
+    All of an application's are in one folder, which goes when the driver's process ends."""
+    root = f"{shared_folder(spark)}/ledgerloom/{spark.sparkContext.applicationId}"
+    if root not in _cleared:
+        _cleared.add(root)
+        at_end(spark, lambda: drop_scratch(spark, root))
+    return f"{root}/{what}-{uuid.uuid4().hex}"
+
+
+def at_end(spark: SparkSession, clear: Callable[[], object]) -> None:
+    """Call clear when the driver's process ends, if the session still runs then."""
+    def run() -> None:
+        with contextlib.suppress(Exception):
+            clear()
+
+    atexit.register(run)
 
 
 def materialise(df: DataFrame, what: str) -> DataFrame:
@@ -44,6 +67,11 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+def wrapped(docs: DataFrame, **columns: Column) -> DataFrame:
+    """docs' rows as one struct column `row`, so that no name of theirs clashes, and columns beside it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(name) for name, c in columns.items()])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
