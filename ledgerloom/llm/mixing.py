@@ -11,8 +11,8 @@ with the documents' pieces of blocks by source and block index.
 
 Everything is DataFrame functions. A source with a third of all rows is not gathered: documents are
 packed in buckets of about `BUCKET_ROWS` rows by a hash of their id, running sums inside a bucket are
-shifted by the sums of the buckets before, and slots are generated from chunks of `CHUNK_SLOTS`. Only the
-table of sources (one row each) and the one of bucket sums are ordered as a whole.
+shifted by the sums of the buckets before, those again in groups, and slots are generated from chunks of
+`CHUNK_SLOTS`, `TASK_SLOTS` to a task. Only the table of sources (one row each) is ordered as a whole.
 
 Defined results: null or empty text has size 0 and is never taken; a null source is one source of its
 own, last in order; repeated rows are packed one after the other; rows with equal id and size may swap
@@ -21,10 +21,12 @@ their places, which changes nothing in the result; an empty table gives an empty
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE, materialise
+from .common import WHITESPACE, materialise, wrapped
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -32,6 +34,7 @@ BLOCK_WORDS = 1024
 SHARDS = 64
 BUCKET_ROWS = 400
 CHUNK_SLOTS = 4096
+TASK_SLOTS = 1 << 16
 ROUNDS = 16
 SEED = 20240607
 
@@ -77,17 +80,36 @@ def _permuted(index: Column, n: Column, salt: Column, seed: int, inverse: bool =
     return F.aggregate(rounds, index.cast("long"), one_round)
 
 
+def running_sums(df: DataFrame, value: str, path: list[str], order: list) -> DataFrame:
+    """df with `before`: the sum of `value` over the rows that come earlier with the same path[0] (long columns, no nulls).
+
+    Rows are ordered by the rest of the path, then by `order`. No window is wider than the rows of one path, or the
+    distinct values of one part of it under the parts before: sums of each level shift the level below."""
+    inside = Window.partitionBy(*path).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    finest = materialise(df.groupBy(*path).agg(F.sum(value).alias("_sum")), "running-sums")
+    shifts = None
+    for depth in range(1, len(path)):
+        keys = path[: depth + 1]
+        sums = finest if depth == len(path) - 1 else finest.groupBy(*keys).agg(F.sum("_sum").alias("_sum"))
+        level = Window.partitionBy(*keys[:-1]).orderBy(keys[-1])
+        own = sums.select(*keys, (F.sum("_sum").over(level) - F.col("_sum")).alias("_own"))
+        shifts = own.withColumnRenamed("_own", "_shift") if shifts is None else own.join(shifts, keys[:-1]).select(*keys, (F.col("_own") + F.col("_shift")).alias("_shift"))
+    return rows.join(shifts, path).select(*df.columns, (F.col("_inside") + F.col("_shift")).alias("before"))
+
+
 def _packed(sized: DataFrame, n_rows: int) -> DataFrame:
     """Appends `begin`, the words of the source before each row in packing order."""
     n_buckets = max(1, n_rows // BUCKET_ROWS)
-    bucketed = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "row_hash"), F.lit(n_buckets)))
-    sums = bucketed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    order = Window.partitionBy("source").orderBy("bucket")
-    shifts = sums.select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), (F.sum("bucket_size").over(order) - F.col("bucket_size")).alias("shift"))
-    inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "size", "row_hash").rowsBetween(Window.unboundedPreceding, -1)
-    own = bucketed.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    joined = own.join(shifts, own["source"].eqNullSafe(F.col("_s")) & (own["bucket"] == F.col("_b")))
-    return joined.withColumn("begin", F.col("shift") + F.col("_inside")).drop("_s", "_b", "bucket", "shift", "_inside")
+    bucket = F.pmod(F.xxhash64("doc_id", "size", "row_hash"), F.lit(n_buckets))
+    placed = sized.withColumns({"_source": _key("source"), "_bucket": bucket}).withColumn("_group", F.floor(F.col("_bucket") / math.isqrt(n_buckets)).cast("long"))
+    sums = running_sums(placed, "size", ["_source", "_group", "_bucket"], ["doc_id", "size", "row_hash"])
+    return sums.withColumnRenamed("before", "begin").drop("_source", "_group", "_bucket")
+
+
+def _key(source: str) -> Column:
+    """A source as text that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))
 
 
 def _slots(targets: DataFrame, block_words: int, seed: int) -> DataFrame:
@@ -98,7 +120,9 @@ def _slots(targets: DataFrame, block_words: int, seed: int) -> DataFrame:
         F.ceil(size / F.lit(block_words)).cast("long").alias("n_blocks"), target.alias("words"),
     )
     n_slots = F.ceil(F.col("words") / F.col("s_size")).cast("long") * F.col("n_blocks")
-    chunks = per_source.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), (n_slots - 1)).cast("long"), F.lit(CHUNK_SLOTS).cast("long"))).alias("first")).repartition("salt", "first")
+    # The planner sees few small rows here, whatever the number of slots they stand for.
+    n_tasks = -(-(per_source.agg(F.coalesce(F.sum(n_slots), F.lit(0))).first()[0]) // TASK_SLOTS)
+    chunks = per_source.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), (n_slots - 1)).cast("long"), F.lit(CHUNK_SLOTS).cast("long"))).alias("first")).repartition(max(1, n_tasks), "salt", "first")
     slots = chunks.select("*", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + CHUNK_SLOTS, n_slots) - 1)).alias("slot"))
     slots = slots.withColumn("epoch", F.floor(F.col("slot") / F.col("n_blocks")).cast("long")).withColumn("k", F.col("slot") % F.col("n_blocks"))
     slots = slots.withColumn("block", _permuted(F.col("k"), F.col("n_blocks"), F.xxhash64("salt", "epoch"), seed))
@@ -121,7 +145,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, block_
         F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"),
     ), "mix-sizes")
     n_rows = sized.count()
-    targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats)
+    targets = materialise(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats), "mix-targets")
     named = targets.withColumnRenamed("source", "_source")
     packed = _packed(sized, n_rows)
     documents = packed.join(F.broadcast(named) if named.count() <= 10_000 else named, packed["source"].eqNullSafe(F.col("_source")), "left").drop("_source", "source_rank")
@@ -154,25 +178,43 @@ def taken_by_document(documents: DataFrame, manifest: DataFrame) -> DataFrame:
     return documents.join(right, condition, "left").select(*documents.columns, F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def apply_mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED, drawn: bool = False, **options) -> DataFrame:
-    """docs' rows with each document repeated as often as the mix takes it, in whole copies; columns stay.
+#: A share's fraction in whole numbers.
+_PARTS = 1 << 30
 
-    By default a share is rounded to the nearest whole number. A document in one or two blocks then follows the draw
-    of its larger piece, but over more blocks the share nears the source's ratio whatever is drawn, so long documents
-    of a source all go or all stay. With `drawn` a draw of the document's own decides over the fraction of those, and
-    a source meets its target on average at any length."""
-    documents, manifest = mix(docs, block_words=block_words, seed=seed, **options)
-    taken = taken_by_document(documents, manifest)
-    # Rows of equal id, source and text can't be told apart: each gets their mean.
-    times = F.avg(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(0.0)))
-    n_blocks = F.floor((F.col("begin") + F.col("size") - 1) / block_words) - F.floor(F.col("begin") / block_words) + 1
-    shares = taken.groupBy("doc_id", "row_hash", "source").agg(times.alias("times"), ((F.max(n_blocks) <= 2) & (F.count("*") == 1)).alias("near"))
-    draw = F.pmod(F.xxhash64("doc_id", "row_hash", "source", F.lit(seed + 3)), F.lit(1 << 30)) / float(1 << 30)
-    copies = shares.select("doc_id", "row_hash", "source", F.floor(F.col("times") + F.when(F.col("near") | F.lit(not drawn), 0.5).otherwise(draw)).cast("int").alias("_copies"))
-    copies = copies.where("_copies > 0")
-    row = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_d"),
-        F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_h"), F.col("source").cast("string").alias("_s"),
+
+def copies(taken: DataFrame, seed: int = SEED) -> DataFrame:
+    """From taken_by_document: whole copies of each document (doc_id, row_hash, source, copies), one row for equal ones.
+
+    A document of share x is taken floor(x) times or once more. Whose fraction rounds up follows from a running sum of
+    the fractions over the source's documents, the largest first: one more each time that the sum passes a whole
+    number. So the words of a source are off from what the mix takes by less than its largest document, at any length
+    of documents. Rows of equal id, source and text can't be told apart; they count as one document with all of
+    their words and get their mean share each."""
+    alike = taken.where("size > 0").groupBy("doc_id", "row_hash", "source").agg(
+        F.avg(F.col("taken") / F.col("size")).alias("times"), F.sum("size").alias("words")
+    )
+    whole = F.floor("times")
+    shares = materialise(alike.select("doc_id", "row_hash", "source", "words", whole.cast("int").alias("whole"), F.round((F.col("times") - whole) * _PARTS).cast("long").alias("part")), "mix-shares")
+    open_ = shares.where("part > 0").withColumns({
+        "_source": _key("source"), "_size": -F.col("words"), "_draw": F.xxhash64("doc_id", "row_hash", "source", F.lit(seed + 3)),
+    })
+    n_buckets = max(1, open_.count() // BUCKET_ROWS)
+    bucket = F.pmod("_draw", F.lit(n_buckets))
+    placed = open_.withColumn("_bucket", bucket).withColumn("_group", F.floor(F.col("_bucket") / math.isqrt(n_buckets)).cast("long"))
+    summed = running_sums(placed, "part", ["_source", "_size", "_group", "_bucket"], ["_draw", "doc_id", "row_hash"])
+    offset = F.pmod(F.xxhash64("_source", F.lit(seed + 4)), F.lit(_PARTS))
+    more = F.floor((F.col("before") + F.col("part") + offset) / _PARTS) - F.floor((F.col("before") + offset) / _PARTS)
+    both = summed.select("doc_id", "row_hash", "source", (F.col("whole") + more).cast("int").alias("copies")).union(
+        shares.where("part = 0").select("doc_id", "row_hash", "source", F.col("whole").alias("copies"))
     )
-    on = row["_d"].eqNullSafe(copies["doc_id"]) & (row["_h"] == copies["row_hash"]) & row["_s"].eqNullSafe(copies["source"])
-    return row.join(copies, on).select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_k")).select("_row.*")
+    return both.where("copies > 0")
+
+
+def apply_mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED, **options) -> DataFrame:
+    """docs' rows with each document repeated as often as the mix takes it, in whole copies (see copies()); columns stay,
+    whatever their names. Rows without words are never taken."""
+    documents, manifest = mix(docs, block_words=block_words, seed=seed, **options)
+    n = copies(taken_by_document(documents, manifest), seed)
+    row = wrapped(docs, key_id=F.col("doc_id").cast("long"), key_text=F.coalesce(F.xxhash64("text"), F.lit(0)), key_source=F.col("source").cast("string"))
+    on = row["key_id"].eqNullSafe(n["doc_id"]) & (row["key_text"] == n["row_hash"]) & row["key_source"].eqNullSafe(n["source"])
+    return row.join(n, on).select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_k")).select("row.*")
