@@ -38,8 +38,6 @@ _NORMAL = bytes(
     b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20
     for b in range(256)
 )
-#: What a scan appends to the columns it keeps; one struct, so that no name of the input clashes.
-MARK = "__contamination"
 _MARK_SCHEMA = (
     "n_words long, n_hit long, items array<string>, "
     "word_spans array<struct<first:int,last:int>>, char_spans array<struct<start:int,end:int>>"
@@ -105,11 +103,11 @@ def _scan(automaton, text: bytes, spans: list[tuple[int, int]], items: set[str])
     return len(words), int(hit.sum()), runs, items, [(original[a][0], original[b][1]) for a, b in runs]
 
 
-def _block(docs: DataFrame, patterns: list, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs and MARK, which takes up what an earlier block put there."""
+def _block(docs: DataFrame, patterns: list, keep: list[str], mark: str) -> DataFrame:
+    """The columns `keep` of docs and the struct `mark`, which takes up what an earlier block put there."""
     shared, key = docs.sparkSession.sparkContext.broadcast(patterns), uuid.uuid4().hex
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(MARK, T._parse_datatype_string(_MARK_SCHEMA))])
-    text_at, carried = docs.columns.index("text"), docs.columns.index(MARK) if MARK in docs.columns else None
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(mark, T._parse_datatype_string(_MARK_SCHEMA))])
+    text_at, carried = docs.columns.index("text"), docs.columns.index(mark) if mark in docs.columns else None
     kept = [docs.columns.index(c) for c in keep]
 
     def scan(batches):
@@ -117,21 +115,25 @@ def _block(docs: DataFrame, patterns: list, keep: list[str]) -> DataFrame:
             automaton = _automaton(key, shared.value)
             before = batch.column(carried).to_pylist() if carried is not None else [None] * batch.num_rows
             marks = []
-            for text, mark in zip(utf8(batch.column(text_at)), before, strict=True):
-                spans = [(x["first"], x["last"]) for x in mark["word_spans"]] if mark else []
-                n, n_hit, runs, items, chars = _scan(automaton, text, spans, set(mark["items"]) if mark else set())
+            for text, earlier in zip(utf8(batch.column(text_at)), before, strict=True):
+                spans = [(x["first"], x["last"]) for x in earlier["word_spans"]] if earlier else []
+                n, n_hit, runs, items, chars = _scan(automaton, text, spans, set(earlier["items"]) if earlier else set())
                 marks.append({
                     "n_words": n, "n_hit": n_hit, "items": sorted(items),
                     "word_spans": [{"first": a, "last": b} for a, b in runs],
                     "char_spans": [{"start": a, "end": b} for a, b in chars],
                 })
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + [pa.array(marks, _MARK_ARROW)], [*keep, MARK])
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + [pa.array(marks, _MARK_ARROW)], [*keep, mark])
 
     return docs.mapInArrow(scan, schema)
 
 
-def _marked(docs: DataFrame, benchmark: DataFrame, keep: list[str], ngram: int, block_bytes: int) -> DataFrame:
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+def _marked(docs: DataFrame, benchmark: DataFrame, keep: list[str], ngram: int, block_bytes: int) -> tuple[DataFrame, str]:
+    """The columns `keep` of docs and what a scan found, in one struct column of a name that docs doesn't have."""
+    mark = "contamination"
+    while mark.lower() in {c.lower() for c in docs.columns}:
+        mark += "_"
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # Each word of an item starts a window of ngram words; with words of two bytes that is the most an item can grow.
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
     n_blocks = max(1, -(-size * ngram // 2 // block_bytes))
@@ -142,19 +144,19 @@ def _marked(docs: DataFrame, benchmark: DataFrame, keep: list[str], ngram: int,
             for window in windows(text.encode(), ngram):
                 by_window.setdefault(window, set()).add(item_id)
         patterns = [(w, w.count(b" ") + 1, sorted(ids)) for w, ids in by_window.items()]
-        docs = _block(docs, patterns, keep if block == n_blocks - 1 else list(dict.fromkeys([*keep, "text"])))
-    return docs
+        docs = _block(docs, patterns, keep if block == n_blocks - 1 else list(dict.fromkeys([*keep, "text"])), mark)
+    return docs, mark
 
 
-def _contaminated(mark: str = MARK):
+def _contaminated(mark: str):
     n_hit, n_words = F.col(mark)["n_hit"], F.col(mark)["n_words"]
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, items, word_spans and char_spans (runs of hit words), contaminated."""
-    marked = _marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, ["doc_id"], ngram, block_bytes)
-    return marked.select("doc_id", f"{MARK}.*", _contaminated().alias("contaminated"))
+    marked, mark = _marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, ["doc_id"], ngram, block_bytes)
+    return marked.select("doc_id", f"{mark}.*", _contaminated(mark).alias("contaminated"))
 
 
 def contamination_digest(found: DataFrame) -> DataFrame:
@@ -167,7 +169,8 @@ def contamination_digest(found: DataFrame) -> DataFrame:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that are not contaminated, with all their columns; row by row, without a join."""
-    return _marked(docs, benchmark, docs.columns, ngram, block_bytes).where(~_contaminated()).drop(MARK)
+    marked, mark = _marked(docs, benchmark, docs.columns, ngram, block_bytes)
+    return marked.where(~_contaminated(mark)).drop(mark)
 
 
 def brute_force(docs: list[tuple], items: list[tuple], ngram: int = NGRAM) -> list[tuple]:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, materialise, most_frequent, utf8
+from .common import arrow_batches, materialise, most_frequent, utf8, wrapped
 from .components import components
 
 NGRAM = 5
@@ -40,8 +40,12 @@ NGRAM = 5
 NUM, DEN = 3, 4
 FREQUENT = 1 << 18
 STEP = 32
-#: log2 of the bits that tell nodes in candidates from others.
-BITMAP_BITS = 24
+#: log2 of the bits that tell nodes in candidates from others: at least, and at most (16 MB).
+BITMAP_BITS, MOST_BITMAP_BITS = 24, 27
+#: Tokens that are broadcast at most.
+BROADCAST_TOKENS = 1 << 20
+#: Parts that the rows of one token are dealt into beyond that.
+SALTS = 16
 HELD_SHINGLES = 4_000_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 _NO_ID = (1 << 63) - 1
@@ -235,25 +239,33 @@ def _neighbours(rows: DataFrame, low: int, high: int) -> DataFrame:
     return sorted_rows.mapInArrow(pair, "a long, b long, token long, node long, size int, pos int")
 
 
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """Bits of a fixed number that are set for the keys (one long column); 2 MB, whatever the number of keys."""
-    bit = F.pmod(F.col(keys.columns[0]), F.lit(1 << BITMAP_BITS))
+def _bitmap(keys: DataFrame, log_bits: int) -> np.ndarray:
+    """2 ** log_bits bits that are set for the keys (one long column)."""
+    bit = F.pmod(F.col(keys.columns[0]), F.lit(1 << log_bits))
     rows = keys.select(F.floor(bit / 32768).alias("at"), (bit % 32768).alias("bit")).groupBy("at").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
-    out = np.zeros(1 << (BITMAP_BITS - 3), dtype=np.uint8)
+    out = np.zeros(1 << (log_bits - 3), dtype=np.uint8)
     for r in rows:
         out[r["at"] * 4096 : (r["at"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
     return out
 
 
-def _sets(frame: DataFrame, text_hashes: DataFrame) -> DataFrame:
-    """node, members (40 bits of each shingle, sorted) of the documents with these text hashes, and few others."""
-    shared = frame.sparkSession.sparkContext.broadcast(_bitmap(text_hashes))
+def _sets(frame: DataFrame, text_hashes: DataFrame, most_bits: int = MOST_BITMAP_BITS) -> DataFrame:
+    """node, members (40 bits of each shingle, sorted) of the documents with these text hashes, and few others.
+
+    A bitmap of eight bits or more to a hash tells which documents those are; for more hashes than one can hold, a join."""
+    n = text_hashes.count()
+    log_bits = max(BITMAP_BITS, (8 * n - 1).bit_length() if n else 0)
+    if log_bits > most_bits:
+        frame, shared = frame.join(text_hashes.distinct(), "text_hash", "left_semi").select("doc_id", "text", "text_hash"), None
+    else:
+        shared = frame.sparkSession.sparkContext.broadcast(_bitmap(text_hashes, log_bits))
 
     def emit(batches):
-        bits, known, seen = shared.value, _Words(), set()
+        known, seen = _Words(), set()
         for batch in arrow_batches(batches):
-            bit = batch.column(2).to_numpy() & ((1 << BITMAP_BITS) - 1)
-            batch = batch.filter(pa.array((bits[bit >> 3] >> (bit & 7) & 1).astype(bool)))
+            if shared is not None:
+                bit = batch.column(2).to_numpy() & ((1 << log_bits) - 1)
+                batch = batch.filter(pa.array((shared.value[bit >> 3] >> (bit & 7) & 1).astype(bool)))
             found, sets = [], []
             for text in utf8(batch.column(1)):
                 members = shingles(text, known)
@@ -292,7 +304,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 def _verified(frame: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, as edges u, v. texts: node, text_hash of one document for each node."""
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = _sets(frame, needed.join(texts, "node").select("text_hash"))
+    sets = _sets(frame, materialise(needed.join(texts, "node").select("text_hash"), "jaccard-needed"))
     with_b = pairs.join(sets, pairs["b"] == sets["node"]).select("a", "b", F.col("members").alias("of_b"))
     both = with_b.join(sets, with_b["a"] == sets["node"]).select("a", "b", "of_b", F.col("members").alias("of_a"))
 
@@ -321,7 +333,12 @@ def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def jaccard_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, node, n_shingles and component_id (the smallest doc_id reachable by links) by document.
+    """doc_id, node, n_shingles and component_id (the smallest doc_id reachable by links) by document."""
+    return _with_components(*_grouped(docs))
+
+
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """doc_id, text_hash, node and n by document; and node, label of the nodes that have links (None without any).
 
     The first round verifies each node's likeliest pairs; the others wait for the next one, where most are in one
     component already. Each later round takes all pairs that are still apart."""
@@ -351,7 +368,7 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
             rows = _undecided(out.where("a is null").select("token", "node", "size", "pos"), labels)
             low, high = high + 1, high * STEP
         if rows is None and _apart(waiting, labels).isEmpty():
-            return _with_components(nodes, labels)
+            return nodes, labels
 
 
 def _undecided(rows: DataFrame, labels: DataFrame | None) -> DataFrame | None:
@@ -363,8 +380,17 @@ def _undecided(rows: DataFrame, labels: DataFrame | None) -> DataFrame | None:
         rows = rows.join(known, rows["node"] == F.col("_n"), "left").select("token", "node", "size", "pos", F.coalesce("_label", "node").alias("label"))
     rows = materialise(rows, "jaccard-open")
     several = rows.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("token")
-    mixed = materialise(rows.join(several, "token", "left_semi"), "jaccard-mixed")
-    return None if mixed.isEmpty() else mixed
+    several = materialise(several, "jaccard-several")
+    n = several.count()
+    if n == 0:
+        return None
+    # A large group of near copies has its rows at few tokens: never join them by token alone.
+    if n <= BROADCAST_TOKENS:
+        mixed = rows.join(F.broadcast(several), "token", "left_semi")
+    else:
+        salted = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        mixed = rows.withColumn("salt", F.pmod("node", F.lit(SALTS)).cast("int")).join(salted, ["token", "salt"], "left_semi").drop("salt")
+    return materialise(mixed, "jaccard-mixed")
 
 
 def _with_components(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -381,10 +407,36 @@ def _with_components(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group, the one of the smallest id; columns stay. Rows without words stay."""
-    groups = jaccard_groups(docs)
-    gone = groups.where("component_id is not null and doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_d"), "left_anti")
+    """docs with exactly one row of each group; columns stay, whatever their names.
+
+    The row that stays is the one of the smallest id (null last), of equal ids that of the smaller hash of its text, and
+    of rows equal in both any one. Rows without words are in no group and all stay."""
+    nodes, labels = _grouped(docs)
+    keys = nodes.where("node is not null").groupBy("doc_id", "text_hash", "node").agg(F.count("*").alias("copies"))
+    if labels is None:
+        labelled = keys.withColumn("label", F.col("node"))
+    else:
+        known = labels.select(F.col("node").alias("_n"), F.col("label").alias("_label"))
+        labelled = keys.join(known, keys["node"] == F.col("_n"), "left").withColumn("label", F.coalesce("_label", "node"))
+    labelled = materialise(labelled.select("doc_id", "text_hash", "copies", "label"), "jaccard-keys")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash"))
+    ranked = labelled.join(labelled.groupBy("label").agg(first.alias("best")), "label")
+    is_best = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
+    # Most rows are the only one of their group and stay as they are: the keys that don't are joined.
+    marked = materialise(ranked.select("doc_id", "text_hash", is_best.alias("stays"), "copies").where("copies > 1 or not stays"), "jaccard-marked")
+
+    text = F.col("text").cast("string")
+    rows = wrapped(docs, key_id=F.col("doc_id").cast("long"), key_text=F.xxhash64(text), has_text=text.isNotNull())
+
+    def matches(keys: DataFrame):
+        return rows["key_id"].eqNullSafe(keys["doc_id"]) & (rows["key_text"] == keys["text_hash"]) & rows["has_text"]
+
+    kept = rows.join(marked, matches(marked), "left_anti").select("row.*")
+    repeated = marked.where("stays")
+    if repeated.isEmpty():
+        return kept
+    one = rows.join(repeated, matches(repeated), "left_semi").groupBy("key_id", "key_text").agg(F.first("row").alias("row"))
+    return kept.union(one.select("row.*"))
 
 
 def brute_force(docs: list[tuple]) -> list[tuple]:
