@@ -39,7 +39,7 @@ def converted(amount: Column, rate: Column, decimals: int = 2) -> Column:
     """Base amount of minor units at a rate (foreign units for one base unit), four decimals half up.
 
     Operands are kept narrow: a division of wide decimals loses scale."""
-    return F.round(from_minor(amount, decimals).cast("decimal(18,2)") / rate.cast("decimal(15,10)"), 4).cast(BASE_AMOUNT)
+    return F.round(from_minor(amount, decimals).cast(f"decimal(18,{decimals})") / rate.cast("decimal(15,10)"), 4).cast(BASE_AMOUNT)
 
 
 def counter_amount(base: Column, decimals: int = 2) -> Column:
@@ -81,3 +81,11 @@ def axis_domain(low: Column, high: Column, ticks: int = 5) -> tuple[Column, Colu
     steps = F.array(*[F.lit(float(x)) for x in (1, 2, 2.5, 5, 10)])
     step = F.coalesce(F.get(F.filter(steps, lambda s: s * power * ticks >= wanted), F.lit(0)) * power, power * 10)
     return F.floor((middle - wanted / 2) / step) * step, F.ceil((middle + wanted / 2) / step) * step, step
+
+
+def same_currency(result: Column, *currencies: Column) -> Column:
+    """A sum or difference of amounts whose currencies must be one; fails the query where they aren't."""
+    alike = F.lit(True)
+    for c in currencies[1:]:
+        alike = alike & c.eqNullSafe(currencies[0])
+    return F.when(alike, result).otherwise(F.raise_error(F.lit("amounts of different currencies")).cast("long"))

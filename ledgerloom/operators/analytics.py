@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import calendar, period
 from ..functions.money import cents
-from ..schema import MAX_RANGE_DAYS, PERIODS
+from ..schema import DEFAULT_RANGE_DAYS, MAX_RANGE_DAYS, PERIODS
 
 
 def checked_range(start: dt.date, end: dt.date) -> tuple[dt.date, dt.date]:
@@ -18,6 +18,11 @@ def checked_range(start: dt.date, end: dt.date) -> tuple[dt.date, dt.date]:
     return start, end
 
 
+def default_range(today: dt.date) -> tuple[dt.date, dt.date]:
+    """The range of a question that states none."""
+    return today - dt.timedelta(DEFAULT_RANGE_DAYS), today
+
+
 def net_worth_daily(lines: DataFrame, entries: DataFrame, accounts: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     """date, amount (cents) for each day: all movements of assets and liabilities up to it.
 
@@ -32,20 +37,26 @@ def net_worth_daily(lines: DataFrame, entries: DataFrame, accounts: DataFrame, s
     return days.join(by_day, "date", "left").select("date", cents(running).alias("amount"))
 
 
-def ancestor_paths(categories: DataFrame, most: int = 64) -> DataFrame:
-    """id, path: each category and its ancestors, nearest first. A walk stops before a node that it has met."""
-    walk = categories.select("id", F.array("id").alias("path"), F.col("parent_id").alias("next"))
-    up = categories.select(F.col("id").alias("_id"), F.col("parent_id").alias("_next"))
-    for _ in range(most):  # one join per level of the tree, which is a small dimension
-        step = walk.join(up, walk["next"] == up["_id"], "left")
-        stops = F.col("_id").isNull() | F.array_contains("path", F.col("_id"))
-        walk = step.select(
-            "id", F.when(stops, F.col("path")).otherwise(F.concat("path", F.array("_id"))).alias("path"),
-            F.when(stops, F.lit(None).cast("long")).otherwise(F.col("_next")).alias("next"),
-        )
+#: Rounds after which the walk is written out, so that its plan doesn't double once more with each.
+_ROUNDS_AT_ONCE = 2
+
+
+def ancestor_paths(categories: DataFrame) -> DataFrame:
+    """id, path: each category and its ancestors, nearest first. A walk stops before a node that it has met.
+
+    A round appends to each path that of the node where it ends, so paths double and a tree of any depth takes the
+    logarithm of it. Deep trees (over four levels) need a checkpoint folder."""
+    walk, rounds = categories.select("id", F.array("id").alias("path"), F.col("parent_id").alias("next")), 0
+    while True:
+        up = walk.select(F.col("id").alias("_id"), F.col("path").alias("_path"), F.col("next").alias("_next"))
+        longer = walk.join(up, walk["next"] == up["_id"], "left").withColumn("all", F.concat("path", F.coalesce("_path", F.array().cast("array<bigint>"))))
+        met = F.size(F.array_distinct("all")) < F.size("all")
+        walk = longer.select("id", F.array_distinct("all").alias("path"), F.when(~met, F.col("_next")).alias("next"))
+        rounds += 1
+        if rounds > _ROUNDS_AT_ONCE:
+            walk = walk.checkpoint()
         if walk.where("next is not null").isEmpty():
-            break
-    return walk.select("id", "path")
+            return walk.select("id", "path")
 
 
 def category_roots(categories: DataFrame) -> DataFrame:
@@ -120,7 +131,7 @@ def share_of_peak(spend: DataFrame) -> DataFrame:
 
 def descendants(categories: DataFrame) -> DataFrame:
     """id and n_descendants of every category."""
-    below = ancestor_paths(categories).select(F.explode(F.slice("path", 2, 64)).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    below = ancestor_paths(categories).select(F.explode(F.slice("path", F.lit(2), F.size("path"))).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
     return categories.select("id").join(below, "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n_descendants"))
 
 
@@ -131,12 +142,8 @@ def category_forest(categories: DataFrame) -> DataFrame:
     own = categories.join(listed, "parent_id", "left")
     reason = F.when(F.col("parent_id").isNull(), F.lit(None)).when(F.col("there").isNull(), F.lit("not_listed")).when(F.col("kind") != F.col("parent_kind"), F.lit("other_kind"))
     own = own.withColumn("reason", reason)
-    level = own.where("parent_id is null or reason is not null").select("id", F.lit(0).alias("depth"))
-    found = level
-    attached = own.where("parent_id is not null and reason is null").select("id", "parent_id")
-    for depth in range(1, 65):
-        level = attached.join(level.select(F.col("id").alias("parent_id")), "parent_id").select("id", F.lit(depth).alias("depth"))
-        if level.isEmpty():
-            break
-        found = found.union(level)
+    attached = own.select("id", F.when(F.col("reason").isNull(), F.col("parent_id")).alias("parent_id"))
+    tops = attached.where("parent_id is null").select(F.col("id").alias("top"))
+    paths = ancestor_paths(attached).select("id", (F.size("path") - 1).alias("depth"), F.element_at("path", -1).alias("last"))
+    found = paths.join(tops, paths["last"] == tops["top"]).select("id", "depth")
     return own.join(found, "id", "left").select("id", "depth", F.when(F.col("depth").isNull(), F.lit("cycle")).otherwise(F.col("reason")).alias("reason"))

@@ -1,7 +1,8 @@
 """Seven layers that find a category for a description, and rules learned from corrections.
 
-Rules, aliases and merchants are what a user keeps by hand. They become one row of sorted arrays, whose size
-is checked before it is broadcast; a larger list is joined by shared trigrams instead (see `fuzzy_candidates`)."""
+Rules, aliases and merchants are what a user keeps by hand. Up to `MOST_RULES` they become one row of sorted arrays,
+which is broadcast. If any of the three is longer, each distinct description is joined with what it may contain (by
+the first characters of the pattern) or be like (by shared trigrams); both ways give the same result."""
 
 from __future__ import annotations
 
@@ -15,34 +16,65 @@ from ..schema import AUTO_APPLY, CONFIDENCE, FUZZY_THRESHOLD, RULE_PRIORITY_HAND
 MOST_RULES = 20_000
 
 
-def _one_row(df: DataFrame, name: str, *fields: str) -> DataFrame:
-    """All rows of a small table as one array of structs sorted by the fields in order."""
-    if (n := df.limit(MOST_RULES + 1).count()) > MOST_RULES:
-        raise ValueError(f"{n} or more rows of {name}: join them instead")
-    return df.agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
+def _one_row(df: DataFrame, name: str) -> DataFrame:
+    """All rows of a small table as one array of structs sorted by its columns in order."""
+    return df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(name))
 
 
-def categorize(rows: DataFrame, rules: DataFrame, aliases: DataFrame, merchants: DataFrame, description: str = "description") -> DataFrame:
+def _found(category: Column, confidence: Column, layer: int) -> Column:
+    return F.struct(category.alias("category_id"), confidence.cast(CONFIDENCE).alias("confidence"), F.lit(layer).alias("layer"))
+
+
+def categorize(rows: DataFrame, rules: DataFrame, aliases: DataFrame, merchants: DataFrame, description: str = "description", most: int = MOST_RULES) -> DataFrame:
     """rows with category_id, confidence, layer: 1 rules (priority, pattern), 2 aliases, 3 merchants named in the text, 4 merchants like it, 7 none."""
-    small = _one_row(rules.where("trim(description_pattern) <> ''").select("priority", F.lower(F.trim("description_pattern")).alias("pattern"), "category_id"), "_rules", "priority", "pattern", "category_id")
-    small = small.crossJoin(_one_row(aliases.where("category_id is not null").select(F.lower("raw_string").alias("raw_string"), "category_id", F.col("confidence").cast(CONFIDENCE).alias("confidence")), "_aliases", "raw_string", "category_id", "confidence"))
-    small = small.crossJoin(_one_row(merchants.where("category_id is not null").select(F.lower("name").alias("name"), "category_id"), "_merchants", "name", "category_id"))
-    text = rows.withColumn("_text", plainly_normalised(F.coalesce(description, F.lit("")))).crossJoin(F.broadcast(small))
-
-    def found(category: Column, confidence: Column, layer: int) -> Column:
-        return F.struct(category.alias("category_id"), confidence.cast(CONFIDENCE).alias("confidence"), F.lit(layer).alias("layer"))
-
-    rule = F.get(F.filter("_rules", lambda r: F.contains("_text", r["pattern"])), F.lit(0))
-    alias = F.get(F.filter("_aliases", lambda a: F.contains("_text", a["raw_string"])), F.lit(0))
-    named = F.get(F.filter("_merchants", lambda m: F.contains("_text", m["name"])), F.lit(0))
-    scored = F.filter(F.transform("_merchants", lambda m: F.struct((-word_similarity(m["name"], F.col("_text"))).alias("score"), m["name"].alias("name"), m["category_id"].alias("category_id"))), lambda s: s["score"] <= -FUZZY_THRESHOLD)
-    like = F.get(F.sort_array(scored), F.lit(0))
-    layers = F.coalesce(
-        F.when(rule.isNotNull(), found(rule["category_id"], F.expr("1.00BD"), 1)), F.when(alias.isNotNull(), found(alias["category_id"], alias["confidence"], 2)),
-        F.when(named.isNotNull(), found(named["category_id"], F.expr("0.90BD"), 3)), F.when(like.isNotNull(), found(like["category_id"], F.expr("0.60BD"), 4)),
-        found(F.lit(None).cast("long"), F.expr("0.00BD"), 7),
+    rules = rules.where("trim(description_pattern) <> ''").select("priority", F.lower(F.trim("description_pattern")).alias("pattern"), "category_id")
+    aliases = aliases.where("category_id is not null").select(F.lower("raw_string").alias("pattern"), "category_id", F.col("confidence").cast(CONFIDENCE).alias("confidence"))
+    merchants = merchants.where("category_id is not null").select(F.lower("name").alias("pattern"), "category_id")
+    text = rows.withColumn("_text", plainly_normalised(F.coalesce(description, F.lit(""))))
+    small = all(df.limit(most + 1).count() <= most for df in (rules, aliases, merchants))
+    layers = _broadcast_layers(text, rules, aliases, merchants) if small else _joined_layers(text, rules, aliases, merchants)
+    return layers.select(*rows.columns, "_found.*")
+
+
+def _broadcast_layers(text: DataFrame, rules: DataFrame, aliases: DataFrame, merchants: DataFrame) -> DataFrame:
+    small = _one_row(rules, "_rules").crossJoin(_one_row(aliases, "_aliases")).crossJoin(_one_row(merchants, "_merchants"))
+    text = text.crossJoin(F.broadcast(small))
+
+    def first_contained(name: str) -> Column:
+        return F.get(F.filter(name, lambda x: F.contains("_text", x["pattern"])), F.lit(0))
+
+    scored = F.filter(F.transform("_merchants", lambda m: F.struct((-word_similarity(m["pattern"], F.col("_text"))).alias("score"), m["pattern"].alias("pattern"), m["category_id"].alias("category_id"))), lambda s: s["score"] <= -FUZZY_THRESHOLD)
+    return text.withColumn("_found", _layers(first_contained("_rules"), first_contained("_aliases"), first_contained("_merchants"), F.get(F.sort_array(scored), F.lit(0))))
+
+
+def _layers(rule: Column, alias: Column, named: Column, like: Column) -> Column:
+    return F.coalesce(
+        F.when(rule.isNotNull(), _found(rule["category_id"], F.expr("1.00BD"), 1)), F.when(alias.isNotNull(), _found(alias["category_id"], alias["confidence"], 2)),
+        F.when(named.isNotNull(), _found(named["category_id"], F.expr("0.90BD"), 3)), F.when(like.isNotNull(), _found(like["category_id"], F.expr("0.60BD"), 4)),
+        _found(F.lit(None).cast("long"), F.expr("0.00BD"), 7),
     )
-    return text.withColumn("_found", layers).select(*rows.columns, "_found.*")
+
+
+#: Characters of a pattern that it is joined by.
+_KEY = 3
+
+
+def _joined_layers(text: DataFrame, rules: DataFrame, aliases: DataFrame, merchants: DataFrame) -> DataFrame:
+    distinct = text.select("_text").distinct()
+    # Every string of up to _KEY characters of a text, the empty one among them: what a pattern in it may begin with.
+    places = F.sequence(F.lit(1), F.length("_text") + 1)
+    keys = distinct.select("_text", F.explode(F.array_distinct(F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(0), F.lit(_KEY)), lambda n: F.substring("_text", i, n)))))).alias("_key"))
+
+    def first_contained(patterns: DataFrame, name: str) -> DataFrame:
+        keyed = patterns.withColumn("_key", F.substring("pattern", 1, _KEY))
+        hits = keys.join(keyed, "_key").where(F.contains("_text", "pattern"))
+        return hits.groupBy("_text").agg(F.min(F.struct(*patterns.columns)).alias(name))
+
+    pairs = fuzzy_candidates(distinct.withColumnRenamed("_text", "description"), merchants.select(F.col("pattern").alias("name")))
+    scored = pairs.withColumn("score", -word_similarity(F.col("name"), F.col("description"))).where(F.col("score") <= -FUZZY_THRESHOLD)
+    like = scored.join(merchants.withColumnRenamed("pattern", "name"), "name").groupBy(F.col("description").alias("_text")).agg(F.min(F.struct("score", "name", "category_id")).alias("_like"))
+    all_ = distinct.join(first_contained(rules, "_rule"), "_text", "left").join(first_contained(aliases, "_alias"), "_text", "left").join(first_contained(merchants, "_named"), "_text", "left").join(like, "_text", "left")
+    return text.join(all_.select("_text", _layers(*[F.col(c) for c in ("_rule", "_alias", "_named", "_like")]).alias("_found")), "_text")
 
 
 def applied(categorised: DataFrame) -> DataFrame:

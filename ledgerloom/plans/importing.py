@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.identity import known_by_fingerprint, occurrence_index, set_difference, with_fingerprint
@@ -99,3 +99,27 @@ def without(table: DataFrame, gone: DataFrame, key: str = "id", on: str | None =
     """table less the rows of gone; with `on`, less the rows whose column points at them (a cascade)."""
     keys = gone.select(F.col(key).alias("_gone")).distinct()
     return table.join(keys, table[on or key] == keys["_gone"], "left_anti")
+
+
+def looked_up(table: DataFrame, wanted: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """The rows of table with the wanted keys, and the wanted keys that it doesn't have."""
+    keys = wanted.select(F.col(key)).distinct()
+    return table.join(keys, key, "left_semi").select(table.columns), keys.join(table.select(key), key, "left_anti")
+
+
+def created(table: DataFrame, rows: DataFrame, unique: str, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """table with new rows (without a key), and the rows that are refused as their `unique` column is taken.
+
+    Keys go on from the largest; rows get them in the order of the unique column."""
+    value = F.lower(F.trim(F.col(unique)))
+    taken = table.select(value.alias("_taken")).distinct()
+    repeated = F.row_number().over(Window.partitionBy(value).orderBy(unique)) > 1
+    judged = rows.withColumn("_again", repeated).join(taken, value == F.col("_taken"), "left").withColumn("_refused", F.col("_again") | F.col("_taken").isNotNull())
+    last = table.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
+    fresh = judged.where("not _refused").withColumn(key, (F.lit(last) + F.row_number().over(Window.orderBy(unique))).cast("long"))
+    return table.unionByName(fresh.select([c for c in table.columns if c in fresh.columns]), allowMissingColumns=True), judged.where("_refused").select(rows.columns)
+
+
+def transactions_without(table: DataFrame, gone: DataFrame) -> DataFrame:
+    """Transactions are never deleted."""
+    raise ValueError("transactions are not deleted; void or recategorise them")

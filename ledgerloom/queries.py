@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .functions import dates as fd
 from .functions import money as fm
 from .functions import text as ft
-from .operators import analytics, categorize, checks, identity, posting, statements, transfers
-from .plans import projection
+from .operators import analytics, cards, categorize, checks, identity, posting, statements, transfers
+from .plans import importing, pipeline, projection
 from .plans.projection import Ledger
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -620,6 +620,146 @@ def skip_pairs(led: Ledger) -> DataFrame:
     return transfers.new_skips(transfers.reviews(pairs), pairs.where("in_id % 3 = 0").select("out_id", "in_id"))
 
 
+# Import, links and replay --------------------------------------------------------------------------
+
+_IMPORTED = f"""
+, acct AS (SELECT id, account_type, account_nature, currency, is_active, CASE WHEN id % 2 = 0 THEN payment_from_account_id END pay FROM account),
+role AS (SELECT id account_id, id card_id, pay paying_id FROM acct WHERE pay IS NOT NULL UNION ALL SELECT pay, min(id), pay FROM acct WHERE pay IS NOT NULL GROUP BY pay HAVING count(*) = 1),
+rec AS (SELECT id, batch_id, line_number, raw_description, CASE WHEN id % 97 = 0 THEN NULL ELSE account_id END account_id, CASE WHEN id % 89 = 0 THEN 0 ELSE raw_amount END raw_amount, raw_date,
+  CASE WHEN id % 4 = 0 THEN 'USD' ELSE 'EUR' END currency, id % 10 = 1 AS is_card_payment FROM source_record),
+rk AS (SELECT *, {_NORM.format('raw_description')} AS norm, row_number() OVER (PARTITION BY account_id, {_NORM.format('raw_description')}, raw_amount, currency, raw_date ORDER BY line_number, id) AS occ FROM rec WHERE account_id IS NOT NULL),
+kept AS (SELECT account_id, {_NORM.format('raw_description')} norm, raw_amount, currency, raw_date, count(*) n FROM rec WHERE account_id IS NOT NULL AND id % 3 = 0 GROUP BY 1, 2, 3, 4, 5),
+judged AS (SELECT rk.*, coalesce(occ <= kept.n, FALSE) AS dup, role.card_id, role.paying_id, coalesce(c.is_active AND p.is_active, FALSE) active, c.currency ccur, p.currency pcur, CASE WHEN rk.currency = 'EUR' OR month(raw_date) % 3 <> 2 THEN 1 END rate
+  FROM rk LEFT JOIN kept USING (account_id, norm, raw_amount, currency, raw_date) LEFT JOIN role USING (account_id) LEFT JOIN acct c ON c.id = role.card_id LEFT JOIN acct p ON p.id = role.paying_id),
+said AS (SELECT id, batch_id, line_number, dup, is_card_payment, CASE WHEN dup THEN NULL
+  WHEN is_card_payment THEN CASE WHEN NOT active THEN 'no card and paying account' WHEN ccur <> currency OR pcur <> currency THEN 'currency of an account differs' WHEN raw_amount = 0 THEN 'zero amount' WHEN rate IS NULL THEN 'no exchange rate' END
+  WHEN rate IS NULL THEN 'no exchange rate' WHEN raw_amount = 0 THEN 'zero amount' END AS reason, raw_amount, account_id, card_id, paying_id, currency FROM judged),
+done AS (SELECT id, batch_id, line_number, CASE WHEN dup THEN 'duplicated' WHEN reason IS NULL THEN 'created' ELSE 'failed' END AS outcome, CASE WHEN NOT dup AND reason IS NULL THEN CASE WHEN is_card_payment THEN 'build' ELSE 'posted' END END AS shape, reason, raw_amount, account_id, card_id, paying_id, currency FROM said
+  UNION ALL SELECT id, batch_id, line_number, 'failed', NULL, '{pipeline.UNATTRIBUTED}', NULL, NULL, NULL, NULL, NULL FROM rec WHERE account_id IS NULL)
+"""
+
+
+def _imported(led: Ledger) -> pipeline.Imported:
+    """The orders' rows as one import, a third of them stored before."""
+    key = F.col("id")
+    rows = led.records.withColumns({
+        "account_id": F.when(key % 97 != 0, F.col("account_id")), "raw_amount": F.when(key % 89 == 0, F.lit(0)).otherwise(F.col("raw_amount")).cast("long"),
+        "currency": F.when(key % 4 == 0, "USD").otherwise("EUR"), "is_card_payment": key % 10 == 1,
+    })
+    accounts = led.accounts.withColumn("payment_from_account_id", F.when(key % 2 == 0, F.col("payment_from_account_id")))
+    stored = identity.with_fingerprint(identity.occurrence_index(rows.where("account_id is not null and id % 3 = 0")))
+    rates = led.records.select(F.col("raw_date").alias("date")).distinct().where("month(date) % 3 <> 2").select("date", F.lit("EUR").alias("base"), F.lit("USD").alias("quote"), F.expr("1.25BD").cast("decimal(20,10)").alias("rate"))
+    halves = led.spark.createDataFrame([], "id long, entry_id long, account_id long, amount long, date date, is_synthesized boolean, is_matched boolean, is_expense boolean")
+    return pipeline.import_batch(rows, stored, accounts, rates, halves)
+
+
+@query(_IMPORTED + "SELECT id, batch_id, line_number, outcome, shape, reason FROM done")
+def import_outcomes(led: Ledger) -> DataFrame:
+    return _imported(led).outcomes.select("id", "batch_id", "line_number", "outcome", "shape", "reason")
+
+
+@query(_IMPORTED + """SELECT batch_id, count(*) AS record_count, count(*) FILTER (outcome = 'created') AS created, count(*) FILTER (outcome = 'duplicated') AS duplicated, count(*) FILTER (outcome = 'failed') AS failed,
+CASE WHEN count(*) FILTER (outcome = 'failed') = 0 THEN 'completed' ELSE 'partial' END AS status FROM done GROUP BY 1""")
+def import_report(led: Ledger) -> DataFrame:
+    return _imported(led).report()
+
+
+@query(_IMPORTED + f"""SELECT id AS entry_id, k AS sort_order, CASE WHEN shape = 'posted' THEN CASE k WHEN 0 THEN account_id ELSE {projection.EXPENSE_ACCOUNT} END ELSE CASE k WHEN 0 THEN card_id ELSE paying_id END END AS account_id,
+CASE WHEN shape = 'posted' THEN CASE k WHEN 0 THEN raw_amount WHEN 1 THEN CASE currency WHEN 'EUR' THEN -raw_amount ELSE CAST(round(-raw_amount * 0.8) AS BIGINT) END END ELSE CASE k WHEN 0 THEN abs(raw_amount) ELSE -abs(raw_amount) END END AS amount,
+shape = 'build' AND CASE k WHEN 0 THEN card_id ELSE paying_id END <> account_id AS is_synthesized FROM done CROSS JOIN (VALUES (0), (1)) t(k) WHERE outcome = 'created'""")
+def import_lines(led: Ledger) -> DataFrame:
+    return _imported(led).lines.select("entry_id", "sort_order", "account_id", "amount", "is_synthesized")
+
+
+_HALVES = """
+WITH r AS (SELECT o_orderkey id, 1000000 + o_orderkey % 100 card_id, o_custkey paying_id, o_orderkey % 2 = 0 on_card, 1000 + o_orderkey amt, CAST(o_orderdate AS DATE) d FROM orders),
+h AS (SELECT 10 * id line_id, id entry_id, CASE WHEN on_card THEN card_id ELSE paying_id END place, CASE WHEN on_card THEN amt ELSE -amt END want, d + CAST(CASE WHEN on_card THEN id % 6 ELSE -(id % 6) END AS INTEGER) hd, TRUE syn FROM r WHERE id % 4 < 2
+  UNION ALL SELECT 10 * id + 1, id, CASE WHEN on_card THEN card_id ELSE paying_id END, CASE WHEN on_card THEN amt ELSE -amt END, d, TRUE FROM r WHERE id % 8 < 2
+  UNION ALL SELECT 10 * id + 2, id, paying_id, -amt, d + CAST(id % 5 AS INTEGER), FALSE FROM r WHERE id % 4 IN (0, 2)
+  UNION ALL SELECT 10 * id + 3, id, paying_id, -amt, d, FALSE FROM r WHERE id % 16 = 2),
+f AS (SELECT r.id, CASE WHEN syn THEN 1 ELSE 2 END step, count(*) n, min(line_id) line_id FROM r JOIN h ON want = CASE WHEN syn AND on_card THEN amt ELSE -amt END AND place = CASE WHEN syn AND on_card THEN card_id ELSE paying_id END AND (syn OR on_card)
+  AND hd BETWEEN d - CASE WHEN on_card THEN 0 ELSE 3 END AND d + CASE WHEN on_card THEN 3 ELSE 0 END GROUP BY 1, 2),
+g AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY step) rn FROM f)
+"""
+
+
+def _halves(led: Ledger) -> tuple[DataFrame, DataFrame]:
+    """Card payments made of orders, each with an amount of its own, and lines that some of them find their other half in."""
+    key = F.col("o_orderkey")
+    rows = led.table("orders").select(
+        key.alias("id"), key.alias("line_number"), (1_000_000 + key % 100).alias("card_id"), F.col("o_custkey").alias("paying_id"), F.col("o_orderdate").cast("date").alias("date"),
+        F.when(key % 2 == 0, 1_000_000 + key % 100).otherwise(F.col("o_custkey")).alias("account_id"), F.when(key % 2 == 0, 1000 + key).otherwise(-1000 - key).alias("amount"),
+        F.lit("EUR").alias("currency"), F.lit(None).cast("string").alias("refusal"),
+    )
+    days = F.when(F.col("id") % 2 == 0, F.col("id") % 6).otherwise(-(F.col("id") % 6)).cast("int")
+
+    def line(k: int, condition: str, account: str, amount, date, synthesized: bool) -> DataFrame:
+        return rows.where(condition).select((10 * F.col("id") + k).alias("id"), F.col("id").alias("entry_id"), F.col(account).alias("account_id"), amount.alias("amount"), date.alias("date"), F.lit(synthesized).alias("is_synthesized"), F.lit(False).alias("is_matched"), F.lit(not synthesized).alias("is_expense"))
+
+    expense = -F.abs("amount")
+    lines = line(0, "id % 4 < 2", "account_id", F.col("amount"), F.date_add("date", days), True).unionByName(line(1, "id % 8 < 2", "account_id", F.col("amount"), F.col("date"), True))
+    lines = lines.unionByName(line(2, "id % 4 in (0, 2)", "paying_id", expense, F.date_add("date", (F.col("id") % 5).cast("int")), False))
+    return rows, lines.unionByName(line(3, "id % 16 = 2", "paying_id", expense, F.col("date"), False))
+
+
+@query(_HALVES + """SELECT r.id, CASE WHEN n IS NULL THEN 'build' WHEN n > 1 THEN 'refused' WHEN step = 1 THEN 'match' ELSE 'rewrite' END AS shape, CASE WHEN n > 1 THEN 'more than one counterpart' END AS reason,
+CASE WHEN n = 1 THEN line_id END AS line_id FROM r LEFT JOIN (SELECT * FROM g WHERE rn = 1) x USING (id)""", ctes=False)
+def card_payment_posted(led: Ledger) -> DataFrame:
+    return cards.post_card_payments(*_halves(led)).select("id", "shape", "reason", "line_id")
+
+
+@query(_HALVES + """, moved AS (SELECT r.id entry, r.card_id, line_id, amt FROM r JOIN (SELECT * FROM g WHERE rn = 1 AND n = 1 AND step = 2) x USING (id))
+SELECT h.line_id AS id, h.entry_id, h.place AS account_id, h.want AS amount FROM h LEFT JOIN moved m ON m.entry = h.entry_id WHERE m.entry IS NULL OR h.line_id = m.line_id
+UNION ALL SELECT -line_id, entry, card_id, amt FROM moved""", ctes=False)
+def card_payment_rewritten(led: Ledger) -> DataFrame:
+    rows, lines = _halves(led)
+    lines = lines.withColumn("amount_base", fm.base_from_minor(F.col("amount")))
+    return cards.rewritten_lines(lines, rows, cards.post_card_payments(rows, lines)).select("id", "entry_id", "account_id", "amount")
+
+
+@query(_PAIRS + """, m AS (SELECT out_id, candidates[1] in_id FROM outcome WHERE outcome = 'match'), sound AS (SELECT * FROM m WHERE in_id IN (SELECT in_id FROM m GROUP BY 1 HAVING count(*) = 1))
+SELECT journal_line_id AS id, coalesce(a.out_id, b.out_id) AS transfer_match_id, coalesce(a.out_id, b.out_id) IS NOT NULL AS is_transfer FROM leg LEFT JOIN sound a ON a.out_id = journal_line_id LEFT JOIN sound b ON b.in_id = journal_line_id""")
+def linked_entries(led: Ledger) -> DataFrame:
+    pairs = transfers.scored(transfers.candidates(led.legs))
+    sole = transfers.outcomes(pairs).where("outcome = 'match'").select("out_id")
+    lines = led.legs.select(F.col("journal_line_id").alias("id"), F.col("journal_line_id").alias("journal_entry_id"), F.lit(None).cast("long").alias("transfer_match_id"))
+    entries = lines.select("id", F.lit(False).alias("is_transfer"))
+    linked = pipeline.write_links(pairs.join(sole, "out_id", "left_semi"), lines, entries)
+    return linked.lines.join(linked.entries, "id").select("id", "transfer_match_id", "is_transfer")
+
+
+_REPLAYED = """
+, old AS (SELECT id, 100 + id % 25 AS cat, id % 10 = 0 AS by_hand FROM source_record WHERE id % 53 <> 0), fresh AS (SELECT id, 100 + id * 7 % 25 AS cat FROM source_record WHERE id % 59 <> 0),
+st AS (SELECT CASE WHEN fresh.id IS NULL THEN 'missing' WHEN old.id IS NULL THEN 'extra' WHEN old.cat = fresh.cat THEN 'same' WHEN by_hand THEN 'restored' ELSE 'recategorised' END AS state, CASE WHEN fresh.id IS NULL OR by_hand THEN old.cat ELSE fresh.cat END AS category_id FROM old FULL JOIN fresh ON old.id = fresh.id)
+"""
+
+
+def _replayed(led: Ledger) -> DataFrame:
+    printed = _printed(led).select("id", "fingerprint")
+    before = printed.where("id % 53 <> 0").select("fingerprint", (100 + F.col("id") % 25).alias("category_id"), (F.col("id") % 10 == 0).alias("is_manual"))
+    parsed = printed.where("id % 59 <> 0").select("fingerprint", (100 + F.col("id") * 7 % 25).alias("category_id"))
+    return pipeline.replayed(parsed, before, parsed)
+
+
+@query(_REPLAYED + "SELECT state, category_id, count(*) AS n FROM st GROUP BY 1, 2")
+def replay_states(led: Ledger) -> DataFrame:
+    return _replayed(led).groupBy("state", "category_id").agg(F.count("*").alias("n"))
+
+
+@query(_REPLAYED + """SELECT count(*) FILTER (state = 'same') AS same, count(*) FILTER (state = 'recategorised') AS recategorised, count(*) FILTER (state = 'restored') AS restored, count(*) FILTER (state = 'missing') AS missing,
+count(*) FILTER (state = 'extra') AS extra, count(*) FILTER (state IN ('missing', 'extra')) = 0 AS accepted FROM st""")
+def replay_accepted(led: Ledger) -> DataFrame:
+    return pipeline.may_replay(_replayed(led))
+
+
+@query("""SELECT e.id, entry_date FROM journal_entry e WHERE NOT (e.id % 5 = 0 AND e.id % 7 <> 0)""")
+def replay_detached(led: Ledger) -> DataFrame:
+    # Batch 0 holds every fifth entry, of which another batch holds every seventh too.
+    of = led.entries.select(F.col("id").alias("entry_id"))
+    sources = of.where("entry_id % 5 = 0").withColumn("batch_id", F.lit(0)).unionByName(of.where("entry_id % 7 = 0 or entry_id % 5 <> 0").withColumn("batch_id", F.lit(1)))
+    return pipeline.detached(led.lines, led.entries, sources, F.col("batch_id") == 0)[1].select("id", "entry_date")
+
+
 # Statements ----------------------------------------------------------------------------------------
 
 _MONTHLY = """
@@ -905,6 +1045,23 @@ def quality_distinct_pair(led: Ledger) -> DataFrame:
     return checks.self_matched(transfers.candidates(led.legs)).select("out_id", "in_id")
 
 
+@query("SELECT raw_date AS date, base, quote, count(*) AS n FROM (SELECT raw_date, 'EUR' AS base, CASE WHEN id % 2 = 0 THEN 'USD' ELSE 'GBP' END AS quote FROM source_record WHERE id % 40 < 2) GROUP BY 1, 2, 3 HAVING count(*) > 1")
+def quality_unique_rate(led: Ledger) -> DataFrame:
+    rates = led.records.where("id % 40 < 2").select(F.col("raw_date").alias("date"), F.lit("EUR").alias("base"), F.when(F.col("id") % 2 == 0, "USD").otherwise("GBP").alias("quote"))
+    return checks.duplicates(rates, "date", "base", "quote")
+
+
+@query("SELECT out_id, in_id, count(*) AS n FROM (SELECT id % 300 AS out_id, account_id AS in_id FROM source_record) GROUP BY 1, 2 HAVING count(*) > 1")
+def quality_unique_pair(led: Ledger) -> DataFrame:
+    return checks.duplicates(led.records.select((F.col("id") % 300).alias("out_id"), F.col("account_id").alias("in_id")), "out_id", "in_id")
+
+
+@query("SELECT DISTINCT o_custkey + 20 AS id FROM orders WHERE o_orderkey % 3 = 0 AND o_custkey + 20 NOT IN (SELECT id FROM account)")
+def lookup_missing(led: Ledger) -> DataFrame:
+    wanted = led.table("orders").where("o_orderkey % 3 = 0").select((F.col("o_custkey") + 20).alias("id"))
+    return importing.looked_up(led.accounts, wanted)[1]
+
+
 @query("SELECT 'account_type' AS what, id, 'barter' AS value FROM account WHERE id % 13 = 0")
 def vocabulary_violations(led: Ledger) -> DataFrame:
     accounts = led.accounts.withColumn("account_type", F.when(F.col("id") % 13 == 0, F.lit("barter")).otherwise(F.col("account_type")))

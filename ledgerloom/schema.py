@@ -24,6 +24,7 @@ TIER2_DAYS = (-1, 3)
 TRANSFER_TOLERANCE, TRANSFER_TOLERANCE_CROSS = 1, 50
 TRANSFER_DAYS = (-1, 3)
 TRANSFER_AUTO = "0.90"
+SWEEP_DAYS = 90
 CARD_PAYMENT_DAYS = (0, 3)
 FUZZY_THRESHOLD = 0.6
 AUTO_APPLY = "0.90"

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import dates as fd
 from ledgerloom.functions import money as fm
 from ledgerloom.functions import text as ft
-from ledgerloom.operators import analytics, categorize, checks, identity, posting, statements, transfers
-from ledgerloom.plans import importing
+from ledgerloom.operators import analytics, cards, categorize, checks, identity, posting, statements, transfers
+from ledgerloom.plans import importing, pipeline
 from ledgerloom.sources import ais, layout, manual
 
 D = dt.date
@@ -315,3 +315,172 @@ def test_transfer_components_in_parts(spark, monkeypatch):
     for most in (200_000, 6):
         monkeypatch.setattr(transfers, "EDGES_PER_TASK", most)
         assert {r.node: r.label for r in transfers._components(edges).collect()} == want
+
+
+def card_payments_in_turn(rows, lines):
+    """A plain model: rows in order, each line taken once."""
+    used, out = set(), {}
+    for r in sorted(rows, key=lambda r: (r["line_number"], r["id"])):
+        on_card, credit = r["account_id"] == r["card_id"], abs(r["amount"])
+        near = lambda d: 0 <= (d - r["date"] if on_card else r["date"] - d).days <= 3  # noqa: B023, E731
+        free = [x for x in lines if x["id"] not in used and not x["is_matched"] and near(x["date"])]
+        made_up = [x for x in free if x["is_synthesized"] and x["account_id"] == r["account_id"] and x["amount"] == (credit if on_card else -credit)]
+        spent = [x for x in free if on_card and not x["is_synthesized"] and x["is_expense"] and x["account_id"] == r["paying_id"] and x["amount"] == -credit]
+        found, shape = (made_up, "match") if made_up else (spent, "rewrite")
+        if len(found) > 1:
+            out[r["id"]] = ("refused", None)
+        elif found:
+            used.add(found[0]["id"])
+            out[r["id"]] = (shape, found[0]["id"])
+        else:
+            out[r["id"]] = ("build", None)
+    return out
+
+
+def test_card_payments_take_lines_in_turn(spark):
+    rng, day = random.Random(3), dt.date(2024, 3, 1)
+    rows, lines = [], []
+    for i in range(160):
+        card = rng.choice([10, 11])
+        on_card = rng.random() < 0.7
+        rows.append({"id": 1000 - i, "line_number": rng.randrange(90), "account_id": card if on_card else 1, "card_id": card, "paying_id": 1, "amount": rng.choice([100, 200, 300]) * (1 if on_card else -1), "currency": "EUR", "date": day + dt.timedelta(rng.randrange(40)), "refusal": None})
+    for i in range(120):
+        made_up = rng.random() < 0.5
+        account = rng.choice([1, 10, 11]) if made_up else 1
+        lines.append({"id": i, "entry_id": i, "account_id": account, "amount": rng.choice([100, 200, 300]) * (1 if account > 1 else -1), "date": day + dt.timedelta(rng.randrange(40)), "is_synthesized": made_up, "is_matched": rng.random() < 0.1, "is_expense": not made_up and rng.random() < 0.8})
+    schema = "id long, line_number long, account_id long, card_id long, paying_id long, amount long, currency string, date date, refusal string"
+    halves = "id long, entry_id long, account_id long, amount long, date date, is_synthesized boolean, is_matched boolean, is_expense boolean"
+    got = cards.post_card_payments(spark.createDataFrame(rows, schema), spark.createDataFrame(lines, halves)).collect()
+    assert {r.id: (r["shape"], r.line_id) for r in got} == card_payments_in_turn(rows, lines)
+    assert {r["shape"] for r in got} == {"match", "rewrite", "build", "refused"}
+
+
+def test_card_payment_roles_and_refusals(spark):
+    accounts = spark.createDataFrame([
+        (1, "asset", "EUR", True, None), (2, "liability", "EUR", True, 1), (3, "liability", "USD", True, 1), (4, "liability", "EUR", False, None), (5, "asset", "EUR", True, None), (6, "liability", "EUR", True, 5),
+    ], "id long, account_nature string, currency string, is_active boolean, payment_from_account_id long")
+    rows = [(1, 2, 500, None), (2, 1, -500, None), (3, 3, 500, None), (4, 5, -500, None), (5, 4, 500, 5), (6, 1, -500, 2), (7, 2, 0, None), (8, 2, 500, 6)]
+    df = spark.createDataFrame([(i, i, a, m, "EUR", dt.date(2024, 1, 1), x) for i, a, m, x in rows], "id long, line_number long, account_id long, amount long, currency string, date date, explicit_id long")
+    got = {r.id: (r.card_id, r.paying_id, r.refusal) for r in cards.with_roles(df, accounts).collect()}
+    assert got[1] == (2, 1, None) and got[4] == (6, 5, None) and got[6] == (2, 1, None)
+    # Two cards name account 1; the card's currency differs; account 4 is closed; nothing to pay; two liabilities.
+    assert got[2][2] == "no card and paying account" and got[3][2] == "currency of an account differs" and got[5][2] == "no card and paying account"
+    assert got[7][2] == "zero amount" and got[8][2] == "no card and paying account"
+
+
+def test_import_posts_files_and_reports(spark):
+    accounts = spark.createDataFrame([
+        (1, "asset", "EUR", True, None, None), (2, "liability", "EUR", True, None, 1), (9, "equity", "EUR", True, "system_expense", None),
+    ], "id long, account_nature string, currency string, is_active boolean, system_role string, payment_from_account_id long")
+    day = dt.date(2024, 5, 6)
+    rows = [
+        (1, 1, 1, "GROCER", -100, "EUR", day, False), (2, 1, 2, "GROCER", -100, "EUR", day, False), (3, 1, 3, "OLD", -700, "EUR", day, False), (4, 1, None, "LOST", -5, "EUR", day, False),
+        (5, 1, 2, "PAYMENT", 900, "EUR", day, True), (6, 1, 1, "ABROAD", -300, "USD", day, False), (7, 1, 1, "PAYMENT", -55, "EUR", day, None),
+    ]
+    records = spark.createDataFrame([(i, b, i, a, *rest) for i, b, a, *rest in rows], "id long, batch_id long, line_number long, account_id long, raw_description string, raw_amount long, currency string, raw_date date, is_card_payment boolean")
+    stored = identity.with_fingerprint(identity.occurrence_index(records.where("id = 3")))
+    rates = spark.createDataFrame([], "date date, base string, quote string, rate decimal(20,10)")
+    halves = spark.createDataFrame([(70, 7, 2, 900, day, True, False, False)], "id long, entry_id long, account_id long, amount long, date date, is_synthesized boolean, is_matched boolean, is_expense boolean")
+    filed = spark.createDataFrame([("GROCER", 44)], "raw_description string, category_id long")
+    done = pipeline.import_batch(records, stored, accounts, rates, halves, filed)
+    got = {r.id: (r.outcome, r["shape"], r.reason) for r in done.outcomes.collect()}
+    assert got == {
+        1: ("created", "posted", None), 2: ("created", "posted", None), 3: ("duplicated", None, None), 4: ("failed", None, pipeline.UNATTRIBUTED),
+        5: ("created", "match", None), 6: ("failed", None, "no exchange rate"), 7: ("created", "posted", None),
+    }
+    lines = {(r.entry_id, r.sort_order): (r.account_id, r.amount, r.category_id) for r in done.lines.collect()}
+    assert lines[1, 0] == (1, -100, 44) and lines[1, 1] == (9, 100, None) and lines[7, 0] == (1, -55, None) and {k for k, _ in lines} == {1, 2, 7}
+    assert [(r.line_id, r.entry_id, r["shape"]) for r in done.touched.collect()] == [(70, 7, "match")]
+    assert {r.id: (r.status, r.error_message) for r in done.rows.collect()}[6] == ("pending", "no exchange rate")
+    report = done.report().first()
+    assert (report.record_count, report.created, report.duplicated, report.failed, report.status) == (7, 4, 1, 2, "partial")
+    # Whatever was stored is known the next time.
+    again = pipeline.import_batch(records, done.rows.unionByName(stored, allowMissingColumns=True), accounts, rates, halves)
+    assert {r.id: r.outcome for r in again.outcomes.collect()} == {i: "failed" if i == 4 else "duplicated" for i in range(1, 8)}
+
+
+def test_links_are_written_once(spark):
+    lines = spark.createDataFrame([(1, 10, None), (2, 20, None), (3, 30, None), (4, 40, 77), (5, 50, None), (6, 60, None)], "id long, journal_entry_id long, transfer_match_id long")
+    entries = spark.createDataFrame([(i * 10, False) for i in range(1, 7)], "id long, is_transfer boolean")
+    links = [(1, 2), (3, 4), (5, 6), (5, 99), (3, 3), (1, 2)]
+    df = spark.createDataFrame([(a, b, "manual", Decimal("1.00")) for a, b in links], "out_id long, in_id long, method string, confidence decimal(3,2)")
+    got = pipeline.write_links(df, lines, entries)
+    assert sorted((r.id, r.out_id, r.in_id) for r in got.matches.collect()) == [(1, 1, 2), (5, 5, 6)]
+    assert {r.id: r.transfer_match_id for r in got.lines.collect()} == {1: 1, 2: 1, 3: None, 4: 77, 5: 5, 6: 5}
+    assert {r.id for r in got.entries.where("is_transfer").collect()} == {10, 20, 40, 50, 60}
+    both = pipeline.write_links(spark.createDataFrame([(1, 2, "m", Decimal("1.00")), (3, 2, "m", Decimal("1.00"))], df.schema), lines, entries)
+    assert both.matches.isEmpty()
+
+
+def test_batch_is_linked_and_reviewed(spark):
+    day = dt.date(2024, 1, 1)
+    legs = spark.createDataFrame([(1, 1, day, -100, "EUR"), (2, 2, day, 100, "EUR"), (3, 1, day, -500, "EUR"), (4, 2, day, 500, "EUR"), (5, 3, day, 500, "EUR"), (6, 1, day, -900, "EUR"), (7, 2, day, 900, "EUR")], "journal_line_id long, account_id long, booked_date date, amount long, currency string")
+    lines = legs.select(F.col("journal_line_id").alias("id"), F.col("journal_line_id").alias("journal_entry_id"), F.lit(None).cast("long").alias("transfer_match_id"))
+    entries = lines.select("id", F.lit(False).alias("is_transfer"))
+    asked = spark.createDataFrame([(6,)], "out_id long")
+    linked, queue = pipeline.link_batch(legs, lines, entries, open_reviews=asked)
+    assert [(r.out_id, r.in_id) for r in linked.matches.collect()] == [(1, 2)] and [(r.out_id, r.candidates) for r in queue.collect()] == [(3, [4, 5])]
+    decisions = spark.createDataFrame([(3, "confirm", 5)], "out_id long, action string, chosen long")
+    after = pipeline.write_links(pipeline.confirmed_links(queue, decisions), linked.lines, linked.entries)
+    assert {r.id: r.transfer_match_id for r in after.lines.collect()} == {1: 1, 2: 1, 3: 3, 4: None, 5: 3, 6: None, 7: None}
+
+
+def test_replay_restores_what_was_set_by_hand(spark):
+    before = spark.createDataFrame([("a", 1, False), ("b", 2, True), ("c", 3, False), ("d", 4, True), ("e", None, True)], "fingerprint string, category_id long, is_manual boolean")
+    now = spark.createDataFrame([("a", 1), ("b", 9), ("c", 9), ("e", 9), ("f", 5)], "fingerprint string, category_id long")
+    got = pipeline.replayed(now, before, now)
+    assert {r.fingerprint: (r.state, r.category_id) for r in got.collect()} == {"a": ("same", 1), "b": ("restored", 2), "c": ("recategorised", 9), "d": ("missing", 4), "e": ("restored", None), "f": ("extra", 5)}
+    assert not pipeline.may_replay(got).first().accepted and pipeline.may_replay(got.where("state not in ('missing', 'extra')")).first().accepted
+
+
+def test_categorise_by_joins(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklm", k=rng.randint(5, 9))) for _ in range(40)]
+    texts = [(i, " ".join(rng.choices(words, k=rng.randint(0, 3))).upper()) for i in range(150)] + [(998, None), (999, "")]
+    rows = spark.createDataFrame(texts, "id long, description string")
+    rules = spark.createDataFrame([(500, words[0][1:], 1), (100, f" {words[1]} ", 2), (500, words[1][:2], 3), (1, "  ", 4)], "priority int, description_pattern string, category_id long")
+    aliases = spark.createDataFrame([(words[k].upper(), None if k == 2 else k, Decimal("0.95")) for k in range(2, 8)], "raw_string string, category_id long, confidence decimal(3,2)")
+    merchants = spark.createDataFrame([(words[k], k) for k in range(8, 14)] + [(words[k][:-1] + "z", k) for k in range(14, 22)] + [(words[9], None), ("zz", 5)], "name string, category_id long")
+    small, joined = (sorted(tuple(r) for r in categorize.categorize(rows.fillna("", "description"), rules, aliases, merchants, most=most).collect()) for most in (100, 2))
+    assert small == joined and {r[4] for r in small} == {1, 2, 3, 4, 7}
+    assert categorize.categorize(rows, rules, aliases, merchants, most=2).count() == len(texts)
+
+
+def test_deep_and_cyclic_categories(spark):
+    # A chain of 70, a cycle of 5 with a tail, and a row whose parent is not listed.
+    rows = [(i, i - 1 if i else None) for i in range(70)] + [(100 + i, 100 + (i + 1) % 5) for i in range(5)] + [(200, 102), (300, 999)]
+    categories = spark.createDataFrame([(i, p, f"c{i}", "expense") for i, p in rows], "id long, parent_id long, name string, kind string")
+    paths = {r.id: r.path for r in analytics.ancestor_paths(categories).collect()}
+    assert paths[69] == list(range(69, -1, -1)) and paths[102] == [102, 103, 104, 100, 101] and paths[200] == [200, 102, 103, 104, 100, 101]
+    forest = {r.id: (r.depth, r.reason) for r in analytics.category_forest(categories).collect()}
+    assert all(forest[i] == (i, None) for i in range(70)) and forest[101] == (None, "cycle") == forest[200] and forest[300] == (0, "not_listed")
+    assert {r.id: r.n_descendants for r in analytics.descendants(categories.where("id < 70")).collect()}[0] == 69
+
+
+def test_candidates_leave_out_what_cannot_be_a_pair(spark):
+    day = dt.date(2024, 1, 1)
+    legs = spark.createDataFrame([
+        (1, 1, day, -100, "EUR", 5, None, False), (2, 2, day, 100, "EUR", 5, None, False), (3, 3, day, 100, "EUR", 6, 9, False), (4, 4, day, 100, "EUR", 7, None, True), (5, 5, day, 100, "EUR", 8, None, False),
+    ], "journal_line_id long, account_id long, booked_date date, amount long, currency string, journal_entry_id long, transfer_match_id long, is_synthesized boolean")
+    assert [(r.out_id, r.in_id) for r in transfers.candidates(legs).collect()] == [(1, 5)]
+    assert transfers.swept(legs, day + dt.timedelta(91)).isEmpty() and transfers.swept(legs, day + dt.timedelta(90)).count() == 5
+
+
+def test_money_of_other_exponents(spark):
+    row = spark.sql("select 1234L as a, 1.25BD as rate").select(fm.converted(F.col("a"), F.col("rate"), 3).alias("three"), fm.converted(F.col("a"), F.col("rate"), 0).alias("none"), fm.converted(F.col("a"), F.col("rate")).alias("two")).first()
+    assert row == (Decimal("0.9872"), Decimal("987.2000"), Decimal("9.8720"))
+    sums = spark.createDataFrame([(1, "EUR", "EUR")], "a long, x string, y string").select(fm.same_currency(F.col("a") + 1, F.col("x"), F.col("y")).alias("s"))
+    assert sums.first().s == 2
+    with pytest.raises(Exception, match="different currencies"):
+        spark.createDataFrame([(1, "EUR", "USD")], "a long, x string, y string").select(fm.same_currency(F.col("a") + 1, F.col("x"), F.col("y")).alias("s")).collect()
+
+
+def test_lookups_creates_and_refused_deletes(spark):
+    table = spark.createDataFrame([(1, "Food", "expense"), (5, "Rent", "expense")], "id long, name string, kind string")
+    there, missing = importing.looked_up(table, spark.createDataFrame([(5,), (6,), (6,)], "id long"))
+    assert [r.name for r in there.collect()] == ["Rent"] and [r.id for r in missing.collect()] == [6]
+    after, refused = importing.created(table, spark.createDataFrame([("Zoo", "expense"), ("food ", "expense"), ("Art", "income"), ("art", "income")], "name string, kind string"), "name")
+    assert {(r.id, r.name) for r in after.collect()} == {(1, "Food"), (5, "Rent"), (6, "Art"), (7, "Zoo")} and {r.name for r in refused.collect()} == {"food ", "art"}
+    with pytest.raises(ValueError):
+        importing.transactions_without(table, table)
+    assert analytics.default_range(dt.date(2024, 3, 31)) == (dt.date(2024, 3, 1), dt.date(2024, 3, 31))
