@@ -17,6 +17,7 @@ from .functions import text as ft
 from .operators import analytics, cards, categorize, checks, identity, posting, statements, transfers
 from .plans import importing, pipeline, projection
 from .plans.projection import Ledger
+from .sources import layout
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -966,15 +967,118 @@ def raw_data_defaults(led: Ledger) -> DataFrame:
     return led.records.select("id", merged["description"].alias("description"), merged["amount_minor"].alias("amount_minor"))
 
 
-@query()
+_PRINTED_ORDERS = """
+WITH r AS (SELECT *, CAST(round(CAST(o_totalprice AS DECIMAL(18,4)) * 100) AS BIGINT) cents, CAST(o_orderdate AS DATE) d, CAST(o_custkey % 50 AS VARCHAR) AS file FROM orders)
+"""
+
+
+def _orders(led: Ledger, file) -> DataFrame:
+    """Orders as statement lines to be: file, line_no (with room between them), day, and the amount as printed."""
+    dutch = F.translate(F.format_number(F.round(F.col("o_totalprice").cast("decimal(18,4)"), 2), 2), ",.", ".,")
+    return led.table("orders").select(file.alias("file"), (F.col("o_orderkey") * 4 + 10).cast("int").alias("line_no"), F.col("o_orderkey").alias("key"), F.col("o_orderdate").cast("date").alias("day"), dutch.alias("amount"), F.format_number(F.round(F.col("o_totalprice").cast("decimal(18,4)"), 2), 2).alias("english"))
+
+
+def _line(rows: DataFrame, offset: int, text, where: str = "true") -> DataFrame:
+    return rows.where(where).select("file", (F.col("line_no") + offset).alias("line_no"), text.alias("text"))
+
+
+def _card_lines(led: Ledger) -> DataFrame:
+    rows = _orders(led, (F.col("o_custkey") % 50).cast("string"))
+    day = F.date_format("day", "dd.MM.yy")
+    row = F.concat(day, F.lit("  "), day, F.lit("  SHOP "), F.col("key").cast("string"), F.when(F.col("key") % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("     "), F.col("amount"))))
+    # Every seventh row has its amount on the line below, but for those that have none; every third goes on, and every fifth is a credit.
+    lines = _line(rows, 0, row).union(_line(rows, 1, F.concat(F.lit("   Town    "), F.col("amount")), "key % 7 = 0 and key % 14 <> 0")).union(_line(rows, 1, F.lit("   Town"), "key % 3 = 0 and key % 7 <> 0"))
+    return lines.union(_line(rows, 2, F.lit("   CR"), "key % 5 = 0")).union(_line(rows, 3, F.lit("Pagina 1 van 9"), "key % 11 = 0"))
+
+
+@query(_PRINTED_ORDERS + """SELECT file, rn AS row, d AS booked_date, d AS processing_date, 'SHOP ' || o_orderkey || CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 3 = 0 THEN ' Town' ELSE '' END AS description,
+CASE WHEN o_orderkey % 5 = 0 THEN cents ELSE -cents END AS amount_minor FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY o_orderkey) rn FROM r) WHERE o_orderkey % 14 <> 0""", ctes=False)
 def statement_text_parse(led: Ledger) -> DataFrame:
     """Card statements made of order rows, one file per account, read back from their layout text."""
-    from .sources.layout import card_statement
+    return layout.card_statement(_card_lines(led))
+
+
+@query(_PRINTED_ORDERS + "SELECT file, rn AS row, CAST(o_orderkey * 4 + 10 AS INTEGER) AS line_no, 'no amount' AS reason FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY o_orderkey) rn FROM r) WHERE o_orderkey % 14 = 0", ctes=False)
+def statement_failures(led: Ledger) -> DataFrame:
+    return layout.card_failures(_card_lines(led))
+
+
+@query(_PRINTED_ORDERS + """SELECT y AS file, rn AS row, d AS booked_date, CASE WHEN o_orderkey % 2 = 0 THEN 'ba' ELSE 'tb' END AS type_code, 'SHOP ' || o_orderkey || CASE WHEN o_orderkey % 3 = 0 THEN ' more' ELSE '' END AS description,
+CASE WHEN o_orderkey % 2 = 0 THEN -cents ELSE cents END AS amount_minor, CASE WHEN o_orderkey % 4 = 0 THEN 'K' || o_orderkey END AS reference
+FROM (SELECT *, file || '/' || year(d) AS y, row_number() OVER (PARTITION BY file || '/' || year(d) ORDER BY o_orderkey) rn FROM r)""", ctes=False)
+def checking_parse(led: Ledger) -> DataFrame:
+    """Checking statements of a year each, whose debits and credits differ in their column alone."""
+    rows = _orders(led, F.concat((F.col("o_custkey") % 50).cast("string"), F.lit("/"), F.year("o_orderdate").cast("string")))
+    text = F.concat(F.date_format("day", "dd-MM"), F.when(F.col("key") % 2 == 0, " ba  SHOP ").otherwise(" tb  SHOP "), F.col("key").cast("string"))
+    row = F.when(F.col("key") % 2 == 0, F.concat(F.rpad(text, 40, " "), F.lpad("amount", 15, " "))).otherwise(F.concat(F.rpad(text, 60, " "), F.lpad("amount", 15, " ")))
+    heading = F.concat(F.rpad(F.lit("Date Type"), 43, " "), F.lit("Debit amount"), F.lit("       Credit amount"))
+    first = rows.select("file").distinct().select("file", F.lit(1).alias("line_no"), heading.alias("text"))
+    lines = first.union(_line(rows, 0, row)).union(_line(rows, 1, F.lit("   more"), "key % 3 = 0")).union(_line(rows, 2, F.concat(F.lit("   Reference: K"), F.col("key").cast("string")), "key % 4 = 0"))
+    year = F.split_part("file", F.lit("/"), F.lit(2)).cast("int")
+    parsed = layout.checking_statement(lines, F.make_date(year, F.lit(1), F.lit(1)), F.make_date(year, F.lit(12), F.lit(31)))
+    return parsed.select("file", "row", "booked_date", "type_code", "description", "amount_minor", F.col("fields")["Reference"].alias("reference"))
+
+
+def _section_lines(led: Ledger) -> DataFrame:
+    rows = _orders(led, (F.col("o_custkey") % 50).cast("string"))
+    months = F.element_at(F.array(*[F.lit(m) for m in ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sept", "Oct", "Nov", "Dec")]), F.month("day"))
+    day = F.concat(F.dayofmonth("day").cast("string"), F.lit(" "), months, F.lit(" "), F.year("day").cast("string"))
+    euro = F.concat(F.lit("€"), F.col("english"))
+    place = F.when(F.col("key") % 2 == 0, 50).otherwise(70)
+    row = F.concat(F.rpad(F.concat(day, F.lit("    SHOP "), F.col("key").cast("string")), place, " "), F.rpad(euro, F.lit(90) - place, " "), euro)
+    heading = F.concat(F.rpad(F.lit("Date"), 50, " "), F.rpad(F.lit("Money out"), 20, " "), F.rpad(F.lit("Money in"), 20, " "), F.lit("Balance"))
+    files = rows.select("file").distinct()
+    top = files.select("file", F.lit(1).alias("line_no"), F.lit("Current transactions").alias("text")).union(files.select("file", F.lit(2), heading))
+    # The second half of the keys is in another section, after a footer.
+    half = led.table("orders").agg(F.max("o_orderkey")).first()[0] // 2
+    at = 4 * half + 10
+    middle = files.select("file", F.explode(F.array(*[F.struct(F.lit(at + k).alias("line_no"), t.alias("text")) for k, t in enumerate((F.lit("Report lost or stolen card"), F.lit("some address"), F.lit("Page 1 of 2")))])).alias("x")).select("file", "x.*")
+    second = files.select("file", F.lit(at + 3).alias("line_no"), F.lit("Savings transactions").alias("text"))
+    body = rows.withColumn("line_no", F.when(F.col("key") > half, F.col("line_no") + 8).otherwise(F.col("line_no") - 4))
+    return top.union(middle).union(second).union(_line(body, 0, row)).union(_line(body, 1, F.concat(F.lit("To: Shop "), F.col("key").cast("string")), "key % 3 = 0"))
+
+
+@query(_PRINTED_ORDERS + """SELECT file, CASE WHEN o_orderkey > (SELECT max(o_orderkey) // 2 FROM orders) THEN 'savings' ELSE 'current' END AS section, rn AS row, d AS booked_date, 'SHOP ' || o_orderkey AS description,
+CASE WHEN o_orderkey % 2 = 0 THEN -cents ELSE cents END AS amount_minor, cents AS balance_minor, CASE WHEN o_orderkey % 3 = 0 THEN 'Shop ' || o_orderkey END AS "to",
+CASE WHEN o_orderkey <= (SELECT max(o_orderkey) // 2 FROM orders) THEN CAST(7 AS BIGINT) END AS account_id FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY o_orderkey) rn FROM r)""", ctes=False)
+def sectioned_parse(led: Ledger) -> DataFrame:
+    mapping = led.spark.createDataFrame([("current", 7)], "section string, account_id long")
+    parsed = layout.with_section_accounts(layout.sectioned_statement(_section_lines(led)), mapping)
+    return parsed.select("file", "section", "row", "booked_date", "description", "amount_minor", "balance_minor", "to", "account_id")
+
+
+@query("SELECT DISTINCT CAST(o_custkey % 50 AS VARCHAR) AS file, CAST(3 AS BIGINT) AS dropped FROM orders", ctes=False)
+def furniture_dropped(led: Ledger) -> DataFrame:
+    return layout.furniture_dropped(_section_lines(led))
+
+
+@query(_PRINTED_ORDERS + """, per AS (SELECT file, min(d) a, max(d) b, CAST(sum(CASE WHEN o_orderkey % 2 = 0 THEN cents ELSE 0 END) AS BIGINT) debits, CAST(sum(CASE WHEN o_orderkey % 2 = 1 THEN cents ELSE 0 END) AS BIGINT) credits FROM r GROUP BY 1)
+SELECT file, a AS period_from, b AS period_to, debits AS debit_total, credits AS credit_total, 'NL91ABNA041716430' || CAST(file AS INTEGER) % 10 AS iban FROM per""", ctes=False)
+def statement_headers(led: Ledger) -> DataFrame:
+    """Headers that statements of order rows would print, read back; even files print their period on one line."""
+    rows = led.table("orders").select((F.col("o_custkey") % 50).cast("string").alias("file"), "o_orderkey", F.col("o_orderdate").cast("date").alias("d"), fm.minor_from_number(F.col("o_totalprice")).alias("cents"))
+    even = F.col("o_orderkey") % 2 == 0
+    per = rows.groupBy("file").agg(F.min("d").alias("a"), F.max("d").alias("b"), F.sum(F.when(even, F.col("cents")).otherwise(0)).alias("debits"), F.sum(F.when(~even, F.col("cents")).otherwise(0)).alias("credits"))
+    dutch = lambda c: F.translate(F.format_number((F.col(c) * F.expr("0.01BD")).cast("decimal(18,2)"), 2), ",.", ".,")
+    one_line = F.col("file").cast("int") % 2 == 0
+    text = F.array(
+        F.concat(F.lit("Account NL91ABNA041716430"), (F.col("file").cast("int") % 10).cast("string")),
+        F.when(one_line, F.concat(F.lit("Periode: "), F.date_format("a", "dd.MM.yyyy"), F.lit(" tot "), F.date_format("b", "dd.MM.yyyy"))).otherwise(F.lit("From (date)")), F.when(one_line, F.lit("")).otherwise(F.date_format("a", "dd-MM-yyyy")),
+        F.when(one_line, F.lit("")).otherwise(F.lit("To (date)")), F.when(one_line, F.lit("")).otherwise(F.date_format("b", "dd-MM-yyyy")),
+        F.lit("Total amount debited    Total amount credited"), F.concat(F.lit("  EUR "), dutch("debits"), F.lit("     EUR "), dutch("credits")),
+    )
+    lines = per.select("file", F.posexplode(text).alias("line_no", "text"))
+    return layout.statement_header(lines).select("file", "period_from", "period_to", "debit_total", "credit_total", F.element_at("ibans", 1).alias("iban"))
+
 
-    day = F.date_format("o_orderdate", "dd.MM.yy")
-    amount = F.translate(F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2), ",.", ".,")
-    lines = led.table("orders").select((F.col("o_custkey") % 50).cast("string").alias("file"), F.col("o_orderkey").cast("int").alias("line_no"), F.concat(day, F.lit("  "), day, F.lit("  SHOP "), F.col("o_orderkey").cast("string"), F.lit("     "), amount).alias("text"))
-    return card_statement(lines)
+@query(_MONTHLY + """, rb AS (SELECT account_id, line_number, CAST(sum(amount) OVER (PARTITION BY account_id ORDER BY line_number) AS BIGINT) balance FROM r)
+SELECT account_id, line_number, balance FROM rb WHERE line_number % 31 = 0""")
+def balance_mismatches(led: Ledger) -> DataFrame:
+    # Every thirty-first row prints a balance that is off by a cent.
+    rows = _statement_rows(led)
+    right = statements.running_balance(rows).select("account_id", "line_number", F.col("balance").alias("was"))
+    printed = rows.join(right, ["account_id", "line_number"]).withColumn("opening", F.lit(500)).withColumn("printed", F.col("was") + 500 + F.when(F.col("line_number") % 31 == 0, 1).otherwise(0))
+    return statements.balance_mismatches(printed).select("account_id", "line_number", "balance")
 
 
 # Integrity -----------------------------------------------------------------------------------------

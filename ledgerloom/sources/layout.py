@@ -10,17 +10,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import infer_year, month_name_date, parse_date, pivot_year
-from ..functions.text import dutch_minor, english_minor
+from ..functions.text import IBAN_COMPACT, dutch_minor, english_minor
+
 
 def _up_to_here():
     return Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
 
 
-CARD_ROW = r"^\s*(\d{2}\.\d{2}\.\d{2})\s+(\d{2}\.\d{2}\.\d{2})\s+(.*?)\s+(\d{1,3}(?:\.\d{3})*,\d{2})\s*$"
+DUTCH_AMOUNT = r"(?:^|[^\d.,])(\d{1,3}(?:\.\d{3})*,\d{2})\s*$"
+CARD_START = r"^\s*(\d{2}\.\d{2}\.\d{2})\s+(\d{2}\.\d{2}\.\d{2})\s+(.*)$"
 CARD_END = r"(?i)^\s*(new balance|total)\b"
-CHECKING_ROW = r"^\s*(\d{2})-(\d{2})\s+([a-z]{2})\s+(.*?)\s{2,}(\d{1,3}(?:\.\d{3})*,\d{2})\s*$"
-SECTION_ROW = r"^\s*(\d{1,2} [A-Za-z]{3,4} \d{4})\s{2,}(.*?)\s{2,}(€.*)$"
+CHECKING_START = r"^\s*(\d{2})-(\d{2})\s+([a-z]{2})\s+(.*)$"
+SUB_FIELD = r"^\s+([A-Z][A-Za-z /]*[A-Za-z]):\s+(\S.*)$"
+SECTION_START = r"^\s*(\d{1,2} [A-Za-z]{3,4} \d{4})\s{2,}(\S.*)$"
+EURO = r"(€[0-9,]+\.\d{2})"
+
+# Printed wordings. What a footer begins and ends with; lines of a card statement that belong to no row; and
+# headings of its legal parts.
 FOOTER_START, FOOTER_END = r"(?i)^\s*report lost or stolen", r"(?i)page \d+ of \d+"
+CARD_FURNITURE = (
+    "American Express Europe S.A. gevestigd", "Nieuwe transacties voor:", "Is het adres onjuist?", "Het te betalen bedrag is met", "Totaal voor:",
+    "Overige Transacties:", "Totaal Overige Transacties :",
+)
+LEGAL_HEADINGS = (
+    "belangrijke informatie", "handmatig betalen", "automatische incasso", "online services", "correspondentieadres", "bankgegevens", "zakelijke uitgaven",
+    "american express app", "the gold card", "maandafrekening", "pagina", "datum volgende", "membership rewards classic", "membership rewards nummer",
+    "totaal aantal gespaarde punten", "identificatienummer", "u kunt het adres", "mevr ",
+)
 
 
 def _day(x: Column) -> Column:
@@ -29,87 +45,161 @@ def _day(x: Column) -> Column:
     return parse_date(F.concat(F.substr(x, F.lit(1), F.lit(6)), year))
 
 
-def card_statement(lines: DataFrame) -> DataFrame:
-    """file, row, booked_date, processing_date, description, amount_minor of card statements.
+def _rows_of(lines: DataFrame, start: str, stop: Column) -> DataFrame:
+    """Lines inside rows, with start and row: a line like `start` opens one, and a line that stops it ends what is added to it."""
+    numbered = lines.withColumn("start", F.col("text").rlike(start)).withColumn("row", F.sum(F.col("start").cast("int")).over(_up_to_here()).cast("long"))
+    in_row = Window.partitionBy("file", "row").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    stopped = F.max((stop & ~F.col("start")).cast("int")).over(in_row)
+    return numbered.withColumn("_stopped", stopped).where((F.col("row") > 0) & (F.col("_stopped") == 0) & (F.trim("text") != "")).drop("_stopped")
+
 
-    Two dates open a row, an amount ends its first line; later lines add to the description, a bare CR turns it into a credit,
-    and the closing balance ends the list."""
-    part = lambda k: F.regexp_extract("text", CARD_ROW, k)
-    is_start, is_end = F.col("text").rlike(CARD_ROW), F.col("text").rlike(CARD_END)
-    marked = lines.withColumn("start", is_start).withColumn("row", F.sum(F.col("start").cast("int")).over(_up_to_here())).withColumn("ended", F.max(is_end.cast("int")).over(Window.partitionBy("file", "row").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)))
-    inside = marked.where((F.col("row") > 0) & (F.col("ended") == 0) & (F.trim("text") != ""))
+def _joined(*pieces: Column) -> Column:
+    """The texts of a group's lines in order (null pieces left out)."""
+    of_line = F.array_sort(F.collect_list(F.when(F.coalesce(*pieces).isNotNull() & (F.coalesce(*pieces) != ""), F.struct("line_no", F.coalesce(*pieces).alias("piece")))))
+    return F.array_join(F.transform(of_line, lambda p: p["piece"]), " ")
+
+
+def _card_rows(lines: DataFrame) -> DataFrame:
+    text = F.col("text")
+    furniture = F.lit(False)
+    for wording in CARD_FURNITURE:
+        furniture = furniture | F.contains(text, F.lit(wording))
+    for wording in LEGAL_HEADINGS:
+        furniture = furniture | F.startswith(F.lower(F.trim(text)), F.lit(wording))
+    inside = _rows_of(lines, CARD_START, text.rlike(CARD_END) | furniture)
     credit = F.trim("text") == "CR"
-    more = F.when(~F.col("start") & ~credit, F.trim("text"))
-    pieces = F.array_sort(F.collect_list(F.when(more.isNotNull(), F.struct("line_no", more.alias("text")))))
-    rows = inside.groupBy("file", "row").agg(
-        F.max(F.when(F.col("start"), part(1))).alias("booked"), F.max(F.when(F.col("start"), part(2))).alias("processed"), F.max(F.when(F.col("start"), part(3))).alias("first"),
-        F.max(F.when(F.col("start"), part(4))).alias("amount"), F.bool_or(credit).alias("credit"), pieces.alias("pieces"),
+    amount = F.when(text.rlike(DUTCH_AMOUNT), F.regexp_extract(text, DUTCH_AMOUNT, 1))
+    words = F.trim(F.regexp_replace(F.when(F.col("start"), F.regexp_extract(text, CARD_START, 3)).otherwise(text), DUTCH_AMOUNT, ""))
+    part = lambda k: F.max(F.when(F.col("start"), F.regexp_extract("text", CARD_START, k)))
+    return inside.groupBy("file", "row").agg(
+        F.min("line_no").alias("line_no"), part(1).alias("booked"), part(2).alias("processed"), F.min(F.when(amount.isNotNull(), F.struct("line_no", amount.alias("amount"))))["amount"].alias("amount"),
+        F.bool_or(credit).alias("credit"), _joined(F.when(~credit, words)).alias("description"),
     )
+
+
+def card_statement(lines: DataFrame) -> DataFrame:
+    """file, row, booked_date, processing_date, description, amount_minor of card statements.
+
+    Two dates open a row; its amount ends that line or a later one; other lines add to the description, and a bare CR turns it
+    into a credit. Furniture, legal text and the closing balance end a row. Rows without an amount are in card_failures."""
     sign = F.when(F.col("credit"), F.lit(1)).otherwise(F.lit(-1))
-    return rows.select(
-        "file", F.col("row").cast("long").alias("row"), _day(F.col("booked")).alias("booked_date"), _day(F.col("processed")).alias("processing_date"),
-        F.array_join(F.concat(F.array("first"), F.transform("pieces", lambda p: p["text"])), " ").alias("description"), (sign * dutch_minor(F.col("amount"))).alias("amount_minor"),
+    return _card_rows(lines).where("amount is not null").select(
+        "file", "row", _day(F.col("booked")).alias("booked_date"), _day(F.col("processed")).alias("processing_date"), "description", (sign * dutch_minor(F.col("amount"))).alias("amount_minor"),
     )
 
 
-def checking_statement(lines: DataFrame, start: Column, end: Column) -> DataFrame:
-    """file, row, booked_date, type_code, description, amount_minor of checking statements with a period.
+def card_failures(lines: DataFrame) -> DataFrame:
+    """file, row, line_no, reason of rows that a card statement prints and card_statement can't read."""
+    rows = _card_rows(lines)
+    reason = F.when(F.col("amount").isNull(), "no amount").when(_day(F.col("booked")).isNull(), "no such date")
+    return rows.select("file", "row", "line_no", reason.alias("reason")).where("reason is not null")
 
-    A day, a month and a type code open a row. Whether it is a debit depends on where its amount ends against the middle of the
-    two amount headings, which every page prints anew."""
+
+def _checking_rows(lines: DataFrame) -> DataFrame:
     heading = F.col("text").rlike(r"Debit amount.*Credit amount")
     middle = (F.instr("text", "Debit amount") + F.length(F.lit("Debit amount")) + F.instr("text", "Credit amount") + F.length(F.lit("Credit amount"))) / 2
-    part = lambda k: F.regexp_extract("text", CHECKING_ROW, k)
-    marked = lines.withColumn("middle", F.last(F.when(heading, middle), ignorenulls=True).over(_up_to_here())).withColumn("start", F.col("text").rlike(CHECKING_ROW)).withColumn("row", F.sum(F.col("start").cast("int")).over(_up_to_here()))
-    inside = marked.where((F.col("row") > 0) & ~heading & (F.trim("text") != ""))
-    ends = F.length(F.rtrim("text"))
-    more = F.when(~F.col("start"), F.trim("text"))
-    rows = inside.groupBy("file", "row").agg(
-        *[F.max(F.when(F.col("start"), part(k))).alias(f"p{k}") for k in range(1, 6)], F.max(F.when(F.col("start"), ends <= F.col("middle"))).alias("debit"),
-        F.array_sort(F.collect_list(F.when(more.isNotNull(), F.struct("line_no", more.alias("text"))))).alias("pieces"),
+    placed = lines.withColumn("middle", F.last(F.when(heading, middle), ignorenulls=True).over(_up_to_here()))
+    inside = _rows_of(placed, CHECKING_START, heading)
+    text, start = F.col("text"), F.col("start")
+    amount = F.when(start & text.rlike(DUTCH_AMOUNT), F.regexp_extract(text, DUTCH_AMOUNT, 1))
+    field = F.when(~start & text.rlike(SUB_FIELD), F.struct(F.regexp_extract(text, SUB_FIELD, 1).alias("key"), F.trim(F.regexp_extract(text, SUB_FIELD, 2)).alias("value")))
+    words = F.trim(F.when(start, F.regexp_replace(F.regexp_extract(text, CHECKING_START, 4), DUTCH_AMOUNT, "")).otherwise(text))
+    part = lambda k: F.max(F.when(start, F.regexp_extract("text", CHECKING_START, k)))
+    return inside.groupBy("file", "row").agg(
+        F.min("line_no").alias("line_no"), part(1).alias("day"), part(2).alias("month"), part(3).alias("type_code"), F.max(amount).alias("amount"),
+        F.max(F.when(start, F.length(F.rtrim("text")) <= F.col("middle"))).alias("debit"), _joined(F.when(field.isNull(), words)).alias("description"),
+        F.array_sort(F.collect_list(F.when(field.isNotNull(), F.struct("line_no", field.alias("field"))))).alias("fields"),
     )
-    year = infer_year(F.col("p2").cast("int"), start, end).cast("string")
+
+
+def checking_statement(lines: DataFrame, start: Column, end: Column) -> DataFrame:
+    """file, row, booked_date, type_code, description, amount_minor, fields of checking statements with a period.
+
+    A day, a month and a type code open a row. Whether it is a debit depends on where its amount ends against the middle of the
+    two amount headings, which every page prints anew. Later lines `Name: value` are the row's fields (the first of a name
+    stays), others add to the description. Rows without an amount or heading are in checking_failures."""
+    year = infer_year(F.col("month").cast("int"), start, end).cast("string")
     sign = F.when(F.col("debit"), F.lit(-1)).otherwise(F.lit(1))
-    return rows.select(
-        "file", F.col("row").cast("long").alias("row"), parse_date(F.concat_ws("-", year, "p2", "p1")).alias("booked_date"), F.col("p3").alias("type_code"),
-        F.array_join(F.concat(F.array("p4"), F.transform("pieces", lambda p: p["text"])), " ").alias("description"), (sign * dutch_minor(F.col("p5"))).alias("amount_minor"),
+    of_name = F.transform("fields", lambda f: f["field"])
+    names = F.array_distinct(F.transform(of_name, lambda f: f["key"]))
+    fields = F.map_from_arrays(names, F.transform(names, lambda n: F.get(F.filter(of_name, lambda f: f["key"] == n), F.lit(0))["value"]))
+    return _checking_rows(lines).where("amount is not null and debit is not null").select(
+        "file", "row", parse_date(F.concat_ws("-", year, "month", "day")).alias("booked_date"), "type_code", "description", (sign * dutch_minor(F.col("amount"))).alias("amount_minor"), fields.alias("fields"),
     )
 
 
+def checking_failures(lines: DataFrame) -> DataFrame:
+    reason = F.when(F.col("amount").isNull(), "no amount").when(F.col("debit").isNull(), "no heading of amounts")
+    return _checking_rows(lines).select("file", "row", "line_no", reason.alias("reason")).where("reason is not null")
+
+
 def classified(position: Column, out: Column, into: Column, close: Column) -> Column:
     """out, in or close: the column whose heading's offset a token is nearest to, by the middles between neighbours."""
     return F.when(position < (out + into) / 2, "out").when(position < (into + close) / 2, "in").otherwise("close")
 
 
-def without_furniture(lines: DataFrame) -> DataFrame:
-    """Lines outside footers: a footer goes from its first marker through the page number."""
+def _with_furniture(lines: DataFrame, headers: str | None) -> DataFrame:
+    """lines with is_furniture: a footer goes from its first marker through the page number; running headers are whole lines."""
     starts, ends = F.col("text").rlike(FOOTER_START), F.col("text").rlike(FOOTER_END)
     event = F.when(starts & ~ends, F.lit("in")).when(ends, F.lit("out"))
     state = F.last(event, ignorenulls=True).over(_up_to_here())
-    return lines.withColumn("_state", state).where(~ends & (F.coalesce("_state", F.lit("out")) == "out")).drop("_state")
+    running = F.col("text").rlike(headers) if headers else F.lit(False)
+    return lines.withColumn("is_furniture", ends | (F.coalesce(state, F.lit("out")) == "in") | running)
+
+
+def without_furniture(lines: DataFrame, headers: str | None = None) -> DataFrame:
+    """Lines outside footers and running headers (a pattern of whole lines)."""
+    return _with_furniture(lines, headers).where("not is_furniture").drop("is_furniture")
 
 
-def sectioned_statement(lines: DataFrame) -> DataFrame:
-    """file, section, row, booked_date, description, amount_minor, balance_minor of statements with several products.
+def furniture_dropped(lines: DataFrame, headers: str | None = None) -> DataFrame:
+    """file, dropped: how many lines of each file are furniture."""
+    return _with_furniture(lines, headers).groupBy("file").agg(F.count_if("is_furniture").alias("dropped"))
 
-    A heading `… transactions` opens a section, a heading of columns places money out, money in and balance. Of a row's
-    amounts the last is the balance, the first is out or in by its place."""
+
+def _sectioned_rows(lines: DataFrame, headers: str | None) -> DataFrame:
     section = F.regexp_extract("text", r"(?i)^\s*(.+?) transactions\b", 1)
     heading = F.col("text").rlike(r"Money out\s+Money in\s+Balance")
-    kept = without_furniture(lines)
+    kept = without_furniture(lines, headers)
     for name, label in (("out_at", "Money out"), ("in_at", "Money in"), ("close_at", "Balance")):
         kept = kept.withColumn(name, F.last(F.when(heading, F.instr("text", label)), ignorenulls=True).over(_up_to_here()))
-    kept = kept.withColumn("section", F.last(F.when(section != "", F.lower(section)), ignorenulls=True).over(_up_to_here())).where(F.col("text").rlike(SECTION_ROW))
-    amounts = F.regexp_extract_all("text", F.lit(r"(€[0-9,]+\.\d{2})"), F.lit(1))
-    first, last = F.get(amounts, F.lit(0)), F.element_at(amounts, -1)
-    side = classified(F.instr("text", "€"), F.col("out_at"), F.col("in_at"), F.col("close_at"))
+    kept = kept.withColumn("section", F.last(F.when(section != "", F.lower(section)), ignorenulls=True).over(_up_to_here()))
+    inside = _rows_of(kept, SECTION_START, heading | (section != ""))
+    text, start = F.col("text"), F.col("start")
+    amounts = F.when(start, F.regexp_extract_all("text", F.lit(EURO), F.lit(1)))
+    field = lambda name: F.max(F.when(~start, F.nullif(F.trim(F.regexp_extract(text, rf"(?i)^\s*{name}:\s*(.*)$", 1)), F.lit(""))))
+    first = lambda c: F.max(F.when(start, c))
+    return inside.groupBy("file", "row").agg(
+        F.min("line_no").alias("line_no"), first(F.col("section")).alias("section"), first(F.regexp_extract("text", SECTION_START, 1)).alias("day"),
+        first(F.trim(F.regexp_extract(F.regexp_extract("text", SECTION_START, 2), r"^([^€]*)", 1))).alias("description"), F.max(amounts).alias("amounts"), first(F.instr("text", "€")).alias("at"),
+        *[first(F.col(c)).alias(c) for c in ("out_at", "in_at", "close_at")], field("To").alias("to"), field("From").alias("from"), field("Reference").alias("reference"),
+    )
+
+
+def sectioned_statement(lines: DataFrame, headers: str | None = None) -> DataFrame:
+    """file, section, row, booked_date, description, amount_minor, balance_minor, to, from, reference of statements with
+    several products.
+
+    A heading `... transactions` opens a section, a heading of columns places money out, money in and balance. Of a row's
+    amounts the last is the balance, the first is out or in by its place. Lines To, From and Reference belong to the row above.
+    Rows without an amount in a money column are in sectioned_failures."""
+    side = classified(F.col("at"), F.col("out_at"), F.col("in_at"), F.col("close_at"))
     sign = F.when(side == "out", F.lit(-1)).otherwise(F.lit(1))
-    return kept.select(
-        "file", "section", F.row_number().over(Window.partitionBy("file").orderBy("line_no")).cast("long").alias("row"), month_name_date(F.regexp_extract("text", SECTION_ROW, 1)).alias("booked_date"),
-        F.regexp_extract("text", SECTION_ROW, 2).alias("description"), (sign * english_minor(first)).alias("amount_minor"), english_minor(last).alias("balance_minor"),
+    return _sectioned_rows(lines, headers).where(F.size("amounts") > 1).select(
+        "file", "section", "row", month_name_date(F.col("day")).alias("booked_date"), "description", (sign * english_minor(F.get("amounts", F.lit(0)))).alias("amount_minor"),
+        english_minor(F.element_at("amounts", -1)).alias("balance_minor"), "to", "from", "reference",
     )
 
 
+def sectioned_failures(lines: DataFrame, headers: str | None = None) -> DataFrame:
+    return _sectioned_rows(lines, headers).where(F.size("amounts") < 2).select("file", "row", "line_no", F.lit("no amount in a money column").alias("reason"))
+
+
+def with_section_accounts(rows: DataFrame, mapping: DataFrame) -> DataFrame:
+    """rows with the account_id that a mapping (section, account_id) names for their section; null for others."""
+    return rows.join(mapping.where("error is null").select("section", "account_id") if "error" in mapping.columns else mapping.select("section", "account_id"), "section", "left")
+
+
 def section_map(rows: DataFrame, known: tuple[str, ...]) -> DataFrame:
     """section, account_id, error of JSON objects (column sections): names without case, positive ids; a name twice with
     different ids, an unknown name or anything else is an error."""
@@ -124,7 +214,29 @@ def section_map(rows: DataFrame, known: tuple[str, ...]) -> DataFrame:
 
 
 def header_field(lines: DataFrame, label: str) -> DataFrame:
-    """file, value: the first token of the line below the first line that holds a label."""
+    """file, value: the text of the line below the first line that holds a label and has a digit below it."""
     below = F.lead("text").over(Window.partitionBy("file").orderBy("line_no"))
     found = lines.withColumn("below", below).where(F.contains("text", F.lit(label)) & F.col("below").rlike(r"\d"))
-    return found.groupBy("file").agg(F.min_by(F.regexp_extract("below", r"(\S+)", 1), "line_no").alias("value"))
+    return found.groupBy("file").agg(F.min_by(F.trim("below"), "line_no").alias("value"))
+
+
+def statement_header(lines: DataFrame) -> DataFrame:
+    """file, period_from, period_to, ibans, debit_total, credit_total, generated: what a statement says of itself.
+
+    The period stands on one line (`Periode: ... tot ...`) or below its two labels; all of it is advice, nothing filters rows."""
+    whole = lines.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    printed = r"Periode:\s*(\d{2}\.\d{2}\.\d{4})\s+tot\s+(\d{2}\.\d{2}\.\d{4})"
+    own = lambda k: parse_date(F.nullif(F.regexp_extract("text", printed, k), F.lit("")))
+    out = whole.select(
+        "file", own(1).alias("_from"), own(2).alias("_to"), F.array_distinct(F.regexp_extract_all(F.regexp_replace("text", r"(?<=[A-Z0-9]) (?=[A-Z0-9]{2,4}\b)", ""), F.lit(IBAN_COMPACT), F.lit(1))).alias("ibans"),
+        F.nullif(F.trim(F.regexp_extract("text", r"Generated on the ([^\n]*)", 1)), F.lit("")).alias("generated"),
+    )
+    dutch = F.regexp_extract_all("value", F.lit(r"(\d{1,3}(?:\.\d{3})*,\d{2})"), F.lit(1))
+    for label, name in (("From (date)", "_below_from"), ("To (date)", "_below_to"), ("Total amount debited", "_totals")):
+        value = header_field(lines, label)
+        value = value.select("file", (dutch if name == "_totals" else parse_date(F.regexp_extract("value", r"(\S+)", 1))).alias(name))
+        out = out.join(value, "file", "left")
+    return out.select(
+        "file", F.coalesce("_from", "_below_from").alias("period_from"), F.coalesce("_to", "_below_to").alias("period_to"), "ibans",
+        dutch_minor(F.get("_totals", F.lit(0))).alias("debit_total"), dutch_minor(F.get("_totals", F.lit(1))).alias("credit_total"), "generated",
+    )

@@ -484,3 +484,44 @@ def test_lookups_creates_and_refused_deletes(spark):
     with pytest.raises(ValueError):
         importing.transactions_without(table, table)
     assert analytics.default_range(dt.date(2024, 3, 31)) == (dt.date(2024, 3, 1), dt.date(2024, 3, 31))
+
+
+def as_lines(spark, text, file="a"):
+    return spark.createDataFrame([(file, i, t) for i, t in enumerate(text)], "file string, line_no int, text string")
+
+
+def test_card_rows_over_several_lines(spark):
+    lines = as_lines(spark, [
+        "Nieuwe transacties voor: X", "14.03.26  15.03.26  HOTEL", "  Room 12", "   Utrecht     1.234,50", "CR", "Pagina 2", "not of the row   9,99", "15.03.26  15.03.26  LOST", "Belangrijke informatie", "   7,00", "16.03.26  16.03.26  KIOSK  4,10", "Total  1,00", "after",
+    ])
+    got = [(r.row, r.booked_date, r.description, r.amount_minor) for r in layout.card_statement(lines).orderBy("row").collect()]
+    assert got == [(1, D(2026, 3, 14), "HOTEL Room 12 Utrecht", 123450), (3, D(2026, 3, 16), "KIOSK", -410)]
+    assert [(r.row, r.line_no, r.reason) for r in layout.card_failures(lines).collect()] == [(2, 7, "no amount")]
+
+
+def test_checking_fields_and_failures(spark):
+    head = "Date  Type  Description            Debit amount     Credit amount"
+    text = ["29-12 ba  EARLY" + " " * 20 + "3,00", head, "30-12 ba  SHOP" + " " * 20 + "10,00", "  extra words", "  Reference: AB 12", "  Reference: second", "  Creditor ID: NL1", "31-12 tb  NOTHING", head, "01-01 tb  PAY" + " " * 42 + "1,00"]
+    lines = as_lines(spark, text)
+    got = [(r.description, r.amount_minor, r.fields) for r in layout.checking_statement(lines, F.lit(D(2025, 12, 20)), F.lit(D(2026, 1, 19))).orderBy("row").collect()]
+    assert got == [("SHOP extra words", -1000, {"Reference": "AB 12", "Creditor ID": "NL1"}), ("PAY", 100, {})]
+    assert [(r.row, r.reason) for r in layout.checking_failures(lines).orderBy("row").collect()] == [(1, "no heading of amounts"), (3, "no amount")]
+
+
+def test_sections_accounts_and_furniture(spark):
+    head = "Date          Description          Money out    Money in     Balance"
+    row = lambda day, what, at, amount, balance: (f"{day}   {what}".ljust(at) + amount).ljust(head.index("Balance")) + balance
+    text = ["My Bank statement", "Current transactions", head, row("5 Sept 2025", "Shop", head.index("Money out"), "€10.00", "€90.00"), "   To: Shop BV", "   Reference: r1", "My Bank statement", "6 Sep 2025    No amount", "Report lost or stolen", "x", "page 1 of 1", "Vault transactions", row("7 Sep 2025", "In", head.index("Money in"), "€1.00", "€1.00")]
+    lines = as_lines(spark, text)
+    mapping = spark.createDataFrame([("current", 3, None), ("vault", 4, "unknown section")], "section string, account_id long, error string")
+    got = layout.with_section_accounts(layout.sectioned_statement(lines, r"^My Bank"), mapping).orderBy("row").collect()
+    assert [(r.section, r.amount_minor, r.to, r.reference, r.account_id) for r in got] == [("current", -1000, "Shop BV", "r1", 3), ("vault", 100, None, None, None)]
+    assert [(r.row, r.reason) for r in layout.sectioned_failures(lines, r"^My Bank").collect()] == [(2, "no amount in a money column")]
+    assert layout.furniture_dropped(lines, r"^My Bank").first().dropped == 5
+
+
+def test_statement_headers(spark):
+    got = layout.statement_header(as_lines(spark, ["IBAN / account number", "NL91 ABNA 0417 1643 00", "From (date)", "01-02-2026", "To (date)", "28-02-2026", "Total amount debited  Total amount credited", " EUR 1.234,50   EUR 7,00", "Generated on the 3rd of March"])).first()
+    assert (got.period_from, got.period_to, got.ibans, got.debit_total, got.credit_total, got.generated) == (D(2026, 2, 1), D(2026, 2, 28), ["NL91ABNA0417164300"], 123450, 700, "3rd of March")
+    empty = layout.statement_header(as_lines(spark, ["nothing"])).first()
+    assert (empty.period_from, empty.ibans, empty.debit_total, empty.generated) == (None, [], None, None)
