@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import common, components, decontaminate, jaccard, likelihood, mixing, pii, quality, queries, repeats, secrets, sharding, wavelet
@@ -520,6 +521,43 @@ def test_running_sums(spark):
         assert got[i] == sum(v for k2, g2, b2, i2, v in rows if k2 == k and (g2, b2, i2) < (g, b, i))
 
 
+def test_manifest_is_a_sound_mix(spark, docs):
+    """Taken words against the manifest's slots: each epoch takes a block once, whole ones but for the last slot's."""
+    documents, manifest = mixing.mix(docs, block_words=16)
+    rows, pieces = documents.collect(), manifest.collect()
+    order = {}
+    for r in rows:
+        order.setdefault(r.source, []).append(r)
+    taken = Counter()
+    for source, own in order.items():
+        own.sort(key=lambda r: (r.begin, r["size"]))
+        at = 0
+        for r in own:  # packed without gaps
+            assert r.begin == at
+            at += r["size"]
+        slots = {}
+        for p in (p for p in pieces if p.source == source):
+            start, end = p.begin + p.first, p.begin + p.last
+            assert p.block * 16 <= start < end <= min(at, (p.block + 1) * 16)
+            slots.setdefault((p.epoch, p.slot, p.block), []).append((start, end))
+            taken[source, p.begin, p.doc_id, p.row_hash] += end - start
+        epochs = Counter((e, b) for e, _, b in slots)
+        assert not slots or max(epochs.values()) == 1
+        lengths = {}
+        for (epoch, slot, block), spans in slots.items():
+            spans.sort()
+            assert spans[0][0] == block * 16 and all(a[1] == b[0] for a, b in itertools.pairwise(spans))
+            lengths[slot] = (spans[-1][1] - block * 16, min(16, at - block * 16))
+        # Only the last slot may take a part of its block, and only the last epoch leaves blocks out.
+        assert all(n == full for slot, (n, full) in lengths.items() if slot != max(lengths))
+        n_blocks = -(-at // 16)
+        per_epoch = Counter(e for e, _, _ in slots)
+        assert all(n == n_blocks for e, n in per_epoch.items() if e != max(per_epoch))
+    for r in mixing.taken_by_document(documents, manifest).collect():
+        want = taken[r.source, r.begin, r.doc_id, r.row_hash] if r["size"] else 0
+        assert r.taken == want
+
+
 def test_permutation_is_one(spark):
     for n in (1, 2, 7, 100):
         df = spark.range(n).select("id", mixing._permuted(F.col("id"), F.lit(n), F.lit(3), 1).alias("p"))
@@ -551,6 +589,48 @@ def test_quality(docs, rows, empty):
     assert quality.quality_report(empty).isEmpty()
 
 
+def js_distance(p, q):
+    if not sum(p) or not sum(q):
+        return None
+    p, q = ([x / sum(v) for x in v] for v in (p, q))
+    m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
+    kl = lambda v: sum(a * math.log2(a / b) for a, b in zip(v, m, strict=True) if a)
+    return math.sqrt(max((kl(p) + kl(q)) / 2, 0.0))
+
+
+def test_verdicts_like_a_plain_model(spark, docs, rows):
+    def folded(text):
+        plain = regex.sub(r"[^\p{L}\x20\x09-\x0d]+", "", (text or "").lower())
+        words = re.findall("[^\x20\x09-\x0d]+", plain)
+        counts = Counter(words)
+        return [*(counts[w] for w in quality.VOCABULARY), len(words) - sum(counts[w] for w in quality.VOCABULARY)]
+
+    def classes(text):
+        text = text or ""
+        letters, digits, space = len(regex.findall(r"\p{L}", text)), len(re.findall("[0-9]", text)), len(re.findall(r"[\x20\x09-\x0d]", text))
+        points = len(re.findall(r"[.,;:!?'\"()\-]", text))
+        return [letters, digits, space, points, len(text) - letters - digits - space - points]
+
+    lang = lambda r: r[2] if r[2] in quality.WORD_SHARES else quality.REST
+    own = {}
+    for r in rows:
+        own[lang(r)] = [a + b for a, b in zip(own.get(lang(r), [0] * (len(quality.VOCABULARY) + 1)), folded(r[1]), strict=True)]
+    kept = []
+    for r in rows:
+        *_, failed = base_quality(r[1])
+        counts, reference = folded(r[1]), own[lang(r)] if lang(r) != quality.REST else None
+        near = (js_distance(classes(r[1]), quality.CLASS_SHARES[lang(r)]) or 0) <= quality.MAX_CLASS_DISTANCE
+        if reference and sum(counts):
+            share = 1 - reference[-1] / sum(reference)
+            without = js_distance([0] * len(quality.VOCABULARY) + [1], reference)
+            if share:
+                near = near and js_distance(counts, reference) <= without * (quality.MAX_WORD_SHARE + quality.WORD_SLACK / (sum(counts) * share))
+        chars = sum(map(len, re.findall("[^\x20\x09-\x0d]+", r[1] or "")))
+        kept.append((r[0], not failed and (chars < quality.MIN_CHARS or near)))
+    assert collected(quality.quality_report(docs), "doc_id", "kept") == sorted(kept, key=key)
+    assert {k for _, k in kept} == {True, False}
+
+
 def test_divergence_separates(spark):
     good = "the report of the day is that a man in the town was to go for it with the rest of us and to stay in a house that is old " * 3
     words = [w for i, w in enumerate(good.split())]
@@ -600,6 +680,41 @@ def test_likelihood(spark, docs, rows, empty):
     assert likelihood.score(empty, path).isEmpty()
 
 
+def test_scores_like_a_plain_model(spark, docs, rows):
+    import sentencepiece
+
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    out = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+    words = [(r[0], (r[1] or "").encode().lower().split()) for r in rows if r[1] is None or len(r[1]) < 50_000]
+    small = docs.where("text is null or length(text) < 50000")
+    train = Counter(w for d, ws in words if not out(d) for w in ws)
+    counts, ends = Counter(), sum(not out(d) for d, _ in words)
+    for w, n in train.items():
+        for piece in model.encode(w.decode()):
+            counts[piece] += n
+    size = model.get_piece_size()
+    total = sum(counts.values()) + ends + size + 1
+    log = lambda n: math.log10((n + 1) / total)
+    by_piece = {model.id_to_piece(i): log(counts[i]) for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
+    by_byte = [log(counts[model.piece_to_id(f"<0x{b:02X}>")]) for b in range(256)]
+
+    def word_score(word):
+        """Sums probabilities themselves, from the end of the word."""
+        text = "▁" + word.decode()
+        rest = [0.0] * len(text) + [1.0]
+        for i in reversed(range(len(text))):
+            for j in range(i + 1, len(text) + 1):
+                score = by_piece.get(text[i:j], sum(by_byte[b] for b in text[i].encode()) if j == i + 1 and text[i] not in by_piece else None)
+                rest[i] += 10**score * rest[j] if score is not None else 0.0
+        return math.log10(rest[0])
+
+    known = {w: word_score(w) for _, ws in words for w in ws}
+    want = sorted(((d, round(sum(known[w] for w in ws) + log(ends), 4)) for d, ws in words), key=key)
+    have = sorted(((r.doc_id, round(r.score, 4)) for r in likelihood.score(small, path, frequent_words=20).collect()), key=key)
+    assert [d for d, _ in have] == [d for d, _ in want] and all(abs(a - b) < 2e-4 for (_, a), (_, b) in zip(have, want, strict=True))
+
+
 def test_forward_sums_all_segmentations():
     pieces = {"▁": -2.0, "a": -1.0, "b": -1.5, "ab": -0.7, "▁a": -1.2, "▁ab": -3.0}
     by_byte = [-5.0] * 256
