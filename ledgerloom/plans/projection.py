@@ -57,9 +57,14 @@ class Ledger:
         )
 
     @cached_property
-    def counts(self) -> dict[str, int]:
-        """Sizes of the tables that keys wrap around."""
-        return {name: self.table(name).count() for name in ("customer", "supplier", "part")}
+    def _counts(self) -> dict[str, int]:
+        return {}
+
+    def count(self, name: str) -> int:
+        """Size of a table that keys wrap around, counted when it is first asked for."""
+        if name not in self._counts:
+            self._counts[name] = self.table(name).count()
+        return self._counts[name]
 
     @cached_property
     def _orders(self) -> DataFrame:
@@ -74,10 +79,9 @@ class Ledger:
     @cached_property
     def lines(self) -> DataFrame:
         """Two legs per entry. Legs are unpivoted from one scan."""
-        n = self.counts
         other = F.when(~F.col("is_transfer"), F.lit(EXPENSE_ACCOUNT).cast("long")).when(
-            F.col("o_orderkey") % 2 == 0, SUPPLIER_BASE + F.col("o_orderkey") % n["supplier"]
-        ).otherwise((F.col("o_custkey") + 1) % n["customer"])
+            F.col("o_orderkey") % 2 == 0, SUPPLIER_BASE + F.col("o_orderkey") % self.count("supplier")
+        ).otherwise((F.col("o_custkey") + 1) % self.count("customer"))
 
         def leg(i: int, account: Column, amount: Column, category: Column) -> Column:
             return F.struct(
@@ -94,7 +98,7 @@ class Ledger:
         key = F.col("o_orderkey")
         part = self.table("part").select("p_partkey", "p_name")
         suffix = F.element_at(F.array(*[F.lit(s) for s in SUFFIXES]), (key % 6 + 1).cast("int"))
-        return self.table("orders").withColumn("p_partkey", key % self.counts["part"]).join(part, "p_partkey").select(
+        return self.table("orders").withColumn("p_partkey", key % self.count("part")).join(part, "p_partkey").select(
             key.alias("id"), F.concat(F.upper("p_name"), suffix).alias("raw_description"), (F.col("o_custkey") % 50).alias("account_id"),
             (-100 * (1 + key % 3)).cast("long").alias("raw_amount"), F.trunc(F.col("o_orderdate").cast("date"), "month").alias("raw_date"), F.lit("EUR").alias("currency"),
             F.year("o_orderdate").cast("long").alias("batch_id"), key.alias("line_number"),
