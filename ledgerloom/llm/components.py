@@ -45,7 +45,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, label for the nodes of edges (columns u, v: long), label being the smallest node of the component.
 
-    Each partition of a bounded number of edges is contracted by itself; if there are several, star steps go on
+    Repeated edges and loops change nothing; edges with a null end are not allowed; no edges give no rows; other columns are
+    ignored. Each partition of a bounded number of edges is contracted by itself; if there are several, star steps go on
     until nothing changes, with the edges written to the shared folder after each round."""
     edges = materialise(edges.select("u", "v").where("u <> v"), "edges")
     n = edges.count()

@@ -14,7 +14,7 @@ hash of the set, so copies are one node from the start. Two nodes link at a Jacc
    group of near copies costs a few pairs per row rather than all pairs, and no pair is left untested that
    could connect two components.
 4. Candidates are verified once per pair and round: a pass over the documents emits the sets of nodes in
-   candidates (a bitmap of fixed size tells most others apart), they are joined to the pairs, and a
+   candidates (a bitmap tells most others apart, or a join where there are too many), they are joined to the pairs, and a
    suffix filter, bounding the overlap by counts in ranges of the hash, comes before the intersection.
 
 Shingles are 64-bit hashes, and sets are compared by 40 bits of them.

@@ -6,9 +6,9 @@ plane answers rank and select, and the planes together answer token access, coun
 the k-th occurrence, all from the one compressed payload. A payload also has the documents' ids and
 where each begins.
 
-Shards are ranges of doc_id whose bounds are quantiles of the ids, by regions where there are many, so that text is encoded once, only
-token ids are shuffled, and a shard is written by one task from a sorted stream, in payloads of about
-`payload_tokens` tokens. A payload is a row of a Parquet file: Spark commits the files, any executor can
+Shards are ranges of doc_id whose bounds are quantiles of the ids (by regions where there are many), so that
+text is encoded once, only token ids are shuffled, and a shard is written by one task from a sorted stream,
+in payloads of about `payload_tokens` tokens. A payload is a row of a Parquet file: Spark commits the files, any executor can
 read them, and a rerun writes to another folder. A document is never split, so a payload is as large as
 one document at least.
 
