@@ -67,6 +67,46 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    hadoop, fs = hadoop_path(spark, path)
+    stream = fs.open(hadoop)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def publish(spark: SparkSession, text: str, target: str, aside: str) -> bool:
+    """Write a small file under a fresh name in the folder `aside` and rename it to target, there as a whole or not at all;
+    False if target exists. (The rename must be atomic, as on HDFS or a local disk.)"""
+    source, fs = hadoop_path(spark, f"{aside}/{uuid.uuid4().hex}")
+    stream = fs.create(source, False)
+    try:
+        stream.write(text.encode())
+    finally:
+        stream.close()
+    new, _ = hadoop_path(spark, target)
+    fs.mkdirs(new.getParent())
+    jvm = spark._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = getattr(jvm.org.apache.hadoop.fs.Options.Rename, "NONE")
+    try:
+        context.rename(source, new, options)
+    except Exception:
+        if not fs.exists(new):
+            raise
+        fs.delete(source, False)
+        return False
+    return True
+
+
 def wrapped(docs: DataFrame, **columns: Column) -> DataFrame:
     """docs' rows as one struct column `row`, so that no name of theirs clashes, and columns beside it."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(name) for name, c in columns.items()])
