@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, jaccard, likelihood, mixing, pii, quality, repeats, secrets, sharding, wavelet
+from . import decontaminate, exact, jaccard, likelihood, merkle, mixing, phrases, pii, quality, repeats, secrets, sharding, wavelet
 from .common import table
 
 
@@ -62,6 +62,14 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return likelihood.score(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.deduplicate(table(spark, sf_dir, "documents"))
 
@@ -77,10 +85,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_phrases": op11_phrases,
+    "op12_merkle_proofs": op12_merkle_proofs,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op2_sharding": "SELECT doc_id, lang, source, CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS text_md5 FROM documents",
+    "op11_phrases": phrases.SQL,
+    "op12_merkle_proofs": merkle.SQL,
     "op13_exact_dedup": exact.SQL,
 }
