@@ -35,11 +35,24 @@ def from_minor(amount: Column, decimals: int) -> Column:
     return amount.cast("decimal(18,0)") * F.expr(f"{10**-decimals:.{decimals}f}BD")
 
 
-def converted(amount: Column, rate: Column, decimals: int = 2) -> Column:
-    """Base amount of minor units at a rate (foreign units for one base unit), four decimals half up.
-
-    Operands are kept narrow: a division of wide decimals loses scale."""
-    return F.round(from_minor(amount, decimals).cast(f"decimal(18,{decimals})") / rate.cast("decimal(15,10)"), 4).cast(BASE_AMOUNT)
+def power_of_ten(n: Column) -> Column:
+    """10^n as a decimal, n from 0 to 18."""
+    return F.rpad(F.lit("1"), n.cast("int") + 1, F.lit("0")).cast("decimal(19,0)")
+
+
+def converted(amount: Column, rate: Column, decimals: Column | int = 2) -> Column:
+    """Base amount of minor units of a currency with so many decimals, at a rate (foreign units for one base unit): four
+    decimals, half up and away from zero. Null where the rate isn't positive or the result has no place in BASE_AMOUNT.
+
+    A quotient of whole numbers, so no digit is lost: amount / 10^decimals / rate in ten-thousandths is
+    amount * 10^14 / (rate * 10^10 * 10^decimals)."""
+    d = F.lit(decimals) if isinstance(decimals, int) else decimals
+    scaled = F.abs(amount.cast("decimal(19,0)")) * F.expr("100000000000000BD")
+    per = F.try_multiply((F.when(rate > 0, rate).cast("decimal(20,10)") * F.expr("10000000000BD")).cast("decimal(20,0)"), power_of_ten(d))
+    # A result of 18 digits at most; a product beyond 38 digits is larger than any amount.
+    fits = scaled < F.coalesce(F.try_multiply(per, F.expr("100000000000000000BD")), F.expr("99999999999999999999999999999999999999BD"))
+    whole = F.when(fits, F.call_function("div", 2 * scaled + per, 2 * per))
+    return (F.when(amount < 0, -whole).otherwise(whole).cast("decimal(18,0)") * F.expr("0.0001BD")).cast(BASE_AMOUNT)
 
 
 def counter_amount(base: Column, decimals: int = 2) -> Column:

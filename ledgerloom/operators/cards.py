@@ -96,10 +96,9 @@ def post_card_payments(rows: DataFrame, lines: DataFrame) -> DataFrame:
     return decided.unionByName(in_turn).unionByName(refused)
 
 
-def built_entries(rows: DataFrame, posted: DataFrame) -> DataFrame:
+def built_entries(new: DataFrame) -> DataFrame:
     """Two legs of each payment that is built, keyed by the row's id: the card's first. The side that no statement printed
-    is marked as made up. rows need amount_base, of the credit."""
-    new = rows.join(posted.where("shape = 'build'").select("id"), "id", "left_semi")
+    is marked as made up. new: rows whose shape is build, with amount_base, of the credit."""
     credit = F.abs("amount")
 
     def leg(order: int, account: str, sign: int):
@@ -122,3 +121,14 @@ def rewritten_lines(lines: DataFrame, rows: DataFrame, posted: DataFrame) -> Dat
     opposite = {"account_id": F.col("_card"), "amount": -F.col("amount"), "amount_base": -F.col("amount_base"), "id": -F.col("id"), "is_expense": F.lit(False)}
     new = paying.select(*[opposite.get(c, F.col(c)).cast(lines.schema[c].dataType).alias(c) for c in lines.columns])
     return kept.unionByName(new)
+
+
+def card_links(touched: DataFrame, lines: DataFrame) -> DataFrame:
+    """The links (out_id, in_id, method, confidence) of entries that card payments attached to or rewrote: from the paying line
+    to the card's. lines: as they are after rewrites; entries of other than one line a side give none."""
+    entries = touched.select("entry_id").distinct()
+    out, in_ = F.col("amount") < 0, F.col("amount") > 0
+    sides = lines.join(entries, "entry_id", "left_semi").groupBy("entry_id").agg(
+        F.count_if(out).alias("n_out"), F.count_if(in_).alias("n_in"), F.min(F.when(out, F.col("id"))).alias("out_id"), F.min(F.when(in_, F.col("id"))).alias("in_id")
+    )
+    return sides.where("n_out = 1 and n_in = 1").select("out_id", "in_id", F.lit("auto_card_payment").alias("method"), F.expr("0.95BD").cast("decimal(3,2)").alias("confidence"))

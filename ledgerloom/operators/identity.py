@@ -69,12 +69,21 @@ def known_by_fingerprint(new: DataFrame, stored: DataFrame, known: bool = True)
 
 
 def resolve(new: DataFrame, stored: DataFrame) -> DataFrame:
-    """id, tier (1, 2, 3 or 0), needs_review: the first tier that knows the row."""
-    first = known_by_provider_id(new, stored).select("id", F.lit(1).alias("t1"))
-    second = tier2_decisions(new, stored).where("decision <> 'none'").select(F.col("new_id").alias("id"), F.lit(2).alias("t2"), (F.col("decision") == "review").alias("review"))
-    third = known_by_fingerprint(new, stored).select("id", F.lit(3).alias("t3"))
-    joined = new.select("id").join(first, "id", "left").join(second, "id", "left").join(third, "id", "left")
-    return joined.select("id", F.coalesce("t1", "t2", "t3", F.lit(0)).alias("tier"), (F.col("t1").isNull() & F.coalesce("review", F.lit(False))).alias("needs_review"))
+    """id, tier (1, 2, 3 or 0), needs_review, stored_id, score: the first tier that knows the row.
+
+    A row that only its likeness tells (tier 2) waits for a review below the score that decides alone. A stored row is the
+    counterpart of one such row at most: of several the one of the best score (ties: smallest id) has it, and the others are
+    known by the later tiers or not at all."""
+    provider = stored.where("provider_txn_id <> ''").select("account_id", "provider_txn_id", F.lit(True).alias("_1")).distinct()
+    prints = stored.select("fingerprint", F.lit(True).alias("_3")).distinct()
+    rows = new.select("id", "account_id", "provider_txn_id", "fingerprint").join(provider, ["account_id", "provider_txn_id"], "left").join(prints, "fingerprint", "left")
+    liked = tier2_decisions(new, stored).where("decision <> 'none'")
+    liked = liked.join(rows.where("_1").select(F.col("id").alias("new_id")), "new_id", "left_anti")
+    best = liked.groupBy("stored_id").agg(F.max_by("new_id", F.struct("score", -F.col("new_id"))).alias("new_id"), F.max("score").alias("score"))
+    second = best.select(F.col("new_id").alias("id"), "stored_id", "score")
+    tier = F.when(F.col("_1"), 1).when(F.col("stored_id").isNotNull(), 2).when(F.col("_3"), 3).otherwise(0)
+    review = (tier == 2) & (F.col("score") < F.expr(f"{TIER2_AUTO}BD"))
+    return rows.join(second, "id", "left").select("id", tier.alias("tier"), review.alias("needs_review"), "stored_id", "score")
 
 
 def set_difference(parsed: DataFrame, stored: DataFrame) -> DataFrame:

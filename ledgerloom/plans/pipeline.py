@@ -7,86 +7,182 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.money import base_from_minor, converted
 from ..operators import cards, identity, posting, statements, transfers
+from ..schema import TRANSFER_DAYS
+from .store import Change, LedgerStore, Version
 
 UNATTRIBUTED = "no account, date or amount"
 
 
 @dataclass(frozen=True)
 class Imported:
-    """What an import makes of its records, all lazy. Entries and lines are keyed by the record's id.
-
-    outcomes: id, batch_id, line_number, outcome (created, duplicated, failed), shape (posted, match, rewrite, build) and
-    reason. rows: the records to store, those that failed to post with their reason. lines: new legs. touched: the
-    counterparts of card payments (id, line_id, entry_id, shape)."""
-
-    outcomes: DataFrame
-    rows: DataFrame
-    lines: DataFrame
-    touched: DataFrame
+    """What an import makes of its records. judged has one row per record; everything else is read from it.
+
+    judged: the record's columns with occurrence_index and fingerprint; outcome (created, duplicated, review, failed), shape
+    (posted, match, rewrite, build) and reason; tier, stored_id and score of the stored row that it may be; rate, amount_base,
+    card_id, paying_id, contra_id and category of what is posted; line_id and entry_id of the counterpart of a card payment.
+    Entries and lines are keyed by the record's id."""
+
+    judged: DataFrame
+
+    @property
+    def outcomes(self) -> DataFrame:
+        return self.judged.select("id", "batch_id", "line_number", "outcome", "shape", "reason")
+
+    @property
+    def rows(self) -> DataFrame:
+        """The records to store: posted, or pending with the reason."""
+        status = F.when(F.col("outcome") == "created", "posted").otherwise("pending")
+        entry = F.when(F.col("outcome") == "created", F.coalesce("entry_id", "id"))
+        kept = self.judged.where(F.col("outcome").isin("created", "review") | ((F.col("outcome") == "failed") & (F.col("reason") != UNATTRIBUTED)))
+        return kept.select("id", "batch_id", "line_number", "account_id", "raw_description", "raw_amount", "currency", "raw_date", "occurrence_index", "fingerprint", status.alias("status"), F.col("reason").alias("error_message"), entry.alias("entry_id"))
+
+    @property
+    def entries(self) -> DataFrame:
+        new = self.judged.where("shape in ('posted', 'build')")
+        return new.select("id", F.col("raw_date").alias("entry_date"), F.col("raw_description").alias("description"), (F.col("shape") == "build").alias("is_transfer"))
+
+    @property
+    def lines(self) -> DataFrame:
+        columns = ["entry_id", "sort_order", "account_id", "amount", "currency", "amount_base", "category_id", "is_synthesized"]
+        plain = self.judged.where("shape = 'posted'").drop("entry_id")
+        legs = posting.posting_legs(plain, F.col("contra_id"), F.col("filed_under")).withColumn("is_synthesized", F.lit(False))
+        built = cards.built_entries(self.judged.where("shape = 'build'").drop("entry_id").withColumn("amount", F.col("raw_amount"))).withColumn("category_id", F.lit(None).cast("long"))
+        return legs.select(columns).unionByName(built.select(columns))
+
+    @property
+    def touched(self) -> DataFrame:
+        """The counterparts of card payments."""
+        return self.judged.where("line_id is not null").select("id", "line_id", "entry_id", "shape")
+
+    @property
+    def reviews(self) -> DataFrame:
+        """Rows that may be a stored one: they wait, and are not posted."""
+        return self.judged.where("outcome = 'review'").select("id", "stored_id", "score")
 
     def report(self) -> DataFrame:
-        """One row per batch: record_count, created, duplicated, failed, status."""
-        return statements.batch_status(self.outcomes.select("batch_id", "outcome"))
-
-
-def _with_base(rows: DataFrame, amount: str) -> DataFrame:
-    base = F.when(F.col("currency") == "EUR", base_from_minor(F.col(amount))).otherwise(converted(F.col(amount), F.col("rate")))
-    return rows.withColumn("amount_base", base)
+        """One row per batch: record_count, created, duplicated, failed, status. Rows that wait are in none of the three."""
+        return statements.batch_status(self.judged.select("batch_id", "outcome"))
 
 
 def import_batch(
-    records: DataFrame, stored: DataFrame, accounts: DataFrame, rates: DataFrame, halves: DataFrame, categories: DataFrame | None = None, all_tiers: bool = False
+    records: DataFrame, stored: DataFrame, accounts: DataFrame, rates: DataFrame, halves: DataFrame, categories: DataFrame | None = None,
+    all_tiers: bool = False, currencies: DataFrame | None = None,
 ) -> Imported:
     """One pass over a batch of records: what is known goes, card payments find their other half, the rest is posted.
 
     records: id, batch_id, line_number, account_id, raw_description, raw_amount, currency, raw_date, is_card_payment. stored:
     fingerprint (and for `all_tiers` what identity.resolve needs of either side). halves: lines that card payments may
-    attach to (see cards). categories: raw_description, category_id to file new expenses under.
+    attach to (see cards). categories: raw_description, category_id to file new expenses under. currencies: code, decimals.
 
     A record without account, date or amount fails; one whose fingerprint is stored is a duplicate, as is with `all_tiers`
-    one that its provider's id or its likeness to a stored row tells; a card payment that is refused, and a row that can't
-    be posted, fail with a reason and are stored pending."""
+    one that its provider's id or its likeness to a stored row tells (if the likeness isn't sure, the record waits for a
+    review); a card payment that is refused, and a row that can't be posted, fail with a reason and are stored pending.
+
+    Records are shuffled by content, for their ranks, and by fingerprint; what else is joined to them are accounts, rates and
+    currencies, the decisions on card payments, and with `all_tiers` the tiers."""
     bad = F.col("account_id").isNull() | F.col("raw_date").isNull() | F.col("raw_amount").isNull()
-    unattributed = records.where(bad).select("id", F.lit("failed").alias("outcome"), F.lit(None).cast("string").alias("shape"), F.lit(UNATTRIBUTED).alias("reason"))
-    ranked = identity.with_fingerprint(identity.occurrence_index(records.where(~bad)))
-    known = identity.known_by_fingerprint(ranked, stored).select("id")
+    rows = identity.with_fingerprint(identity.occurrence_index(records)).withColumn("_bad", bad)
     if all_tiers:
-        alike = ranked.withColumnsRenamed({"raw_description": "description", "raw_amount": "amount_minor", "raw_date": "booked_date"})
-        known = identity.resolve(alike, stored).where("tier > 0 and not needs_review").select("id")
-    duplicated = known.select("id", F.lit("duplicated").alias("outcome"), F.lit(None).cast("string").alias("shape"), F.lit(None).cast("string").alias("reason"))
-    rated = posting.with_rate(ranked.join(known, "id", "left_anti"), rates)
-
-    # Card payments.
-    flagged = F.coalesce(F.col("is_card_payment"), F.lit(False))
-    payments = rated.where(flagged).select("id", "line_number", "account_id", F.col("raw_amount").alias("amount"), "currency", F.col("raw_date").alias("date"), "rate")
-    roles = cards.with_roles(payments, accounts)
-    roles = _with_base(roles, "amount")
-    missing = F.when(F.col("rate").isNull(), "no exchange rate").when(F.col("amount_base") == 0, "zero amount")
-    roles = roles.withColumn("refusal", F.coalesce("refusal", missing))
-    posted_cards = cards.post_card_payments(roles, halves)
-    of_cards = posted_cards.select("id", F.when(F.col("shape") == "refused", "failed").otherwise("created").alias("outcome"), F.when(F.col("shape") != "refused", F.col("shape")).alias("shape"), "reason")
-
-    # The rest, against the one contra account there must be.
-    plain = rated.where(~flagged).join(F.broadcast(posting.contra_account(accounts).withColumnRenamed("id", "contra_id")), F.lit(True), "left")
-    based = _with_base(plain, "raw_amount")
-    reason = F.when(F.col("contra_id").isNull(), "no contra account").when(F.col("rate").isNull(), "no exchange rate").when(F.col("amount_base") == 0, "zero amount")
-    of_plain = based.select("id", F.when(reason.isNull(), "created").otherwise("failed").alias("outcome"), F.when(reason.isNull(), "posted").alias("shape"), reason.alias("reason"))
-    good = plain.where("contra_id is not null")
+        alike = rows.where("not _bad").withColumnsRenamed({"raw_description": "description", "raw_amount": "amount_minor", "raw_date": "booked_date"})
+        rows = rows.join(identity.resolve(alike, stored), "id", "left")
+    else:
+        known = stored.select("fingerprint").distinct().withColumn("_known", F.lit(3))
+        null = {"needs_review": F.lit(False), "stored_id": F.lit(None).cast("long"), "score": F.lit(None).cast("decimal(3,2)")}
+        rows = rows.join(known, "fingerprint", "left").withColumn("tier", F.coalesce("_known", F.lit(0))).drop("_known").withColumns(null)
     if categories is not None:
-        filed = categories.select("raw_description", F.col("category_id").alias("filed_under")).distinct()
-        good = good.join(filed, "raw_description", "left")
-    legs = posting.posting_legs(good, F.col("contra_id"), F.col("filed_under") if categories is not None else None)
-    columns = ["entry_id", "sort_order", "account_id", "amount", "currency", "amount_base", "category_id", "is_synthesized"]
-    lines = legs.withColumn("is_synthesized", F.lit(False)).select(columns).unionByName(
-        cards.built_entries(roles, posted_cards).withColumn("category_id", F.lit(None).cast("long")).select(columns)
-    )
-    decided = unattributed.unionByName(duplicated).unionByName(of_cards).unionByName(of_plain)
-    outcomes = records.select("id", "batch_id", "line_number").join(decided, "id")
-    status = F.when(F.col("outcome") == "created", "posted").otherwise("pending")
-    rows = ranked.join(decided.where("outcome <> 'duplicated'"), "id").select(*ranked.columns, status.alias("status"), F.col("reason").alias("error_message"))
-    return Imported(outcomes, rows, lines, posted_cards.where("line_id is not null").select("id", "line_id", "entry_id", "shape"))
+        filed = categories.groupBy("raw_description").agg(F.min("category_id").alias("filed_under"))
+        rows = rows.join(filed, "raw_description", "left")
+    else:
+        rows = rows.withColumn("filed_under", F.lit(None).cast("long"))
+    rows = posting.based(posting.with_rate(rows, rates, currencies=currencies)).withColumnRenamed("refusal", "_unposted")
+    fresh = ~F.col("_bad") & (F.coalesce("tier", F.lit(0)) == 0)
+    rows = rows.withColumn("_is_payment", fresh & F.coalesce(F.col("is_card_payment"), F.lit(False))).withColumns({"amount": F.col("raw_amount"), "date": F.col("raw_date")})
+    rows = cards.with_roles(rows, accounts).withColumn("refusal", F.coalesce("refusal", "_unposted"))
+    # One row at most.
+    rows = rows.join(F.broadcast(posting.contra_account(accounts).withColumnRenamed("id", "contra_id")), F.lit(True), "left")
+    payments = rows.where("_is_payment").select("id", "line_number", "account_id", "amount", "currency", "date", "card_id", "paying_id", "refusal")
+    decided = cards.post_card_payments(payments, halves).withColumnsRenamed({"shape": "_shape", "reason": "_reason"})
+    rows = rows.join(decided, "id", "left")
+
+    plain = F.when(F.col("contra_id").isNull(), "no contra account").otherwise(F.col("_unposted"))
+    reason = F.when(F.col("_bad"), UNATTRIBUTED).when(~fresh, F.lit(None)).when(F.col("_is_payment"), F.col("_reason")).otherwise(plain)
+    outcome = F.when(F.col("_bad"), "failed").when(F.col("needs_review"), "review").when(~fresh, "duplicated").when(reason.isNull(), "created").otherwise("failed")
+    shape = F.when(outcome == "created", F.when(F.col("_is_payment"), F.col("_shape")).otherwise("posted"))
+    judged = rows.withColumns({"outcome": outcome, "shape": shape, "reason": reason, "refusal": F.col("_unposted")})
+    return Imported(judged.drop("_bad", "_unposted", "_is_payment", "_shape", "_reason", "explicit_id", "amount", "date"))
+
+
+# The whole of it, under one commit ------------------------------------------------------------------
+
+
+def halves_of(store: LedgerStore, version: Version, accounts: DataFrame) -> DataFrame:
+    """The ledger's lines as card payments see them: dated, with whether they are made up, matched, or an expense (a line of a
+    plain entry on an asset account)."""
+    dated = store.read("entries", version).select(F.col("id").alias("entry_id"), F.col("entry_date").alias("date"), "is_transfer")
+    nature = accounts.select(F.col("id").alias("account_id"), "account_nature")
+    lines = store.read("lines", version).join(dated, "entry_id").join(nature, "account_id", "left")
+    expense = ~F.col("is_transfer") & (F.col("account_nature") == "asset")
+    return lines.select("id", "entry_id", "account_id", "amount", "date", F.coalesce("is_synthesized", F.lit(False)).alias("is_synthesized"), F.col("transfer_match_id").isNotNull().alias("is_matched"), F.coalesce(expense, F.lit(False)).alias("is_expense"))
+
+
+def line_id(entry: Column, order: Column) -> Column:
+    """The id of a line of an import; lines that a rewrite makes have the negative of the one that stays."""
+    return entry * 2 + order
+
+
+def import_into(
+    store: LedgerStore, batch_id: str, records: DataFrame, accounts: DataFrame, rates: DataFrame, categories: DataFrame | None = None, currencies: DataFrame | None = None
+) -> int:
+    """Import records (ids that the store doesn't have) and publish rows, entries, lines, links, reviews and the batch's report
+    in one commit; the version's number. Raises Refused, and publishes nothing, if an entry wouldn't balance."""
+    base = store.version()
+    halves = halves_of(store, base, accounts)
+    done = import_batch(records, store.read("rows", base), accounts, rates, halves, categories, currencies=currencies)
+    # Judged once; all tables below are read from it. checkpoint() keeps it in the folder that the cluster shares.
+    done = Imported(done.judged.checkpoint())
+
+    touched = done.touched
+    new = done.lines.withColumns({"id": line_id(F.col("entry_id"), F.col("sort_order")), "transfer_match_id": F.lit(None).cast("long")})
+    old = store.read("lines", base).join(touched.select("entry_id").distinct(), "entry_id", "left_semi")
+    cards_of = done.judged.select("id", "card_id")
+    rewritten = cards.rewritten_lines(old.withColumn("is_expense", F.lit(False)), cards_of, touched).drop("is_expense")
+    changed = new.select(*store.schemas["lines"].names).unionByName(rewritten.select(*store.schemas["lines"].names))
+    dropped = old.join(rewritten.select("id"), "id", "left_anti").select("id")
+
+    # Both legs of a payment that one statement told are linked once the other statement tells it too.
+    found = cards.card_links(touched, rewritten)
+    nature = accounts.where("account_nature in ('asset', 'liability')").select(F.col("id").alias("account_id"))
+    dates = done.entries.select(F.col("id").alias("entry_id"), F.col("entry_date").alias("booked_date"))
+    fresh = new.where("not is_synthesized").join(dates, "entry_id").join(nature, "account_id", "left_semi")
+    legs = fresh.select(F.col("id").alias("journal_line_id"), F.col("entry_id").alias("journal_entry_id"), "account_id", "booked_date", "amount", "currency", "transfer_match_id", "is_synthesized")
+    first, last = legs.agg(F.min("booked_date"), F.max("booked_date")).first()
+    near = max(abs(d) for d in TRANSFER_DAYS)
+    halves = halves.where(F.col("date").between(F.date_sub(F.lit(first), near), F.date_add(F.lit(last), near)))
+    free = halves.where("not is_matched and not is_synthesized").join(nature, "account_id", "left_semi").join(touched.select("entry_id").distinct(), "entry_id", "left_anti")
+    currency = store.read("lines", base).select("id", "currency")
+    free = free.join(currency, "id").select(F.col("id").alias("journal_line_id"), F.col("entry_id").alias("journal_entry_id"), "account_id", F.col("date").alias("booked_date"), "amount", "currency", F.lit(None).cast("long").alias("transfer_match_id"), "is_synthesized")
+    asked = store.read("reviews", base).where("reason in ('multi_candidate', 'low_confidence')").select(F.col("id").alias("out_id"))
+    every = store.read("lines", base).join(changed.select("id"), "id", "left_anti").join(dropped, "id", "left_anti").unionByName(changed)
+    entries = store.read("entries", base).unionByName(done.entries)
+    linked, queue = link_batch(legs.unionByName(free), every.withColumnRenamed("entry_id", "journal_entry_id"), entries, open_reviews=asked, also=found)
+    matches = linked.matches.checkpoint()
+
+    stamp = matches.select(F.explode(F.array("out_id", "in_id")).alias("id"), F.col("id").alias("_match"))
+    all_lines = every.join(stamp, "id", "left").withColumn("transfer_match_id", F.coalesce("_match", "transfer_match_id"))
+    touched_lines = all_lines.join(changed.select("id").union(stamp.select("id")).distinct(), "id", "left_semi")
+    moved = all_lines.where("_match is not null").select(F.col("entry_id").alias("id")).union(touched.select(F.col("entry_id").alias("id"))).distinct()
+    flagged = entries.join(moved.withColumn("_moved", F.lit(True)), "id", "left").withColumn("is_transfer", F.col("is_transfer") | F.coalesce("_moved", F.lit(False)))
+    touched_entries = flagged.join(done.entries.select("id").union(moved).distinct(), "id", "left_semi")
+    waiting = done.reviews.select("id", F.lit("identity").alias("reason"), F.array("stored_id").alias("candidates"))
+    asked_now = queue.select(F.col("out_id").alias("id"), "reason", "candidates")
+    count = lambda o: F.count_if(F.col("outcome") == o).alias(o)
+    report = done.judged.agg(F.count("*").alias("record_count"), *[count(o) for o in ("created", "duplicated", "review", "failed")]).withColumn("id", F.lit(batch_id))
+    ended = F.when(F.col("record_count") == 0, "failed").when(F.col("created") + F.col("duplicated") == F.col("record_count"), "completed").otherwise("partial")
+    return store.commit({
+        "rows": Change(done.rows), "entries": Change(touched_entries), "lines": Change(touched_lines, dropped), "matches": Change(matches),
+        "reviews": Change(waiting.unionByName(asked_now)), "batches": Change(report.withColumn("status", ended)),
+    }, base)
 
 
 # Links ---------------------------------------------------------------------------------------------
@@ -119,8 +215,10 @@ def write_links(links: DataFrame, lines: DataFrame, entries: DataFrame) -> Linke
     return Linked(matches, stamped, flagged)
 
 
-def link_batch(legs: DataFrame, lines: DataFrame, entries: DataFrame, skipped: DataFrame | None = None, open_reviews: DataFrame | None = None) -> tuple[Linked, DataFrame]:
-    """Link the free legs greedily and write the links; also the new reviews (out_id, reason, candidates).
+def link_batch(
+    legs: DataFrame, lines: DataFrame, entries: DataFrame, skipped: DataFrame | None = None, open_reviews: DataFrame | None = None, also: DataFrame | None = None
+) -> tuple[Linked, DataFrame]:
+    """Link the free legs greedily and write the links, with those of `also`; also the new reviews (out_id, reason, candidates).
 
     An outbound leg whose review is open (open_reviews: out_id) is not asked about again."""
     if open_reviews is not None:
@@ -128,6 +226,7 @@ def link_batch(legs: DataFrame, lines: DataFrame, entries: DataFrame, skipped: D
     found = transfers.greedy_links(legs, skipped)
     exact = F.expr("0.95BD").cast("decimal(3,2)")
     links = found.where("outcome = 'match'").select("out_id", F.element_at("in_ids", 1).alias("in_id"), F.lit("auto_amount_date").alias("method"), exact.alias("confidence"))
+    links = links if also is None else links.unionByName(also)
     queue = found.where("outcome <> 'match'").select("out_id", F.col("outcome").alias("reason"), F.col("in_ids").alias("candidates"))
     return write_links(links, lines, entries), queue
 
@@ -151,20 +250,24 @@ def detached(lines: DataFrame, entries: DataFrame, sources: DataFrame, batch: Co
 def replayed(records: DataFrame, before: DataFrame, recomputed: DataFrame) -> DataFrame:
     """fingerprint, state and category of each row after a replay.
 
-    before: fingerprint, category_id, is_manual as stored; recomputed: fingerprint, category_id as the rules give them now;
-    records: the fingerprints that the archived input parses to. A category set by hand is restored. state: same,
-    recategorised, restored, or, where input and store don't agree on the row, missing or extra."""
-    stored = before.select("fingerprint", F.col("category_id").alias("old"), "is_manual", F.lit(True).alias("was"))
-    fresh = recomputed.select("fingerprint", F.col("category_id").alias("new"))
-    now = records.select("fingerprint").distinct().withColumn("parsed", F.lit(True)).join(fresh, "fingerprint", "left")
+    before: fingerprint, category_id as stored; recomputed: fingerprint, category_id as a rule that is sure gives it now, null
+    where none is; records: the fingerprints that the archived input parses to, one row each. A sure rule wins, also over a
+    category that was set by hand; where none is, the category before comes back. state: same, recategorised, restored (no
+    rule, and there was a category), or, where input and store don't agree on the row, missing, extra or repeated (its
+    fingerprint is parsed more than once)."""
+    stored = before.select("fingerprint", F.col("category_id").alias("old"), F.lit(True).alias("was"))
+    fresh = recomputed.groupBy("fingerprint").agg(F.min("category_id").alias("new"))
+    now = records.groupBy("fingerprint").agg(F.count("*").alias("parsed")).join(fresh, "fingerprint", "left")
     both = stored.join(now, "fingerprint", "full_outer")
-    by_hand = F.coalesce(F.col("is_manual"), F.lit(False))
-    state = F.when(F.col("parsed").isNull(), "missing").when(F.col("was").isNull(), "extra").when(F.col("old").eqNullSafe(F.col("new")), "same").when(by_hand, "restored").otherwise("recategorised")
-    return both.select("fingerprint", state.alias("state"), F.when(by_hand | F.col("parsed").isNull(), F.col("old")).otherwise(F.col("new")).alias("category_id"))
+    state = (
+        F.when(F.col("parsed").isNull(), "missing").when(F.col("was").isNull(), "extra").when(F.col("parsed") > 1, "repeated")
+        .when(F.col("old").eqNullSafe(F.col("new")), "same").when(F.col("new").isNull(), "restored").otherwise("recategorised")
+    )
+    return both.select("fingerprint", state.alias("state"), F.when(F.col("parsed").isNull(), F.col("old")).otherwise(F.coalesce("new", "old")).alias("category_id"))
 
 
 def may_replay(states: DataFrame) -> DataFrame:
-    """One row: the counts of each state, and whether the replay may be written (no row missing, none extra)."""
+    """One row: the counts of each state, and whether the replay may be written (no row missing, extra or repeated)."""
     count = lambda s: F.count_if(F.col("state") == s).alias(s)
-    counts = states.agg(*[count(s) for s in ("same", "recategorised", "restored", "missing", "extra")])
-    return counts.withColumn("accepted", (F.col("missing") == 0) & (F.col("extra") == 0))
+    counts = states.agg(*[count(s) for s in ("same", "recategorised", "restored", "missing", "extra", "repeated")])
+    return counts.withColumn("accepted", (F.col("missing") == 0) & (F.col("extra") == 0) & (F.col("repeated") == 0))

@@ -521,6 +521,29 @@ def fx_legs(led: Ledger) -> DataFrame:
     return _legs(led).where("entry_id % 4 = 0").select("entry_id", "sort_order", "account_id", "amount", "currency", "amount_base", "rate")
 
 
+_EXPONENTS = (("EUR", 2), ("JPY", 0), ("KWD", 3), ("IDR", 2), ("GBP", 2))
+
+
+@query(_LEGS.split("y AS")[0].rstrip().rstrip(",") + """, cur AS (SELECT id, account_id, raw_amount * (1 + id % 9973) AS amount, raw_date, ['EUR', 'JPY', 'KWD', 'IDR', 'GBP', 'XXX'][id % 6 + 1] AS currency FROM source_record),
+stated AS (SELECT *, CASE currency WHEN 'EUR' THEN 1 WHEN 'JPY' THEN CASE WHEN month(raw_date) = 5 THEN NULL ELSE 160.25 END WHEN 'KWD' THEN 0.3333333333 WHEN 'IDR' THEN 150000 END::DECIMAL(20,10) AS rate, [2, 0, 3, 2, 2, NULL][id % 6 + 1] AS d FROM cur),
+based AS (SELECT *, 2 * abs(amount)::HUGEINT * 100000000000000 AS num, (rate * 10000000000)::HUGEINT * 10::HUGEINT ** d AS per FROM stated)
+SELECT id AS entry_id, account_id, amount, currency, CASE WHEN d IS NULL THEN 'unknown currency' WHEN currency = 'JPY' AND rate IS NULL THEN 'exchange rates differ' WHEN rate IS NULL THEN 'no exchange rate' END AS refusal,
+CASE WHEN rate IS NOT NULL THEN (CASE WHEN amount < 0 THEN -1 ELSE 1 END * ((num + per::HUGEINT) // (2 * per::HUGEINT))::DECIMAL(18,0) * 0.0001)::DECIMAL(18,4) END AS amount_base FROM based""")
+def fx_exponents(led: Ledger) -> DataFrame:
+    """Rows in currencies of none, two and three decimals, at a very large rate, at a rate that is stated twice, at rates that
+    contradict each other, at none, and in a currency that isn't known."""
+    key = F.col("id")
+    code = F.element_at(F.array(*[F.lit(c) for c in ("EUR", "JPY", "KWD", "IDR", "GBP", "XXX")]), (key % 6 + 1).cast("int"))
+    rows = led.records.withColumns({"currency": code, "raw_amount": F.col("raw_amount") * (1 + key % 9973)})
+    days = led.records.select(F.col("raw_date").alias("date")).distinct().withColumn("base", F.lit("EUR"))
+    stated = F.array(*[F.struct(F.lit(q).alias("quote"), F.expr(f"{r}BD").cast("decimal(20,10)").alias("rate")) for q, r in (("JPY", "160.25"), ("JPY", "160.25"), ("KWD", "0.3333333333"), ("IDR", "150000"))])
+    rates = days.select("date", "base", F.explode(stated).alias("r")).select("date", "base", "r.*")
+    rates = rates.unionByName(days.where("month(date) = 5").select("date", "base", F.lit("JPY").alias("quote"), F.expr("161BD").cast("decimal(20,10)").alias("rate")))
+    currencies = led.spark.createDataFrame(list(_EXPONENTS), "code string, decimals int")
+    done = posting.based(posting.with_rate(rows, rates, currencies=currencies))
+    return done.select(key.alias("entry_id"), "account_id", F.col("raw_amount").alias("amount"), "currency", "refusal", "amount_base")
+
+
 _OFF = "CAST(CASE WHEN sort_order = 0 THEN 0.0001 * (entry_id % 90) ELSE 0 END AS DECIMAL(18,4))"
 
 
@@ -734,16 +757,19 @@ def linked_entries(led: Ledger) -> DataFrame:
 
 
 _REPLAYED = """
-, old AS (SELECT id, 100 + id % 25 AS cat, id % 10 = 0 AS by_hand FROM source_record WHERE id % 53 <> 0), fresh AS (SELECT id, 100 + id * 7 % 25 AS cat FROM source_record WHERE id % 59 <> 0),
-st AS (SELECT CASE WHEN fresh.id IS NULL THEN 'missing' WHEN old.id IS NULL THEN 'extra' WHEN old.cat = fresh.cat THEN 'same' WHEN by_hand THEN 'restored' ELSE 'recategorised' END AS state, CASE WHEN fresh.id IS NULL OR by_hand THEN old.cat ELSE fresh.cat END AS category_id FROM old FULL JOIN fresh ON old.id = fresh.id)
+, old AS (SELECT id, CASE WHEN id % 8 <> 0 THEN 100 + id % 25 END AS cat FROM source_record WHERE id % 53 <> 0),
+fresh AS (SELECT id, CASE WHEN id % 6 <> 0 THEN 100 + id * 7 % 25 END AS rule, CASE WHEN id % 61 = 0 THEN 2 ELSE 1 END AS parsed FROM source_record WHERE id % 59 <> 0),
+st AS (SELECT CASE WHEN fresh.id IS NULL THEN 'missing' WHEN old.id IS NULL THEN 'extra' WHEN parsed > 1 THEN 'repeated' WHEN old.cat IS NOT DISTINCT FROM rule THEN 'same' WHEN rule IS NULL THEN 'restored' ELSE 'recategorised' END AS state,
+  CASE WHEN fresh.id IS NULL THEN cat ELSE coalesce(rule, cat) END AS category_id FROM old FULL JOIN fresh ON old.id = fresh.id)
 """
 
 
 def _replayed(led: Ledger) -> DataFrame:
     printed = _printed(led).select("id", "fingerprint")
-    before = printed.where("id % 53 <> 0").select("fingerprint", (100 + F.col("id") % 25).alias("category_id"), (F.col("id") % 10 == 0).alias("is_manual"))
-    parsed = printed.where("id % 59 <> 0").select("fingerprint", (100 + F.col("id") * 7 % 25).alias("category_id"))
-    return pipeline.replayed(parsed, before, parsed)
+    before = printed.where("id % 53 <> 0").select("fingerprint", F.when(F.col("id") % 8 != 0, 100 + F.col("id") % 25).alias("category_id"))
+    parsed = printed.where("id % 59 <> 0")
+    rules = parsed.select("fingerprint", F.when(F.col("id") % 6 != 0, 100 + F.col("id") * 7 % 25).alias("category_id"))
+    return pipeline.replayed(parsed.unionByName(parsed.where("id % 61 = 0")), before, rules)
 
 
 @query(_REPLAYED + "SELECT state, category_id, count(*) AS n FROM st GROUP BY 1, 2")
@@ -752,7 +778,7 @@ def replay_states(led: Ledger) -> DataFrame:
 
 
 @query(_REPLAYED + """SELECT count(*) FILTER (state = 'same') AS same, count(*) FILTER (state = 'recategorised') AS recategorised, count(*) FILTER (state = 'restored') AS restored, count(*) FILTER (state = 'missing') AS missing,
-count(*) FILTER (state = 'extra') AS extra, count(*) FILTER (state IN ('missing', 'extra')) = 0 AS accepted FROM st""")
+count(*) FILTER (state = 'extra') AS extra, count(*) FILTER (state = 'repeated') AS repeated, count(*) FILTER (state IN ('missing', 'extra', 'repeated')) = 0 AS accepted FROM st""")
 def replay_accepted(led: Ledger) -> DataFrame:
     return pipeline.may_replay(_replayed(led))
 

@@ -12,6 +12,7 @@ from ledgerloom.functions import money as fm
 from ledgerloom.functions import text as ft
 from ledgerloom.operators import analytics, cards, categorize, checks, identity, posting, statements, transfers
 from ledgerloom.plans import importing, pipeline
+from ledgerloom.plans.store import Change, Conflict, LedgerStore, Refused
 from ledgerloom.sources import ais, layout, manual
 
 D = dt.date
@@ -224,6 +225,18 @@ def test_posting(spark):
     assert {(r.id, r.reason) for r in posting.refusals(rated).collect()} == {(3, "no exchange rate"), (4, "zero amount")}
 
 
+def test_posting_in_any_currency(spark):
+    day = D(2026, 1, 1)
+    rows = spark.createDataFrame([(1, 5, -1600, "JPY", day), (2, 5, 1500, "KWD", day), (3, 5, 150_000_00, "IDR", day), (4, 5, 100, "GBP", day), (5, 5, 100, "XXX", day), (6, 5, 100, "CHF", day), (7, 5, 10**18, "BIG", day)], "id long, account_id long, raw_amount long, currency string, raw_date date")
+    stated = [("JPY", "160"), ("JPY", "160"), ("KWD", "0.3"), ("IDR", "150000"), ("GBP", "0.8"), ("GBP", "0.9"), ("CHF", "0"), ("BIG", "0.0000000001")]
+    rates = spark.createDataFrame([(day, "EUR", q, Decimal(r)) for q, r in stated], "date date, base string, quote string, rate decimal(20,10)")
+    currencies = spark.createDataFrame([("EUR", 2), ("JPY", 0), ("KWD", 3), ("IDR", 2), ("GBP", 2), ("CHF", 2), ("BIG", 2)], "code string, decimals int")
+    rated = posting.with_rate(rows, rates, currencies=currencies)
+    legs = {(r.entry_id, r.sort_order): (r.amount, r.amount_base) for r in posting.posting_legs(rated, F.lit(9)).collect()}
+    assert legs == {(1, 0): (-1600, Decimal("-10.0000")), (1, 1): (1000, Decimal("10.0000")), (2, 0): (1500, Decimal("5.0000")), (2, 1): (-500, Decimal("-5.0000")), (3, 0): (15_000_000, Decimal("1.0000")), (3, 1): (-100, Decimal("-1.0000"))}
+    assert {r.id: r.reason for r in posting.refusals(rated).collect()} == {4: "exchange rates differ", 5: "unknown currency", 6: "no exchange rate", 7: "amount out of range"}
+
+
 def test_residual(spark):
     legs = spark.createDataFrame([(1, 0, Decimal("10.0000")), (1, 1, Decimal("-10.0040")), (2, 0, Decimal("10.0000")), (2, 1, Decimal("-9.0000"))], "entry_id long, sort_order int, amount_base decimal(18,4)")
     got = {(r.entry_id, r.sort_order): (r.amount_base, r.refused) for r in posting.absorb_residual(legs).collect()}
@@ -425,12 +438,15 @@ def test_batch_is_linked_and_reviewed(spark):
     assert {r.id: r.transfer_match_id for r in after.lines.collect()} == {1: 1, 2: 1, 3: 3, 4: None, 5: 3, 6: None, 7: None}
 
 
-def test_replay_restores_what_was_set_by_hand(spark):
-    before = spark.createDataFrame([("a", 1, False), ("b", 2, True), ("c", 3, False), ("d", 4, True), ("e", None, True)], "fingerprint string, category_id long, is_manual boolean")
-    now = spark.createDataFrame([("a", 1), ("b", 9), ("c", 9), ("e", 9), ("f", 5)], "fingerprint string, category_id long")
+def test_replay_follows_rules_and_restores_the_rest(spark):
+    before = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4), ("e", None), ("g", None), ("h", 6)], "fingerprint string, category_id long")
+    now = spark.createDataFrame([("a", 1), ("b", None), ("c", 9), ("e", 9), ("f", 5), ("g", None), ("h", 6), ("h", 6)], "fingerprint string, category_id long")
     got = pipeline.replayed(now, before, now)
-    assert {r.fingerprint: (r.state, r.category_id) for r in got.collect()} == {"a": ("same", 1), "b": ("restored", 2), "c": ("recategorised", 9), "d": ("missing", 4), "e": ("restored", None), "f": ("extra", 5)}
-    assert not pipeline.may_replay(got).first().accepted and pipeline.may_replay(got.where("state not in ('missing', 'extra')")).first().accepted
+    assert {r.fingerprint: (r.state, r.category_id) for r in got.collect()} == {
+        "a": ("same", 1), "b": ("restored", 2), "c": ("recategorised", 9), "d": ("missing", 4), "e": ("recategorised", 9), "f": ("extra", 5), "g": ("same", None), "h": ("repeated", 6)
+    }
+    assert not pipeline.may_replay(got).first().accepted and pipeline.may_replay(got.where("state not in ('missing', 'extra', 'repeated')")).first().accepted
+    assert not pipeline.may_replay(got.where("state not in ('missing', 'extra')")).first().accepted
 
 
 def test_categorise_by_joins(spark):
@@ -525,3 +541,109 @@ def test_statement_headers(spark):
     assert (got.period_from, got.period_to, got.ibans, got.debit_total, got.credit_total, got.generated) == (D(2026, 2, 1), D(2026, 2, 28), ["NL91ABNA0417164300"], 123450, 700, "3rd of March")
     empty = layout.statement_header(as_lines(spark, ["nothing"])).first()
     assert (empty.period_from, empty.ibans, empty.debit_total, empty.generated) == (None, [], None, None)
+
+
+@pytest.fixture()
+def ledger(spark, tmp_path):
+    """A store and what imports into it need."""
+    accounts = spark.createDataFrame([
+        (1, "asset", "EUR", True, None, None), (2, "liability", "EUR", True, None, 1), (3, "asset", "EUR", True, None, None), (9, "equity", "EUR", True, "system_expense", None),
+    ], "id long, account_nature string, currency string, is_active boolean, system_role string, payment_from_account_id long")
+    rates = spark.createDataFrame([], "date date, base string, quote string, rate decimal(20,10)")
+    store = LedgerStore(spark, str(tmp_path / "ledger"))
+
+    def load(batch, rows):
+        records = spark.createDataFrame([(i, batch, i, a, t, m, "EUR", d, c) for i, a, t, m, d, c in rows], "id long, batch_id long, line_number long, account_id long, raw_description string, raw_amount long, currency string, raw_date date, is_card_payment boolean")
+        return pipeline.import_into(store, str(batch), records, accounts, rates, spark.createDataFrame([("GROCER", 44)], "raw_description string, category_id long"))
+
+    return store, load
+
+
+DAY = dt.date(2024, 5, 6)
+
+
+def test_whole_import_under_one_commit(spark, ledger):
+    store, load = ledger
+    card = [(1, 2, "GROCER", -100, DAY, False), (2, 2, "GROCER", -100, DAY, False), (3, 2, "PAYMENT", 900, DAY, True), (4, None, "LOST", -5, DAY, False)]
+    assert load(1, card) == 1
+    lines = {r.id: r for r in store.read("lines").collect()}
+    assert {(r.entry_id, r.account_id, r.amount, r.category_id, r.is_synthesized) for r in lines.values()} == {
+        (1, 2, -100, 44, False), (1, 9, 100, None, False), (2, 2, -100, 44, False), (2, 9, 100, None, False), (3, 2, 900, None, False), (3, 1, -900, None, True),
+    }
+    # The other statement brings the other half, and a transfer between two accounts.
+    load(2, [(5, 1, "CARD", -900, DAY + dt.timedelta(1), True), (6, 1, "MOVE", -5000, DAY, False), (7, 3, "MOVE", 5000, DAY, False)])
+    rows = {r.id: r for r in store.read("rows").collect()}
+    assert rows[5].entry_id == 3 and {i: r.status for i, r in rows.items()} == dict.fromkeys((1, 2, 3, 5, 6, 7), "posted")
+    matches = {(r.out_id, r.in_id, r.method, r.confidence) for r in store.read("matches").collect()}
+    assert matches == {(7, 6, "auto_card_payment", Decimal("0.95")), (12, 14, "auto_amount_date", Decimal("0.95"))}
+    assert {r.id for r in store.read("lines").where("transfer_match_id is not null").collect()} == {6, 7, 12, 14}
+    assert {r.id for r in store.read("entries").where("is_transfer").collect()} == {3, 6, 7}
+    # Nothing of it is new a second time.
+    load(3, card[:3])
+    assert [(r.id, r.created, r.duplicated, r.failed, r.status) for r in store.read("batches").orderBy("id").collect()] == [("1", 3, 0, 1, "partial"), ("2", 3, 0, 0, "completed"), ("3", 0, 3, 0, "completed")]
+    before = {t: sorted(map(str, store.read(t).collect())) for t in store.schemas}
+    store.compact()
+    assert all(len(parts) <= 1 for parts in store.version().parts.values())
+    assert before == {t: sorted(map(str, store.read(t).collect())) for t in store.schemas}
+
+
+def test_expense_is_rewritten_as_a_card_payment(spark, ledger):
+    store, load = ledger
+    load(1, [(1, 1, "CARD CO", -700, DAY, False)])
+    load(2, [(2, 2, "PAYMENT", 700, DAY, True)])
+    assert {(r.id, r.entry_id, r.account_id, r.amount, r.transfer_match_id) for r in store.read("lines").collect()} == {(2, 1, 1, -700, 2), (-2, 1, 2, 700, 2)}
+    assert [(r.out_id, r.in_id) for r in store.read("matches").collect()] == [(2, -2)]
+    assert store.read("entries").select("is_transfer").collect() == [(True,)]
+
+
+def test_a_writer_that_dies_leaves_nothing(spark, ledger, monkeypatch):
+    store, _ = ledger
+    entry = lambda i, a: {"entries": Change(spark.createDataFrame([(i, DAY, "x", False)], store.schemas["entries"])), "lines": Change(spark.createDataFrame([(2 * i + k, i, k, 1, s * a, "EUR", Decimal(s * a), None, False, None) for k, s in ((0, 1), (1, -1))], store.schemas["lines"]))}
+    store.commit(entry(1, 5))
+    real = LedgerStore.stage
+    for table in ("entries", "lines", "version"):
+        def stage(self, name, *args, table=table):
+            written = real(self, name, *args)
+            if name == table:
+                raise RuntimeError("killed")
+            return written
+
+        def publish(self, *_):
+            raise RuntimeError("killed")
+
+        with monkeypatch.context() as m, pytest.raises(RuntimeError):
+            m.setattr(LedgerStore, *(("_publish", publish) if table == "version" else ("stage", stage)))
+            store.commit(entry(2, 7))
+        assert store.version().number == 1 and store.read("lines").count() == 2 and store.read("entries").count() == 1
+    store.commit(entry(3, 7))
+    assert {r.id for r in store.read("entries").collect()} == {1, 3}
+
+
+def test_the_gate_and_the_race(spark, ledger):
+    store, _ = ledger
+    schema = store.schemas
+    entries = lambda *ids: Change(spark.createDataFrame([(i, DAY, "x", False) for i in ids], schema["entries"]))
+    line = lambda i, e, base: (i, e, 0, 1, 1, "EUR", None if base is None else Decimal(base), None, False, None)
+    lines = lambda *rows: Change(spark.createDataFrame([line(*r) for r in rows], schema["lines"]))
+    match = lambda *rows: Change(spark.createDataFrame([(i, a, b, "m", Decimal("1.00")) for i, (a, b) in enumerate(rows)], schema["matches"]))
+    for changes, broken in (
+        ({"entries": entries(1), "lines": lines((1, 1, "1.00"), (2, 1, "-1.01"))}, {"unbalanced": 1}),
+        ({"entries": entries(1, 2), "lines": lines((1, 1, "0.00"))}, {"few_lines": 2}),
+        ({"lines": lines((1, 7, "1.00"), (2, 7, "-1.00"))}, {"no_entry": 1}),
+        ({"entries": entries(1), "lines": lines((1, 1, None), (2, 1, "0.00"))}, {"no_base_amount": 1}),
+        ({"matches": match((1, 1))}, {"self_match": 1, "matched_twice": 1}),
+        ({"matches": match((1, 2), (2, 3))}, {"matched_twice": 1}),
+    ):
+        with pytest.raises(Refused) as refused:
+            store.commit(changes)
+        assert refused.value.broken == broken and store.version().number == 0
+    base = store.version()
+    store.commit({"entries": entries(1), "lines": lines((1, 1, "1.00"), (2, 1, "-1.004"))}, base)
+    with pytest.raises(Conflict):
+        store.commit({"entries": entries(2), "lines": lines((3, 2, "1.00"), (4, 2, "-1.00"))}, base)
+    # A line that goes leaves its entry out of balance, unless another comes.
+    gone = spark.createDataFrame([(2,)], "id long")
+    with pytest.raises(Refused):
+        store.commit({"lines": Change(spark.createDataFrame([], schema["lines"]), gone)})
+    store.commit({"lines": Change(spark.createDataFrame([line(5, 1, "-1.00")], schema["lines"]), gone)})
+    assert {r.id for r in store.read("lines").collect()} == {1, 5} and store.read("matches").isEmpty()
