@@ -33,16 +33,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, materialise, utf8
+from .common import arrow_batches, materialise
 
 DEPTH = 3
 MIN_COUNT = 10
 MOST_PHRASES = 2000
 #: A phrase goes that a longer one has in at least so many of a hundred occurrences.
 COVERED_PERCENT = 50
-TRIE_BYTES = 16 << 20
+TRIE_BYTES = 8 << 20
 #: Nodes of a piece, and of the pieces that a range has before they are merged, about.
-PIECE_NODES, RANGE_NODES = 1 << 16, 1 << 20
+PIECE_NODES, RANGE_NODES = 1 << 16, 1 << 19
 #: Tries that meet in a task at most; ranges of a round that merges sets of them.
 FAN_IN, SET_RANGES = 512, 1024
 MOST_KEYS = 100_000
@@ -55,6 +55,7 @@ _BREAK = b"\xff"
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + _BREAK * 10 + b" ")
 _PIECE = "lang string, shard long, first binary, second binary, last binary, n long, n_words long, words binary, levels binary"
 _Key = tuple[bytes, bytes, bytes]
+_WIDTHS = (np.uint8, np.uint16, np.uint32, np.int64)
 
 
 def _ids(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -85,9 +86,9 @@ class Trie:
         self.words, self.levels = words, levels
 
     @classmethod
-    def count(cls, words: list[bytes], lead: int = 0, depth: int = DEPTH) -> Trie:
+    def count(cls, words: pa.Array, lead: int = 0, depth: int = DEPTH) -> Trie:
         """The trie of a sequence of words and breaks; phrases that end before place `lead` are counted elsewhere."""
-        vocabulary, ids = _ids(pa.array(words, pa.large_binary()))
+        vocabulary, ids = _ids(words)
         n = len(vocabulary)
         real = ids != n - 1 if n and vocabulary[n - 1].as_py() == _BREAK else np.ones(len(ids), dtype=bool)
         levels, starts, parents = [], np.arange(len(ids)), np.zeros(len(ids), dtype=np.int64)
@@ -167,21 +168,27 @@ class Trie:
             yield a or (b"", b""), part.without(a[0]) if a and a[1] else part
 
     def packed(self) -> tuple[bytes, bytes]:
-        pack = zstandard.ZstdCompressor(level=3).compress
-        sizes = np.array([len(w) for _, w, _ in self.levels], dtype=np.int64).tobytes()
-        rows = [np.diff(p, prepend=0).astype(np.int32).tobytes() + w.astype(np.int32).tobytes() + c.tobytes() for p, w, c in self.levels]
-        return pack(b" ".join(self.words.to_pylist())), pack(len(self.levels).to_bytes(1, "little") + sizes + b"".join(rows))
+        """The words, and the levels: parents as differences, all numbers in as few bytes as an array needs."""
+        out = [len(self.levels).to_bytes(1, "little")]
+        for parent, word, count in self.levels:
+            for values in (np.diff(parent, prepend=0), word, count):
+                kind = next(k for k, t in enumerate(_WIDTHS) if not len(values) or values.max() <= np.iinfo(t).max)
+                out += [bytes([kind]), len(values).to_bytes(8, "little"), values.astype(_WIDTHS[kind]).tobytes()]
+        pack = zstandard.ZstdCompressor(level=1).compress
+        return pack(b" ".join(self.words.to_pylist())), pack(b"".join(out))
 
     @classmethod
     def unpacked(cls, words: bytes, levels: bytes) -> Trie:
         unpack = zstandard.ZstdDecompressor().decompress
-        data = unpack(levels)
-        sizes, at, out = np.frombuffer(data, np.int64, data[0], 1), 1 + 8 * data[0], []
-        for n in sizes:
-            p, w = (np.frombuffer(data, np.int32, n, at + 4 * n * k).astype(np.int64) for k in range(2))
-            out.append((np.cumsum(p), w, np.frombuffer(data, np.int64, n, at + 8 * n)))
-            at += 16 * n
-        return cls(pa.array(unpack(words).split(b" ") if sizes.any() else [], pa.large_binary()), out)
+        data, words, at, out = unpack(levels), unpack(words), 1, []
+        for _ in range(data[0]):
+            columns = []
+            for _ in range(3):
+                width, n = _WIDTHS[data[at]], int.from_bytes(data[at + 1 : at + 9], "little")
+                columns.append(np.frombuffer(data, width, n, at + 9).astype(np.int64))
+                at += 9 + n * np.dtype(width).itemsize
+            out.append((np.cumsum(columns[0]), *columns[1:]))
+        return cls(_words(words), out)
 
 
 class _Words:
@@ -202,28 +209,29 @@ def _count(batches):
     texts: dict[str, list[bytes]] = {}
     size, shard = 0, TaskContext.get().partitionId() << 32
 
-    def rows(lang: str, words: list[bytes], lead: int = 0):
+    def rows(lang: str, words: pa.Array, lead: int = 0):
         nonlocal shard
         shard += 1
-        n_words = len(words) - lead - words[lead:].count(_BREAK)
+        n_words = len(words) - lead - pc.sum(pc.equal(words[lead:], pa.scalar(_BREAK, words.type))).as_py() if len(words) > lead else 0
         yield from _piece_rows(lang, shard, Trie.count(words, lead).pieces(), n_words)
 
     def flush():
         nonlocal size
-        for lang, held in texts.items():
+        while texts:
+            lang, held = texts.popitem()
             yield from rows(lang, _words(_BREAK.join(held)))
-        texts.clear()
         size = 0
 
     for batch in arrow_batches(batches):
-        for lang, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-            text = text.translate(_TABLE)
+        column = batch.column(1).cast(pa.large_binary())
+        for i, lang in enumerate(batch.column(0).to_pylist()):
+            text = (column[i].as_py() or b"").translate(_TABLE)
             if len(text) > TRIE_BYTES:
-                last: list[bytes] = []
+                last = _words(b"")
                 for part in _slices(text):
-                    words = _words(part)
-                    yield from rows(lang, last + words, len(last))
-                    last = (last + words)[-(DEPTH - 1) :]
+                    words = pa.concat_arrays([last, _words(part)])
+                    yield from rows(lang, words, len(last))
+                    last = words[max(0, len(words) - (DEPTH - 1)) :]
                 continue
             texts.setdefault(lang, []).append(text)
             size += len(text)
@@ -232,8 +240,13 @@ def _count(batches):
     yield from flush()
 
 
-def _words(text: bytes) -> list[bytes]:
-    return text.replace(_BREAK, b" " + _BREAK + b" ").split()
+def _words(text: bytes) -> pa.Array:
+    """The words and breaks of a text, split by Arrow, which needs no object for each."""
+    text = text.replace(_BREAK, b" " + _BREAK + b" ").strip()
+    if not text:
+        return pa.array([], pa.large_binary())
+    whole = pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, len(text)], dtype=np.int64)), pa.py_buffer(text)])
+    return pc.ascii_split_whitespace(whole).values.cast(pa.large_binary())
 
 
 def _slices(text: bytes):
