@@ -50,3 +50,13 @@ def period(d: Column, by: str) -> Column:
 def calendar(start: Column, end: Column) -> Column:
     """All days from start to end; none if they are the wrong way round."""
     return F.when(start <= end, F.sequence(start, end)).otherwise(F.array().cast("array<date>"))
+
+
+def days_span(day: Column, window: tuple[int, int]) -> Column:
+    """The number of the span of days that a day is in; spans are as long as a window of (first, last) days."""
+    return F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / (window[1] - window[0] + 1)).cast("int")
+
+
+def spans_between(first: Column, last: Column, window: tuple[int, int]) -> Column:
+    """The spans that the days from first to last are in, two at most if they are a window apart; none if either is null."""
+    return F.when(first.isNotNull() & last.isNotNull(), F.sequence(days_span(first, window), days_span(last, window)))

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dates import days_span, spans_between
 from ..schema import BASE_AMOUNT, CARD_PAYMENT_DAYS
 from .posting import card_payment_roles
 
@@ -53,9 +54,10 @@ def _counterparts(rows: DataFrame, lines: DataFrame) -> DataFrame:
         F.struct(F.lit(1).alias("step"), F.col("account_id").alias("at"), F.when(on_card, credit).otherwise(-credit).alias("want"), first.alias("first"), last.alias("last")),
         F.struct(F.lit(2).alias("step"), F.when(on_card, F.col("paying_id")).alias("at"), (-credit).alias("want"), first.alias("first"), last.alias("last")),
     )).alias("p")).select("id", "p.*")
+    places = places.withColumn("span", F.explode(spans_between(F.col("first"), F.col("last"), CARD_PAYMENT_DAYS)))
     step = F.when(F.col("is_synthesized"), 1).when(F.col("is_expense"), 2)
-    halves = lines.where("not is_matched").select(step.alias("step"), F.col("account_id").alias("at"), F.col("amount").alias("want"), "date", F.col("id").alias("line_id"), "entry_id").where("step is not null")
-    return places.join(halves, ["step", "at", "want"]).where(F.col("date").between(F.col("first"), F.col("last"))).select("id", "step", "line_id", "entry_id")
+    halves = lines.where("not is_matched").select(step.alias("step"), F.col("account_id").alias("at"), F.col("amount").alias("want"), days_span(F.col("date"), CARD_PAYMENT_DAYS).alias("span"), "date", F.col("id").alias("line_id"), "entry_id").where("step is not null")
+    return places.join(halves, ["step", "at", "want", "span"]).where(F.col("date").between(F.col("first"), F.col("last"))).select("id", "step", "line_id", "entry_id")
 
 
 def _in_turn(group: pd.DataFrame) -> pd.DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dates import days_span, spans_between
 from ..functions.text import dice, fingerprint, normalised
 from ..schema import CONFIDENCE, TIER2_AUTO, TIER2_DAYS, TIER2_REVIEW, TIER2_TOLERANCE
 
@@ -28,16 +29,19 @@ def known_by_provider_id(new: DataFrame, stored: DataFrame) -> DataFrame:
 def tier2_candidates(new: DataFrame, stored: DataFrame, same_currency: bool = False) -> DataFrame:
     """new_id, stored_id: one account, amounts within a minor unit, the stored date 1 day before to 3 days after.
 
-    Amounts meet by equality: the stored side is repeated for each amount within the tolerance."""
+    Amounts and spans of days meet by equality: the stored side is repeated for each amount within the tolerance, the new one for
+    each span of days that its window touches. So rows of one account and amount meet those of a few days only."""
     lo, hi = TIER2_DAYS
     near = stored.select(
         F.col("id").alias("stored_id"), F.col("account_id").alias("_account"), F.col("booked_date").alias("stored_date"), F.col("currency").alias("_currency"),
-        F.explode(F.array(*[F.col("amount_minor") + d for d in range(-TIER2_TOLERANCE, TIER2_TOLERANCE + 1)])).alias("_amount"),
+        days_span(F.col("booked_date"), TIER2_DAYS).alias("_span"), F.explode(F.array(*[F.col("amount_minor") + d for d in range(-TIER2_TOLERANCE, TIER2_TOLERANCE + 1)])).alias("_amount"),
     )
-    on = (new["account_id"] == near["_account"]) & (new["amount_minor"] == near["_amount"]) & F.col("stored_date").between(F.date_add(new["booked_date"], lo), F.date_add(new["booked_date"], hi))
+    first, last = F.date_add("booked_date", lo), F.date_add("booked_date", hi)
+    asked = new.select(F.col("id").alias("new_id"), "account_id", "amount_minor", "currency", first.alias("first"), last.alias("last"), F.explode(spans_between(first, last, TIER2_DAYS)).alias("span"))
+    on = (F.col("account_id") == F.col("_account")) & (F.col("amount_minor") == F.col("_amount")) & (F.col("span") == F.col("_span")) & F.col("stored_date").between(F.col("first"), F.col("last"))
     if same_currency:
-        on = on & (new["currency"] == near["_currency"])
-    return new.join(near, on).select(new["id"].alias("new_id"), "stored_id")
+        on = on & (F.col("currency") == F.col("_currency"))
+    return asked.join(near, on).select("new_id", "stored_id")
 
 
 def tier2_score(same_amount: Column, same_date: Column, similarity: Column, same_alias: Column, pending: Column, alternatives: Column) -> Column:

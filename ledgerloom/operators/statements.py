@@ -36,10 +36,27 @@ def monthly(rows: DataFrame) -> DataFrame:
     return by_month.select("account_id", "period", (closing - F.col("moved")).cast("long").alias("opening"), closing.cast("long").alias("closing"))
 
 
+#: Line numbers that share a block of running_balance().
+BALANCE_BLOCK = 65_536
+
+
 def running_balance(rows: DataFrame) -> DataFrame:
-    """rows (account_id, line_number, amount) with balance after each, in line order."""
-    order = Window.partitionBy("account_id").orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("balance", F.sum("amount").over(order).cast("long"))
+    """rows (account_id, line_number, amount) with balance after each, in line order; lines without a number come first.
+
+    Within an account, lines are totalled by blocks of BALANCE_BLOCK numbers and each block starts from the sum of those before
+    it, so an account of any number of lines is dealt over many tasks; what is windowed by account has a row for each block."""
+    block = F.floor(F.col("line_number") / BALANCE_BLOCK)
+    in_block = Window.partitionBy("account_id", "_block").orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = rows.withColumn("_block", F.coalesce(block, F.lit(-(1 << 62))))
+    before = Window.partitionBy("_account").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    sums = numbered.groupBy(F.col("account_id").alias("_account"), F.col("_block").alias("_at")).agg(F.sum("amount").alias("_sum"))
+    starts = sums.select("_account", "_at", F.sum("_sum").over(before).alias("_before"))
+    totalled = numbered.withColumn("_in_block", F.sum("amount").over(in_block))
+    joined = totalled.join(starts, F.col("account_id").eqNullSafe(F.col("_account")) & (F.col("_block") == F.col("_at")))
+    # Null only while no line before had an amount.
+    start, within = F.col("_before"), F.col("_in_block")
+    balance = F.when(start.isNull(), within).otherwise(start + F.coalesce(within, F.lit(0))).cast("long")
+    return joined.select(*rows.columns, balance.alias("balance"))
 
 
 def balance_mismatches(rows: DataFrame) -> DataFrame:
@@ -47,11 +64,15 @@ def balance_mismatches(rows: DataFrame) -> DataFrame:
     return running_balance(rows).where(~F.col("printed").eqNullSafe(F.col("opening") + F.col("balance")))
 
 
-def batch_status(records: DataFrame) -> DataFrame:
-    """batch_id, record_count, created, duplicated, failed, status."""
-    counts = records.groupBy("batch_id").agg(
-        F.count("*").alias("record_count"), F.count_if(F.col("outcome") == "created").alias("created"),
-        F.count_if(F.col("outcome") == "duplicated").alias("duplicated"), F.count_if(F.col("outcome") == "failed").alias("failed"),
-    )
+def batch_status(records: DataFrame, unread: DataFrame | None = None) -> DataFrame:
+    """batch_id, record_count, created, duplicated, failed, status; with `unread` (a row for each that a source couldn't read:
+    batch_id) also parse_failed. Rows that weren't read are no records: they don't make a batch partial, but a batch of nothing
+    else failed."""
+    columns = ["batch_id", "outcome"]
+    rows = records.select(*columns, F.lit(True).alias("read"))
+    if unread is not None:
+        rows = rows.unionByName(unread.select("batch_id", F.lit(None).cast("string").alias("outcome"), F.lit(False).alias("read")))
+    count = lambda o: F.count_if(F.col("read") & (F.col("outcome") == o)).alias(o)
+    counts = rows.groupBy("batch_id").agg(F.count_if("read").alias("record_count"), count("created"), count("duplicated"), count("failed"), *([F.count_if(~F.col("read")).alias("parse_failed")] if unread is not None else []))
     status = F.when(F.col("record_count") == 0, "failed").when(F.col("created") + F.col("duplicated") == F.col("record_count"), "completed").otherwise("partial")
     return counts.withColumn("status", status)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import base64
+import gzip
+import hashlib
 import uuid
+import zlib
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -77,15 +82,47 @@ def replay_difference(store: RecordStore, parsed: DataFrame) -> DataFrame:
     return set_difference(parsed, store.read())
 
 
+ARCHIVE = "path string, checksum string, payload string"
+#: What a payload that can't be restored is told to be.
+NO_PAYLOAD, NOT_BASE64, NOT_GZIP, NOT_THE_CONTENT = "no payload", "payload is not base64", "payload is not gzip", "content differs from its checksum"
+
+
 def archived(files: DataFrame) -> DataFrame:
-    """path, checksum, payload of files read as binaryFile: the content as base64 with its SHA-256."""
-    return files.select("path", F.sha2("content", 256).alias("checksum"), F.base64("content").alias("payload"))
+    """path, checksum, payload of files (path, content): the content gzipped, as base64, with the SHA-256 of what it was.
+
+    The time in the header is fixed, so that the same file gives the same payload again. Files go through in Arrow batches."""
+    def pack(batches):
+        for batch in batches:
+            paths, contents = (c.to_pylist() for c in batch.columns)
+            payloads = [None if c is None else base64.b64encode(gzip.compress(c, mtime=0)).decode() for c in contents]
+            sums = [None if c is None else hashlib.sha256(c).hexdigest() for c in contents]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (paths, sums, payloads)], ["path", "checksum", "payload"])
+
+    return files.select(F.col("path").cast("string"), F.col("content").cast("binary")).mapInArrow(pack, ARCHIVE)
 
 
 def restored(archive: DataFrame) -> DataFrame:
-    """path, content of an archive; a payload that doesn't fit its checksum gives null."""
-    content = F.unbase64("payload")
-    return archive.select("path", F.when(F.sha2(content, 256) == F.col("checksum"), content).alias("content"))
+    """path, content, error of an archive: the content, or null and why there is none."""
+    def unpack(checksum: str | None, payload: str | None) -> tuple[bytes | None, str | None]:
+        if payload is None:
+            return None, NO_PAYLOAD
+        try:
+            packed = base64.b64decode(payload, validate=True)
+        except ValueError:
+            return None, NOT_BASE64
+        try:
+            content = gzip.decompress(packed)
+        except (OSError, EOFError, zlib.error):
+            return None, NOT_GZIP
+        return (content, None) if hashlib.sha256(content).hexdigest() == checksum else (None, NOT_THE_CONTENT)
+
+    def read(batches):
+        for batch in batches:
+            paths, sums, payloads = (c.to_pylist() for c in batch.columns)
+            done = [unpack(s, p) for s, p in zip(sums, payloads, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array([c for c, _ in done], pa.binary()), pa.array([e for _, e in done], pa.string())], ["path", "content", "error"])
+
+    return archive.select("path", "checksum", "payload").mapInArrow(read, "path string, content binary, error string")
 
 
 def patched(table: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:

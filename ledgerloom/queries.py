@@ -358,16 +358,32 @@ def _dice_sql(a: str, b: str) -> str:
     return f"CASE WHEN {a} = {b} THEN 1.0::DOUBLE WHEN length({a}) < 3 OR length({b}) < 3 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect({ga}, {gb})) / (len({ga}) + len({gb})) END"
 
 
-@query(_SIDES + f"""
+_SCORED = f"""
 , sc AS (SELECT new_id, stored_id, CAST(greatest(1.00 - CASE WHEN n.amount_minor <> s.amount_minor THEN 0.30 ELSE 0 END - CASE WHEN n.booked_date <> s.booked_date THEN 0.20 ELSE 0 END
   - CASE WHEN {_dice_sql('n.description', 's.description')} <= 0.8 THEN 0.20 ELSE 0 END - CASE WHEN n.merchant_alias_id = s.merchant_alias_id THEN 0 ELSE 0.10 END - CASE WHEN s.pending THEN 0 ELSE 0.10 END
   - CASE WHEN count(*) OVER (PARTITION BY new_id) > 1 THEN 0.10 ELSE 0 END, 0) AS DECIMAL(3,2)) score FROM cand JOIN n ON n.id = new_id JOIN s ON s.id = stored_id),
 best AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY score DESC, stored_id) rn FROM sc)
-SELECT new_id, stored_id, score, CASE WHEN score >= 0.85 THEN 'link' WHEN score >= 0.50 THEN 'review' ELSE 'none' END AS decision FROM best WHERE rn = 1""")
+"""
+
+
+@query(_SIDES + _SCORED + """SELECT new_id, stored_id, score, CASE WHEN score >= 0.85 THEN 'link' WHEN score >= 0.50 THEN 'review' ELSE 'none' END AS decision FROM best WHERE rn = 1""")
 def tier2_decisions(led: Ledger) -> DataFrame:
     return identity.tier2_decisions(*_sides(led))
 
 
+@query(_SIDES + _SCORED + """, t1 AS (SELECT n.id FROM n WHERE provider_txn_id <> '' AND EXISTS (SELECT 1 FROM s WHERE s.account_id = n.account_id AND s.provider_txn_id = n.provider_txn_id)),
+taken AS (SELECT *, row_number() OVER (PARTITION BY stored_id ORDER BY score DESC, new_id) turn FROM best WHERE rn = 1 AND score >= 0.50 AND new_id NOT IN (SELECT id FROM t1)),
+print AS (SELECT DISTINCT account_id, amount_minor, booked_date, description FROM s)
+SELECT n.id, CASE WHEN t1.id IS NOT NULL THEN 1 WHEN t.new_id IS NOT NULL THEN 2 WHEN p.account_id IS NOT NULL THEN 3 ELSE 0 END AS tier, t1.id IS NULL AND coalesce(t.score < 0.85, FALSE) AS needs_review, t.stored_id, t.score
+FROM n LEFT JOIN t1 ON t1.id = n.id LEFT JOIN (SELECT * FROM taken WHERE turn = 1) t ON t.new_id = n.id LEFT JOIN print p ON p.account_id = n.account_id AND p.amount_minor = n.amount_minor AND p.booked_date = n.booked_date AND p.description = n.description""")
+def resolve_tiers(led: Ledger) -> DataFrame:
+    """The first tier that knows each row; a stored row is the counterpart of one row of tier 2 at most."""
+    content = F.sha2(F.concat_ws("|", "account_id", "amount_minor", "booked_date", "description"), 256)
+    new, stored = (side.withColumn("fingerprint", content) for side in _sides(led))
+    done = identity.resolve(new, stored)
+    return done.select("id", "tier", F.coalesce("needs_review", F.lit(False)).alias("needs_review"), "stored_id", "score")
+
+
 # Text similarity and categories --------------------------------------------------------------------
 
 _NAMES = "(SELECT DISTINCT lower(p_name) AS name FROM part)"
@@ -959,9 +975,25 @@ def column_classify(led: Ledger) -> DataFrame:
 # JSON ----------------------------------------------------------------------------------------------
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k FROM events", ctes=False)
+@query("""SELECT event_id, key, CASE key WHEN 'k' THEN json_extract_string(props, '$.k') WHEN 'kind' THEN event_type WHEN 'odd' THEN CASE event_id % 2 WHEN 1 THEN 'true' ELSE 'false' END END AS value
+FROM events CROSS JOIN (VALUES ('k'), ('kind'), ('odd'), ('none')) t(key)""", ctes=False)
 def raw_scalars(led: Ledger) -> DataFrame:
-    return led.table("events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    """The scalar fields of events' props and of more, among nested ones."""
+    from .sources.ais import scalars
+
+    more = F.concat(F.lit('{"kind":"'), "event_type", F.lit('","odd":'), (F.col("event_id") % 2 == 1).cast("string"), F.lit(',"none":null,"list":[1],"inner":'), "props", F.lit(","), F.substr("props", F.lit(2)))
+    return led.table("events").select("event_id", F.explode(scalars(more)))
+
+
+@query("""SELECT CAST(page_id AS VARCHAR) AS path, CASE WHEN page_id % 5 > 3 OR page_id % 5 = 0 THEN sha256(html) END AS checksum,
+CASE page_id % 5 WHEN 1 THEN 'payload is not base64' WHEN 2 THEN 'payload is not gzip' WHEN 3 THEN 'content differs from its checksum' END AS error FROM pages WHERE html IS NOT NULL""", ctes=False)
+def archive_restored(led: Ledger) -> DataFrame:
+    """Pages as archived files, some of which are damaged, read back."""
+    files = led.table("pages").where("html is not null").select(F.col("page_id").cast("string").alias("path"), F.encode("html", "UTF-8").alias("content"))
+    damaged = F.when(F.col("path").cast("long") % 5 == 1, F.lit("*")).when(F.col("path").cast("long") % 5 == 2, F.base64(F.lit("plain").cast("binary"))).otherwise(F.col("payload"))
+    other = F.when(F.col("path").cast("long") % 5 == 3, F.lit("0")).otherwise(F.col("checksum"))
+    archive = importing.archived(files).select("path", other.alias("checksum"), damaged.alias("payload"))
+    return importing.restored(archive).select("path", F.sha2("content", 256).alias("checksum"), "error")
 
 
 @query("SELECT event_id, event_id % 3 = 0 AS flag FROM events", ctes=False)
@@ -1013,15 +1045,19 @@ def _line(rows: DataFrame, offset: int, text, where: str = "true") -> DataFrame:
 
 
 def _card_lines(led: Ledger) -> DataFrame:
+    """Every seventh row has its amount without points, every fourteenth none; what follows rows are words, a merchant's name that
+    looks like a total, a credit mark, headings, furniture, and legal text."""
     rows = _orders(led, (F.col("o_custkey") % 50).cast("string"))
-    day = F.date_format("day", "dd.MM.yy")
-    row = F.concat(day, F.lit("  "), day, F.lit("  SHOP "), F.col("key").cast("string"), F.when(F.col("key") % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("     "), F.col("amount"))))
-    # Every seventh row has its amount on the line below, but for those that have none; every third goes on, and every fifth is a credit.
-    lines = _line(rows, 0, row).union(_line(rows, 1, F.concat(F.lit("   Town    "), F.col("amount")), "key % 7 = 0 and key % 14 <> 0")).union(_line(rows, 1, F.lit("   Town"), "key % 3 = 0 and key % 7 <> 0"))
-    return lines.union(_line(rows, 2, F.lit("   CR"), "key % 5 = 0")).union(_line(rows, 3, F.lit("Pagina 1 van 9"), "key % 11 = 0"))
+    day, key = F.date_format("day", "dd.MM.yy"), F.col("key")
+    printed = F.when(key % 14 == 0, F.lit("")).otherwise(F.concat(F.lit("     "), F.when(key % 7 == 0, F.translate("amount", ".", "")).otherwise(F.col("amount"))))
+    lines = _line(rows, 0, F.concat(day, F.lit("  "), day, F.lit("  SHOP "), key.cast("string"), printed))
+    lines = lines.union(_line(rows, 1, F.lit("   TOTAL ENERGIES 12,50"), "key % 3 = 0")).union(_line(rows, 1, F.lit("New Balance   33,18"), "key % 3 = 1"))
+    lines = lines.union(_line(rows, 2, F.lit("   CR"), "key % 5 = 0")).union(_line(rows, 2, F.lit("Page 3"), "key % 5 = 1")).union(_line(rows, 2, F.lit("Maandafrekening®:"), "key % 5 = 2"))
+    return lines.union(_line(rows, 3, F.lit("more"), "key % 11 = 0")).union(_line(rows, 3, F.lit("Nieuwe transacties voor: J"), "key % 11 = 1"))
 
 
-@query(_PRINTED_ORDERS + """SELECT file, rn AS row, d AS booked_date, d AS processing_date, 'SHOP ' || o_orderkey || CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 3 = 0 THEN ' Town' ELSE '' END AS description,
+@query(_PRINTED_ORDERS + """SELECT file, rn AS row, d AS booked_date, d AS processing_date,
+'SHOP ' || o_orderkey || CASE WHEN o_orderkey % 3 = 0 THEN ' TOTAL ENERGIES 12,50' ELSE '' END || CASE WHEN o_orderkey % 11 = 0 AND o_orderkey % 5 <> 2 THEN ' more' ELSE '' END AS description,
 CASE WHEN o_orderkey % 5 = 0 THEN cents ELSE -cents END AS amount_minor FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY o_orderkey) rn FROM r) WHERE o_orderkey % 14 <> 0""", ctes=False)
 def statement_text_parse(led: Ledger) -> DataFrame:
     """Card statements made of order rows, one file per account, read back from their layout text."""
@@ -1033,6 +1069,15 @@ def statement_failures(led: Ledger) -> DataFrame:
     return layout.card_failures(_card_lines(led))
 
 
+@query(_PRINTED_ORDERS + """, j AS (SELECT file, o_orderkey % 14 <> 0 AS read FROM r) SELECT file AS batch_id, count(*) FILTER (read) AS record_count, count(*) FILTER (read) AS created, CAST(0 AS BIGINT) AS duplicated, CAST(0 AS BIGINT) AS failed,
+count(*) FILTER (NOT read) AS parse_failed, CASE WHEN count(*) FILTER (read) = 0 THEN 'failed' ELSE 'completed' END AS status FROM j GROUP BY 1""", ctes=False)
+def batch_with_parse_failures(led: Ledger) -> DataFrame:
+    """Each printed file as a batch: what could be read is created, and the rows that couldn't be read are counted."""
+    lines = _card_lines(led)
+    read = layout.card_statement(lines).select(F.col("file").alias("batch_id"), F.lit("created").alias("outcome"))
+    return statements.batch_status(read, layout.card_failures(lines).select(F.col("file").alias("batch_id")))
+
+
 @query(_PRINTED_ORDERS + """SELECT y AS file, rn AS row, d AS booked_date, CASE WHEN o_orderkey % 2 = 0 THEN 'ba' ELSE 'tb' END AS type_code, 'SHOP ' || o_orderkey || CASE WHEN o_orderkey % 3 = 0 THEN ' more' ELSE '' END AS description,
 CASE WHEN o_orderkey % 2 = 0 THEN -cents ELSE cents END AS amount_minor, CASE WHEN o_orderkey % 4 = 0 THEN 'K' || o_orderkey END AS reference
 FROM (SELECT *, file || '/' || year(d) AS y, row_number() OVER (PARTITION BY file || '/' || year(d) ORDER BY o_orderkey) rn FROM r)""", ctes=False)

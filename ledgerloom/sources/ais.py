@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date
@@ -29,3 +29,10 @@ def parse_payload(rows: DataFrame) -> DataFrame:
         F.col("p.transactionAmount.currency").alias("currency"), booked.alias("booked_date"), parse_date(F.col("p.valueDate")).alias("value_date"),
         clean_reference(F.col("p.entryReference")).alias("provider_txn_id"), (F.col("status") == "PDNG").alias("pending"), "line_number", error.alias("error"),
     )
+
+
+def scalars(payload: Column) -> Column:
+    """The scalar fields of a JSON object as a map of texts; nested ones are dropped, null ones stay. Null if it is no object."""
+    fields = F.from_json(payload, "map<string,variant>", {"mode": "PERMISSIVE"})
+    kept = F.map_filter(fields, lambda _, v: ~F.coalesce(F.schema_of_variant(v), F.lit("VOID")).rlike("^(OBJECT|ARRAY)"))
+    return F.transform_values(kept, lambda _, v: F.try_variant_get(v, "$", "string"))

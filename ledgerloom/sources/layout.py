@@ -17,17 +17,21 @@ def _up_to_here():
     return Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
 
 
-DUTCH_AMOUNT = r"(?:^|[^\d.,])(\d{1,3}(?:\.\d{3})*,\d{2})\s*$"
+#: With points between thousands, or without any.
+DUTCH_AMOUNT = r"(?:^|[^\d.,])(\d{1,3}(?:\.\d{3})*,\d{2}|\d+,\d{2})\s*$"
 CARD_START = r"^\s*(\d{2}\.\d{2}\.\d{2})\s+(\d{2}\.\d{2}\.\d{2})\s+(.*)$"
-CARD_END = r"(?i)^\s*(new balance|total)\b"
 CHECKING_START = r"^\s*(\d{2})-(\d{2})\s+([a-z]{2})\s+(.*)$"
 SUB_FIELD = r"^\s+([A-Z][A-Za-z /]*[A-Za-z]):\s+(\S.*)$"
 SECTION_START = r"^\s*(\d{1,2} [A-Za-z]{3,4} \d{4})\s{2,}(\S.*)$"
 EURO = r"(€[0-9,]+\.\d{2})"
 
-# Printed wordings. What a footer begins and ends with; lines of a card statement that belong to no row; and
-# headings of its legal parts.
+# Printed wordings. What a footer begins and ends with; headings of a card statement (alone, or before a blank) and
+# lines of it that belong to no row; and headings of its legal parts.
 FOOTER_START, FOOTER_END = r"(?i)^\s*report lost or stolen", r"(?i)page \d+ of \d+"
+CARD_HEADINGS = (
+    "payments", "transactions", "card summary", "activity", "new balance", "previous balance", "payment due", "credit limit", "available credit", "page", "continued", "date",
+    "description", "amount",
+)
 CARD_FURNITURE = (
     "American Express Europe S.A. gevestigd", "Nieuwe transacties voor:", "Is het adres onjuist?", "Het te betalen bedrag is met", "Totaal voor:",
     "Overige Transacties:", "Totaal Overige Transacties :",
@@ -61,18 +65,22 @@ def _joined(*pieces: Column) -> Column:
 
 def _card_rows(lines: DataFrame) -> DataFrame:
     text = F.col("text")
-    furniture = F.lit(False)
+    low = F.regexp_replace(F.lower(F.trim(text)), ":+$", "")
+    skipped = low.isin(*CARD_HEADINGS)
+    for wording in CARD_HEADINGS:
+        skipped = skipped | F.startswith(low, F.lit(f"{wording} "))
     for wording in CARD_FURNITURE:
-        furniture = furniture | F.contains(text, F.lit(wording))
+        skipped = skipped | F.contains(text, F.lit(wording))
+    plain, legal = F.translate(low, "®™", ""), F.lit(False)
     for wording in LEGAL_HEADINGS:
-        furniture = furniture | F.startswith(F.lower(F.trim(text)), F.lit(wording))
-    inside = _rows_of(lines, CARD_START, text.rlike(CARD_END) | furniture)
-    credit = F.trim("text") == "CR"
+        legal = legal | F.startswith(plain, F.lit(wording))
     amount = F.when(text.rlike(DUTCH_AMOUNT), F.regexp_extract(text, DUTCH_AMOUNT, 1))
-    words = F.trim(F.regexp_replace(F.when(F.col("start"), F.regexp_extract(text, CARD_START, 3)).otherwise(text), DUTCH_AMOUNT, ""))
+    inside = _rows_of(lines.where(~skipped), CARD_START, legal & amount.isNull())
+    credit = ~F.col("start") & (F.trim("text") == "CR")
+    words = F.when(F.col("start"), F.trim(F.regexp_replace(F.regexp_extract(text, CARD_START, 3), DUTCH_AMOUNT, ""))).otherwise(F.trim(text))
     part = lambda k: F.max(F.when(F.col("start"), F.regexp_extract("text", CARD_START, k)))
     return inside.groupBy("file", "row").agg(
-        F.min("line_no").alias("line_no"), part(1).alias("booked"), part(2).alias("processed"), F.min(F.when(amount.isNotNull(), F.struct("line_no", amount.alias("amount"))))["amount"].alias("amount"),
+        F.min("line_no").alias("line_no"), part(1).alias("booked"), part(2).alias("processed"), F.max(F.when(F.col("start"), amount)).alias("amount"),
         F.bool_or(credit).alias("credit"), _joined(F.when(~credit, words)).alias("description"),
     )
 
@@ -80,8 +88,9 @@ def _card_rows(lines: DataFrame) -> DataFrame:
 def card_statement(lines: DataFrame) -> DataFrame:
     """file, row, booked_date, processing_date, description, amount_minor of card statements.
 
-    Two dates open a row; its amount ends that line or a later one; other lines add to the description, and a bare CR turns it
-    into a credit. Furniture, legal text and the closing balance end a row. Rows without an amount are in card_failures."""
+    Two dates open a row, whose amount ends that line; other lines add to the description as they are, and a bare CR turns the
+    row into a credit. Headings and furniture are passed over; a legal heading without an amount ends what is added to a row.
+    Rows without an amount are in card_failures."""
     sign = F.when(F.col("credit"), F.lit(1)).otherwise(F.lit(-1))
     return _card_rows(lines).where("amount is not null").select(
         "file", "row", _day(F.col("booked")).alias("booked_date"), _day(F.col("processed")).alias("processing_date"), "description", (sign * dutch_minor(F.col("amount"))).alias("amount_minor"),

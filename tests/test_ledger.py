@@ -508,11 +508,15 @@ def as_lines(spark, text, file="a"):
 
 def test_card_rows_over_several_lines(spark):
     lines = as_lines(spark, [
-        "Nieuwe transacties voor: X", "14.03.26  15.03.26  HOTEL", "  Room 12", "   Utrecht     1.234,50", "CR", "Pagina 2", "not of the row   9,99", "15.03.26  15.03.26  LOST", "Belangrijke informatie", "   7,00", "16.03.26  16.03.26  KIOSK  4,10", "Total  1,00", "after",
+        "Nieuwe transacties voor: X", "14.03.26  15.03.26  HOTEL  1234,50", "  Room 12", "CR", "Pagina 2", "not of the row", "15.03.26  15.03.26  LOST", "Belangrijke informatie", "   7,00", "16.03.26  16.03.26  KIOSK  4,10",
+        "Total  1,00", "New balance  3,00", "Page 3", "Payment Solutions BV",
     ])
     got = [(r.row, r.booked_date, r.description, r.amount_minor) for r in layout.card_statement(lines).orderBy("row").collect()]
-    assert got == [(1, D(2026, 3, 14), "HOTEL Room 12 Utrecht", 123450), (3, D(2026, 3, 16), "KIOSK", -410)]
-    assert [(r.row, r.line_no, r.reason) for r in layout.card_failures(lines).collect()] == [(2, 7, "no amount")]
+    assert got == [(1, D(2026, 3, 14), "HOTEL Room 12", 123450), (3, D(2026, 3, 16), "KIOSK Total  1,00 Payment Solutions BV", -410)]
+    assert [(r.row, r.line_no, r.reason) for r in layout.card_failures(lines).collect()] == [(2, 6, "no amount")]
+    status = statements.batch_status(spark.createDataFrame([("a", "created"), ("a", "created")], "batch_id string, outcome string"), spark.createDataFrame([("a",), ("b",)], "batch_id string")).orderBy("batch_id").collect()
+    assert [(r.batch_id, r.record_count, r.parse_failed, r.status) for r in status] == [("a", 2, 1, "completed"), ("b", 0, 1, "failed")]
+
 
 
 def test_checking_fields_and_failures(spark):
@@ -647,3 +651,59 @@ def test_the_gate_and_the_race(spark, ledger):
         store.commit({"lines": Change(spark.createDataFrame([], schema["lines"]), gone)})
     store.commit({"lines": Change(spark.createDataFrame([line(5, 1, "-1.00")], schema["lines"]), gone)})
     assert {r.id for r in store.read("lines").collect()} == {1, 5} and store.read("matches").isEmpty()
+
+
+def test_archive_round_trip(spark):
+    contents = [("a", b"plain"), ("b", b""), ("c", bytes(range(256)) * 5000), ("d", None)]
+    files = spark.createDataFrame([(p, bytearray(c) if c is not None else None) for p, c in contents], "path string, content binary").repartition(2)
+    archive = importing.archived(files)
+    assert sorted(archive.collect()) == sorted(importing.archived(files.repartition(1)).collect())
+    back = {r.path: (r.content, r.error) for r in importing.restored(archive).collect()}
+    assert {p: None if c is None else bytes(c) for p, (c, _) in back.items()} == dict(contents) and {p: e for p, (_, e) in back.items() if e} == {"d": importing.NO_PAYLOAD}
+    good = {r.path: r for r in archive.collect()}
+    broken = spark.createDataFrame([("1", good["a"].checksum, "**"), ("2", good["a"].checksum, "cGxhaW4="), ("3", good["b"].checksum, good["a"].payload), ("4", good["c"].checksum, good["c"].payload[:400])], importing.ARCHIVE)
+    assert {r.path: r.error for r in importing.restored(broken).collect()} == {"1": importing.NOT_BASE64, "2": importing.NOT_GZIP, "3": importing.NOT_THE_CONTENT, "4": importing.NOT_GZIP}
+
+
+def test_json_scalars(spark):
+    texts = ['{"a": 1, "b": "x", "c": null, "d": true, "e": [1], "f": {"g": 2}, "h": 1.50}', "{}", "[1]", None, "no json"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    got = {r.id: r.m for r in df.select("id", ais.scalars(F.col("t")).alias("m")).collect()}
+    assert {**got[0], "h": float(got[0]["h"])} == {"a": "1", "b": "x", "c": None, "d": "true", "h": 1.5}
+    assert got[1] == {} and not got[2] and got[3] is None and not got[4]
+
+
+def test_running_balance_over_blocks(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(a, n, rng.choice([None, rng.randint(-50, 50)])) for a in (1, 2, None) for n in [None, *rng.sample(range(-40, 400), 60)]]
+    df = spark.createDataFrame(rows, "account_id long, line_number long, amount long").repartition(3)
+    want = {}
+    for a in (1, 2, None):
+        total = None
+        for numbered, n, x in sorted(((n is not None, n or 0, x) for b, n, x in rows if b == a), key=lambda r: r[:2]):
+            total = total if x is None else (total or 0) + x
+            want[a, n if numbered else None] = total
+    for width in (7, 65_536):
+        monkeypatch.setattr(statements, "BALANCE_BLOCK", width)
+        assert {(r.account_id, r.line_number): r.balance for r in statements.running_balance(df).collect()} == want
+
+
+def test_rows_of_one_amount_meet_those_of_a_few_days(spark):
+    day = dt.date(2024, 1, 1)
+    row = lambda i, d: (i, 1, 500, day + dt.timedelta(d), "EUR")
+    schema = "id long, account_id long, amount_minor long, booked_date date, currency string"
+    new, stored = [row(i, 3 * i) for i in range(60)], [row(1000 + i, i) for i in range(200)]
+    pairs = identity.tier2_candidates(spark.createDataFrame(new, schema), spark.createDataFrame(stored, schema))
+    assert {(r.new_id, r.stored_id) for r in pairs.collect()} == {(a, s) for a, *_, d, _ in new for s, *_, e, _ in stored if -1 <= (e - d).days <= 3}
+    assert "_span" in pairs._jdf.queryExecution().toString()
+
+
+def test_a_stored_row_is_taken_once(spark):
+    day = dt.date(2024, 1, 1)
+    schema = "id long, account_id long, amount_minor long, booked_date date, currency string, description string, provider_txn_id string, merchant_alias_id long, pending boolean, fingerprint string"
+    row = lambda i, text, txn="", d=0, fp="": (i, 1, 500, day + dt.timedelta(d), "EUR", text, txn, 7, True, fp or f"f{i}")
+    stored = spark.createDataFrame([row(100, "jumbo"), row(101, "elsewhere", "T1")], schema)
+    new = spark.createDataFrame([row(1, "jumbo"), row(2, "jumbo"), row(3, "other", "T1"), row(4, "far off", d=60, fp="f100"), row(5, "new", d=90)], schema)
+    got = {r.id: (r.tier, r.needs_review, r.stored_id) for r in identity.resolve(new, stored).collect()}
+    assert got[1][0] == 2 and got[1][2] == 100 and got[3][0] == 1 and got[4][0] == 3 and got[5][0] == 0
+    assert sum(stored_id == 100 for _, _, stored_id in got.values()) == 1
