@@ -6,6 +6,8 @@ covered by tests against literal fixtures or a plain model."""
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,6 +19,7 @@ from .functions import text as ft
 from .operators import analytics, cards, categorize, checks, identity, posting, statements, transfers
 from .plans import importing, pipeline, projection
 from .plans.projection import Ledger
+from .plans.store import LedgerStore
 from .sources import layout
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -669,7 +672,8 @@ def skip_pairs(led: Ledger) -> DataFrame:
 _IMPORTED = f"""
 , acct AS (SELECT id, account_type, account_nature, currency, is_active, CASE WHEN id % 2 = 0 THEN payment_from_account_id END pay FROM account),
 role AS (SELECT id account_id, id card_id, pay paying_id FROM acct WHERE pay IS NOT NULL UNION ALL SELECT pay, min(id), pay FROM acct WHERE pay IS NOT NULL GROUP BY pay HAVING count(*) = 1),
-rec AS (SELECT id, batch_id, line_number, raw_description, CASE WHEN id % 97 = 0 THEN NULL ELSE account_id END account_id, CASE WHEN id % 89 = 0 THEN 0 ELSE raw_amount END raw_amount, raw_date,
+rec AS (SELECT id, batch_id, line_number, raw_description, CASE WHEN id % 97 = 0 THEN NULL WHEN id % 30 = 11 THEN 1000000 + 2 * (id % 5) ELSE account_id END account_id,
+  CASE WHEN id % 89 = 0 THEN 0 WHEN id % 30 = 11 THEN 100000 + id WHEN id % 10 = 1 THEN -100000 - id ELSE raw_amount END raw_amount, raw_date,
   CASE WHEN id % 4 = 0 THEN 'USD' ELSE 'EUR' END currency, id % 10 = 1 AS is_card_payment FROM source_record),
 rk AS (SELECT *, {_NORM.format('raw_description')} AS norm, row_number() OVER (PARTITION BY account_id, {_NORM.format('raw_description')}, raw_amount, currency, raw_date ORDER BY line_number, id) AS occ FROM rec WHERE account_id IS NOT NULL),
 kept AS (SELECT account_id, {_NORM.format('raw_description')} norm, raw_amount, currency, raw_date, count(*) n FROM rec WHERE account_id IS NOT NULL AND id % 3 = 0 GROUP BY 1, 2, 3, 4, 5),
@@ -677,24 +681,38 @@ judged AS (SELECT rk.*, coalesce(occ <= kept.n, FALSE) AS dup, role.card_id, rol
   FROM rk LEFT JOIN kept USING (account_id, norm, raw_amount, currency, raw_date) LEFT JOIN role USING (account_id) LEFT JOIN acct c ON c.id = role.card_id LEFT JOIN acct p ON p.id = role.paying_id),
 said AS (SELECT id, batch_id, line_number, dup, is_card_payment, CASE WHEN dup THEN NULL
   WHEN is_card_payment THEN CASE WHEN NOT active THEN 'no card and paying account' WHEN ccur <> currency OR pcur <> currency THEN 'currency of an account differs' WHEN raw_amount = 0 THEN 'zero amount' WHEN rate IS NULL THEN 'no exchange rate' END
-  WHEN rate IS NULL THEN 'no exchange rate' WHEN raw_amount = 0 THEN 'zero amount' END AS reason, raw_amount, account_id, card_id, paying_id, currency FROM judged),
-done AS (SELECT id, batch_id, line_number, CASE WHEN dup THEN 'duplicated' WHEN reason IS NULL THEN 'created' ELSE 'failed' END AS outcome, CASE WHEN NOT dup AND reason IS NULL THEN CASE WHEN is_card_payment THEN 'build' ELSE 'posted' END END AS shape, reason, raw_amount, account_id, card_id, paying_id, currency FROM said
-  UNION ALL SELECT id, batch_id, line_number, 'failed', NULL, '{pipeline.UNATTRIBUTED}', NULL, NULL, NULL, NULL, NULL FROM rec WHERE account_id IS NULL)
+  WHEN rate IS NULL THEN 'no exchange rate' WHEN raw_amount = 0 THEN 'zero amount' END AS reason, raw_amount, account_id, card_id, paying_id, currency, raw_description FROM judged),
+done AS (SELECT id, batch_id, line_number, CASE WHEN dup THEN 'duplicated' WHEN reason IS NULL THEN 'created' ELSE 'failed' END AS outcome, CASE WHEN NOT dup AND reason IS NULL THEN CASE WHEN NOT is_card_payment THEN 'posted' WHEN id % 20 = 1 AND id // 20 % 5 <= 3 THEN 'match' WHEN id % 60 = 11 AND id // 60 % 5 <= 3 THEN 'rewrite' ELSE 'build' END END AS shape, reason, raw_amount, account_id, card_id, paying_id, currency, CASE WHEN length(raw_description) % 2 = 0 THEN 100 + length(raw_description) % 25 END AS filed FROM said
+  UNION ALL SELECT id, batch_id, line_number, 'failed', NULL, '{pipeline.UNATTRIBUTED}', NULL, NULL, NULL, NULL, NULL, NULL FROM rec WHERE account_id IS NULL)
 """
 
 
-def _imported(led: Ledger) -> pipeline.Imported:
-    """The orders' rows as one import, a third of them stored before."""
-    key = F.col("id")
+def _import_inputs(led: Ledger) -> dict[str, DataFrame]:
+    """The orders' rows as one import, a third of them stored before; a part are card payments, told by the card's statement or by
+    the paying account's, whose other half is there, in time or not, or was posted as an expense."""
+    key, on_card = F.col("id"), F.col("id") % 30 == 11
     rows = led.records.withColumns({
-        "account_id": F.when(key % 97 != 0, F.col("account_id")), "raw_amount": F.when(key % 89 == 0, F.lit(0)).otherwise(F.col("raw_amount")).cast("long"),
+        "account_id": F.when(key % 97 == 0, F.lit(None)).when(on_card, 1_000_000 + 2 * (key % 5)).otherwise(F.col("account_id")),
+        "raw_amount": F.when(key % 89 == 0, F.lit(0)).when(on_card, 100_000 + key).when(key % 10 == 1, -100_000 - key).otherwise(F.col("raw_amount")).cast("long"),
         "currency": F.when(key % 4 == 0, "USD").otherwise("EUR"), "is_card_payment": key % 10 == 1,
     })
     accounts = led.accounts.withColumn("payment_from_account_id", F.when(key % 2 == 0, F.col("payment_from_account_id")))
     stored = identity.with_fingerprint(identity.occurrence_index(rows.where("account_id is not null and id % 3 = 0")))
     rates = led.records.select(F.col("raw_date").alias("date")).distinct().where("month(date) % 3 <> 2").select("date", F.lit("EUR").alias("base"), F.lit("USD").alias("quote"), F.expr("1.25BD").cast("decimal(20,10)").alias("rate"))
-    halves = led.spark.createDataFrame([], "id long, entry_id long, account_id long, amount long, date date, is_synthesized boolean, is_matched boolean, is_expense boolean")
-    return pipeline.import_batch(rows, stored, accounts, rates, halves)
+
+    def half(k: int, condition: str, account, amount, days) -> DataFrame:
+        return rows.where("account_id is not null and raw_amount <> 0").where(condition).select((10 * key + k).alias("id"), (1_000_000_000 + key).alias("entry_id"), account.alias("account_id"), amount.alias("amount"), F.date_add("raw_date", days.cast("int")).alias("date"), F.lit(k == 0).alias("is_synthesized"), F.lit(False).alias("is_matched"), F.lit(k == 1).alias("is_expense"))
+
+    shift = F.floor(key / 20) % 5
+    halves = half(0, "id % 20 = 1", F.col("account_id"), F.col("raw_amount"), F.when(on_card, shift).otherwise(-shift))
+    halves = halves.unionByName(half(1, "id % 60 = 11", F.col("account_id") - 1_000_000, -F.col("raw_amount"), F.floor(key / 60) % 5))
+    n = F.length("raw_description")
+    categories = led.records.select("raw_description").distinct().where(n % 2 == 0).withColumn("category_id", (100 + n % 25).cast("long"))
+    return {"records": rows, "stored": stored, "accounts": accounts, "rates": rates, "halves": halves, "categories": categories}
+
+
+def _imported(led: Ledger) -> pipeline.Imported:
+    return pipeline.import_batch(**_import_inputs(led))
 
 
 @query(_IMPORTED + "SELECT id, batch_id, line_number, outcome, shape, reason FROM done")
@@ -710,9 +728,26 @@ def import_report(led: Ledger) -> DataFrame:
 
 @query(_IMPORTED + f"""SELECT id AS entry_id, k AS sort_order, CASE WHEN shape = 'posted' THEN CASE k WHEN 0 THEN account_id ELSE {projection.EXPENSE_ACCOUNT} END ELSE CASE k WHEN 0 THEN card_id ELSE paying_id END END AS account_id,
 CASE WHEN shape = 'posted' THEN CASE k WHEN 0 THEN raw_amount WHEN 1 THEN CASE currency WHEN 'EUR' THEN -raw_amount ELSE CAST(round(-raw_amount * 0.8) AS BIGINT) END END ELSE CASE k WHEN 0 THEN abs(raw_amount) ELSE -abs(raw_amount) END END AS amount,
-shape = 'build' AND CASE k WHEN 0 THEN card_id ELSE paying_id END <> account_id AS is_synthesized FROM done CROSS JOIN (VALUES (0), (1)) t(k) WHERE outcome = 'created'""")
+shape = 'build' AND CASE k WHEN 0 THEN card_id ELSE paying_id END <> account_id AS is_synthesized, CASE WHEN shape = 'posted' AND k = 0 THEN filed END AS category_id FROM done CROSS JOIN (VALUES (0), (1)) t(k) WHERE shape IN ('posted', 'build')""")
 def import_lines(led: Ledger) -> DataFrame:
-    return _imported(led).lines.select("entry_id", "sort_order", "account_id", "amount", "is_synthesized")
+    return _imported(led).lines.select("entry_id", "sort_order", "account_id", "amount", "is_synthesized", "category_id")
+
+
+@query(_IMPORTED + """, first AS (SELECT count(*) n, count(*) FILTER (account_id IS NOT NULL AND raw_amount <> 0 AND (currency = 'EUR' OR month(raw_date) % 3 <> 2)) posted FROM rec WHERE id % 3 = 0 AND NOT is_card_payment)
+SELECT 'first' AS id, n AS record_count, posted AS created, CAST(0 AS BIGINT) AS duplicated, n - posted AS failed, CASE WHEN n = posted THEN 'completed' ELSE 'partial' END AS status, 2 * posted AS n_lines FROM first""")
+def import_published(led: Ledger) -> DataFrame:
+    """An import of a third of the rows into a fresh store, as its one commit published it."""
+    given = _import_inputs(led)
+    root = f"{_shared_folder(led.spark)}/ledger-{uuid.uuid4().hex}"
+    store = LedgerStore(led.spark, root)
+    pipeline.import_into(store, "first", given["records"].where("id % 3 = 0 and not is_card_payment"), given["accounts"], given["rates"], given["categories"])
+    lines = store.read("lines").join(store.read("rows").where("status = 'posted'").select("entry_id"), "entry_id", "left_semi").agg(F.count("*").alias("n_lines"))
+    return store.read("batches").select("id", "record_count", "created", "duplicated", "failed", "status").join(F.broadcast(lines), F.lit(True))  # one row each
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return folder or f"file://{tempfile.mkdtemp(prefix='ledger-')}"
 
 
 _HALVES = """
