@@ -8,10 +8,11 @@ HDFS or a local disk; Structured Streaming's checkpoints ask for the same.) A wr
 the new version and applies its change to that.
 
 Compaction sorts the runs by size into tiers of similar ones: a run belongs to a tier while it is at most
-`RATIO` times the mean of those before it. A tier of `fanout` runs or more is merged into one run of files
-of about `target_bytes`, and committed; that goes on until no tier is full. Merged runs keep their files,
-for readers of older versions, until vacuum() is called: it deletes what no version of the last
-`retain_seconds` lists.
+`RATIO` times the mean of those before it. Of a tier of `fanout` runs or more, each `fanout` are merged into one
+run of files of about `target_bytes`, and committed; so no merge is larger than `fanout` times its largest run, and
+merged runs fill the next tier. That goes on until no tier is full. `PARALLEL` merges of a tier run at a time. Merged
+runs keep their files, for readers of older versions, until vacuum() is called: it deletes what no version of the
+last `retain_seconds` lists.
 
 All rows move by Spark's readers and writers; the driver sees manifests alone, a line for each live run.
 
@@ -25,8 +26,10 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,11 +38,13 @@ from .common import drop_scratch, scratch
 
 TARGET_BYTES = 128 << 20
 FANOUT = 8
+#: Merges of a tier that run at a time.
+PARALLEL = 3
 RATIO = 2.0
 #: Runs up to this size share the lowest tier.
 SMALL_BYTES = 1 << 20
-#: Bytes of text of an arrival that compacted() makes, at least, and the most arrivals it makes.
-ARRIVAL_BYTES, MOST_ARRIVALS = 8 << 20, 1024
+#: Bytes of text of an arrival that compacted() makes.
+ARRIVAL_BYTES = 8 << 20
 RETAIN_SECONDS = 7 * 24 * 3600
 
 
@@ -170,13 +175,17 @@ class ShardStore:
             full = next((t for t in tiers(self.runs(), small_bytes) if len(t) >= fanout), None)
             if full is None:
                 return merges
-            merged = self.spark.read.schema(self.schema).parquet(*[f for r in full for f in r.files])
-            # Input splits are packed by size, so joining neighbours gives files of like size without a shuffle.
-            n_files = max(1, -(-sum(r.bytes for r in full) // target_bytes))
-            new, old = _joined(self._write(merged.coalesce(n_files))), set(full)
-            # Nothing to commit if another writer has merged some of them meanwhile.
-            if self._change(lambda live: [r for r in live if r not in old] + [new] if old <= set(live) else None) is not None:  # noqa: B023
-                merges += 1
+            groups = [full[at : at + fanout] for at in range(0, len(full) - fanout + 1, fanout)]
+            with ThreadPoolExecutor(PARALLEL) as pool:
+                merges += sum(pool.map(inheritable_thread_target(self.spark)(lambda group: self._merge(group, target_bytes)), groups))
+
+    def _merge(self, group: list[Run], target_bytes: int) -> bool:
+        """Merge runs into one and commit it; False if another writer has merged some of them meanwhile."""
+        merged = self.spark.read.schema(self.schema).parquet(*[f for r in group for f in r.files])
+        # Input splits are packed by size, so joining neighbours gives files of like size without a shuffle.
+        n_files = max(1, -(-sum(r.bytes for r in group) // target_bytes))
+        new, old = _joined(self._write(merged.coalesce(n_files))), set(group)
+        return self._change(lambda live: [r for r in live if r not in old] + [new] if old <= set(live) else None) is not None
 
     def vacuum(self, retain_seconds: float = RETAIN_SECONDS) -> None:
         """Delete the versions that were replaced more than so many seconds ago, and files older than that which no
@@ -200,10 +209,10 @@ def _joined(runs: list[Run]) -> Run:
 
 
 def compacted(docs: DataFrame, arrival_bytes: int = ARRIVAL_BYTES, fanout: int = FANOUT, target_bytes: int = TARGET_BYTES, small_bytes: int = SMALL_BYTES) -> DataFrame:
-    """docs taken into a fresh store in small arrivals (of about so much text, `MOST_ARRIVALS` at most), compacted and read back."""
+    """docs taken into a fresh store in small arrivals (of about so much text), compacted and read back."""
     store = ShardStore(docs.sparkSession, scratch(docs.sparkSession, "shards"), docs.schema)
     n_rows, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()
-    arrivals = min(MOST_ARRIVALS, max(1, -(-n_bytes // arrival_bytes)))
+    arrivals = max(1, -(-n_bytes // arrival_bytes))
     store.append(docs, arrivals, max(1, -(-n_rows // arrivals)))
     store.compact(fanout, target_bytes, small_bytes)
     store.vacuum(0)  # nobody else has this store

@@ -126,8 +126,21 @@ def test_production_parameters_merge(spark):
     store = store_of(spark, docs)
     store.append(docs, 10, 10_000)
     before = store.runs()
+    # Eight of the ten are a merge; two are too few for another.
     assert len(before) == 10 and store.compact() == 1
-    assert len(store.runs()) == 1 and store.runs()[0].rows == 100_000 and store.versions() == [1, 2]
+    assert sorted(r.rows for r in store.runs()) == [10_000, 10_000, 80_000] and store.versions() == [1, 2]
+
+
+def test_merges_are_bounded_and_fill_tier_after_tier(spark):
+    docs = spark.range(0, 640, 1, 2).select(F.col("id").alias("doc_id"), F.concat(*[F.sha2(F.concat("id", F.lit(str(k))).cast("string"), 512) for k in range(16)]).alias("text"))
+    store = store_of(spark, docs)
+    store.append(docs, 64, 10)
+    assert len(store.runs()) == 64
+    merged, real = [], store._merge
+    store._merge = lambda group, target: merged.append([r.rows for r in group]) or real(group, target)
+    assert store.compact(fanout=4, small_bytes=1) == 21
+    assert sorted(merged) == sorted([[10] * 4] * 16 + [[40] * 4] * 4 + [[160] * 4]) and [r.rows for r in store.runs()] == [640]
+    assert collected(store.read()) == collected(docs)
 
 
 def test_a_version_is_whole_or_not_there(spark, docs):
@@ -156,11 +169,11 @@ def test_readers_outlive_compaction(spark, docs):
     for _ in range(4):
         store.append(docs)
     reader = store.read()
-    assert store.compact(fanout=2) == 1
+    assert store.compact(fanout=2) == 3
     store.vacuum(3600)
     assert reader.count() == 4 * docs.count() == store.read(4).count()
     store.vacuum(0)
-    assert store.versions() == [5] and store.read().count() == 4 * docs.count()
+    assert store.versions() == [7] and store.read().count() == 4 * docs.count()
 
 
 # 3
