@@ -10,11 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Markers that banks put into descriptions. They are not anchored at the end.
-MARKERS = (
-    r"#?\s*REF\s*:\s*\S+", r"#?\s*REF\s+\S+", r"\*\s*REF\s*\S+", r"KAASACHTELNR\s*:?\s*\S+",
-    r"CARD\s*:\s*\S+", r"MNDT\s*\d+", r"\*+", r"#+",
-)
-MARKER_PATTERN = rf"\s*(?:{'|'.join(MARKERS)})\s*"
+MARKER_PATTERN = r"\s*(?:#?\s*REF\s*:\s*\S+|#?\s*REF\s+\S+|\*\s*REF\s*\S+|KAASACHTELNR\s*:?\s*\S+|CARD\s*:\s*\S+|MNDT\s*\d+|\*+|#+)\s*"
 # Account numbers with spaces between groups and without, masked cards, wordings of a card's settlement.
 IBAN_SPACED = r"\b([A-Z]{2}\d{2}(?:[ ][A-Z]{4})?(?:[ ]\d{2,4}){2,5})\b"
 IBAN_COMPACT = r"\b([A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,4}[A-Z0-9]{1,4})\b"
@@ -143,9 +139,3 @@ def distinct_ibans(x: Column) -> Column:
 
 def is_card_payment(x: Column) -> Column:
     return F.coalesce(x.rlike("(?iU)" + "|".join(CARD_PAYMENT_PATTERNS)), F.lit(False))
-
-
-def contains_rule(description: Column, pattern: Column) -> Column:
-    """Whether a rule's trimmed pattern is in the (lower-case) description; blank patterns never match."""
-    p = F.lower(F.trim(pattern))
-    return (p != "") & F.contains(description, p)

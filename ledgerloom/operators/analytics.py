@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import calendar, period
-from ..functions.money import cents
+from ..functions.money import cents, same_currency
 from ..schema import DEFAULT_RANGE_DAYS, MAX_RANGE_DAYS, PERIODS
 
 
@@ -97,8 +97,10 @@ def cashflow(lines: DataFrame, entries: DataFrame, accounts: DataFrame, start: d
     ).orderBy("period")
 
 
-def budget_check(spent: Column, limit: Column) -> tuple[Column, Column, Column]:
-    """remaining, over, used percent (half to even; 0 for a limit of 0)."""
+def budget_check(spent: Column, limit: Column, spent_in: Column | None = None, limit_in: Column | None = None) -> tuple[Column, Column, Column]:
+    """remaining, over, used percent (half to even; 0 for a limit of 0). The query fails where the two currencies, if given, differ."""
+    if spent_in is not None and limit_in is not None:
+        spent = same_currency(spent, spent_in, limit_in)
     used = F.when(limit == 0, F.lit(0)).otherwise(F.bround(spent * F.lit(100.0) / limit, 0)).cast("long")
     return limit - spent, spent > limit, used
 

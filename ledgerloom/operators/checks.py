@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import ACCOUNT_NATURES, ACCOUNT_TYPES, CATEGORY_KINDS
+from ..schema import ACCOUNT_NATURES, ACCOUNT_TYPES, CATEGORY_KINDS, PROVIDERS, RECORD_STATUSES
 
 
 def duplicates(df: DataFrame, *key: str, where: str | None = None, nulls_equal: bool = True) -> DataFrame:
@@ -46,12 +46,16 @@ def self_paying(accounts: DataFrame) -> DataFrame:
     return accounts.where("payment_from_account_id = id")
 
 
-def outside_vocabulary(accounts: DataFrame, categories: DataFrame) -> DataFrame:
-    """what, id, value of fields outside their closed lists."""
+def outside_vocabulary(accounts: DataFrame, categories: DataFrame, rows: DataFrame | None = None, batches: DataFrame | None = None) -> DataFrame:
+    """what, id, value of fields outside their closed lists; of rows (status) and batches (provider) too, if given."""
     def outside(df: DataFrame, what: str, allowed) -> DataFrame:
-        return df.where(~F.coalesce(F.col(what).isin(*allowed), F.lit(False))).select(F.lit(what).alias("what"), "id", F.col(what).alias("value"))
+        as_text = F.col("id") if rows is None and batches is None else F.col("id").cast("string").alias("id")
+        return df.where(~F.coalesce(F.col(what).isin(*allowed), F.lit(False))).select(F.lit(what).alias("what"), as_text, F.col(what).alias("value"))
 
-    return outside(accounts, "account_type", ACCOUNT_TYPES).union(outside(accounts, "account_nature", ACCOUNT_NATURES)).union(outside(categories, "kind", CATEGORY_KINDS))
+    found = outside(accounts, "account_type", ACCOUNT_TYPES).union(outside(accounts, "account_nature", ACCOUNT_NATURES)).union(outside(categories, "kind", CATEGORY_KINDS))
+    if rows is not None:
+        found = found.union(outside(rows, "status", RECORD_STATUSES))
+    return found if batches is None else found.union(outside(batches, "provider", PROVIDERS))
 
 
 def touched(old: DataFrame, new: DataFrame, *fields: str) -> DataFrame:

@@ -116,14 +116,16 @@ def import_batch(
 # The whole of it, under one commit ------------------------------------------------------------------
 
 
-def halves_of(store: LedgerStore, version: Version, accounts: DataFrame) -> DataFrame:
+def halves_of(lines: DataFrame, entries: DataFrame, accounts: DataFrame) -> DataFrame:
     """The ledger's lines as card payments see them: dated, with whether they are made up, matched, or an expense (a line of a
     plain entry on an asset account)."""
-    dated = store.read("entries", version).select(F.col("id").alias("entry_id"), F.col("entry_date").alias("date"), "is_transfer")
+    dated = entries.select(F.col("id").alias("entry_id"), F.col("entry_date").alias("date"), "is_transfer")
     nature = accounts.select(F.col("id").alias("account_id"), "account_nature")
-    lines = store.read("lines", version).join(dated, "entry_id").join(nature, "account_id", "left")
     expense = ~F.col("is_transfer") & (F.col("account_nature") == "asset")
-    return lines.select("id", "entry_id", "account_id", "amount", "date", F.coalesce("is_synthesized", F.lit(False)).alias("is_synthesized"), F.col("transfer_match_id").isNotNull().alias("is_matched"), F.coalesce(expense, F.lit(False)).alias("is_expense"))
+    return lines.join(dated, "entry_id").join(nature, "account_id", "left").select(
+        "id", "entry_id", "account_id", "amount", "currency", "date", F.coalesce("is_synthesized", F.lit(False)).alias("is_synthesized"),
+        F.col("transfer_match_id").isNotNull().alias("is_matched"), F.coalesce(expense, F.lit(False)).alias("is_expense"),
+    )
 
 
 def line_id(entry: Column, order: Column) -> Column:
@@ -131,60 +133,160 @@ def line_id(entry: Column, order: Column) -> Column:
     return entry * 2 + order
 
 
-def import_into(
-    store: LedgerStore, batch_id: str, records: DataFrame, accounts: DataFrame, rates: DataFrame, categories: DataFrame | None = None, currencies: DataFrame | None = None
-) -> int:
-    """Import records (ids that the store doesn't have) and publish rows, entries, lines, links, reviews and the batch's report
-    in one commit; the version's number. Raises Refused, and publishes nothing, if an entry wouldn't balance."""
-    base = store.version()
-    halves = halves_of(store, base, accounts)
-    done = import_batch(records, store.read("rows", base), accounts, rates, halves, categories, currencies=currencies)
-    # Judged once; all tables below are read from it. checkpoint() keeps it in the folder that the cluster shares.
-    done = Imported(done.judged.checkpoint())
+@dataclass(frozen=True)
+class Booked:
+    """What an import changes in the ledger: lines and entries that are new or differ, lines that go, matches, and new reviews."""
+
+    lines: DataFrame
+    dropped: DataFrame
+    entries: DataFrame
+    matches: DataFrame
+    reviews: DataFrame
 
+
+def _book(done: Imported, lines: DataFrame, entries: DataFrame, accounts: DataFrame, halves: DataFrame, asked: DataFrame) -> Booked:
+    """Post what was judged onto a ledger's lines and entries: new legs, rewrites, links of card payments and of transfers.
+    asked: out_id of reviews that are open."""
     touched = done.touched
-    new = done.lines.withColumns({"id": line_id(F.col("entry_id"), F.col("sort_order")), "transfer_match_id": F.lit(None).cast("long")})
-    old = store.read("lines", base).join(touched.select("entry_id").distinct(), "entry_id", "left_semi")
-    cards_of = done.judged.select("id", "card_id")
-    rewritten = cards.rewritten_lines(old.withColumn("is_expense", F.lit(False)), cards_of, touched).drop("is_expense")
-    changed = new.select(*store.schemas["lines"].names).unionByName(rewritten.select(*store.schemas["lines"].names))
+    new = done.lines.withColumns({"id": line_id(F.col("entry_id"), F.col("sort_order")), "transfer_match_id": F.lit(None).cast("long")}).select(*lines.columns)
+    old = lines.join(touched.select("entry_id").distinct(), "entry_id", "left_semi").select(*lines.columns)
+    rewritten = cards.rewritten_lines(old.withColumn("is_expense", F.lit(False)), done.judged.select("id", "card_id"), touched).drop("is_expense")
+    # What several tables below are read from is written to the cluster's shared folder, so that no plan holds it many times.
+    changed = new.unionByName(rewritten).checkpoint()
     dropped = old.join(rewritten.select("id"), "id", "left_anti").select("id")
 
     # Both legs of a payment that one statement told are linked once the other statement tells it too.
     found = cards.card_links(touched, rewritten)
     nature = accounts.where("account_nature in ('asset', 'liability')").select(F.col("id").alias("account_id"))
-    dates = done.entries.select(F.col("id").alias("entry_id"), F.col("entry_date").alias("booked_date"))
-    fresh = new.where("not is_synthesized").join(dates, "entry_id").join(nature, "account_id", "left_semi")
-    legs = fresh.select(F.col("id").alias("journal_line_id"), F.col("entry_id").alias("journal_entry_id"), "account_id", "booked_date", "amount", "currency", "transfer_match_id", "is_synthesized")
-    first, last = legs.agg(F.min("booked_date"), F.max("booked_date")).first()
+    dates = done.entries.select(F.col("id").alias("entry_id"), F.col("entry_date").alias("date"))
+    fresh = changed.where("not is_synthesized").join(dates, "entry_id")
+    first, last = fresh.agg(F.min("date"), F.max("date")).first()
     near = max(abs(d) for d in TRANSFER_DAYS)
-    halves = halves.where(F.col("date").between(F.date_sub(F.lit(first), near), F.date_add(F.lit(last), near)))
-    free = halves.where("not is_matched and not is_synthesized").join(nature, "account_id", "left_semi").join(touched.select("entry_id").distinct(), "entry_id", "left_anti")
-    currency = store.read("lines", base).select("id", "currency")
-    free = free.join(currency, "id").select(F.col("id").alias("journal_line_id"), F.col("entry_id").alias("journal_entry_id"), "account_id", F.col("date").alias("booked_date"), "amount", "currency", F.lit(None).cast("long").alias("transfer_match_id"), "is_synthesized")
-    asked = store.read("reviews", base).where("reason in ('multi_candidate', 'low_confidence')").select(F.col("id").alias("out_id"))
-    every = store.read("lines", base).join(changed.select("id"), "id", "left_anti").join(dropped, "id", "left_anti").unionByName(changed)
-    entries = store.read("entries", base).unionByName(done.entries)
-    linked, queue = link_batch(legs.unionByName(free), every.withColumnRenamed("entry_id", "journal_entry_id"), entries, open_reviews=asked, also=found)
+    free = halves.where("not is_matched and not is_synthesized").where(F.col("date").between(F.date_sub(F.lit(first), near), F.date_add(F.lit(last), near)))
+    free = free.join(touched.select("entry_id").distinct(), "entry_id", "left_anti")
+    legs = fresh.select("id", "entry_id", "account_id", "date", "amount", "currency").unionByName(free.select("id", "entry_id", "account_id", "date", "amount", "currency"))
+    legs = legs.join(nature, "account_id", "left_semi").withColumnsRenamed({"id": "journal_line_id", "entry_id": "journal_entry_id", "date": "booked_date"})
+    every = lines.join(changed.select("id"), "id", "left_anti").join(dropped, "id", "left_anti").select(*lines.columns).unionByName(changed).checkpoint()
+    all_entries = entries.unionByName(done.entries)
+    linked, queue = link_batch(legs, every.withColumnRenamed("entry_id", "journal_entry_id"), all_entries, open_reviews=asked, also=found)
     matches = linked.matches.checkpoint()
 
     stamp = matches.select(F.explode(F.array("out_id", "in_id")).alias("id"), F.col("id").alias("_match"))
-    all_lines = every.join(stamp, "id", "left").withColumn("transfer_match_id", F.coalesce("_match", "transfer_match_id"))
-    touched_lines = all_lines.join(changed.select("id").union(stamp.select("id")).distinct(), "id", "left_semi")
-    moved = all_lines.where("_match is not null").select(F.col("entry_id").alias("id")).union(touched.select(F.col("entry_id").alias("id"))).distinct()
-    flagged = entries.join(moved.withColumn("_moved", F.lit(True)), "id", "left").withColumn("is_transfer", F.col("is_transfer") | F.coalesce("_moved", F.lit(False)))
-    touched_entries = flagged.join(done.entries.select("id").union(moved).distinct(), "id", "left_semi")
-    waiting = done.reviews.select("id", F.lit("identity").alias("reason"), F.array("stored_id").alias("candidates"))
-    asked_now = queue.select(F.col("out_id").alias("id"), "reason", "candidates")
+    stamped = every.join(stamp, "id", "left").withColumn("transfer_match_id", F.coalesce("_match", "transfer_match_id"))
+    moved = stamped.where("_match is not null").select(F.col("entry_id").alias("id")).union(touched.select(F.col("entry_id").alias("id"))).distinct()
+    flagged = all_entries.join(moved.withColumn("_moved", F.lit(True)), "id", "left").withColumn("is_transfer", F.col("is_transfer") | F.coalesce("_moved", F.lit(False)))
+    return Booked(
+        stamped.join(changed.select("id").union(stamp.select("id")).distinct(), "id", "left_semi").select(*lines.columns).checkpoint(), dropped,
+        flagged.join(done.entries.select("id").union(moved).distinct(), "id", "left_semi").select(*entries.columns).checkpoint(), matches,
+        done.reviews.select("id", F.lit("identity").alias("reason"), F.array("stored_id").alias("candidates")).unionByName(queue.select(F.col("out_id").alias("id"), "reason", "candidates")),
+    )
+
+
+def _report(done: Imported, batch_id: str) -> DataFrame:
     count = lambda o: F.count_if(F.col("outcome") == o).alias(o)
-    report = done.judged.agg(F.count("*").alias("record_count"), *[count(o) for o in ("created", "duplicated", "review", "failed")]).withColumn("id", F.lit(batch_id))
-    ended = F.when(F.col("record_count") == 0, "failed").when(F.col("created") + F.col("duplicated") == F.col("record_count"), "completed").otherwise("partial")
+    counts = done.judged.agg(F.count("*").alias("record_count"), *[count(o) for o in ("created", "duplicated", "review", "failed")]).withColumn("id", F.lit(batch_id))
+    status = F.when(F.col("record_count") == 0, "failed").when(F.col("created") + F.col("duplicated") == F.col("record_count"), "completed").otherwise("partial")
+    return counts.withColumn("status", status)
+
+
+def _open_reviews(store: LedgerStore, version: Version) -> DataFrame:
+    return store.read("reviews", version).where("reason in ('multi_candidate', 'low_confidence')").select(F.col("id").alias("out_id"))
+
+
+def import_into(
+    store: LedgerStore, batch_id: str, records: DataFrame, accounts: DataFrame, rates: DataFrame, categories: DataFrame | None = None, currencies: DataFrame | None = None
+) -> int:
+    """Import records (ids that the store doesn't have) and publish rows, entries, lines, links, reviews and the batch's report
+    in one commit; the version's number. Raises Refused, and publishes nothing, if an entry wouldn't balance."""
+    base = store.version()
+    lines, entries = store.read("lines", base), store.read("entries", base)
+    halves = halves_of(lines, entries, accounts)
+    done = import_batch(records, store.read("rows", base), accounts, rates, halves, categories, currencies=currencies)
+    # Judged once; all tables below are read from it. checkpoint() keeps it in the folder that the cluster shares.
+    done = Imported(done.judged.checkpoint())
+    booked = _book(done, lines, entries, accounts, halves, _open_reviews(store, base))
     return store.commit({
-        "rows": Change(done.rows), "entries": Change(touched_entries), "lines": Change(touched_lines, dropped), "matches": Change(matches),
-        "reviews": Change(waiting.unionByName(asked_now)), "batches": Change(report.withColumn("status", ended)),
+        "rows": Change(done.rows), "entries": Change(booked.entries), "lines": Change(booked.lines, booked.dropped), "matches": Change(booked.matches),
+        "reviews": Change(booked.reviews), "batches": Change(_report(done, batch_id)),
     }, base)
 
 
+class ReplayRefused(Exception):
+    """The archived input doesn't parse to the rows that are stored; the counts are in `differences`."""
+
+    def __init__(self, differences: dict[str, int]) -> None:
+        super().__init__(f"replay refused: {differences}")
+        self.differences = differences
+
+
+def replay_into(
+    store: LedgerStore, batch_id: int, records: DataFrame, accounts: DataFrame, rates: DataFrame, categories: DataFrame | None = None, currencies: DataFrame | None = None
+) -> int | None:
+    """Rebuild a batch's side of the ledger from the records that its archived input parses to, in one commit.
+
+    The records must be the batch's rows, by fingerprint and one each, else ReplayRefused. Entries that no other batch's row
+    points at go, with their lines and matches (a line matched with one of them is free again); the batch's rows are posted anew
+    under their old ids, card payments and transfers are linked, and each line takes the category of a sure rule (categories:
+    raw_description, category_id) or else the one it had. Lines of entries shared with another batch stay as they are. None, and
+    no version, if nothing differs."""
+    base = store.version()
+    rows, lines, entries, matches = (store.read(t, base) for t in ("rows", "lines", "entries", "matches"))
+    of_batch = F.col("batch_id") == batch_id
+    mine = rows.where(of_batch)
+    ranked = identity.with_fingerprint(identity.occurrence_index(records))
+    there = F.coalesce("there", F.lit(False))
+    both = ranked.groupBy("fingerprint").agg(F.count("*").alias("n")).join(mine.select("fingerprint", F.lit(True).alias("there")), "fingerprint", "full_outer")
+    counts = both.agg(F.count_if(~there).alias("extra"), F.count_if(F.col("n").isNull()).alias("missing"), F.count_if(there & (F.col("n") > 1)).alias("repeated")).first().asDict()
+    if any(counts.values()):
+        raise ReplayRefused(counts)
+
+    sources = rows.where("entry_id is not null").select("id", "entry_id", "batch_id")
+    kept_lines, kept_entries = detached(lines.withColumnRenamed("entry_id", "journal_entry_id"), entries, sources, of_batch)
+    kept_lines = kept_lines.withColumnRenamed("journal_entry_id", "entry_id").select(*lines.columns)
+    shared = kept_entries.join(sources.where(of_batch).select(F.col("entry_id").alias("id")).distinct(), "id", "left_semi").select("id")
+    gone_lines = lines.join(kept_lines.select("id"), "id", "left_anti").select("id")
+    ends = matches.select("id", F.explode(F.array("out_id", "in_id")).alias("line"))
+    gone_matches = ends.join(gone_lines.withColumnRenamed("id", "line"), "line", "left_semi").select("id").distinct()
+    lost = gone_matches.withColumnRenamed("id", "transfer_match_id").withColumn("_lost", F.lit(True))
+    kept_lines = kept_lines.join(lost, "transfer_match_id", "left").withColumn("transfer_match_id", F.when(F.col("_lost").isNull(), F.col("transfer_match_id"))).checkpoint()
+    kept_entries = kept_entries.checkpoint()
+    freed = kept_lines.where("_lost").select(*lines.columns)
+    kept_lines = kept_lines.select(*lines.columns)
+
+    # The records under the ids of their rows; those of shared entries are not posted again.
+    known = mine.select("fingerprint", F.col("id").alias("_id"), F.col("entry_id").alias("_entry"))
+    again = ranked.drop("id", "occurrence_index").join(known, "fingerprint").join(shared.withColumnRenamed("id", "_entry"), "_entry", "left_anti")
+    again = again.withColumnRenamed("_id", "id").select(*records.columns)
+    before = mine.select(F.col("id").alias("_row"), "entry_id").join(lines.where("category_id is not null").select("entry_id", F.col("account_id").alias("_at"), F.col("category_id").alias("_was")), "entry_id")
+    before = before.groupBy("_row", "_at").agg(F.min("_was").alias("_was"))
+    halves = halves_of(kept_lines, kept_entries, accounts)
+    done = import_batch(again, rows.where(~of_batch), accounts, rates, halves, categories, currencies=currencies)
+    judged = done.judged.join(before, (F.col("id") == F.col("_row")) & (F.col("account_id") == F.col("_at")), "left").withColumn("filed_under", F.coalesce("filed_under", "_was")).drop("_row", "_at", "_was")
+    done = Imported(judged.checkpoint())
+    booked = _book(done, kept_lines, kept_entries, accounts, halves, _open_reviews(store, base))
+    free_still = freed.join(booked.lines.select("id"), "id", "left_anti").join(booked.dropped, "id", "left_anti").select(*lines.columns)
+    gone_entries = entries.join(kept_entries.select("id"), "id", "left_anti").select("id")
+    changes = {
+        "rows": (rows, done.rows, None), "entries": (entries, booked.entries, gone_entries), "lines": (lines, booked.lines.unionByName(free_still), gone_lines.union(booked.dropped)),
+        "matches": (matches, booked.matches, gone_matches), "reviews": (store.read("reviews", base), booked.reviews, None),
+    }
+    # Only what differs is written; what goes and comes back as it was is no change.
+    differing = {name: Change(_differing(now, table).checkpoint(), _not_back(gone, now)) for name, (table, now, gone) in changes.items()}
+    differing = {name: c for name, c in differing.items() if not c.rows.isEmpty() or (c.gone is not None and not c.gone.isEmpty())}
+    return store.commit(differing, base) if differing else None
+
+
+def _differing(now: DataFrame, before: DataFrame) -> DataFrame:
+    """The rows of now that before doesn't have as they are."""
+    typed = now.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in before.schema.fields])
+    was = before.select(F.col("id").alias("_id"), F.struct(*before.columns).alias("_was"))
+    return typed.join(was, F.col("id") == F.col("_id"), "left").where(~F.struct(*before.columns).eqNullSafe(F.col("_was"))).select(*before.columns)
+
+
+def _not_back(gone: DataFrame | None, now: DataFrame) -> DataFrame | None:
+    return None if gone is None else gone.join(now.select("id"), "id", "left_anti")
+
+
 # Links ---------------------------------------------------------------------------------------------
 
 
