@@ -637,9 +637,19 @@ def transfer_outcomes_one_shot(led: Ledger) -> DataFrame:
     return transfers.outcomes(transfers.candidates(led.legs))
 
 
-@query()
+# Outbound legs one by one, in the order of their ids.
+_GREEDY = """, cand AS MATERIALIZED (SELECT out_id, row_number() OVER (ORDER BY out_id) AS turn, list(in_id ORDER BY in_id) AS ins, list(CASE WHEN confidence >= 0.90 THEN in_id END) AS autos FROM scored GROUP BY out_id),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS turn, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS out_id, CAST([] AS BIGINT[]) AS free, FALSE AS sure
+  UNION ALL SELECT turn, CASE WHEN len(free) = 1 AND list_contains(autos, free[1]) THEN list_append(used, free[1]) ELSE used END, out_id, free, len(free) = 1 AND list_contains(autos, free[1])
+  FROM (SELECT c.turn, c.out_id, c.autos, w.used, list_filter(c.ins, lambda i: NOT list_contains(w.used, i)) AS free FROM walk w JOIN cand c ON c.turn = w.turn + 1))
+SELECT out_id, CASE WHEN sure THEN 'match' WHEN len(free) > 1 THEN 'multi_candidate' ELSE 'low_confidence' END AS outcome, array_to_string(free, ',') AS in_ids FROM walk WHERE out_id IS NOT NULL AND len(free) > 0
+"""
+
+
+@query(_PAIRS + _GREEDY)
 def transfer_links_greedy(led: Ledger) -> DataFrame:
-    return transfers.greedy_links(led.legs)
+    return transfers.greedy_links(led.legs).withColumn("in_ids", F.array_join("in_ids", ","))
 
 
 @query(_PAIRS + "SELECT count(*) FILTER (outcome = 'multi_candidate') AS multi_candidate, count(*) FILTER (outcome = 'low_confidence') AS low_confidence, count(*) FILTER (outcome <> 'match') AS total FROM outcome")
