@@ -10,11 +10,11 @@ import zlib
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.identity import known_by_fingerprint, occurrence_index, set_difference, with_fingerprint
-from ..schema import RECORD
+from ..schema import ACCOUNT_NATURES, ACCOUNT_TYPES, CATEGORY_KINDS, RECORD
 
 STORED = "raw_description string, raw_amount long, currency string, raw_date date, account_id long, line_number int, occurrence_index int, fingerprint string, batch_id string"
 
@@ -157,6 +157,57 @@ def created(table: DataFrame, rows: DataFrame, unique: str, key: str = "id") ->
     return table.unionByName(fresh.select([c for c in table.columns if c in fresh.columns]), allowMissingColumns=True), judged.where("_refused").select(rows.columns)
 
 
+def _added(table: DataFrame, rows: DataFrame, unique: list[str], reason: Column) -> tuple[DataFrame, DataFrame]:
+    """table with the rows that have no reason against them and whose `unique` columns are not taken, by the table or an earlier
+    row; and the refused rows with their reason. Nulls of `unique` count as equal."""
+    value = F.struct(*unique)
+    taken = table.select(value.alias("_taken")).distinct()
+    judged = rows.withColumn("reason", reason).join(taken, value.eqNullSafe(F.col("_taken")), "left")
+    judged = judged.withColumn("reason", F.coalesce("reason", F.when(F.col("_taken").isNotNull(), TAKEN))).drop("_taken")
+    again = F.row_number().over(Window.partitionBy(F.col("reason").isNull(), *unique).orderBy(*[c for c in rows.columns if c not in unique] or unique)) > 1
+    judged = judged.withColumn("_again", again).withColumn("reason", F.coalesce("reason", F.when(F.col("_again"), TAKEN))).drop("_again")
+    last = table.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    # Unique, as a database's sequence is; gaps may be left.
+    fresh = judged.where("reason is null").withColumn("id", F.lit(last) + 1 + F.monotonically_increasing_id())
+    return table.unionByName(fresh.select([c for c in table.columns if c in fresh.columns]), allowMissingColumns=True), judged.where("reason is not null")
+
+
+TAKEN = "name is taken"
+
+
+def _named(column: str, table: DataFrame, key: str, rows: DataFrame) -> DataFrame:
+    """rows with _there: whether the table has what the column names, true where it names nothing."""
+    known = table.select(F.col(key).alias("_key")).distinct()
+    return rows.join(known, rows[column] == F.col("_key"), "left").withColumn("_there", F.col(column).isNull() | F.col("_key").isNotNull()).drop("_key")
+
+
+def with_accounts(accounts: DataFrame, rows: DataFrame, currencies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """accounts with new ones, and those that are refused: type, nature or currency (code) must be known."""
+    there = _named("currency", currencies, "code", rows)
+    outside = lambda c, allowed: ~F.coalesce(F.col(c).isin(*allowed), F.lit(False))
+    reason = F.when(outside("account_type", ACCOUNT_TYPES), "unknown account type").when(outside("account_nature", ACCOUNT_NATURES), "unknown account nature").when(~F.col("_there") | F.col("currency").isNull(), "unknown currency")
+    # Accounts may share a name: nothing of theirs is unique.
+    judged = there.withColumn("reason", reason).drop("_there")
+    last = accounts.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    fresh = judged.where("reason is null").withColumn("id", F.lit(last) + 1 + F.monotonically_increasing_id())
+    return accounts.unionByName(fresh.select([c for c in accounts.columns if c in fresh.columns]), allowMissingColumns=True), judged.where("reason is not null")
+
+
+def with_categories(categories: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """categories with new ones (parent_id, name, kind), and those that are refused: of an unknown kind, under no such parent, or
+    of a name that the parent has."""
+    there = _named("parent_id", categories, "id", rows)
+    reason = F.when(~F.coalesce(F.col("kind").isin(*CATEGORY_KINDS), F.lit(False)), "unknown kind").when(~F.col("_there"), "no such parent")
+    table, refused = _added(categories, there, ["parent_id", "name"], reason)
+    return table, refused.drop("_there")
+
+
+def with_merchants(merchants: DataFrame, rows: DataFrame, categories: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """merchants with new ones (name, category_id), and those that are refused: filed under no such category, or of a taken name."""
+    table, refused = _added(merchants, _named("category_id", categories, "id", rows), ["name"], F.when(~F.col("_there"), "no such category"))
+    return table, refused.drop("_there")
+
+
 def transactions_without(table: DataFrame, gone: DataFrame) -> DataFrame:
     """Transactions are never deleted."""
     raise ValueError("transactions are not deleted; void or recategorise them")

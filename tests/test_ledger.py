@@ -739,3 +739,19 @@ def test_budget_in_one_currency(spark):
     assert tuple(columns(row).first()) == (-50, True, 150)
     with pytest.raises(Exception, match="different currencies"):
         columns(row.withColumn("b", F.lit("USD"))).collect()
+
+
+def test_creates_and_their_refusals(spark):
+    categories = spark.createDataFrame([(1, None, "Home", "expense"), (2, 1, "Rent", "expense")], "id long, parent_id long, name string, kind string")
+    rows = spark.createDataFrame([(1, "Gas", "expense"), (1, "Rent", "expense"), (None, "Home", "income"), (9, "Lost", "expense"), (None, "Fun", "hobby"), (2, "Rent", "expense"), (1, "Gas", "income")], "parent_id long, name string, kind string")
+    table, refused = importing.with_categories(categories, rows)
+    assert sorted((r.parent_id or 0, r.name, r.kind) for r in table.where("id > 2").collect()) == [(1, "Gas", "expense"), (2, "Rent", "expense")] and table.select("id").distinct().count() == 4
+    assert sorted((r.name, r.reason) for r in refused.collect()) == [("Fun", "unknown kind"), ("Gas", "name is taken"), ("Home", "name is taken"), ("Lost", "no such parent"), ("Rent", "name is taken")]
+    merchants = spark.createDataFrame([(4, "jumbo", 2)], "id long, name string, category_id long")
+    table, refused = importing.with_merchants(merchants, spark.createDataFrame([("jumbo", 1), ("aldi", None), ("lidl", 77)], "name string, category_id long"), categories)
+    assert {(r.name, r.category_id) for r in table.collect()} == {("jumbo", 2), ("aldi", None)} and {(r.name, r.reason) for r in refused.collect()} == {("jumbo", "name is taken"), ("lidl", "no such category")}
+    accounts = spark.createDataFrame([(7, "a", "checking", "asset", "EUR")], "id long, name string, account_type string, account_nature string, currency string")
+    new = [("a", "savings", "asset", "EUR"), ("b", "purse", "asset", "EUR"), ("c", "cash", "money", "EUR"), ("d", "cash", "asset", "XXX"), ("e", "cash", "asset", None)]
+    table, refused = importing.with_accounts(accounts, spark.createDataFrame(new, "name string, account_type string, account_nature string, currency string"), spark.createDataFrame([("EUR",)], "code string"))
+    assert [(r.name, r.account_type) for r in table.orderBy("id").collect()] == [("a", "checking"), ("a", "savings")]
+    assert {r.name: r.reason for r in refused.collect()} == {"b": "unknown account type", "c": "unknown account nature", "d": "unknown currency", "e": "unknown currency"}
