@@ -387,7 +387,7 @@ def test_import_posts_files_and_reports(spark):
     rates = spark.createDataFrame([], "date date, base string, quote string, rate decimal(20,10)")
     halves = spark.createDataFrame([(70, 7, 2, 900, day, True, False, False)], "id long, entry_id long, account_id long, amount long, date date, is_synthesized boolean, is_matched boolean, is_expense boolean")
     filed = spark.createDataFrame([("GROCER", 44)], "raw_description string, category_id long")
-    done = pipeline.import_batch(records, stored, accounts, rates, halves, filed)
+    done = pipeline.Imported(pipeline.import_batch(records, stored, accounts, rates, halves, filed).judged.checkpoint())
     got = {r.id: (r.outcome, r["shape"], r.reason) for r in done.outcomes.collect()}
     assert got == {
         1: ("created", "posted", None), 2: ("created", "posted", None), 3: ("duplicated", None, None), 4: ("failed", None, pipeline.UNATTRIBUTED),
@@ -540,7 +540,7 @@ def test_statement_headers(spark):
 
 
 @pytest.fixture()
-def ledger(spark, tmp_path):
+def imports(spark, tmp_path):
     """A store and what imports into it need."""
     accounts = spark.createDataFrame([
         (1, "asset", "EUR", True, None, None), (2, "liability", "EUR", True, None, 1), (3, "asset", "EUR", True, None, None), (9, "equity", "EUR", True, "system_expense", None),
@@ -562,8 +562,8 @@ def ledger(spark, tmp_path):
 DAY = dt.date(2024, 5, 6)
 
 
-def test_whole_import_and_replay(spark, ledger):
-    store, load, replay = ledger
+def test_whole_import_and_replay(spark, imports):
+    store, load, replay = imports
     card = [(1, 2, "GROCER", -100, DAY, False), (2, 2, "GROCER", -100, DAY, False), (3, 2, "PAYMENT", 900, DAY, True), (4, None, "LOST", -5, DAY, False)]
     assert load(1, card) == 1
     lines = {r.id: r for r in store.read("lines").collect()}
@@ -598,8 +598,8 @@ def test_whole_import_and_replay(spark, ledger):
     assert all(len(parts) <= 1 for parts in store.version().parts.values()) and state() == before
 
 
-def test_expense_is_rewritten_as_a_card_payment(spark, ledger):
-    store, load, _ = ledger
+def test_expense_is_rewritten_as_a_card_payment(spark, imports):
+    store, load, _ = imports
     load(1, [(1, 1, "CARD CO", -700, DAY, False)])
     load(2, [(2, 2, "PAYMENT", 700, DAY, True)])
     assert {(r.id, r.entry_id, r.account_id, r.amount, r.transfer_match_id) for r in store.read("lines").collect()} == {(2, 1, 1, -700, 2), (-2, 1, 2, 700, 2)}
@@ -607,8 +607,8 @@ def test_expense_is_rewritten_as_a_card_payment(spark, ledger):
     assert store.read("entries").select("is_transfer").collect() == [(True,)]
 
 
-def test_a_writer_that_dies_leaves_nothing(spark, ledger, monkeypatch):
-    store, _, _ = ledger
+def test_a_writer_that_dies_leaves_nothing(spark, imports, monkeypatch):
+    store, _, _ = imports
     entry = lambda i, a: {"entries": Change(spark.createDataFrame([(i, DAY, "x", False)], store.schemas["entries"])), "lines": Change(spark.createDataFrame([(2 * i + k, i, k, 1, s * a, "EUR", Decimal(s * a), None, False, None) for k, s in ((0, 1), (1, -1))], store.schemas["lines"]))}
     store.commit(entry(1, 5))
     real = LedgerStore.stage
@@ -630,8 +630,8 @@ def test_a_writer_that_dies_leaves_nothing(spark, ledger, monkeypatch):
     assert {r.id for r in store.read("entries").collect()} == {1, 3}
 
 
-def test_the_gate_and_the_race(spark, ledger):
-    store, _, _ = ledger
+def test_the_gate_and_the_race(spark, imports):
+    store, _, _ = imports
     schema = store.schemas
     entries = lambda *ids: Change(spark.createDataFrame([(i, DAY, "x", False) for i in ids], schema["entries"]))
     line = lambda i, e, base: (i, e, 0, 1, 1, "EUR", None if base is None else Decimal(base), None, False, None)
