@@ -755,3 +755,13 @@ def test_creates_and_their_refusals(spark):
     table, refused = importing.with_accounts(accounts, spark.createDataFrame(new, "name string, account_type string, account_nature string, currency string"), spark.createDataFrame([("EUR",)], "code string"))
     assert [(r.name, r.account_type) for r in table.orderBy("id").collect()] == [("a", "checking"), ("a", "savings")]
     assert {r.name: r.reason for r in refused.collect()} == {"b": "unknown account type", "c": "unknown account nature", "d": "unknown currency", "e": "unknown currency"}
+
+
+def test_base_that_rounds_to_nothing(spark):
+    """Such an amount can be converted, so fx_exponents has no refusal for it; it still isn't posted."""
+    day = D(2026, 1, 1)
+    rows = spark.createDataFrame([(1, 5, -400, "IDR", day), (2, 5, 100, "XXX", day)], "id long, account_id long, raw_amount long, currency string, raw_date date")
+    rates = spark.createDataFrame([(day, "EUR", "IDR", Decimal("150000"))], "date date, base string, quote string, rate decimal(20,10)")
+    currencies = spark.createDataFrame([("EUR", 2), ("IDR", 2)], "code string, decimals int")
+    got = {r.id: (r.unconvertible, r.refusal, r.amount_base) for r in posting.based(posting.with_rate(rows, rates, currencies=currencies)).collect()}
+    assert got == {1: (None, "zero amount", Decimal("0.0000")), 2: ("unknown currency", "unknown currency", None)}
