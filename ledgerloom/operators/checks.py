@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from ..schema import ACCOUNT_NATURES, ACCOUNT_TYPES, CATEGORY_KINDS, PROVIDERS, RECORD_STATUSES
 
 
-def duplicates(df: DataFrame, *key: str, where: str | None = None, nulls_equal: bool = True) -> DataFrame:
-    """Key values that occur more than once, with their count. Null keys count as equal, or never collide."""
+def duplicates(df: DataFrame, *key: str, where: str | None = None, nulls_equal: bool = True, times: str | None = None) -> DataFrame:
+    """Key values that occur more than once, with their count. Null keys count as equal, or never collide.
+
+    times: a column that says how many rows a row stands for."""
     rows = df if where is None else df.where(where)
     if not nulls_equal:
         rows = rows.dropna(subset=list(key))
-    return rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+    return rows.groupBy(*key).agg((F.count("*") if times is None else F.sum(times)).alias("n")).where("n > 1")
 
 
 def bad_decimals(currencies: DataFrame) -> DataFrame:

@@ -757,6 +757,45 @@ def test_creates_and_their_refusals(spark):
     assert {r.name: r.reason for r in refused.collect()} == {"b": "unknown account type", "c": "unknown account nature", "d": "unknown currency", "e": "unknown currency"}
 
 
+def test_pairs_against_a_plain_model(spark):
+    """Close amounts in a few groups: counts, items, lists and skips equal those of all pairs, with null currencies and shared entries."""
+    rng = random.Random(11)
+    rows = [
+        (i, rng.choice((1, 2, 3, None)), D(2026, 1, 1 + rng.randint(0, 8)), rng.choice((-1, 1)) * (480 + rng.randint(0, 90)), rng.choice(("EUR", "EUR", "USD", "GBP", None)), i // 3 if i % 2 else 1000 + i)
+        for i in range(400)
+    ]
+    legs = spark.createDataFrame(rows, "journal_line_id long, account_id long, booked_date date, amount long, currency string, journal_entry_id long")
+    want = {}
+    for o in rows:
+        for i in rows:
+            same = o[4] is not None and o[4] == i[4]
+            if o[3] < 0 < i[3] and None not in (o[1], i[1]) and o[1] != i[1] and o[5] != i[5] and -1 <= (i[2] - o[2]).days <= 3 and abs(o[3] + i[3]) <= (1 if same else 50):
+                want[o[0], i[0]] = same and o[3] + i[3] == 0 and o[2] == i[2]
+    outs = {o: sorted(i for p, i in want if p == o) for o, _ in want}
+    assert {(r.out_id, r.in_id): r.exact and r.same_day for r in transfers.candidates(legs).collect()} == want
+    assert {r.out_id: r.n_candidates for r in transfers.leg_outcomes(legs).collect()} == {o: len(x) for o, x in outs.items()}
+    assert transfers.leg_outcomes(legs).exceptAll(transfers.outcomes(transfers.candidates(legs))).count() == 0
+    assert {r.out_id: r.in_ids for r in transfers.listed(legs).collect()} == outs
+    reviews = transfers.leg_reviews(legs)
+    assert {tuple(map(str, r)) for r in reviews.collect()} == {tuple(map(str, r)) for r in transfers.reviews(transfers.candidates(legs)).collect()}
+    items = {tuple(r) for r in transfers.leg_review_items(legs).collect()}
+    assert items == {tuple(r) for r in transfers.review_items(reviews, legs).collect()} and len(items) > 500
+    skipped = spark.createDataFrame([p for k, p in enumerate(want) if k % 3 == 0] + [(10**6, 1)], "out_id long, in_id long")
+    assert {(r.out_id, r.in_id) for r in transfers.candidates(legs, skipped).collect()} == {p for k, p in enumerate(want) if k % 3}
+    fresh = {(r.out_id, r.in_id) for r in transfers.leg_review_items(legs, skipped).collect()}
+    assert fresh == {(r.out_id, r.in_id) for r in transfers.new_skips(reviews, skipped).collect()}
+    assert {(r.out_id, r.in_id) for r in transfers.sole_links(legs).collect()} == {(o, x[0]) for o, x in outs.items() if len(x) == 1 and want[o, x[0]]}
+
+
+def test_pairs_are_not_shuffled(spark):
+    """A pair a leg is within reach of never passes through a shuffle: only legs do."""
+    legs = _legs(spark, [(1, 1, D(2026, 3, 15), -5000, "EUR"), (2, 2, D(2026, 3, 15), 5000, "EUR")])
+    for df in (transfers.leg_review_items(legs), transfers.leg_reviews(legs), transfers.candidates(legs)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan and plan.index("MapInArrow") < plan.index("Repartition")
+    assert "Join" not in transfers.leg_outcomes(legs)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_base_that_rounds_to_nothing(spark):
     """Such an amount can be converted, so fx_exponents has no refusal for it; it still isn't posted."""
     day = D(2026, 1, 1)
