@@ -1,8 +1,8 @@
 """Statements as layout text: one row per line (file, line_no, text) becomes one record per transaction.
 
-A line's meaning depends on lines above it. That state is carried by windows over each file: a running count
-numbers the transactions, and the last header seen places the columns. Files are independent, so the work is
-dealt by file."""
+A line's meaning depends on lines above it: a running count numbers the transactions, and the last header seen
+places the columns. That state is carried by windows over blocks of a file's lines, each block starting from the
+state that those before it leave, so that a long file is dealt over many tasks."""
 
 from __future__ import annotations
 
@@ -13,8 +13,28 @@ from ..functions.dates import infer_year, month_name_date, parse_date, pivot_yea
 from ..functions.text import IBAN_COMPACT, dutch_minor, english_minor
 
 
-def _up_to_here():
-    return Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+#: Line numbers of a file that one window holds at most.
+LINE_BLOCK = 65_536
+
+
+def _carried(lines: DataFrame, *, sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None) -> DataFrame:
+    """lines with running sums, and with last values that aren't null, up to each line of its file.
+
+    Windows are over blocks of LINE_BLOCK line numbers; what is windowed by file has a row for each block."""
+    sums, lasts = sums or {}, lasts or {}
+    in_block = Window.partitionBy("file", "_block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("_file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    block = F.coalesce(F.floor(F.col("line_no") / LINE_BLOCK), F.lit(-(1 << 62)))
+    marked = lines.withColumns({"_block": block} | {f"_{n}": c for n, c in (sums | lasts).items()})
+    ends = marked.groupBy(F.col("file").alias("_file"), F.col("_block").alias("_at")).agg(
+        *[F.sum(f"_{n}").alias(f"_end_{n}") for n in sums], *[F.max_by(f"_{n}", F.when(F.col(f"_{n}").isNotNull(), F.col("line_no"))).alias(f"_end_{n}") for n in lasts],
+    )
+    starts = ends.select("_file", "_at", *[F.sum(f"_end_{n}").over(before).alias(f"_start_{n}") for n in sums], *[F.last(f"_end_{n}", ignorenulls=True).over(before).alias(f"_start_{n}") for n in lasts])
+    within = marked.withColumns({f"_{n}": F.sum(f"_{n}").over(in_block) for n in sums} | {f"_{n}": F.last(f"_{n}", ignorenulls=True).over(in_block) for n in lasts})
+    joined = within.join(starts, F.col("file").eqNullSafe(F.col("_file")) & (F.col("_block") == F.col("_at")))
+    zero = F.lit(0)
+    so_far = {n: F.coalesce(f"_{n}", zero) + F.coalesce(f"_start_{n}", zero) for n in sums} | {n: F.coalesce(f"_{n}", f"_start_{n}") for n in lasts}
+    return joined.select(*[c for c in lines.columns if c not in so_far], *[c.alias(n) for n, c in so_far.items()])
 
 
 #: With points between thousands, or without any.
@@ -51,10 +71,11 @@ def _day(x: Column) -> Column:
 
 def _rows_of(lines: DataFrame, start: str, stop: Column) -> DataFrame:
     """Lines inside rows, with start and row: a line like `start` opens one, and a line that stops it ends what is added to it."""
-    numbered = lines.withColumn("start", F.col("text").rlike(start)).withColumn("row", F.sum(F.col("start").cast("int")).over(_up_to_here()).cast("long"))
+    started = lines.withColumn("start", F.col("text").rlike(start))
+    numbered = _carried(started, sums={"row": F.col("start").cast("long")}).where("row > 0")
     in_row = Window.partitionBy("file", "row").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     stopped = F.max((stop & ~F.col("start")).cast("int")).over(in_row)
-    return numbered.withColumn("_stopped", stopped).where((F.col("row") > 0) & (F.col("_stopped") == 0) & (F.trim("text") != "")).drop("_stopped")
+    return numbered.withColumn("_stopped", stopped).where((F.col("_stopped") == 0) & (F.trim("text") != "")).drop("_stopped")
 
 
 def _joined(*pieces: Column) -> Column:
@@ -107,7 +128,7 @@ def card_failures(lines: DataFrame) -> DataFrame:
 def _checking_rows(lines: DataFrame) -> DataFrame:
     heading = F.col("text").rlike(r"Debit amount.*Credit amount")
     middle = (F.instr("text", "Debit amount") + F.length(F.lit("Debit amount")) + F.instr("text", "Credit amount") + F.length(F.lit("Credit amount"))) / 2
-    placed = lines.withColumn("middle", F.last(F.when(heading, middle), ignorenulls=True).over(_up_to_here()))
+    placed = _carried(lines, lasts={"middle": F.when(heading, middle)})
     inside = _rows_of(placed, CHECKING_START, heading)
     text, start = F.col("text"), F.col("start")
     amount = F.when(start & text.rlike(DUTCH_AMOUNT), F.regexp_extract(text, DUTCH_AMOUNT, 1))
@@ -151,9 +172,9 @@ def _with_furniture(lines: DataFrame, headers: str | None) -> DataFrame:
     """lines with is_furniture: a footer goes from its first marker through the page number; running headers are whole lines."""
     starts, ends = F.col("text").rlike(FOOTER_START), F.col("text").rlike(FOOTER_END)
     event = F.when(starts & ~ends, F.lit("in")).when(ends, F.lit("out"))
-    state = F.last(event, ignorenulls=True).over(_up_to_here())
     running = F.col("text").rlike(headers) if headers else F.lit(False)
-    return lines.withColumn("is_furniture", ends | (F.coalesce(state, F.lit("out")) == "in") | running)
+    followed = _carried(lines, lasts={"_state": event})
+    return followed.withColumn("is_furniture", ends | (F.coalesce("_state", F.lit("out")) == "in") | running).drop("_state")
 
 
 def without_furniture(lines: DataFrame, headers: str | None = None) -> DataFrame:
@@ -170,9 +191,8 @@ def _sectioned_rows(lines: DataFrame, headers: str | None) -> DataFrame:
     section = F.regexp_extract("text", r"(?i)^\s*(.+?) transactions\b", 1)
     heading = F.col("text").rlike(r"Money out\s+Money in\s+Balance")
     kept = without_furniture(lines, headers)
-    for name, label in (("out_at", "Money out"), ("in_at", "Money in"), ("close_at", "Balance")):
-        kept = kept.withColumn(name, F.last(F.when(heading, F.instr("text", label)), ignorenulls=True).over(_up_to_here()))
-    kept = kept.withColumn("section", F.last(F.when(section != "", F.lower(section)), ignorenulls=True).over(_up_to_here()))
+    places = {name: F.when(heading, F.instr("text", label)) for name, label in (("out_at", "Money out"), ("in_at", "Money in"), ("close_at", "Balance"))}
+    kept = _carried(kept, lasts=places | {"section": F.when(section != "", F.lower(section))})
     inside = _rows_of(kept, SECTION_START, heading | (section != ""))
     text, start = F.col("text"), F.col("start")
     amounts = F.when(start, F.regexp_extract_all("text", F.lit(EURO), F.lit(1)))

@@ -804,3 +804,19 @@ def test_base_that_rounds_to_nothing(spark):
     currencies = spark.createDataFrame([("EUR", 2), ("IDR", 2)], "code string, decimals int")
     got = {r.id: (r.unconvertible, r.refusal, r.amount_base) for r in posting.based(posting.with_rate(rows, rates, currencies=currencies)).collect()}
     assert got == {1: (None, "zero amount", Decimal("0.0000")), 2: ("unknown currency", "unknown currency", None)}
+
+
+def test_statement_lines_in_blocks(spark, monkeypatch):
+    """Rows, headings and sections reach over blocks of lines; only blocks are windowed, never a whole file."""
+    texts = ["Date Type  Debit amount       Credit amount", "01-02 ba  SHOP 1        12,50", "   more", "   Reference: K1", "02-02 tb  SHOP 2                          3,00", "   Page 1"]
+    lines = spark.createDataFrame([(f, k + 1, t) for f in ("a", "b") for k, t in enumerate(texts * 3)], "file string, line_no int, text string")
+    card = spark.createDataFrame([("c", k, t) for k, t in enumerate(["head", "01.02.24  01.02.24  SHOP 1   12,50", "more", "   CR", "02.02.24  02.02.24  SHOP 2", "03.02.24  03.02.24  SHOP 3   1,00"])], "file string, line_no int, text string")
+
+    def read():
+        checking = layout.checking_statement(lines, F.lit(D(2024, 1, 1)), F.lit(D(2024, 12, 31)))
+        return [sorted(map(str, df.collect())) for df in (checking, layout.card_statement(card), layout.card_failures(card), layout.furniture_dropped(lines))]
+
+    whole = read()
+    assert [len(x) for x in whole] == [12, 2, 1, 2]
+    monkeypatch.setattr(layout, "LINE_BLOCK", 2)
+    assert read() == whole
