@@ -360,6 +360,18 @@ def test_card_payments_take_lines_in_turn(spark):
     assert {r["shape"] for r in got} == {"match", "rewrite", "build", "refused"}
 
 
+def test_card_payment_candidates_are_shuffled_by_day(spark):
+    rng = random.Random(13)
+    sides = [[(i, rng.randrange(2), rng.choice((None, *range(1, 5))), rng.choice((None, *(D(2026, 2, 24) + dt.timedelta(k) for k in range(9))))) for i in range(start, start + 80)] for start in (0, 100)]
+    card = spark.createDataFrame(sides[0], "id long, paying_id long, amount long, date date").coalesce(1)
+    paying = spark.createDataFrame([(i, a, m and -m, d) for i, a, m, d in sides[1]], "id long, account_id long, amount long, date date").coalesce(1)
+    pairs = posting.card_payment_candidates(card, paying)
+    want = [(i, j) for i, a, m, d in sides[0] for j, b, n, e in sides[1] if a == b and m is not None and m == n and d and e and 0 <= (e - d).days <= 3]
+    assert sorted(map(tuple, pairs.collect())) == sorted(want) and len(want) > 100
+    # Pairs are many times the rows: they are made in as many tasks as are stated, however few tasks read the tables.
+    assert pairs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_card_payment_roles_and_refusals(spark):
     accounts = spark.createDataFrame([
         (1, "asset", "EUR", True, None), (2, "liability", "EUR", True, 1), (3, "liability", "USD", True, 1), (4, "liability", "EUR", False, None), (5, "asset", "EUR", True, None), (6, "liability", "EUR", True, 5),
