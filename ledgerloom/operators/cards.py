@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import days_span, spans_between
@@ -16,22 +16,28 @@ AMBIGUOUS = "more than one counterpart"
 
 def with_roles(rows: DataFrame, accounts: DataFrame) -> DataFrame:
     """rows (id, account_id, amount, currency, date) with card_id, paying_id and a refusal: the two accounts must be known,
-    active, and in the row's currency. An `explicit_id` column names the other account where the row's own tells none."""
+    active, and in the row's currency. An `explicit_id` column names the other account where the row's own tells none.
+
+    Accounts are looked up for each pair of accounts that rows name, not for each row: rows name few, and most have no card, so
+    that rows joined by those would meet in a few tasks."""
     roles = card_payment_roles(accounts)
     a = accounts.select("id", "account_nature", "currency", "is_active")
     own, other = a.select(*[F.col(c).alias(f"own_{c}") for c in a.columns]), a.select(*[F.col(c).alias(f"other_{c}") for c in a.columns])
     if "explicit_id" not in rows.columns:
         rows = rows.withColumn("explicit_id", F.lit(None).cast("long"))
-    joined = rows.join(roles, "account_id", "left").join(own, F.col("account_id") == F.col("own_id"), "left").join(other, F.col("explicit_id") == F.col("other_id"), "left")
+    asked = rows.select("account_id", "explicit_id").distinct()
+    joined = asked.join(roles, "account_id", "left").join(own, F.col("account_id") == F.col("own_id"), "left").join(other, F.col("explicit_id") == F.col("other_id"), "left")
     # An explicit counterpart: the liability of the two is the card, the asset pays.
     stated = F.col("explicit_id").isNotNull()
     own_card = (F.col("own_account_nature") == "liability") & (F.col("other_account_nature") == "asset")
     own_pays = (F.col("own_account_nature") == "asset") & (F.col("other_account_nature") == "liability")
     card = F.when(stated, F.when(own_card, F.col("account_id")).when(own_pays, F.col("explicit_id"))).otherwise(F.col("card_id"))
     paying = F.when(stated, F.when(own_card, F.col("explicit_id")).when(own_pays, F.col("account_id"))).otherwise(F.col("paying_id"))
-    named = joined.select(*rows.columns, card.alias("card_id"), paying.alias("paying_id"))
+    named = joined.select(*asked.columns, card.alias("card_id"), paying.alias("paying_id"))
     for side in ("card", "paying"):
         named = named.join(a.select(*[F.col(c).alias(f"{side}_{c}") for c in a.columns if c != "id"], F.col("id").alias(f"_{side}")), F.col(f"{side}_id") == F.col(f"_{side}"), "left")
+    named = named.select(F.col("account_id").alias("_own"), F.col("explicit_id").alias("_other"), "card_id", "paying_id", "card_is_active", "paying_is_active", "card_currency", "paying_currency")
+    named = rows.join(named, F.col("account_id").eqNullSafe(F.col("_own")) & F.col("explicit_id").eqNullSafe(F.col("_other")), "left")
     active = F.coalesce(F.col("card_is_active") & F.col("paying_is_active"), F.lit(False))
     reason = F.when(~active, "no card and paying account").when(F.col("card_id") == F.col("paying_id"), "same account").when(
         (F.col("card_currency") != F.col("currency")) | (F.col("paying_currency") != F.col("currency")), "currency of an account differs"
@@ -84,7 +90,8 @@ def post_card_payments(rows: DataFrame, lines: DataFrame) -> DataFrame:
     Rows that share no counterpart with another row are decided by counts alone. The others are taken in the order of their
     lines, by the paying account and the amount: only those can meet."""
     good = rows.where("refusal is null")
-    found = _counterparts(good, lines)
+    # Read four times; checkpoint() keeps it in the folder that the cluster shares.
+    found = _counterparts(good, lines).checkpoint()
     contested = found.join(found.groupBy("line_id").agg(F.countDistinct("id").alias("n")).where("n > 1"), "line_id", "left_semi").select("id").distinct()
     per_step = found.groupBy("id", "step").agg(F.count("*").alias("n"), F.min("line_id").alias("line_id"), F.min("entry_id").alias("entry_id"))
     first = per_step.groupBy("id").agg(F.min(F.struct("step", "n", "line_id", "entry_id")).alias("f"))
@@ -98,10 +105,9 @@ def post_card_payments(rows: DataFrame, lines: DataFrame) -> DataFrame:
     return decided.unionByName(in_turn).unionByName(refused)
 
 
-def built_entries(new: DataFrame) -> DataFrame:
-    """Two legs of each payment that is built, keyed by the row's id: the card's first. The side that no statement printed
-    is marked as made up. new: rows whose shape is build, with amount_base, of the credit."""
-    credit = F.abs("amount")
+def built_legs(amount: Column) -> Column:
+    """The two legs of a row whose payment is built: the card's first. The side that no statement printed is marked as made up."""
+    credit = F.abs(amount)
 
     def leg(order: int, account: str, sign: int):
         return F.struct(
@@ -109,7 +115,13 @@ def built_entries(new: DataFrame) -> DataFrame:
             (sign * F.abs("amount_base")).cast(BASE_AMOUNT).alias("amount_base"), (F.col(account) != F.col("account_id")).alias("is_synthesized"),
         )
 
-    return new.select(F.col("id").alias("entry_id"), F.explode(F.array(leg(0, "card_id", 1), leg(1, "paying_id", -1))).alias("leg")).select("entry_id", "leg.*")
+    return F.array(leg(0, "card_id", 1), leg(1, "paying_id", -1))
+
+
+def built_entries(new: DataFrame) -> DataFrame:
+    """The legs of each payment that is built, keyed by the row's id. new: rows whose shape is build, with amount_base, of the
+    credit."""
+    return new.select(F.col("id").alias("entry_id"), F.explode(built_legs(F.col("amount"))).alias("leg")).select("entry_id", "leg.*")
 
 
 def rewritten_lines(lines: DataFrame, rows: DataFrame, posted: DataFrame) -> DataFrame:

@@ -416,6 +416,26 @@ def test_import_posts_files_and_reports(spark):
     assert {r.id: r.outcome for r in again.outcomes.collect()} == {i: "failed" if i == 4 else "duplicated" for i in range(1, 8)}
 
 
+def test_import_ranks_its_records_once(spark):
+    accounts = spark.createDataFrame([(1, "asset", "EUR", True, None, None), (2, "liability", "EUR", True, None, 1), (9, "equity", "EUR", True, "system_expense", None)],
+                                     "id long, account_nature string, currency string, is_active boolean, system_role string, payment_from_account_id long")
+    day = dt.date(2024, 5, 6)
+    rows = [(1, 1, "SHOP", -100, False), (2, 1, "SHOP", -100, False), (3, 2, "PAYMENT", 900, True), (4, 1, "PAYMENT", -800, True), (5, 7, "PAYMENT", -7, True)]
+    records = spark.createDataFrame([(i, 1, i, a, t, m, "EUR", day, c) for i, a, t, m, c in rows], "id long, batch_id long, line_number long, account_id long, raw_description string, raw_amount long, currency string, raw_date date, is_card_payment boolean")
+    rates = spark.createDataFrame([], "date date, base string, quote string, rate decimal(20,10)")
+    halves = spark.createDataFrame([], "id long, entry_id long, account_id long, amount long, date date, is_synthesized boolean, is_matched boolean, is_expense boolean")
+    done = pipeline.import_batch(records, spark.createDataFrame([], "fingerprint string"), accounts, rates, halves)
+    assert {r.id: (r["shape"], r.reason) for r in done.outcomes.collect()} == {1: ("posted", None), 2: ("posted", None), 3: ("build", None), 4: ("build", None), 5: (None, "no card and paying account")}
+    lines = sorted((r.entry_id, r.sort_order, r.account_id, r.amount, r.amount_base, r.is_synthesized) for r in done.lines.collect())
+    assert lines == [
+        (1, 0, 1, -100, Decimal("-1.0000"), False), (1, 1, 9, 100, Decimal("1.0000"), False), (2, 0, 1, -100, Decimal("-1.0000"), False), (2, 1, 9, 100, Decimal("1.0000"), False),
+        (3, 0, 2, 900, Decimal("9.0000"), False), (3, 1, 1, -900, Decimal("-9.0000"), True), (4, 0, 2, 800, Decimal("8.0000"), True), (4, 1, 1, -800, Decimal("-8.0000"), False),
+    ]
+    # Ranks were told when the records were read for the first time, and lines are one pass over what that gave.
+    plan = done.lines._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and plan.count("Generate explode") == 1
+
+
 def test_links_are_written_once(spark):
     lines = spark.createDataFrame([(1, 10, None), (2, 20, None), (3, 30, None), (4, 40, 77), (5, 50, None), (6, 60, None)], "id long, journal_entry_id long, transfer_match_id long")
     entries = spark.createDataFrame([(i * 10, False) for i in range(1, 7)], "id long, is_transfer boolean")
