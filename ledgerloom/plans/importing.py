@@ -9,7 +9,9 @@ import uuid
 import zlib
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -87,12 +89,29 @@ ARCHIVE = "path string, checksum string, payload string"
 NO_PAYLOAD, NOT_BASE64, NOT_GZIP, NOT_THE_CONTENT = "no payload", "payload is not base64", "payload is not gzip", "content differs from its checksum"
 
 
+#: Bytes of contents or payloads that a worker handles at once, beside one row that may be larger.
+SLICE_BYTES = 4 << 20
+
+
+def _slices(batches, column: int, limit: int | None = None):
+    """Batches cut into slices of about SLICE_BYTES in a column: a batch has thousands of rows, whatever their size."""
+    limit = limit or SLICE_BYTES
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(size) // limit
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a < b:
+                yield batch.slice(a, b - a)
+
+
 def archived(files: DataFrame) -> DataFrame:
     """path, checksum, payload of files (path, content): the content gzipped, as base64, with the SHA-256 of what it was.
 
-    The time in the header is fixed, so that the same file gives the same payload again. Files go through in Arrow batches."""
+    The time in the header is fixed, so that the same file gives the same payload again. Files go through in slices of Arrow
+    batches, so that a worker holds a few megabytes beside the batch."""
     def pack(batches):
-        for batch in batches:
+        for batch in _slices(batches, 1):
             paths, contents = (c.to_pylist() for c in batch.columns)
             payloads = [None if c is None else base64.b64encode(gzip.compress(c, mtime=0)).decode() for c in contents]
             sums = [None if c is None else hashlib.sha256(c).hexdigest() for c in contents]
@@ -117,7 +136,7 @@ def restored(archive: DataFrame) -> DataFrame:
         return (content, None) if hashlib.sha256(content).hexdigest() == checksum else (None, NOT_THE_CONTENT)
 
     def read(batches):
-        for batch in batches:
+        for batch in _slices(batches, 2):
             paths, sums, payloads = (c.to_pylist() for c in batch.columns)
             done = [unpack(s, p) for s, p in zip(sums, payloads, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array([c for c, _ in done], pa.binary()), pa.array([e for _, e in done], pa.string())], ["path", "content", "error"])

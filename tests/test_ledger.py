@@ -704,6 +704,21 @@ def test_archive_round_trip(spark):
     assert {r.path: r.error for r in importing.restored(broken).collect()} == {"1": importing.NOT_BASE64, "2": importing.NOT_GZIP, "3": importing.NOT_THE_CONTENT, "4": importing.NOT_GZIP}
 
 
+def test_archive_handles_few_bytes_at_once(spark):
+    import pyarrow as pa
+
+    sizes = [0, 9, None, 1, 40, 3, 3, 3, 3, 0, 0, 50, 1]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(len(sizes))]), pa.array([None if n is None else bytes(n) for n in sizes], pa.binary())], ["path", "content"])
+    slices = list(importing._slices([batch, batch.slice(0, 0), batch], 1, 10))
+    assert [p for s in slices for p in s.column(0).to_pylist()] == 2 * [str(i) for i in range(len(sizes))]
+    # No slice has more than the limit beside its first row.
+    assert max(sum(len(c or b"") for c in s.column(1).to_pylist()[1:]) for s in slices) <= 10 and len(slices) > 8
+    # Contents of several slices come back whole.
+    rows = spark.range(60).coalesce(1).select(F.col("id").cast("string").alias("path"), F.expr("cast(repeat(id, 200000) as binary)").alias("content"))
+    back = importing.restored(importing.archived(rows))
+    assert back.where("error is null").agg(F.sum(F.length("content"))).first()[0] == rows.agg(F.sum(F.length("content"))).first()[0]
+
+
 def test_json_scalars(spark):
     texts = ['{"a": 1, "b": "x", "c": null, "d": true, "e": [1], "f": {"g": 2}, "h": 1.50}', "{}", "[1]", None, "no json"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
