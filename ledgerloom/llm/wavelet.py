@@ -19,6 +19,7 @@ ids are ordered by their tokens; an empty table writes no payload; other columns
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import struct
 import zlib
@@ -179,7 +180,8 @@ class _Encoder:
     """Texts -> token ids as little-endian numbers, the ids that the library gives for the whole text.
 
     Where the vocabulary's own normaliser and pre-tokeniser keep words apart at ASCII white space, words are
-    encoded by themselves and remembered, many new ones to a call with a mark between them. Case goes first
+    encoded by themselves and remembered, many new ones to a call: those of ASCII apart by a space and told by their lengths where
+    the vocabulary's tokens have lengths, others with a mark between them. Case goes first
     where the normaliser drops it, and closing signs are cut off behind letters that the pre-tokeniser cuts
     them from. Each of these is tried on the vocabulary; what it doesn't allow is left to the library, as is
     each text with a special token in it."""
@@ -208,6 +210,20 @@ class _Encoder:
         mark = self._ids(_MARK)
         self.mark = int(mark[0]) if self.apart and len(mark) == 1 and pieces(f"a {_MARK} b") == [*pieces("a"), *pieces(_MARK), *pieces("b")] else None
 
+        self.lengths = self._lengths() if self.apart else None
+
+    def _lengths(self) -> np.ndarray | None:
+        """Bytes of text that each token stands for, where a vocabulary of byte pairs has neither unknown tokens nor prefixes: the
+        tokens of a word of ASCII letters and signs then have its length in all."""
+        model = json.loads(self.tokenizer.to_str())["model"]
+        if model.get("type", "BPE") != "BPE" or "merges" not in model or model.get("unk_token") or model.get("continuing_subword_prefix") or model.get("dropout"):
+            return None
+        suffix, vocab = model.get("end_of_word_suffix") or "", model["vocab"]
+        lengths = np.zeros(max((*vocab.values(), *self.tokenizer.get_added_tokens_decoder()), default=0) + 1, dtype=np.int64)
+        for token, at in vocab.items():
+            lengths[at] = len(token.removesuffix(suffix))
+        return lengths
+
     def _pieces(self, text: str) -> list[str]:
         """What the vocabulary's merges work on."""
         normaliser, cutter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
@@ -225,9 +241,17 @@ class _Encoder:
         return (stem.lower() if self.folds and stem.isascii() else stem), word[len(stem) :]
 
     def _learn(self, words: list[bytes]) -> None:
-        known, size = self.known, np.dtype(self.width).itemsize
-        parts = [self._parts(w) for w in words]
-        new = [p for p in set(itertools.chain.from_iterable(parts)) if p and p not in known]
+        known, size, folds, closing = self.known, np.dtype(self.width).itemsize, self.folds, set(self.closing)
+        new, parts = set(), []
+        for word in words:
+            stem, tail = self._parts(word) if word[-1] in closing else (word.lower() if folds and word.isascii() else word, b"")
+            if stem == word:
+                new.add(word)
+            else:
+                parts.append((word, stem, tail))
+        new.update(p for _, *both in parts for p in both if p and p not in known)
+        if self.lengths is not None:
+            new = self._learn_plain([w for w in new if w.isascii()]) + [w for w in new if not w.isascii()]
         together = [w for w in new if _MARK.encode() not in w] if self.mark is not None else []
         for at in range(0, len(together), 500):
             part = together[at : at + 500]
@@ -240,9 +264,31 @@ class _Encoder:
         for word in new:
             if word not in known:
                 known[word] = self._ids(word.decode()).tobytes()
-        for word, (stem, tail) in zip(words, parts, strict=True):
-            if word not in known:
-                known[word] = known[stem] + known[tail] if tail else known[stem]
+        for word, stem, tail in parts:
+            known[word] = known[stem] + known[tail] if tail else known[stem]
+
+    def _learn_plain(self, words: list[bytes]) -> list[bytes]:
+        """Learn words of ASCII with nothing but a space between them: cut where the lengths of tokens add up to those of words.
+        Those of calls whose lengths don't add up come back."""
+        known, size, left = self.known, np.dtype(self.width).itemsize, []
+        for at in range(0, len(words), 500):
+            part = words[at : at + 500]
+            ids = self._ids(b" ".join(part).decode())
+            lengths, ends = self.lengths[ids], np.cumsum([len(w) for w in part])
+            sums = np.cumsum(lengths)
+            # No token stands for more than its bytes, so equal sums in all mean equal sums of each word.
+            if not len(ids) or sums[-1] != ends[-1] or not lengths.all():
+                left += part
+                continue
+            cuts = np.searchsorted(sums, ends) + 1
+            if (sums[cuts - 1] != ends).any():
+                left += part
+                continue
+            data, begin = ids.tobytes(), 0
+            for word, end in zip(part, (size * cuts).tolist(), strict=True):
+                known[word] = data[begin:end]
+                begin = end
+        return left
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split: list[list[bytes] | None] = []
@@ -257,7 +303,7 @@ class _Encoder:
             self.known = {w: self.known[w] for w in words if w in self.known}
         self._learn(list(words.difference(self.known)))
         known = self.known
-        return [self._ids(t.decode()).tobytes() if s is None else b"".join([known[w] for w in s]) for t, s in zip(texts, split, strict=True)]
+        return [self._ids(t.decode()).tobytes() if s is None else b"".join(map(known.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
 
 
 def _encoder(path: str) -> _Encoder:

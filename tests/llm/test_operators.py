@@ -396,6 +396,23 @@ def test_ids_like_the_library(name):
         assert np.frombuffer(ids, encoder.width).tolist() == want.ids, text
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_new_words_need_no_marks(name, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path, rng = queries.tokenizer_path(name), random.Random(61)
+    encoder, tokenizer, seen = wavelet._Encoder(path), Tokenizer.from_file(path), []
+    whole = encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda text: seen.append(text) or whole(text))
+    texts = [" ".join("".join(rng.choices("abcdeXYZ'09#.,", k=rng.randint(1, 12))) for _ in range(40)) for _ in range(100)] + ["Ünïque wörds\x01 é"]
+    got = encoder.encode([t.encode() for t in texts])
+    assert [np.frombuffer(ids, encoder.width).tolist() for ids in got] == [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    if encoder.lengths is not None:
+        # Words of ASCII are cut by their lengths, others by marks between them.
+        assert sum(t.isascii() and " \x01 " in t for t in seen) == 0 and any(" \x01 " in t for t in seen)
+    assert name != "word_bpe_49k.json" or encoder.lengths is not None
+
+
 def test_shard_bounds_in_regions(spark):
     ids = spark.createDataFrame([(i * i,) for i in range(2000)] + [(None,)] * 5, "doc_id long")
     bounds = wavelet._bounds(ids, 20, regions=4)
