@@ -20,17 +20,19 @@ from __future__ import annotations
 
 import itertools
 import json
+import operator
 import os
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE, arrow_batches, scratch, utf8
+from .common import WHITESPACE, arrow_batches, scratch
 
 END_TOKEN = 1
 SHARD_CHARS = 32 << 20
@@ -173,17 +175,22 @@ def unpack_payload(payload: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatri
 _encoders: dict[str, _Encoder] = {}
 
 #: Signs that often close a word, and a control character to put between words.
-_CLOSING, _MARK = ".,;:!?", "\x01"
+_CLOSING, _MARK = ".,;:!?#$%&*", "\x01"
+
+
+def _bytes(column: pa.Array) -> list[bytes]:
+    """The strings or bytes of an Arrow column without nulls (faster than to_pylist where there are many)."""
+    return column.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
 
 
 class _Encoder:
     """Texts -> token ids as little-endian numbers, the ids that the library gives for the whole text.
 
-    Where the vocabulary's own normaliser and pre-tokeniser keep words apart at ASCII white space, words are
-    encoded by themselves and remembered, many new ones to a call: those of ASCII apart by a space and told by their lengths where
-    the vocabulary's tokens have lengths, others with a mark between them. Case goes first
-    where the normaliser drops it, and closing signs are cut off behind letters that the pre-tokeniser cuts
-    them from. Each of these is tried on the vocabulary; what it doesn't allow is left to the library, as is
+    Where the vocabulary's own normaliser and pre-tokeniser keep words apart at ASCII white space, each distinct word of a batch is
+    encoded by itself and remembered. Case goes first where the normaliser drops it. A word of letters that the normaliser leaves
+    alone and the pre-tokeniser keeps together is a piece for the library's model, with closing signs cut off behind it. Of other
+    words many new ones go to a call: those of ASCII apart by a space and told by their lengths where the vocabulary's tokens have
+    lengths, others with a mark between them. Each of these is tried on the vocabulary; what it doesn't allow is left to the library, as is
     each text with a special token in it."""
 
     def __init__(self, path: str) -> None:
@@ -194,7 +201,7 @@ class _Encoder:
         ids = self.tokenizer.get_vocab(with_added_tokens=True).values()
         self.width = "<u2" if max(ids, default=0) < 1 << 16 else "<u4"
         added = self.tokenizer.get_added_tokens_decoder().values()
-        self.added = [t.content.encode() for t in added]
+        self.added = [t.content for t in added]
         pieces = self._pieces
         spaces = [*WHITESPACE, "  ", "\r\n"]
         self.apart = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added) and all(
@@ -202,15 +209,27 @@ class _Encoder:
         )
         plain = "".join(map(chr, range(33, 127)))
         self.folds = self.apart and pieces(plain) == pieces(plain.lower()) and all(pieces(c) == pieces(c.lower()) for c in plain)
-        letters = [chr(c) for c in (*range(65, 91), *range(97, 123), *range(0xC0, 0x180)) if chr(c).isalpha()]
+        letters = [chr(c) for c in (*range(65, 91), *range(97, 123), *range(0xC0, 0x180)) if chr(c).isalpha()] if self.apart else []
         tails = [*_CLOSING, *(x + y for x in _CLOSING for y in _CLOSING)]
         self.closing = _CLOSING.encode() if self.apart else b""
         #: Letters, by their last byte or two, behind which closing signs are tokens of their own.
-        self.letters = {c.encode()[-2:] for c in letters if all(pieces(f"a{c}{t}") == pieces(f"a{c}") + pieces(t) for t in tails)} if self.apart else set()
+        cut = [c for c in letters if pieces(" ".join(f"a{c}{t}" for t in tails)) == [p for t in tails for p in (*pieces(f"a{c}"), *pieces(t))]]
+        self.letters = {c.encode()[-2:] for c in cut}
+        self.alphabet = self._alphabet(cut)
         mark = self._ids(_MARK)
         self.mark = int(mark[0]) if self.apart and len(mark) == 1 and pieces(f"a {_MARK} b") == [*pieces("a"), *pieces(_MARK), *pieces("b")] else None
 
         self.lengths = self._lengths() if self.apart else None
+        self.plain = f"^[{''.join(map(chr, self.alphabet))}]+[{_CLOSING}]*$" if self.alphabet else None
+
+    def _alphabet(self, letters: list[str]) -> dict[int, str]:
+        """Those of some letters that the normaliser leaves alone and that are one piece with others, each with what the model knows it as."""
+        normaliser, pieces = self.tokenizer.normalizer, self._pieces
+        found = {c: pieces(c) for c in letters if normaliser is None or normaliser.normalize_str(c) == c}
+        found = {c: p[0] for c, p in found.items() if len(p) == 1 and pieces(f"a{c}a") == [pieces("a")[0] + p[0] + pieces("a")[0]]}
+        order = list(found)
+        together = all(pieces("".join(o)) == ["".join(found[c] for c in o)] for o in (order, order[::-1], order[::2] + order[1::2]))
+        return {ord(c): p for c, p in found.items()} if together else {}
 
     def _lengths(self) -> np.ndarray | None:
         """Bytes of text that each token stands for, where a vocabulary of byte pairs has neither unknown tokens nor prefixes: the
@@ -240,7 +259,29 @@ class _Encoder:
             stem = word
         return (stem.lower() if self.folds and stem.isascii() else stem), word[len(stem) :]
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self, words: pa.Array) -> None:
+        """Learn new words: those of plain letters here, others by _learn_others."""
+        known, model = self.known, self.tokenizer.model
+        if self.plain is None:
+            self._learn_others(_bytes(words))
+            return
+        folded = pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words) if self.folds else words
+        plain = pc.match_substring_regex(folded, self.plain)
+        self._learn_others(_bytes(words.filter(pc.invert(plain))))
+        words, folded = words.filter(plain), folded.filter(plain)
+        stems = pc.utf8_rtrim(folded, characters=_CLOSING)
+        tails = pc.utf8_ltrim(folded, characters="".join(map(chr, self.alphabet)))
+        self._learn_others([t for t in _bytes(tails.unique()) if t not in known])
+        new = [s for s in _bytes(stems.unique()) if s not in known]
+        pieces = b" ".join(new).decode().translate(self.alphabet).split(" ") if new else []
+        ids = [[t.id for t in model.tokenize(piece)] for piece in pieces]
+        ends = np.dtype(self.width).itemsize * np.cumsum([0, *map(len, ids)])
+        data = np.fromiter(itertools.chain.from_iterable(ids), self.width).tobytes()
+        known.update(zip(new, (data[a:b] for a, b in itertools.pairwise(ends.tolist())), strict=True))
+        tokens = map(operator.add, map(known.__getitem__, _bytes(stems)), map(known.__getitem__, _bytes(tails)))
+        known.update(zip(_bytes(words), tokens, strict=True))
+
+    def _learn_others(self, words: list[bytes]) -> None:
         known, size, folds, closing = self.known, np.dtype(self.width).itemsize, self.folds, set(self.closing)
         new, parts = set(), []
         for word in words:
@@ -290,20 +331,44 @@ class _Encoder:
                 begin = end
         return left
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split: list[list[bytes] | None] = []
-        for text in texts:
-            low = text.lower()
-            if not self.apart or any(a in low or a in text for a in self.added):
-                split.append(None)
-            else:
-                split.append((low if self.folds and text.isascii() else text).split())
-        words = set(itertools.chain.from_iterable(s for s in split if s))
+    def encode_column(self, texts: pa.Array, end: int | None = None) -> pa.Array:
+        """The ids of each text of a string column, null counting as empty, and the number `end` after each."""
+        size, last = np.dtype(self.width).itemsize, np.array([] if end is None else [end], dtype=self.width)
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        special = pa.array([not self.apart] * len(texts), pa.bool_())
+        for token in self.added:
+            special = pc.or_(special, pc.match_substring(texts, token, ignore_case=True))
+        whole = [np.concatenate((self._ids(t), last)).tobytes() for t in texts.filter(special).to_pylist()]
+        if len(whole) == len(texts):
+            return pa.array(whole, pa.binary())
+        shown = pc.if_else(special, "", texts)
+        words = pc.ascii_split_whitespace(pc.if_else(pc.string_is_ascii(shown), pc.ascii_lower(shown), shown) if self.folds else shown)
+        coded = words.flatten().dictionary_encode()
+        tokens = pa.array(self._tokens(coded.dictionary), pa.binary()).take(coded.indices)
+        # The tokens of all words lie in one buffer, in order: what is left is to add the ends and to cut at them.
+        offsets = np.frombuffer(tokens.buffers()[1], np.int32, len(tokens) + 1, 4 * tokens.offset)
+        ends = offsets[words.offsets.to_numpy() - words.offsets[0].as_py()] // size
+        ids = np.frombuffer(tokens.buffers()[2], self.width, ends[-1]) if ends[-1] else np.zeros(0, self.width)
+        if len(last):
+            ids, ends = np.insert(ids, ends[1:], end), ends + np.arange(len(ends))
+        out = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((size * ends).astype(np.int32)), pa.py_buffer(ids)])
+        return pc.replace_with_mask(out, special, pa.array(whole, pa.binary())) if whole else out
+
+    def _tokens(self, words: pa.Array) -> list[bytes]:
+        """The tokens of distinct words."""
+        keys = _bytes(words)
         if len(self.known) > CACHED_WORDS:
-            self.known = {w: self.known[w] for w in words if w in self.known}
-        self._learn(list(words.difference(self.known)))
-        known = self.known
-        return [self._ids(t.decode()).tobytes() if s is None else b"".join(map(known.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
+            self.known = {w: self.known[w] for w in keys if w in self.known}
+        self.known[b""] = b""
+        found = list(map(self.known.get, keys))
+        new = [i for i, t in enumerate(found) if t is None]
+        if new:
+            self._learn(words.take(pa.array(new, pa.int64())))
+            found = list(map(self.known.__getitem__, keys))
+        return found
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        return self.encode_column(pa.array(texts, pa.string())).to_pylist()
 
 
 def _encoder(path: str) -> _Encoder:
@@ -347,13 +412,12 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, shard_chars: i
 
     def encode(batches):
         encoder = _encoder(tokenizer_path)
-        end = np.array([END_TOKEN], dtype=width).tobytes()
         for batch in arrow_batches(batches):
-            for small in (batch.slice(at, 1000) for at in range(0, batch.num_rows, 1000)):
+            for small in (batch.slice(at, 4000) for at in range(0, batch.num_rows, 4000)):
                 ids = small.column(0).fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
-                tokens = [x + end for x in encoder.encode(utf8(small.column(1)))]
                 shard = np.searchsorted(bounds, ids, side="right").astype(np.int32)
-                yield pa.RecordBatch.from_arrays([small.column(0), pa.array(shard), pa.array(tokens, pa.binary())], ["doc_id", "shard", "tokens"])
+                tokens = encoder.encode_column(small.column(1), END_TOKEN)
+                yield pa.RecordBatch.from_arrays([small.column(0), pa.array(shard), tokens], ["doc_id", "shard", "tokens"])
 
     def build(batches):
         for shard, group in itertools.groupby(_rows(batches), key=lambda r: r[0]):

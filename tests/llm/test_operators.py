@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -413,6 +414,29 @@ def test_new_words_need_no_marks(name, monkeypatch):
     assert name != "word_bpe_49k.json" or encoder.lengths is not None
 
 
+def test_plain_words_go_to_the_model_once(monkeypatch):
+    """Words of letters, with closing signs or not, cost no call of the whole tokenizer, and come in whole columns."""
+    from tokenizers import Tokenizer
+
+    path, rng = queries.tokenizer_path("word_bpe_49k.json"), random.Random(62)
+    encoder, tokenizer, seen = wavelet._Encoder(path), Tokenizer.from_file(path), []
+    encoder.encode([sign.encode() for sign in (".", ",", "!", "%%%")])
+    whole = encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda text: seen.append(text) or whole(text))
+    word = lambda letters: "".join(rng.choices(letters, k=rng.randint(1, 12))) + rng.choice(["", "", ".", ",", "!", "%%%"])
+    texts = [" ".join(word(letters) for _ in range(50)) for letters in ("abcdefXYZ", "abcdéßñœ") for _ in range(100)] + [None, "", " \n"]
+    texts = [*texts, *texts[::-1]]
+    encoder.encode([t.encode() for t in texts if t])
+    assert not seen
+    got = encoder.encode_column(pa.array(["cut off", *texts], pa.string()).slice(1), 7).to_pylist()
+    want = [x.ids + [7] for x in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [np.frombuffer(ids, encoder.width).tolist() for ids in got] == want and not seen
+    special = ["a<|endoftext|>b", "é", "<|ENDOFTEXT|>", None]
+    want = [x.ids for x in tokenizer.encode_batch([t or "" for t in special], add_special_tokens=False)]
+    assert [np.frombuffer(ids, encoder.width).tolist() for ids in encoder.encode_column(pa.array(special)).to_pylist()] == want
+    assert seen[:2] == ["a<|endoftext|>b", "<|ENDOFTEXT|>"]
+
+
 def test_shard_bounds_in_regions(spark):
     ids = spark.createDataFrame([(i * i,) for i in range(2000)] + [(None,)] * 5, "doc_id long")
     bounds = wavelet._bounds(ids, 20, regions=4)
