@@ -843,6 +843,20 @@ def test_pairs_are_not_shuffled(spark):
     assert "Join" not in transfers.leg_outcomes(legs)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def _crowd(spark, amounts, ins):
+    """One day's legs in the order of a lottery: 40 outbound ones of some amounts, and as many inbound ones of each as said, of an account each."""
+    rows = [(1 - 2 * (k < 40)) * amounts[k % len(amounts)] for k in range(40 + ins * len(amounts))]
+    rows = [(k, k, D(2026, 3, 15), amount, "EUR") for k, amount in enumerate(rows)]
+    random.Random(3).shuffle(rows)
+    return _legs(spark, rows)
+
+
+def test_equal_lists_are_neighbours(spark):
+    """Outbound legs of one amount have the same candidates: their lists follow each other, so that a file can hold them once."""
+    lists = [r.in_ids for r in transfers.listed(_crowd(spark, [800, 810, 820, 830], 50)).collect()]
+    assert len(lists) == 40 and sum(a != b for a, b in zip(lists, lists[1:])) == 3
+
+
 def test_base_that_rounds_to_nothing(spark):
     """Such an amount can be converted, so fx_exponents has no refusal for it; it still isn't posted."""
     day = D(2026, 1, 1)
