@@ -857,6 +857,18 @@ def test_equal_lists_are_neighbours(spark):
     assert len(lists) == 40 and sum(a != b for a, b in zip(lists, lists[1:])) == 3
 
 
+def _most_apart(rows):
+    """The most inbound legs that 5,000 rows in turn have."""
+    return max(len({r.in_id for r in rows[k:k + 5000]}) for k in range(0, len(rows), 5000))
+
+
+def test_items_come_in_tiles(spark):
+    """A page of a file of them has few inbound legs, however many an outbound leg has."""
+    items = transfers.leg_review_items(_crowd(spark, [800], 2000)).collect()
+    assert len(items) == 80_000 and _most_apart(items) <= 512
+    assert {(r.out_id, r.position) for r in items} == {(o, k) for o in range(40) for k in range(2000)}
+
+
 def test_base_that_rounds_to_nothing(spark):
     """Such an amount can be converted, so fx_exponents has no refusal for it; it still isn't posted."""
     day = D(2026, 1, 1)
