@@ -869,6 +869,12 @@ def test_items_come_in_tiles(spark):
     assert {(r.out_id, r.position) for r in items} == {(o, k) for o in range(40) for k in range(2000)}
 
 
+def test_scored_pairs_come_in_tiles(spark):
+    pairs = transfers.scored(transfers.candidates(_crowd(spark, [800], 2000))).collect()
+    assert len({(r.out_id, r.in_id) for r in pairs}) == len(pairs) == 80_000 and _most_apart(pairs) <= 512
+    assert {r.confidence for r in pairs} == {Decimal("0.95")}
+
+
 def test_base_that_rounds_to_nothing(spark):
     """Such an amount can be converted, so fx_exponents has no refusal for it; it still isn't posted."""
     day = D(2026, 1, 1)
