@@ -4,13 +4,15 @@ import datetime as dt
 import random
 from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates as fd
 from ledgerloom.functions import money as fm
 from ledgerloom.functions import text as ft
-from ledgerloom.operators import analytics, cards, categorize, checks, identity, posting, statements, transfers
+from ledgerloom.operators import analytics, cards, categorize, checks, identity, pairing, posting, statements, transfers
 from ledgerloom.plans import importing, pipeline
 from ledgerloom.plans.store import Change, Conflict, LedgerStore, Refused
 from ledgerloom.sources import ais, layout, manual
@@ -875,6 +877,24 @@ def test_scored_pairs_come_in_tiles(spark):
     assert {r.confidence for r in pairs} == {Decimal("0.95")}
 
 
+def test_tiles_are_cut_from_ranges(monkeypatch):
+    """Small tiles over two groups and three currencies: the pairs are those that are listed leg by leg, tile after tile."""
+    rng = np.random.default_rng(5)
+    n = 300
+    gap = [None if k % 2 else int(g) for k, g in enumerate(rng.integers(-1, 4, n))]
+    legs = pa.table({
+        "bucket": np.arange(n) // 200, "day": np.zeros(n, np.int64), "gap": pa.array(gap, pa.int32()), "id": rng.permutation(n), "account": rng.integers(0, 20, n),
+        "place": rng.integers(100, 200, n).astype(np.int32), "currency": pa.array([(None, "EUR", "USD")[k] for k in rng.integers(0, 3, n)]),
+    })
+    monkeypatch.setattr(pairing, "TILE", 7)
+    monkeypatch.setattr(pairing, "PAIRS", 900)
+    g = pairing._Groups(legs)
+    listed, tiled = ([p for p in g.pairs(np.arange(g.n), ordered=ordered)] for ordered in (True, False))
+    told = lambda ps: sorted((int(o), int(i), bool(e)) for p in ps for o, i, e in zip(p["o"], p["i"], p["exact"]))
+    assert told(listed) == told(tiled) and len(tiled) > 3 and sum(len(p["o"]) for p in tiled) == g.count().sum() > 2000
+    assert all((np.diff(p["i"] // 7 * g.n + p["o"]) >= 0).all() for p in tiled)
+
+
 def test_base_that_rounds_to_nothing(spark):
     """Such an amount can be converted, so fx_exponents has no refusal for it; it still isn't posted."""
     day = D(2026, 1, 1)
