@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom import queries
 from ledgerloom.functions import dates as fd
 from ledgerloom.functions import money as fm
 from ledgerloom.functions import text as ft
@@ -895,6 +896,26 @@ def test_tiles_are_cut_from_ranges(monkeypatch):
     assert all((np.diff(p["i"] // 7 * g.n + p["o"]) >= 0).all() for p in tiled)
 
 
+def _maps(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+
+
+def test_skips_of_whole_legs_are_rows(spark, tmp_path):
+    """What is skipped with a leg is told by a row for the leg: pairs aren't made once to be listed and again to be left out."""
+    legs = _crowd(spark, [800, 810], 30)
+    outs, barred = set(range(40)), spark.createDataFrame([(3,), (4,), (4,), (50,), (99,), (10**6,)], "id long")
+    every = {(r.out_id, r.in_id) for r in transfers.candidates(legs).collect()}
+    left = {(o, i) for o, i in every if not {o, i} & {3, 4, 50, 99}}
+    stored = spark.createDataFrame([(5, 60), (5, 61), (3, 70)], "out_id long, in_id long")
+    assert {(r.out_id, r.in_id) for r in transfers.candidates(legs, barred=barred).collect()} == left and len(left) < len(every)
+    assert {(r.out_id, r.in_id) for r in transfers.candidates(legs, stored, barred).collect()} == left - {(5, 60), (5, 61)}
+    assert {o for o, _ in left} == outs - {3, 4}
+    spark.createDataFrame([(k, dt.datetime(2024, 1, 1), k, "error" if k % 2 else "view", 8.0) for k in range(60)], "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    query = queries.QUERIES["anti_skip"](spark, str(tmp_path))
+    assert {(r.out_id, r.in_id) for r in query.collect()} == {(o, i) for o in range(1, 60, 2) for i in range(0, 60, 2) if o % 3}
+    assert _maps(query) == 1
+
+
 def test_base_that_rounds_to_nothing(spark):
     """Such an amount can be converted, so fx_exponents has no refusal for it; it still isn't posted."""
     day = D(2026, 1, 1)
