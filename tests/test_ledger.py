@@ -900,6 +900,12 @@ def _maps(df):
     return df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
 
 
+def _events(spark, tmp_path):
+    """The folder of a table of 30 outbound and 30 inbound legs of one amount and day."""
+    spark.createDataFrame([(k, dt.datetime(2024, 1, 1), k, "error" if k % 2 else "view", 8.0) for k in range(60)], "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    return str(tmp_path)
+
+
 def test_skips_of_whole_legs_are_rows(spark, tmp_path):
     """What is skipped with a leg is told by a row for the leg: pairs aren't made once to be listed and again to be left out."""
     legs = _crowd(spark, [800, 810], 30)
@@ -910,12 +916,21 @@ def test_skips_of_whole_legs_are_rows(spark, tmp_path):
     assert {(r.out_id, r.in_id) for r in transfers.candidates(legs, barred=barred).collect()} == left and len(left) < len(every)
     assert {(r.out_id, r.in_id) for r in transfers.candidates(legs, stored, barred).collect()} == left - {(5, 60), (5, 61)}
     assert {o for o, _ in left} == outs - {3, 4}
-    spark.createDataFrame([(k, dt.datetime(2024, 1, 1), k, "error" if k % 2 else "view", 8.0) for k in range(60)], "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
-    query = queries.QUERIES["anti_skip"](spark, str(tmp_path))
+    query = queries.QUERIES["anti_skip"](spark, _events(spark, tmp_path))
     assert {(r.out_id, r.in_id) for r in query.collect()} == {(o, i) for o in range(1, 60, 2) for i in range(0, 60, 2) if o % 3}
     assert _maps(query) == 1
 
 
+def test_skipped_legs_count_for_positions(spark, tmp_path):
+    """Pairs that are skipped already are no items, and the others keep their places; two candidates stay two if one is skipped."""
+    legs = _legs(spark, [(k, k, D(2026, 3, 15), -500 if k == 1 else 500, "EUR") for k in (1, 2, 3)])
+    items = transfers.leg_review_items(legs, barred=spark.createDataFrame([(2,)], "id long")).collect()
+    assert [(r.out_id, r.position, r.in_id) for r in items] == [(1, 1, 3)]
+    query = queries.QUERIES["skip_pairs"](spark, _events(spark, tmp_path))
+    assert {(r.out_id, r.in_id) for r in query.collect()} == {(o, i) for o in range(1, 60, 2) for i in range(0, 60, 2) if i % 3}
+    assert _maps(query) == 1
+
+
 def test_base_that_rounds_to_nothing(spark):
     """Such an amount can be converted, so fx_exponents has no refusal for it; it still isn't posted."""
     day = D(2026, 1, 1)
