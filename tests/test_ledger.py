@@ -375,6 +375,18 @@ def test_card_payment_candidates_are_shuffled_by_day(spark):
     assert pairs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_card_payment_candidates_come_in_tiles(spark):
+    """Blocks of a key's ids meet, so that a page of a file of pairs has few lines; blocks of any size lose none."""
+    day = D(2026, 3, 15)
+    card = spark.createDataFrame([(k, 1, 500, day) for k in range(300)] + [(None, 1, 500, day)], "id long, paying_id long, amount long, date date")
+    paying = spark.createDataFrame([(1000 + k, 1, -500, day + dt.timedelta(k % 2)) for k in range(1400)] + [(9, 1, -500, day + dt.timedelta(4))], "id long, account_id long, amount long, date date")
+    rows = posting.card_payment_candidates(card, paying).collect()
+    pairs = {tuple(r) for r in rows}
+    assert len(rows) == len(pairs) == 301 * 1400 and pairs == {(c, 1000 + k) for c in (*range(300), None) for k in range(1400)}
+    # A day's 700 paying lines come one after the other, with a block of card lines each.
+    assert max(sum(len({r[k] for r in rows[at:at + 5000]}) for k in (0, 1)) for at in range(0, len(rows), 5000)) <= 512
+
+
 def test_card_payment_roles_and_refusals(spark):
     accounts = spark.createDataFrame([
         (1, "asset", "EUR", True, None), (2, "liability", "EUR", True, 1), (3, "liability", "USD", True, 1), (4, "liability", "EUR", False, None), (5, "asset", "EUR", True, None), (6, "liability", "EUR", True, 5),
